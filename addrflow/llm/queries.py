@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter as urls
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
 
@@ -11,10 +13,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _read(spark, sf_dir, "labels").where("quality = 1")
+    rows = quality_rules(_read(spark, sf_dir, "documents"), trusted)
+    return rows.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_url_filter": op10_url_filter,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_url_filter": urls.oracle_sql()}
