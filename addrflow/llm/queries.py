@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filter as urls
+from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
@@ -19,6 +22,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +40,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op6_packing": op6_packing,
+    "op7_near_dedup": op7_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
