@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filter as urls
+from .html_extract import extract_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
@@ -30,6 +31,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
 }
