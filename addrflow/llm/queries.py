@@ -11,12 +11,17 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _read(spark, sf_dir, "labels").where("quality = 1")
     rows = quality_rules(_read(spark, sf_dir, "documents"), trusted)
@@ -44,6 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
