@@ -9,6 +9,8 @@ from . import url_filter as urls
 from .html_extract import extract_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import find_pii, train
+from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -22,12 +24,21 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _read(spark, sf_dir, "labels").where("quality = 1")
     rows = quality_rules(_read(spark, sf_dir, "documents"), trusted)
     return rows.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return find_pii(docs, train(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,7 +61,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op3_quality_model": op3_quality_model,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_html_extraction": op8_html_extraction,
