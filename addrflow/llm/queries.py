@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filter as urls
+from .decontamination import contaminated
 from .html_extract import extract_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -24,6 +25,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_quality_model": op3_quality_model,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
