@@ -16,10 +16,10 @@ from .workspace import stored
 
 #: MinHash functions, trees of the forest, hashes a tree's order uses, and of them the fewest that candidates share.
 HASHES, TREES, DEPTH, MIN_DEPTH = 64, 16, 6, 2
-#: A region of at most so many documents compares all its pairs; a larger one is cut by its next hash.
+#: A region of at most so many documents gives all its pairs as candidates.
 REGION = 48
-#: The same for the second round, which compares only documents not linked so far.
-REGION_REST = 4096
+#: A larger one is looked at again for documents not linked so far; beyond this size it is first cut by its next hashes.
+REGION_REST = 2048
 #: Least share of equal signature parts that a pair needs to be confirmed: 4.5 standard errors below 0.75.
 LEAST_EQUAL = 0.5
 _BLOCK = 4 << 20
@@ -76,56 +76,42 @@ def _branches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in p), batch.column("node"), batch.column("n")], ["tree", "p1", "p2", "p3", "node", "n"])
 
 
-def _pairs_in(node: np.ndarray, size: np.ndarray, prefix: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of a region: all of a small one; a larger one is cut by the next hash of the order, and its
-    documents are also linked to their neighbours in the order and to the region's first."""
+def _pairs_in(node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of a region in the forest's order: all of a small one; in a large one each document's neighbour,
+    which shares the longest prefix, and the region's first.  (``_rest`` looks at large regions again.)"""
     m = len(node)
-    if m < 2:
-        return
-    if m <= REGION:
-        a, b = np.triu_indices(m, 1)
-        ok = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-        yield node[a[ok]], node[b[ok]]
-        return
-    yield node[:-1], node[1:]
-    yield np.full(m - 1, node[0]), node[1:]
-    if depth < prefix.shape[1]:
-        cut = np.flatnonzero(np.diff(prefix[:, depth])) + 1
-        for lo, hi in zip([0, *cut], [*cut, m], strict=True):
-            yield from _pairs_in(node[lo:hi], size[lo:hi], prefix[lo:hi], depth + 1)
+    if m > REGION:
+        return np.r_[node[:-1], np.full(m - 1, node[0])], np.r_[node[1:], node[1:]]
+    a, b = np.triu_indices(m, 1)
+    ok = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
+    return node[a[ok]], node[b[ok]]
 
 
 def _neighbours(batches):
     """Candidate pairs from rows in the forest's order; a region that spans batches is held until it ends."""
 
-    def flush(rows):
-        tree, p1, p2, p3, node, size = rows
-        prefix = np.stack([p2.view(np.uint64) >> np.uint64(32), p2.view(np.uint64) & np.uint64(0xFFFFFFFF), p3.view(np.uint64) >> np.uint64(32), p3.view(np.uint64) & np.uint64(0xFFFFFFFF)], 1)
-        got = list(_pairs_in(node, size, prefix, 0))
-        if got:
-            u, v = (np.concatenate(x) for x in zip(*got, strict=True))
-            ok = u != v
-            pair = np.unique(np.stack([np.minimum(u, v)[ok], np.maximum(u, v)[ok]], 1), axis=0)
-            return pair
-        return np.empty((0, 2), np.int64)
+    def flush(node, size):
+        u, v = _pairs_in(node, size)
+        ok = u != v
+        return np.unique(np.stack([np.minimum(u, v)[ok], np.maximum(u, v)[ok]], 1), axis=0)
 
     held, out, waiting = None, [], 0
     for batch in batches:
-        rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("tree", "p1", "p2", "p3", "node", "n")]
+        rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("tree", "p1", "node", "n")]
         if held is not None:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
         edges = [0, *cut.tolist()]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo > 1:
-                out.append(flush([x[lo:hi] for x in rows]))
+                out.append(flush(rows[2][lo:hi], rows[3][lo:hi]))
                 waiting += len(out[-1])
                 if waiting > 100_000:
                     yield _pair_batch(out)
                     out, waiting = [], 0
         held = [x[edges[-1] :] for x in rows]
     if held is not None and len(held[0]) > 1:
-        out.append(flush(held))
+        out.append(flush(held[2], held[3]))
     if out:
         yield _pair_batch(out)
 
@@ -135,22 +121,48 @@ def _pair_batch(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["u", "v"])
 
 
-def _rest(table: pa.Table) -> pa.Table:
-    """Second round: pairs of a large region that are not linked yet and whose signatures are equal in enough parts."""
-    node, size, comp = (table[k].to_numpy() for k in ("node", "n", "component"))
-    sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
-    out = []
-    if len(np.unique(comp)) > 1:
-        # Documents of the largest component are compared with the others only.
+def _rest(percent: int):
+    """Links of a large region that join components, found on the full sets; one for each two components is enough.
+
+    Documents of the largest component are compared with the others only; pairs whose signatures or sizes rule them out
+    are passed over."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, size, comp = (table[k].to_numpy().copy() for k in ("node", "n", "component"))
+        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
+        body = table["set"]
+        sets: dict[int, np.ndarray] = {}
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _undo(body[i].as_py())
+            return sets[i]
+
+        links = []
         values, count = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != values[count.argmax()])
-        for i in rest:
+        for i in np.flatnonzero(comp != values[count.argmax()]).tolist():
             near = np.flatnonzero((comp != comp[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])))
-            near = near[(sig[near] == sig[i]).mean(axis=1) >= LEAST_EQUAL] if len(near) else near
-            if len(near):
-                out.append(np.stack([np.minimum(node[near], node[i]), np.maximum(node[near], node[i])], 1))
-    pair = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-    return pa.table({"u": pa.array(pair[:, 0].copy(), pa.int64()), "v": pa.array(pair[:, 1].copy(), pa.int64())})
+            equal = (sig[near] == sig[i]).mean(axis=1) if len(near) else np.empty(0)
+            near = near[np.argsort(-equal, kind="stable")][: int((equal >= LEAST_EQUAL).sum())]
+            own = full(i)
+            for lo in range(0, len(near), 256):
+                part = near[lo : lo + 256]
+                part = part[comp[part] != comp[i]]
+                if not len(part):
+                    continue
+                rows = [full(j) for j in part.tolist()]
+                length = np.array([len(x) for x in rows])
+                every = np.concatenate(rows)
+                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(length)[:-1]])
+                for j in part[(both > 0) & (100 * both >= percent * (length + len(own) - both))].tolist():
+                    if comp[j] != comp[i]:
+                        links.append(sorted((int(node[i]), int(node[j]))))
+                        comp[comp == comp[j]] = comp[i]
+        pair = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"u": pa.array(pair[:, 0].copy(), pa.int64()), "v": pa.array(pair[:, 1].copy(), pa.int64())})
+
+    return run
 
 
 def _sets(width: int):
@@ -204,11 +216,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     1. Every text gives its set size, a 128-bit key of the set and a MinHash signature.  Equal sets are one node, named
        by its least id, so exact copies cost nothing further.
     2. Forest: each tree sorts the nodes by its own order of the signature.  Nodes that share at least MIN_DEPTH hashes
-       form a region; a region of at most REGION nodes gives all its pairs, a larger one is cut by its next hash (adaptive
-       depth) and links neighbours in the order.  A pair at the threshold shares a tree's first two hashes with
-       probability 0.56, so it is missed by all 16 with 2e-6.
-    3. Candidates are confirmed on the full sets: first those that join each node to its nearest and least candidate, then,
-       among nodes not connected by these, all others, with the remaining pairs of large regions.
+       form a region.  A region of at most REGION nodes gives all its pairs, a larger one the neighbours in the order.  A
+       pair at the threshold shares a tree's first two hashes with probability 0.56, so all 16 miss it with 2e-6.
+    3. Candidates are confirmed on the full sets: first those that join each node to its nearest and least candidate, then
+       all others whose nodes are not connected by these.  In large regions that still hold several components, their
+       nodes are compared on the full sets where they meet; regions over REGION_REST nodes are cut by deeper hashes first
+       (adaptive depth), so there alone a link near the threshold is found with less certainty in each tree.
     4. Components by alternating stars.
 
     Returns doc_id, n_shingles, component_id (least id reachable), kept (doc_id = component_id), a row for each input row.
@@ -247,10 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.join(found.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
 
     apart = component(component(pairs.select("u", "v").join(first, ["u", "v"], "left_anti"), "u"), "v").where("c_u <> c_v").select("u", "v")
-    crowd = component(regions.join(signature, "node").withColumnRenamed("node", "u"), "u").select(F.col("u").alias("node"), "region", "n", "signature", F.col("c_u").alias("component"))
+    crowd = component(regions.withColumnRenamed("node", "u"), "u").select(F.col("u").alias("node"), "region", "n", F.col("c_u").alias("component"))
     split = crowd.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-    rest = crowd.join(split, "region", "left_semi").groupBy("region").applyInArrow(_rest, "u long, v long").join(first, ["u", "v"], "left_anti")
-    more = _confirmed(apart.union(rest).distinct(), sets, percent, "links")
+    crowd = crowd.join(split, "region", "left_semi").join(signature, "node").join(sets, "node")
+    rest = crowd.groupBy("region").applyInArrow(_rest(percent), "u long, v long")
+    more = _confirmed(apart.distinct(), sets, percent, "links").union(rest)
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     final = stored(components(edges), "components")
 
