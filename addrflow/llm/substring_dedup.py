@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import Rolling, byte_units, covered, row_of, sliding_min, window_ok, words
+from .arrays import Rolling, byte_units, covered, mix, row_of, sliding_min, window_ok, words
 from .shards import NULL_ID, Shard, distinct_with_docs, earlier_code, exchange, join_codes, make_shards, range_bits, repeated_code, with_replies
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -26,7 +26,8 @@ class _Words:
 
     def anchors(self, length: int, window: int) -> np.ndarray:
         """For each window: the least hash among the shorter windows inside it, the same wherever the window occurs."""
-        return sliding_min(self.roll.windows(length), window - length + 1) if len(self.ok) else np.empty(0, np.uint64)
+        # Least hashes are small numbers: mixed again, they fill the key ranges evenly.
+        return mix(sliding_min(self.roll.windows(length), window - length + 1)) if len(self.ok) else np.empty(0, np.uint64)
 
 
 def _levels(window: int) -> list[int]:

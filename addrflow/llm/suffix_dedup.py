@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Rolling, byte_units, row_of, sliding_min, window_ok
+from .arrays import Rolling, blocks, byte_units, mix, sliding_min, window_ok
 from .shards import NULL_ID, Shard, exchange, join_codes, make_shards, pack, pack_sorted, range_bits, split_ranges, unpack, unpack_sorted, with_replies
 from .workspace import stored
 
@@ -18,6 +18,8 @@ from .workspace import stored
 ANCHOR = 16
 #: Bits of a position in a suffix array; larger texts are cut into several, merged by binary search.
 POSITION_BITS = 21
+#: Bytes of whole documents hashed at a time.
+BLOCK_BYTES = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -170,18 +172,9 @@ class _Pieces:
 
     def __init__(self, shard: Shard, window: int, anchor: int):
         self.shard = shard
-        roll = Rolling(byte_units(shard.data))
-        ok = window_ok(shard.offsets, window)
-        least = sliding_min(roll.windows(anchor), window - anchor + 1) if len(ok) else np.empty(0, np.uint64)
-        at = np.flatnonzero(ok)
-        value = least[at]
-        row = row_of(shard.offsets)[at]
-        new = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])] if len(at) else np.empty(0, bool)
-        self.start = at[new]
-        self.windows = np.diff(np.r_[np.flatnonzero(new), len(at)])
+        parts = [self._block(shard, lo, hi, window, anchor) for lo, hi in blocks(shard.offsets, BLOCK_BYTES)]
+        self.start, self.windows, key, doc, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.end = self.start + self.windows + window - 1
-        key, doc = value[new], shard.ids[row[new]]
-        whole = roll.spans(self.start, self.end) >> np.uint64(16)
         # By anchor, then text, then document: the first of each text stands for the others of this shard.
         self.order = np.lexsort((self.start, doc, whole, key))
         k, w, d = key[self.order], whole[self.order], doc[self.order]
@@ -190,6 +183,22 @@ class _Pieces:
         self.key, self.whole, self.least = k[first], w[first].astype(np.int64), d[first]
         self.group, self.docs = np.cumsum(first) - 1, d
 
+    @staticmethod
+    def _block(shard: Shard, lo: int, hi: int, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+        """(start, windows, anchor hash, document, hash of the text) of the pieces of some documents."""
+        base = int(shard.offsets[lo])
+        offsets = shard.offsets[lo : hi + 1] - base
+        roll = Rolling(byte_units(shard.data[base : base + offsets[-1]]))
+        at = np.flatnonzero(window_ok(offsets, window))
+        # Least hashes are small numbers: mixed again, they fill the key ranges evenly.
+        value = mix(sliding_min(roll.windows(anchor), window - anchor + 1)[at]) if len(at) else np.empty(0, np.uint64)
+        row = np.searchsorted(offsets, at, "right") - 1
+        new = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])] if len(at) else np.empty(0, bool)
+        start = at[new]
+        count = np.diff(np.r_[np.flatnonzero(new), len(at)])
+        whole = roll.spans(start, start + count + window - 1) >> np.uint64(16)
+        return start + base, count, value[new], shard.ids[lo + row[new]], whole
+
     def open(self, code: np.ndarray) -> np.ndarray:
         """Distinct pieces that must be compared window by window: others have their anchor with another text, and no
         earlier document has the same text."""
