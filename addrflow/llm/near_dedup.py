@@ -207,7 +207,7 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("u", "v"))
-    return stored(pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long"), name)
+    return stored(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long"), name)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = forest.groupBy("tree", "p1").agg(F.count("*").alias("c2")).where(f"c2 > {REGION}")
     regions = stored(_large_regions(forest, crowded), "regions")
     touched = touched.union(regions.select("node")).distinct()
-    texts = rows.join(touched, rows["doc_id"] == touched["node"], "left_semi")
+    # Both sides of the joins with texts and sets grow with the corpus, so they are merged at every size.
+    texts = rows.join(touched.hint("merge"), rows["doc_id"] == touched["node"], "left_semi")
     sets = stored(texts.mapInArrow(_sets(width), "node long, set binary"), "sets", "uncompressed")
 
     both = pairs.select("u", "v", "equal").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "equal"))
@@ -262,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = component(component(pairs.select("u", "v").join(first, ["u", "v"], "left_anti"), "u"), "v").where("c_u <> c_v").select("u", "v")
     crowd = component(regions.withColumnRenamed("node", "u"), "u").select(F.col("u").alias("node"), "region", "n", F.col("c_u").alias("component"))
     split = crowd.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-    crowd = crowd.join(split, "region", "left_semi").join(signature, "node").join(sets, "node")
+    crowd = crowd.join(split, "region", "left_semi").join(signature.hint("merge"), "node").join(sets.hint("merge"), "node")
     rest = crowd.groupBy("region").applyInArrow(_rest(percent), "u long, v long")
     more = _confirmed(apart.distinct(), sets, percent, "links").union(rest)
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
