@@ -16,7 +16,7 @@ def active(df: DataFrame) -> DataFrame:
 def unit_names(units: DataFrame) -> DataFrame:
     """(terc, commune, county, voivodeship) of every commune, by two joins up the tree."""
     g, p, w = (units.select(F.col("terc").alias(f"{k}_terc"), F.col("name").alias(k), F.col("parent_terc").alias(f"{k}_parent"), F.col("level").alias(f"{k}_level")) for k in ("commune", "county", "voivodeship"))
-    tree = g.where("commune_level = 3").join(p, F.col("commune_parent") == F.col("county_terc"), "left").join(w, F.col("county_parent") == F.col("voivodeship_terc"), "left")
+    tree = g.where("commune_level = 3").join(p.where("county_level = 2"), F.col("commune_parent") == F.col("county_terc"), "left").join(w.where("voivodeship_level = 1"), F.col("county_parent") == F.col("voivodeship_terc"), "left")
     return tree.select(F.col("commune_terc").alias("terc"), "commune", "county", "voivodeship")
 
 

@@ -40,7 +40,7 @@ FULL = """
 full_address AS (
   SELECT p.*, l.name AS locality, s.kind AS street_kind, s.name AS street, g.name AS commune, c.name AS county, w.name AS voivodeship
   FROM point p JOIN locality l ON p.simc = l.simc LEFT JOIN street s ON p.street_id = s.street_id
-  JOIN unit g ON l.terc = g.terc AND g.level = 3 LEFT JOIN unit c ON g.parent_terc = c.terc LEFT JOIN unit w ON c.parent_terc = w.terc)"""
+  JOIN unit g ON l.terc = g.terc AND g.level = 3 LEFT JOIN unit c ON g.parent_terc = c.terc AND c.level = 2 LEFT JOIN unit w ON c.parent_terc = w.terc AND w.level = 1)"""
 
 
 @query("full_address", "point", "locality", "street", "unit", sql=f"WITH {FULL} SELECT point_id, locality, street_kind, street, number, postal_code, commune, county, voivodeship FROM full_address")
@@ -359,7 +359,7 @@ def _(published, point):
     return lookup.postal_code_with_fallback(point.select("point_id", "simc", "street_id", "number_key"), published).select("point_id", "found_code", "code_source")
 
 
-@query("locality_details", "locality", "unit", sql="SELECT l.simc, l.name, k.name AS kind_name, g.name AS commune, w.name AS voivodeship FROM locality l LEFT JOIN (SELECT 0 AS code, 'part' AS name UNION ALL SELECT 1, 'village') k ON l.kind = k.code LEFT JOIN unit g ON l.terc = g.terc LEFT JOIN unit c ON g.parent_terc = c.terc LEFT JOIN unit w ON c.parent_terc = w.terc WHERE l.withdrawn IS NULL")
+@query("locality_details", "locality", "unit", sql="SELECT l.simc, l.name, k.name AS kind_name, g.name AS commune, w.name AS voivodeship FROM locality l LEFT JOIN (SELECT 0 AS code, 'part' AS name UNION ALL SELECT 1, 'village') k ON l.kind = k.code LEFT JOIN unit g ON l.terc = g.terc AND g.level = 3 LEFT JOIN unit c ON g.parent_terc = c.terc AND c.level = 2 LEFT JOIN unit w ON c.parent_terc = w.terc AND w.level = 1 WHERE l.withdrawn IS NULL")
 def _(locality, unit):
     kinds = locality.sparkSession.createDataFrame([(0, "part"), (1, "village")], "code int, name string")
     return lookup.locality_details(locality, unit, kinds).select("simc", "name", "kind_name", "commune", "voivodeship")
