@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from addrflow.functions.binding import let
 from addrflow.functions.streets import leading_type_offset, short_street_name, split_label, street_label
 from addrflow.functions.text import normalize_text, tokenize
 
@@ -75,17 +76,26 @@ def candidates(queries: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFram
 
 def score(q: Column, label: Column, points: Column, locality_points: Column) -> Column:
     """Rank of a label for a normalised query (F4); 0 if no word of the query is in it."""
-    n = normalize_text(label)
-    offset = leading_type_offset(n)
-    plain = F.startswith(n, q)
-    moved = ~plain & (offset > 0) & F.startswith(F.substr(n, offset + 1), q)
-    edits = F.transform(F.split(q, " "), lambda t: F.array_min(F.transform(F.split(n, " "), lambda x: F.when(F.startswith(x, t), 0).when(F.abs(F.length(x) - F.length(t)) <= 2, F.nullif(F.levenshtein(t, x, 2), F.lit(-1))))))
-    found = F.size(F.filter(edits, lambda e: e.isNotNull()))
-    total = F.aggregate(edits, F.lit(0), lambda a, e: a + F.coalesce(e, F.lit(0)))
-    bonus = F.when(plain | moved, 1000.0).when(F.contains(n, q), 500.0).otherwise(0.0)
-    length = F.least(F.length(n) - F.when(moved, offset).otherwise(0), F.lit(60))
-    value = bonus + 600.0 * found / F.size(edits) - 40.0 * total + 30.0 * F.log10(points + 1.0) + 25.0 * F.log10(locality_points + 1.0) - 1.5 * length
-    return F.when(found == 0, 0.0).otherwise(value)
+    text = let(normalize_text(label), lambda n: F.struct(n.alias("n"), leading_type_offset(n).alias("offset"), F.split(n, " ").alias("words")))
+
+    def distance(x: Column, t: Column) -> Column:
+        return F.when(F.startswith(x, t), 0).when(F.abs(F.length(x) - F.length(t)) <= 2, F.nullif(F.levenshtein(t, x, 2), F.lit(-1)))
+
+    def measured(d: Column) -> Column:
+        edits = F.transform(F.split(q, " "), lambda t: F.array_min(F.transform(d["words"], lambda x: distance(x, t))))
+        plain = F.startswith(d["n"], q)
+        moved = ~plain & (d["offset"] > 0) & F.startswith(F.substr(d["n"], d["offset"] + 1), q)
+        return F.struct(d["n"].alias("n"), d["offset"].alias("offset"), plain.alias("plain"), moved.alias("moved"), edits.alias("edits"))
+
+    def value(m: Column) -> Column:
+        found = F.size(F.filter(m["edits"], lambda e: e.isNotNull()))
+        total = F.aggregate(m["edits"], F.lit(0), lambda a, e: a + F.coalesce(e, F.lit(0)))
+        bonus = F.when(m["plain"] | m["moved"], 1000.0).when(F.contains(m["n"], q), 500.0).otherwise(0.0)
+        length = F.least(F.length(m["n"]) - F.when(m["moved"], m["offset"]).otherwise(0), F.lit(60))
+        rank = bonus + 600.0 * found / F.size(m["edits"]) - 40.0 * total + 30.0 * F.log10(points + 1.0) + 25.0 * F.log10(locality_points + 1.0) - 1.5 * length
+        return F.when(found == 0, 0.0).otherwise(rank)
+
+    return let(let(text, measured), value)
 
 
 def suggest(queries: DataFrame, docs: DataFrame, keys: DataFrame, k: int = 10) -> DataFrame:
