@@ -113,3 +113,14 @@ def test_contaminated(spark, texts):
     got = {(r.doc_id, r.item_id): r.verdict for r in contaminated(df, bench).collect()}
     assert got == {(100, 1): "copy", (101, 1): "copy"}
     assert contaminated(df, bench.where("item_id < 0")).count() == 0 and contaminated(df.where("doc_id < 0"), bench).count() == 0
+
+
+def test_contaminated_by_common_words(spark):
+    """An item whose words are all common is found where a document holds it, though none of them has a weight."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(rng.choice(vocabulary, 150))) for i in range(60)]
+    item = " ".join(rng.choice(vocabulary, 36, replace=False))
+    docs.append((100, " ".join(rng.choice(vocabulary, 150)) + " " + item + " " + " ".join(rng.choice(vocabulary, 150))))
+    got = {(r.doc_id, r.item_id): (r.sequence_share, r.verdict) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got[100, 7] == (1.0, "copy")
