@@ -115,6 +115,23 @@ def test_contaminated(spark, texts):
     assert contaminated(df, bench.where("item_id < 0")).count() == 0 and contaminated(df.where("doc_id < 0"), bench).count() == 0
 
 
+def _every_place(docs, items):
+    """Pairs that the verdict accepts at some place, by brute force; answers by counts of documents."""
+    from addrflow.llm.decontamination import ANSWER_WORDS, _terms_of, verdict, window
+
+    split = lambda x: _terms_of([x]).hashes.tolist()
+    texts = {i: split(t) for i, t in docs}
+    count = Counter(h for t in texts.values() for h in set(t))
+    found = {}
+    for k, own in ((k, split(t)) for k, t in items):
+        answer = frozenset(sorted(set(own), key=lambda h: (count[h], h))[:ANSWER_WORDS])
+        for i, t in texts.items():
+            got = [v for s in range(len(t)) if (v := verdict(own, answer, t[s : s + window(len(own))]))[2]]
+            if got:
+                found[i, k] = max(got)
+    return found
+
+
 def test_contaminated_by_common_words(spark):
     """An item whose words are all common is found where a document holds it, though none of them has a weight."""
     rng = np.random.default_rng(3)
@@ -124,3 +141,21 @@ def test_contaminated_by_common_words(spark):
     docs.append((100, " ".join(rng.choice(vocabulary, 150)) + " " + item + " " + " ".join(rng.choice(vocabulary, 150))))
     got = {(r.doc_id, r.item_id): (r.sequence_share, r.verdict) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
     assert got[100, 7] == (1.0, "copy")
+
+
+def test_contaminated_equals_every_place(spark):
+    """Evenly reworded items, long items held in part, copies: the same pairs as the verdict at every place."""
+    rng = np.random.default_rng(4)
+    vocabulary, p = np.array([f"w{k}" for k in range(3000)]), 1 / np.arange(1, 3001)
+    draw = lambda n: rng.choice(vocabulary, n, p=p / p.sum()).tolist()
+    items = [(k, draw(n)) for k, n in enumerate([16, 24, 36, 60, 120, 200] * 2)]
+    docs = [(i, draw(200)) for i in range(100)]
+    for every in (3, 4, 5, 6, 99):
+        for k, own in items:
+            text = [f"new{rng.integers(10**9)}" if j % every == every - 1 else w for j, w in enumerate(own)]
+            docs.append((1000 * every + k, draw(90) + text + draw(90)))
+    docs += [(10**6 + k, draw(50) + own[len(own) // 3 :] + draw(50)) for k, own in items]
+    docs, items = [(i, " ".join(t)) for i, t in docs], [(k, " ".join(t)) for k, t in items]
+    got = {(r.doc_id, r.item_id): (r.sequence_share, r.answer_share, r.verdict) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), items_per_pass=8).collect()}
+    want = _every_place(docs, items)
+    assert len(want) > 40 and got == want
