@@ -22,17 +22,18 @@ class HostRule:
         return self.host + self.path
 
     @property
-    def tokens(self) -> list[str]:
+    def tokens(self) -> tuple[tuple[str, ...], ...]:
         # A token counts only if a delimiter ends it in the rule; the text before is a host label, so delimited too.
-        return re.findall(r"[a-z0-9]+(?=[^a-z0-9])", self.name) or [self.host.split(".")[-1]]
+        return (tuple(re.findall(r"[a-z0-9]+(?=[^a-z0-9])", self.name) or [self.host.split(".")[-1]]),)
 
 
 @dataclass(frozen=True)
 class PatternRule:
-    """A regular expression over the lower-cased url, with whole tokens that every match contains."""
+    """A regular expression over the lower-cased url, with whole tokens for each of its alternatives: every match contains
+    all tokens of one alternative."""
 
     regex: str
-    tokens: tuple[str, ...]
+    tokens: tuple[tuple[str, ...], ...]
     verdict: str = "block"
 
     @property
@@ -46,7 +47,7 @@ HOST_RULES = (HostRule("net", "/", "block"), HostRule("example.net", "/en/", "al
 
 def _label(*words: str) -> PatternRule:
     """A host label made of these words joined by hyphens."""
-    return PatternRule(r"://([^/?#]*\.)?" + "-".join(words) + r"\.[^/?#]*", words)
+    return PatternRule(r"://([^/?#]*\.)?" + "-".join(words) + r"\.[^/?#]*", (words,))
 
 
 #: Verdicts for urls that no host rule fits: host labels of spam, betting, pill and tracking sites.
@@ -56,9 +57,9 @@ PATTERN_RULES = (
     _label("free", "bets"),
     _label("spam", "farm"),
     _label("ads", "track"),
-    PatternRule(r"://([^/?#]*[.-])?(casino|poker|viagra)[.-]", ("casino",)),
-    PatternRule(r"://([^/?#]*[.-])?(porn|xxx)[.-]", ("porn",)),
-    PatternRule(r"[?&](aff|affiliate)_?id=[^&#]*", ("affiliate",)),
+    PatternRule(r"://([^/?#]*[.-])?(casino|poker|viagra)[.-]", (("casino",), ("poker",), ("viagra",))),
+    PatternRule(r"://([^/?#]*[.-])?(porn|xxx)[.-]", (("porn",), ("xxx",))),
+    PatternRule(r"[?&](aff|affiliate)_?id=[^&#]*", (("aff", "id"), ("affid",), ("affiliate", "id"), ("affiliateid",))),
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,19 +78,20 @@ def url_tokens(url: Column) -> Column:
 
 
 def rarest_tokens(pages: DataFrame, url_col: str, rules) -> dict:
-    """Each rule's literal token that the fewest urls of the corpus hold; ties go to the first in byte order.
+    """For each alternative of each rule its literal token that the fewest urls of the corpus hold; ties go to the first
+    in byte order.
 
     One pass over the urls; at most one count for each token of the rules reaches the driver."""
-    wanted = sorted({t for r in rules for t in r.tokens})
+    wanted = sorted({t for r in rules for own in r.tokens for t in own})
     token = F.explode(F.array_intersect(url_tokens(F.col(url_col)), F.array(*map(F.lit, wanted)))).alias("token")
     seen = {r["token"]: r["n"] for r in pages.select(token).groupBy("token").agg(F.count("*").alias("n")).collect()}
-    return {r: min(r.tokens, key=lambda t: (seen.get(t, 0), t)) for r in rules}
+    return {r: {min(own, key=lambda t: (seen.get(t, 0), t)) for own in r.tokens} for r in rules}
 
 
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, default: str = "allow") -> DataFrame:
     """Judge every url by host rules, and where none fits by pattern rules.
 
-    The rules are indexed by their rarest literal token in this corpus.  A url's tokens fetch the few rules that could
+    The rules are indexed by their rarest literal token in this corpus, one for each alternative.  A url's tokens fetch the few rules that could
     fit it; only those are tried.  The rule list is code (tens of rules), so the index is a constant of the plan; rows are
     judged where they are read, without a shuffle.
 
@@ -99,8 +101,9 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     rules = [*host_rules, *pattern_rules]
     index: dict[str, list] = {}
-    for rule, token in rarest_tokens(pages, url_col, rules).items():
-        index.setdefault(token, []).append(rule)
+    for rule, tokens in rarest_tokens(pages, url_col, rules).items():
+        for token in sorted(tokens):
+            index.setdefault(token, []).append(rule)
 
     def row(r) -> Column:
         pattern = isinstance(r, PatternRule)

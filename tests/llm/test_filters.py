@@ -92,6 +92,23 @@ def test_url_filter(spark):
     assert url_filter.url_filter(df.where("page_id < 0")).count() == 0
 
 
+def test_url_filter_alternatives(spark):
+    """Every alternative of the pattern rules is found without the others."""
+    import duckdb
+
+    urls = [f"http://{h}.example.com/" for w in ("casino", "poker", "viagra", "porn", "xxx") for h in (w, f"{w}-x", f"a.b-{w.upper()}", f"my{w}")]
+    urls += [f"http://a.example.com/p{at}{k}=1" for k in ("aff_id", "affid", "affiliate_id", "affiliateid", "AFF_ID", "staff_id", "aff__id") for at in ("?", "?x=2&", "/")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(map(tuple, url_filter.url_filter(df).collect()))
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert got == sorted(con.execute(url_filter.oracle_sql()).fetchall())
+    assert sum(r[-1] == "block" for r in got) == 25
+    for i, u in enumerate(urls):
+        alone = url_filter.url_filter(df.where(f"page_id = {i}")).first() if u.endswith(("//poker.example.com/", "p?aff_id=1")) else None
+        assert alone is None or alone.verdict == "block"
+
+
 def test_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
