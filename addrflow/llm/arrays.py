@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,22 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def frugal(run: Callable) -> Callable:
+    """``run`` for a task whose worker gives unused memory back to the system at the end: Spark keeps idle workers."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser: spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(30))

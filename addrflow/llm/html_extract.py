@@ -5,16 +5,17 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import frugal
 from .url_filter import url_host_path
-from .workspace import stored
+from .workspace import bounded_batches, stored
 
 #: Elements without content, and elements whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,16 +24,30 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the value is closed by the key's start.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements, and words of class, id or role, that mark parts which are not the article.
+#: Elements that are no part of an article.
 NOT_TEXT = frozenset("head nav header footer aside form script style noscript template iframe svg math object select button input textarea dialog menu".split())
-NOT_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+#: Whole class, id or role names, and first or last parts of hyphenated ones, that hint at something else than the article; a
+#: hint only: it never removes what holds the page's article or nearly all of its text.
+HINTS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar signup skip sponsor sponsored subscribe toolbar widget".split())
+FIRST_HINTS = frozenset("ad ads advert breadcrumb comment comments cookie footer menu nav navbar newsletter promo related share sidebar sponsor".split())
+NEGATIONS = frozenset("no not without has with".split())
+#: Elements whose like siblings are one node of the alignment; of others, runs longer than RUN.
+REPEATED, RUN = frozenset("p li dt dd tr td th option h2 h3 h4 h5 h6 blockquote pre figure figcaption article br hr".split()), 7
+#: Elements that a wrapper may open further to find the article.
+OPENED = frozenset("html body div section main center table tbody tr td article".split())
 #: Share of a host's pages, and least number of them, that hold a node with the same text before it is template.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 8
-#: Nodes of a wrapper beyond which those on few pages are left out; they can't be template.
-WRAPPER_NODES = 400
+#: Page structures of a host that get a wrapper, the commonest first; other pages go to the one that fits best.
+SEEDS = 4
+#: Share of a slot's varying text that one inner slot must hold to be the article; share of link text that makes a menu;
+#: weight of an article element, and of a hinted one.
+DOMINANT, MENU, ARTICLE_WEIGHT, HINT_WEIGHT = 0.6, 0.6, 4.0, 0.25
+#: Share of a page's text from which on a hinted element is the page itself.
+WHOLE = 0.95
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 
 
 class Node:
@@ -47,11 +62,24 @@ class Node:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if key in ("class", "id", "role"):
-                    names += re.findall(r"[a-z]+|[0-9]+", value)
+                    names += value.split()
                 else:
                     self.hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
         self.names = frozenset(names)
-        self.label = tag + "." + ".".join(sorted(x for x in self.names if not x.isdigit())) if names else tag
+        self.label = tag + "." + ".".join(sorted({re.sub("[0-9]+", "", x) for x in names})) if names else tag
+
+    def hinted(self) -> bool:
+        return self.tag not in ("html", "body", "article", "main") and any(map(_hint, self.names))
+
+    def is_article(self) -> bool:
+        return self.tag in ("article", "main") or "main" in self.names or "article" in self.names
+
+
+def _hint(name: str) -> bool:
+    if name in HINTS:
+        return True
+    parts = re.split("[-_]+", name)
+    return len(parts) > 1 and parts[0] not in NEGATIONS and (parts[-1] in HINTS or parts[0] in FIRST_HINTS)
 
 
 def parse(page: str) -> Node:
@@ -78,8 +106,7 @@ def parse(page: str) -> Node:
             node = Node(tag, m[3])
             stack[-1].children.append(node)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
-                at = end.end()
+                at = _RAW_END[tag].search(page, at).end()
             elif tag not in VOID and not m[3].endswith("/"):
                 stack.append(node)
         elif m[1]:
@@ -103,256 +130,439 @@ def _close_until(stack: list[Node], tags, barrier) -> None:
             return
 
 
-def excluded(node: Node) -> bool:
-    return node.hidden or node.tag in NOT_TEXT or node.tag in RAW or bool(node.names & NOT_WORDS)
+# --- Text of a tree ------------------------------------------------------------------------------------------------------
 
 
-def pieces(node: Node, out: list[str], skip: frozenset = frozenset()) -> None:
-    """Text in page order, with a line feed at every block edge."""
-    todo = [node]
+def _size(node: Node) -> int:
+    """Characters of text in a tree, but for white space."""
+    total, todo = 0, [node]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            out.append(x)
-        elif id(x) in skip or excluded(x):
-            out.append("\n")
-        else:
-            if x.tag in BLOCK:
-                out.append("\n")
-                todo.append("\n")
-            todo.extend(reversed(x.children))
-
-
-def block_text(nodes: list[Node], skip: frozenset = frozenset()) -> str:
-    out: list[str] = []
-    for x in nodes:
-        pieces(x, out, skip)
-        out.append("\n")
-    return " ".join("".join(out).split())
+            total += sum(map(len, x.split()))
+        elif x.tag not in RAW and x.tag not in NOT_TEXT:
+            todo.extend(x.children)
+    return total
 
 
-def articles(root: Node) -> list[Node]:
-    """The outermost article or main elements that nothing excludes; the whole page without any."""
-    found, todo = [], [root]
+def _holds_article(node: Node) -> bool:
+    todo = list(node.children)
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or excluded(x):
-            continue
-        if x.tag in ("article", "main") or "main" in x.names:
-            inner = [] if x.tag == "article" else [y for y in articles(bare(x)) if y.tag == "article"]
-            found += inner or [x]
-        else:
-            todo.extend(reversed(x.children))
-    return found or [root]
-
-
-def bare(x: Node) -> Node:
-    """A bare element with the children of ``x``."""
-    out = Node("div")
-    out.children = x.children
-    return out
-
-
-# --- Wrappers: [label, pages, text key or None if it varies, children] ----------------------------------------------
-
-
-def skeleton(node: Node, members: dict | None = None) -> list:
-    """The tree of a page for alignment: runs of siblings with one label become one node.
-
-    ``members`` gets the page's elements of each node, by the node's identity."""
-
-    def build(group: list[Node]) -> list:
-        runs: list[list[Node]] = []
-        for x in group:
-            for y in x.children:
-                if not isinstance(y, str) and y.tag not in RAW and y.tag not in VOID:
-                    if runs and runs[-1][0].label == y.label:
-                        runs[-1].append(y)
+        if not isinstance(x, str):
+            if x.is_article():
+                return True
+            todo.extend(x.children)
+    return False
+
+
+class Text:
+    """Reads the text of parts of one page."""
+
+    def __init__(self, root: Node):
+        self.root, self._total = root, None
+
+    def excluded(self, x: Node) -> bool:
+        if x.hidden or x.tag in NOT_TEXT or x.tag in RAW:
+            return True
+        if not x.hinted() or _holds_article(x):
+            return False
+        if self._total is None:
+            self._total = _size(self.root)
+        return _size(x) < WHOLE * self._total
+
+    def articles(self) -> list[Node]:
+        """The outermost article or main elements that nothing excludes, the articles inside a main one before it; the
+        whole page without any."""
+        found, todo = [], [(self.root, None)]
+        while todo:
+            x, outer = todo.pop()
+            if isinstance(x, str) or self.excluded(x):
+                continue
+            if x.tag == "article":
+                found.append((x, None))
+                if outer is not None:
+                    outer[1] = True
+            elif x.is_article() and outer is None:
+                own = [x, False]
+                found.append((x, own))
+                todo.extend((y, own) for y in reversed(x.children))
+            else:
+                todo.extend((y, outer) for y in reversed(x.children))
+        return [x for x, own in found if own is None or not own[1]] or [self.root]
+
+    def read(self, nodes: list[Node], skip: frozenset = frozenset()) -> str:
+        """Text in page order, blocks joined by one blank, white space turned into one."""
+        out: list[str] = []
+        for node in nodes:
+            todo: list = [node]
+            while todo:
+                x = todo.pop()
+                if isinstance(x, str):
+                    out.append(x)
+                elif id(x) in skip or (x is not node and self.excluded(x)):
+                    out.append("\n")
+                else:
+                    if x.tag in BLOCK:
+                        out.append("\n")
+                        todo.append("\n")
+                    todo.extend(reversed(x.children))
+            out.append("\n")
+        return " ".join("".join(out).split())
+
+
+# --- Alignment ---------------------------------------------------------------------------------------------------------
+
+
+class Outline:
+    """The blocks of a page in page order: inline elements belong to their block, like siblings are one node.
+
+    ``key`` and ``size``, ``links`` say what text a node holds (a hash, its length, the length of its links)."""
+
+    def __init__(self, labels: list[str], parent: list[int]):
+        self.labels, self.parent = labels, parent
+        self.kids: list[list[int]] = [[] for _ in labels]
+        for k, p in enumerate(parent):
+            if p >= 0:
+                self.kids[p].append(k)
+
+    @property
+    def shape(self) -> str:
+        return "\n".join(f"{p} {x}" for p, x in zip(self.parent, self.labels, strict=True))
+
+    @classmethod
+    def of_shape(cls, shape: str) -> Outline:
+        rows = [x.split(" ", 1) for x in shape.split("\n")]
+        return cls([x for _, x in rows], [int(p) for p, _ in rows])
+
+    @classmethod
+    def of_page(cls, root: Node) -> Outline:
+        labels, parent, members, own_text, own_links = ["html"], [-1], [[root]], [], []
+        todo, order = [0], []
+        children: list[list[tuple[str, list[Node]]]] = [[]]
+        # Depth first; nodes get their numbers when their parent is read, so they are renumbered by page order below.
+        while todo:
+            k = todo.pop()
+            order.append(k)
+            text, links, groups = [], 0, []
+            seen: dict[str, int] = {}
+            for x in members[k]:
+                inner = [(y, False) for y in reversed(x.children)]
+                while inner:
+                    y, linked = inner.pop()
+                    if isinstance(y, str):
+                        text.append(y)
+                        links += len("".join(y.split())) * linked
+                    elif y.tag in RAW or y.hidden:
+                        continue
+                    elif y.tag in BLOCK and y.tag not in ("br", "hr"):
+                        if len(members[k]) > 1 and y.label in seen:
+                            groups[seen[y.label]].append(y)
+                        elif groups and groups[-1][0].label == y.label and y.tag in REPEATED:
+                            groups[-1].append(y)
+                        else:
+                            seen[y.label] = len(groups)
+                            groups.append([y])
                     else:
-                        runs.append([y])
-        raw: list[str] = []
-        for x in group:
-            _all_text(x, raw)
-        out = [group[0].label, 1, xxhash.xxh64_intdigest(" ".join("".join(raw).split())) >> 1, _merge_runs([build(r) for r in runs]) if len(group) > 1 else [build(r) for r in runs]]
-        if members is not None:
-            members[id(out)] = group
+                        text.append(" " if y.tag in BLOCK else "")
+                        inner.extend((z, linked or y.tag == "a") for z in reversed(y.children))
+                text.append(" ")
+            while len(own_text) <= k:
+                own_text.append([])
+                own_links.append(0)
+            own_text[k], own_links[k] = text, links
+            new = []
+            for g in _long_runs(groups):
+                new.append(len(labels))
+                labels.append(g[0].label)
+                parent.append(k)
+                members.append(g)
+            todo.extend(reversed(new))
+        place = {k: i for i, k in enumerate(order)}
+        out = cls([labels[k] for k in order], [place[parent[k]] if k else -1 for k in order])
+        out.members = [members[k] for k in order]
+        out.key, out.size, out.links = [0] * len(order), [0] * len(order), [own_links[k] for k in order]
+        for i in range(len(order) - 1, -1, -1):
+            text = " ".join("".join(own_text[order[i]]).split())
+            out.size[i] += len(text) - text.count(" ")
+            below = out.kids[i]
+            out.key[i] = xxhash.xxh64_intdigest(text + "".join(f"\n{out.key[j]}" for j in below if out.size[j])) >> 1
+            if i:
+                out.size[out.parent[i]] += out.size[i]
+                out.links[out.parent[i]] += out.links[i]
         return out
 
-    return build([node])
-
 
-def _all_text(node: Node, out: list[str]) -> None:
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in RAW:
-            out.append(" ")
-            todo.extend(reversed(x.children))
-
-
-def _merge_runs(children: list[list]) -> list[list]:
-    """Children of several siblings as one sequence: equal labels next to each other are one node."""
-    out: list[list] = []
-    for x in children:
-        if not any(y[0] == x[0] for y in out):
-            out.append(x)
+def _long_runs(groups: list[list[Node]]) -> list[list[Node]]:
+    """Runs of more than RUN neighbours with one label become one node."""
+    out: list[list[Node]] = []
+    lo = 0
+    for hi in range(1, len(groups) + 1):
+        if hi == len(groups) or groups[hi][0].label != groups[lo][0].label:
+            run = groups[lo:hi]
+            out += [[x for g in run for x in g]] if len(run) > RUN else run
+            lo = hi
     return out
 
 
-def match(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching: the most nodes of two ordered trees that can be paired, parents with parents."""
-    if a[0] != b[0]:
-        return 0
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _table(a[3], b[3], memo)[-1][-1]
-    return memo[key]
-
-
-def _table(x: list, y: list, memo: dict) -> list[list[int]]:
+def _table(x: list[int], y: list[int], weight: dict) -> list[list[int]]:
     rows = [[0] * (len(y) + 1)]
     for p in x:
         last, row = rows[-1], [0]
         for j, q in enumerate(y):
-            row.append(max(last[j + 1], row[j], last[j] + match(p, q, memo)))
+            row.append(max(last[j + 1], row[j], last[j] + weight.get((p, q), 0)))
         rows.append(row)
     return rows
 
 
-def aligned(x: list, y: list, memo: dict) -> Iterator[tuple[list | None, list | None]]:
-    """The two sequences of children in one order: pairs, and nodes of one alone."""
-    rows, i, j, out = _table(x, y, memo), len(x), len(y), []
-    while i or j:
-        if i and j and (w := match(x[i - 1], y[j - 1], memo)) and rows[i][j] == rows[i - 1][j - 1] + w:
-            i, j = i - 1, j - 1
-            out.append((x[i], y[j]))
-        elif j and (not i or rows[i][j] == rows[i][j - 1]):
-            j -= 1
-            out.append((None, y[j]))
-        else:
-            i -= 1
-            out.append((x[i], None))
-    return reversed(out)
-
-
-def merged(a: list, b: list, memo: dict | None = None) -> list:
-    """The wrapper of two: counts add up, and a text key stays where both have the same."""
-    memo = {} if memo is None else memo
-    children = [p if q is None else q if p is None else merged(p, q, memo) for p, q in aligned(a[3], b[3], memo)]
-    return [a[0], a[1] + b[1], a[2] if a[2] == b[2] else None, children]
-
-
-def pruned(wrapper: list) -> list:
-    """Without the nodes that are on too few pages to become template, where the wrapper is large."""
-
-    def size(w: list) -> int:
-        return 1 + sum(map(size, w[3]))
-
-    def cut(w: list, least: float) -> list:
-        return [*w[:3], [cut(c, least) for c in w[3] if c[1] >= least]]
-
-    return cut(wrapper, wrapper[1] * CONSTANT_SHARE / 4) if size(wrapper) > WRAPPER_NODES else wrapper
-
-
-def template_nodes(page: list, wrapper: list, members: dict) -> frozenset:
-    """Elements of the page that are template: aligned with a node whose text is the same on nearly all pages."""
-    out: set[int] = set()
-    least = max(CONSTANT_PAGES, CONSTANT_SHARE * wrapper[1])
-    memo: dict = {}
-
-    def walk(p: list, w: list) -> None:
-        if w[1] >= least and w[2] is not None and w[2] == p[2]:
-            out.update(map(id, members[id(p)]))
-            return
-        for q, v in aligned(p[3], w[3], memo):
-            if q is not None and v is not None and id(q) in members:
-                walk(q, v)
-
-    walk(page, wrapper)
-    return frozenset(out)
-
-
-def main_text(page: str | None, wrapper: list | None) -> str:
+def aligned(a: Outline, b: Outline) -> tuple[int, list[int]]:
+    """Simple tree matching: the most nodes of two ordered trees that can be paired, parents with parents; and for each
+    node of ``a`` its partner in ``b`` (or -1).  Without recursion, so that pages may be of any depth."""
+    partner = [-1] * len(a.labels)
+    if a.labels[0] != b.labels[0]:
+        return 0, partner
+    pairs, seen = [(0, 0)], {(0, 0)}
+    for p, q in pairs:
+        for x in a.kids[p]:
+            for y in b.kids[q]:
+                if a.labels[x] == b.labels[y] and (x, y) not in seen:
+                    seen.add((x, y))
+                    pairs.append((x, y))
+    weight: dict[tuple[int, int], int] = {}
+    for p, q in reversed(pairs):
+        weight[p, q] = 1 + _table(a.kids[p], b.kids[q], weight)[-1][-1]
+    todo = [(0, 0)]
+    while todo:
+        p, q = todo.pop()
+        partner[p] = q
+        x, y = a.kids[p], b.kids[q]
+        rows, i, j = _table(x, y, weight), len(x), len(y)
+        while i and j:
+            if (w := weight.get((x[i - 1], y[j - 1]), 0)) and rows[i][j] == rows[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                todo.append((x[i], y[j]))
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i -= 1
+    return weight[0, 0], partner
+
+
+class Fit:
+    """Which of a host's seed structures a page follows, and how; remembered by structure."""
+
+    def __init__(self, shapes: list[str]):
+        self.seeds, self.known = [Outline.of_shape(s) for s in shapes], {}
+
+    def __call__(self, page: Outline) -> tuple[int, list[int]]:
+        shape = page.shape
+        if shape not in self.known:
+            if len(self.known) >= 5000:
+                self.known.clear()
+            found = [aligned(page, s) for s in self.seeds]
+            k = max(range(len(found)), key=lambda k: (2 * found[k][0] / (len(page.labels) + len(self.seeds[k].labels)), -k))
+            self.known[shape] = (k, found[k][1])
+        return self.known[shape]
+
+
+# --- Wrappers ----------------------------------------------------------------------------------------------------------
+
+
+def decide(shape: str, pages: int, stats: dict[int, tuple]) -> dict:
+    """What a wrapper says of its nodes, from (pages, pages with the commonest text, its hash, characters, of these in
+    links) of each: ``constant`` ones with their text's hash, the ``slot`` that holds the article, ``menus``."""
+    seed = Outline.of_shape(shape)
+    n = len(seed.labels)
+    tags = [x.split(".", 1)[0] for x in seed.labels]
+    names = [Node(t, f'class="{x.partition(".")[2].replace(".", " ")}"') for t, x in zip(tags, seed.labels, strict=True)]
+    constant, value = {}, [0.0] * n
+    size, links = [0.0] * n, [0.0] * n
+    for k, (m, top, key, chars, linked) in stats.items():
+        size[k], links[k] = chars / m, linked / m
+        if m >= max(CONSTANT_PAGES, CONSTANT_SHARE * pages) and top >= CONSTANT_SHARE * m:
+            constant[k] = key
+    # Text that varies from page to page, without links, under each node.
+    for k in range(n - 1, -1, -1):
+        if k in constant or tags[k] in NOT_TEXT:
+            value[k] = 0.0
+            continue
+        own = size[k] - sum(size[j] for j in seed.kids[k]) - (links[k] - sum(links[j] for j in seed.kids[k]))
+        value[k] = max(0.0, own) + sum(value[j] for j in seed.kids[k])
+
+    def weighted(k: int) -> float:
+        return value[k] * (ARTICLE_WEIGHT if names[k].is_article() else HINT_WEIGHT if names[k].hinted() else 1.0)
+
+    slot = 0
+    while not (slot and names[slot].is_article()):
+        own = max(0.0, value[slot] - sum(value[j] for j in seed.kids[slot]))
+        # Headings and paragraphs of its own make the node the article's.
+        if any(value[j] for j in seed.kids[slot] if tags[j] not in OPENED and tags[j] not in ("ul", "ol", "dl")):
+            break
+        inner = [j for j in seed.kids[slot] if tags[j] in OPENED]
+        best = max(inner, key=lambda j: (weighted(j), -j), default=None)
+        if best is None or not weighted(best) or weighted(best) < DOMINANT * (own + sum(map(weighted, seed.kids[slot]))):
+            break
+        slot = best
+    inside = {slot}
+    for k in range(slot + 1, n):
+        if seed.parent[k] in inside:
+            inside.add(k)
+    article = names[slot].is_article()
+    menus = [k for k in sorted(inside - {slot}) if not article and tags[k] in ("div", "section", "ul", "ol", "table", "p") and links[k] >= MENU * size[k] > 0]
+    return {"shape": shape, "pages": pages, "constant": constant, "slot": slot if value[slot] else None, "menus": menus}
+
+
+class Wrapper:
+    """A host's wrappers, as ``decide`` made them."""
+
+    def __init__(self, decisions: list[dict]):
+        self.fit = Fit([d["shape"] for d in decisions])
+        self.decisions = [d | {"constant": {int(k): v for k, v in d["constant"].items()}, "menus": set(d["menus"])} for d in decisions]
+
+    def parts(self, page: Outline) -> tuple[list[Node], frozenset]:
+        """(elements that hold the article, elements to leave out)."""
+        k, partner = self.fit(page)
+        d = self.decisions[k]
+        nodes: list[Node] = []
+        skip: set[int] = set()
+        if d["pages"] < CONSTANT_PAGES:
+            return nodes, frozenset()
+        for i, j in enumerate(partner):
+            if j >= 0 and (j in d["menus"] or d["constant"].get(j) == page.key[i]):
+                skip.update(map(id, page.members[i]))
+            elif j >= 0 and j == d["slot"]:
+                nodes += page.members[i]
+        return nodes, frozenset(skip)
+
+
+def main_text(page: str | None, wrapper: Wrapper | None) -> str:
+    """The article of a page: what its wrapper says, else (a host with few pages) its article or main elements."""
     if not page:
         return ""
     root = parse(page)
-    skip: frozenset = frozenset()
-    if wrapper is not None and wrapper[1] >= CONSTANT_PAGES:
-        members: dict = {}
-        skip = template_nodes(skeleton(root, members), wrapper, members)
-    body = articles(root)
+    text = Text(root)
+    nodes, skip = wrapper.parts(Outline.of_page(root)) if wrapper is not None else ([], frozenset())
+    nodes = nodes or text.articles()
     # Pages that are copies of each other look like template throughout: then nothing is.
-    return block_text(body, skip) or block_text(body)
-
-
-# --- Jobs -------------------------------------------------------------------------------------------------------------
-
-
-def induce_wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, wrapper) over all pages: a task merges its pages by host, then partial wrappers meet in two steps, so
-    that no task gets all pages of a large host."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        own: dict[str, list] = {}
-        for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if page:
-                    tree = skeleton(parse(page))
-                    own[host] = pruned(merged(own[host], tree)) if host in own else tree
-                    if len(own) > 2000:
-                        yield _rows(own, part)
-                        own = {}
-        if own:
-            yield _rows(own, part)
-
-    def join(table: pa.Table) -> pa.Table:
-        own: list | None = None
-        for x in sorted(table["wrapper"].to_pylist()):
-            own = json.loads(x) if own is None else pruned(merged(own, json.loads(x)))
-        return pa.table({"host": [table["host"][0].as_py()], "part": pa.array([0], pa.int64()), "wrapper": [json.dumps(own)]})
-
-    schema = "host string, part long, wrapper string"
+    return text.read(nodes, skip) or text.read(nodes)
+
+
+# --- Jobs ----------------------------------------------------------------------------------------------------------------
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts, shapes, keys, sizes, links = [], [], [], [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            if page:
+                o = Outline.of_page(parse(page))
+                for part, value in zip((hosts, shapes, keys, sizes, links), (host, o.shape, o.key, o.size, o.links), strict=True):
+                    part.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, sizes, links))], ["host", "shape", "keys", "sizes", "links"])
+
+
+def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the pages of a task: (host, seed, node, text hash, pages, characters, in links)."""
+    fits: dict[str, Fit] = {}
+    seen: Counter = Counter()
+    sums: dict[tuple, list[int]] = {}
+
+    def flush():
+        rows = [(*k, n, *sums[k]) for k, n in seen.items()]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        seen.clear()
+        sums.clear()
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "seed", "node", "key", "n", "size", "links"])
+
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in ("host", "shape", "keys", "sizes", "links", "seeds")]
+        for host, shape, keys, sizes, links, seeds in zip(*cols, strict=True):
+            if host not in fits:
+                if len(fits) > 2000:
+                    fits.clear()
+                fits[host] = Fit(seeds)
+            k, partner = fits[host](Outline.of_shape(shape))
+            for j, key, size, link in zip(partner, keys, sizes, links, strict=True):
+                if j >= 0:
+                    row = (host, k, j, key)
+                    seen[row] += 1
+                    total = sums.setdefault(row, [0, 0])
+                    total[0] += size
+                    total[1] += link
+            if len(seen) > 100_000:
+                yield flush()
+    yield flush()
+
+
+def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for shape, pages, stats in zip(*(batch.column(k).to_pylist() for k in ("shape", "pages", "stats")), strict=True):
+            out.append(json.dumps(decide(shape, pages, {s["node"]: (s["n"], s["top"], s["key"], s["size"], s["links"]) for s in stats})))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("seed"), pa.array(out, pa.string())], ["host", "seed", "decision"])
+
+
+def induce_wrappers(pages: DataFrame, url_col: str, html_col: str, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(host, decisions) of every host with at least CONSTANT_PAGES pages.
+
+    A host's commonest page structures are its seeds (at most SEEDS); every page is aligned with the one it fits best by
+    simple tree matching, and each node of a seed gets the sums over all its pages: how often it is there, how often with
+    which text, how much text and how much of it in links.  Sums are grouped by host, node and text, so a host of any size
+    is spread over the tasks, and the result depends neither on their number nor on their order."""
     rows = pages.select(url_host_path(F.col(url_col))[0].alias("host"), F.col(html_col).cast("string").alias("html"))
-    first = rows.mapInArrow(partial, schema).withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(64)))
-    second = first.groupBy("host", "salt").applyInArrow(join, schema)
-    return second.groupBy("host").applyInArrow(join, schema).select("host", "wrapper")
-
-
-def _rows(own: dict[str, list], part: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([part] * len(own), pa.int64()), pa.array([json.dumps(w) for w in own.values()], pa.string())], ["host", "part", "wrapper"])
+    outlines = stored(rows.mapInArrow(frugal(_outlines), "host string, shape string, keys array<long>, sizes array<long>, links array<long>"), "outlines")
+    shapes = outlines.groupBy("host", "shape").agg(F.count("*").alias("n"))
+    rank = Window.partitionBy("host").orderBy(F.desc("n"), F.desc(F.length("shape")), "shape")
+    top = shapes.withColumn("seed", F.row_number().over(rank) - 1).where(f"seed < {SEEDS}")
+    large = shapes.groupBy("host").agg(F.sum("n").alias("n_host")).where(f"n_host >= {CONSTANT_PAGES}")
+    seeds = stored(top.join(large, "host").select("host", F.col("seed").cast("long").alias("seed"), "shape"), "seeds")
+    known = seeds.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "shape"))), lambda x: x["shape"]).alias("seeds"))
+    sums = outlines.join(_small(known, seeds, broadcast_bytes, "shape"), "host").mapInArrow(frugal(_statistics), "host string, seed long, node long, key long, n long, size long, links long")
+    sums = sums.groupBy("host", "seed", "node", "key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("links").alias("links"))
+    nodes = sums.groupBy("host", "seed", "node").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("key", F.struct("n", "key")).alias("key"), F.sum("size").alias("size"), F.sum("links").alias("links"))
+    stats = nodes.groupBy("host", "seed").agg(F.max("n").alias("pages"), F.sort_array(F.collect_list(F.struct("node", "n", "top", "key", "size", "links"))).alias("stats"))
+    decided = stats.join(seeds, ["host", "seed"]).select("host", "seed", "shape", "pages", "stats").mapInArrow(_decisions, "host string, seed long, decision string")
+    return decided.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "decision"))), lambda x: x["decision"]).alias("decisions"))
+
+
+def _small(df: DataFrame, sized: DataFrame, most: int, column: str) -> DataFrame:
+    """``df`` for a join: broadcast if the column of the stored table takes at most ``most`` bytes."""
+    return F.broadcast(df) if (sized.agg(F.sum(F.octet_length(column) + 100)).first()[0] or 0) <= most else df
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The main text of every page: page_id, url, text, n_chars.
 
-    Wrapper induction: pages of one host are aligned by simple tree matching into a wrapper; nodes with the same text on
-    at least 90 % of the host's pages (and 8) are template and left out; varying slots are content.  Within them the
-    article or main elements are taken, without elements whose tag, class, id or role marks menus, headers, footers,
-    sidebars, notices, adverts, forms or comments.  Character references are decoded, white space inside a block becomes
-    one blank, and blocks are joined by one blank.
-
-    Null or empty html has the empty text.  A null url, or one without a host, belongs to the empty host.  Repeated rows
-    are kept; other columns are ignored.  Wrappers are broadcast if they take at most ``broadcast_bytes``, else joined.
+    Wrapper induction: pages of one host are aligned by simple tree matching.  Nodes with the same text on at least 90 % of
+    the pages that have them (and 8) are template and left out; of the varying slots the one that holds the article is
+    found by how much text outside links it holds over all pages of the host.  A host of fewer pages has no wrapper: then
+    the page's article or main elements are taken.  In either, elements that can't be part of an article (menus, headers,
+    footers, asides, forms, scripts ...) and those whose class, id or role name hints at such a part are left out, unless
+    they hold the article or nearly all of the text.  Character references are decoded, white space inside a block becomes one
+    blank, and blocks are joined by one blank.
+
+    Null or empty html has the empty text.  A null url, or one without a host, belongs to the empty host.  Pages may be of
+    any length and depth.  Repeated rows are kept; other columns are ignored.  Wrappers are broadcast if they take at most
+    ``broadcast_bytes``, else joined.
     """
-    wrappers = stored(induce_wrappers(pages, url_col, html_col), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    bounded_batches(pages.sparkSession)
+    wrappers = stored(induce_wrappers(pages, url_col, html_col, broadcast_bytes).withColumn("bytes", F.aggregate("decisions", F.lit(0), lambda a, x: a + F.length(x))), "wrappers")
+    size = wrappers.agg(F.sum(F.col("bytes") + F.octet_length("host"))).first()[0] or 0
+    wrappers = wrappers.drop("bytes")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), url_host_path(F.col(url_col))[0].alias("host"))
     joined = rows.join(F.broadcast(wrappers) if size <= broadcast_bytes else wrappers, "host", "left")
 
     def extract(batches):
-        known: dict[str, list] = {}
+        known: dict[str, Wrapper] = {}
         for batch in batches:
             texts = []
-            for host, page, wrapper in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "wrapper")), strict=True):
-                if wrapper is not None and host not in known:
+            for host, page, decisions in zip(*(batch.column(k).to_pylist() for k in ("host", "html", "decisions")), strict=True):
+                if decisions and host not in known:
                     if len(known) > 2000:
                         known.clear()
-                    known[host] = json.loads(wrapper)
+                    known[host] = Wrapper([json.loads(d) for d in decisions])
                 texts.append(main_text(page, known.get(host)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "host", "wrapper").mapInArrow(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "host", "decisions").mapInArrow(frugal(extract), f"page_id {kind}, url string, text string, n_chars long")

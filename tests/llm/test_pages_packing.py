@@ -34,12 +34,101 @@ def test_template_is_left_out(spark):
     assert got[50] == "lone" and got[51] == "" and got[52] == ""
 
 
-def test_wrapper_merge_counts():
-    trees = [html_extract.skeleton(html_extract.parse(page(f"<div><p>{i}</p></div>"))) for i in range(5)]
-    own = trees[0]
-    for t in trees[1:]:
-        own = html_extract.merged(own, t)
-    assert own[1] == 5 and own[2] is None
+def extracted(spark, rows, parts=2):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+
+
+def plain_page(i, story, notice="Follow us for daily news and offers"):
+    """A template without telling tags or names."""
+    links = "".join(f"<div><a href=/{k}>topic {k} of {i}</a></div>" for k in range(4))
+    return f"<body><div><div>{links}</div><div><div><h1>Title {i}</h1><p>{story}</p><p>more of {i}</p></div></div><div>Buy thing {i} now</div><div>{notice}</div></div></body>"
+
+
+def test_wrapper_decides_without_names(spark):
+    """Menus, adverts and notices in plain elements: the wrapper finds the story, a single page alone does not."""
+    rows = [(i, f"http://h.example/{i}", plain_page(i, f"story {i} " + "word " * 30)) for i in range(30)]
+    # One page of the host differs in its template text, one in its structure.
+    rows[7] = (7, rows[7][1], plain_page(7, "story 7", notice="Folgen Sie uns"))
+    rows.append((40, "http://h.example/40", "<body><h1>Error</h1><p>not found</p></body>"))
+    rows.append((50, "http://lone.example/", rows[0][2]))
+    got = extracted(spark, rows)
+    for i in range(30):
+        assert got[i] == f"Title {i} " + ("story 7" if i == 7 else f"story {i} " + "word " * 29 + "word") + f" more of {i}"
+    assert got[40] == "Error not found"
+    assert got[50] != got[0] and "Follow us" in got[50]
+    assert extracted(spark, rows, 5) == extracted(spark, list(reversed(rows)), 1) == got
+
+
+def test_one_odd_page_in_a_large_host(spark):
+    """Template inside the article stays template though a page of the host deviates."""
+    make = lambda i, note: f"<body><article><h1>T{i}</h1><p>text {i}</p><div>{note}</div></article></body>"
+    rows = [(i, f"http://h.example/{i}", make(i, "All rights reserved" if i else "Alle Rechte vorbehalten")) for i in range(60)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"T{i} text {i}" for i in range(1, 60)) and got[0] == "T0 text 0 Alle Rechte vorbehalten"
+
+
+def test_hints_do_not_swallow_articles():
+    text = lambda x: html_extract.main_text(x, None)
+    assert text('<body class="no-sidebar"><article><p>a</p></article></body>') == "a"
+    assert text('<article class="post social-science widget"><p>a</p></article>') == "a"
+    assert text('<div class="sidebar"><article><p>a</p></article></div>') == "a"
+    assert text('<div class="with-sidebar"><p>here</p></div><div class="comment-list"><p>a longer comment</p></div>') == "here"
+    assert text('<div class="page widget"><p>all of the text on this page but for</p></div>.') == "all of the text on this page but for ."
+    assert text('<article><p title="5" tall">text</p><p title="a>b">c</p></article>') == "text c"
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<div>" * 3000 + "<p>inner</p>" + "</div>" * 3000
+    long = "<article>" + "<p>word</p>" * 200_000 + "</article>"
+    rows = [(i, f"http://h.example/{i}", "<body>" + deep + f"<p>{i}</p></body>") for i in range(10)] + [(20, "http://k.example", long)] * 2
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "page_id long, url string, html string, seed long, host string")
+    got = [(r.page_id, r.n_chars) for r in html_extract.extract_text(df).collect()]
+    assert len(got) == 12 and got.count((20, 5 * 200_000 - 1)) == 2
+    assert html_extract.extract_text(df.where("page_id < 0")).count() == 0
+
+
+def test_alignment_is_greatest(spark):
+    """Simple tree matching against its recursive definition, and every pairing is one of nodes with paired parents."""
+
+    def brute(a, b, i, j):
+        if a.labels[i] != b.labels[j]:
+            return 0
+        x, y = a.kids[i], b.kids[j]
+        rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for p in range(len(x)):
+            for q in range(len(y)):
+                rows[p + 1][q + 1] = max(rows[p][q + 1], rows[p + 1][q], rows[p][q] + brute(a, b, x[p], y[q]))
+        return 1 + rows[-1][-1]
+
+    rng = np.random.default_rng(5)
+
+    def tree():
+        n = rng.integers(1, 14)
+        parent = [-1] + [int(rng.integers(k)) for k in range(1, n)]
+        # Numbers in page order: children follow their parent's earlier children.
+        order, todo = [], [0]
+        while todo:
+            k = todo.pop()
+            order.append(k)
+            todo += [c for c in range(n - 1, 0, -1) if parent[c] == k]
+        place = {k: i for i, k in enumerate(order)}
+        return html_extract.Outline(["html"] + rng.choice(["a", "b"], n - 1).tolist(), [-1] + [place[parent[k]] for k in order[1:]])
+
+    for _ in range(200):
+        a, b = tree(), tree()
+        score, partner = html_extract.aligned(a, b)
+        assert score == brute(a, b, 0, 0) == sum(p >= 0 for p in partner)
+        used = [p for p in partner if p >= 0]
+        assert len(set(used)) == len(used) and used == sorted(used)
+        assert all(a.labels[i] == b.labels[p] and (not i or partner[a.parent[i]] == b.parent[p]) for i, p in enumerate(partner) if p >= 0)
+
+
+def test_outline():
+    page = html_extract.parse("<body><div><p>a<p>b <b>c</b><span><div>in</div></span></div><ul><li>1<li><a>22</a></ul></body>")
+    o = html_extract.Outline.of_page(page)
+    assert o.labels == ["html", "body", "div", "p", "div", "ul", "li"] and o.size[0] == 8 and o.links[0] == 2
+    assert html_extract.Outline.of_shape(o.shape).kids == o.kids
 
 
 def test_knapsack():
