@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import stored
+from .workspace import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        last, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

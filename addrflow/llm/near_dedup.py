@@ -10,19 +10,20 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Rolling, blocks, byte_units, mix, text_bytes, words
+from .arrays import LOWER, Rolling, blocks, byte_units, frugal, mix, text_bytes, words
 from .components import components
 from .workspace import stored
 
 #: MinHash functions, trees of the forest, hashes a tree's order uses, and of them the fewest that candidates share.
 HASHES, TREES, DEPTH, MIN_DEPTH = 64, 16, 6, 2
-#: A region of at most so many documents gives all its pairs as candidates.
-REGION = 48
-#: A larger one is looked at again for documents not linked so far; beyond this size it is first cut by its next hashes.
-REGION_REST = 2048
-#: Least share of equal signature parts that a pair needs to be confirmed: 4.5 standard errors below 0.75.
-LEAST_EQUAL = 0.5
-_BLOCK = 4 << 20
+#: A region of at most so many documents gives all its pairs as candidates; a larger one is cut by its next hashes where it
+#: has more than the second number, and what the forest then leaves open is found by an exact join.
+REGION, DEEPER = 48, 4096
+#: Least share of equal signature parts of a candidate that is looked at: 5.8 standard errors below 0.75.
+LEAST_EQUAL = 28 / 64
+#: Shingles held by many documents that the exact join puts last in its order, at most; any order gives the same links.
+COMMON = 1 << 16
+_BLOCK = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -76,95 +77,129 @@ def _branches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in p), batch.column("node"), batch.column("n")], ["tree", "p1", "p2", "p3", "node", "n"])
 
 
-def _pairs_in(node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of a region in the forest's order: all of a small one; in a large one each document's neighbour,
-    which shares the longest prefix, and the region's first.  (``_rest`` looks at large regions again.)"""
-    m = len(node)
-    if m > REGION:
-        return np.r_[node[:-1], np.full(m - 1, node[0])], np.r_[node[1:], node[1:]]
-    a, b = np.triu_indices(m, 1)
+def _all_pairs(node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.triu_indices(len(node), 1)
     ok = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
     return node[a[ok]], node[b[ok]]
 
 
-def _neighbours(batches):
-    """Candidate pairs from rows in the forest's order; a region that spans batches is held until it ends."""
+def _neighbours(most: int):
+    """Candidate pairs from rows in the forest's order: all pairs of a small region; in a large one each document's
+    neighbour, which shares the longest prefix, and the region's first.
 
-    def flush(node, size):
-        u, v = _pairs_in(node, size)
-        ok = u != v
-        return np.unique(np.stack([np.minimum(u, v)[ok], np.maximum(u, v)[ok]], 1), axis=0)
-
-    held, out, waiting = None, [], 0
-    for batch in batches:
-        rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("tree", "p1", "node", "n")]
+    At most ``most`` rows of a region are held from one batch to the next, then only its first and last."""
+    def run(batches):
+        held, first, last = None, None, None  # rows of a region still small; first and last node of one that is large
+        for batch in batches:
+            region, node, size = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("region", "node", "n"))
+            u, v = [], []
+            if held is not None:
+                region, node, size = (np.concatenate(x) for x in zip(held, (region, node, size), strict=True))
+            edges = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                own = node[lo:hi]
+                if first is not None and first[0] != region[lo]:
+                    first = None
+                if first is not None:
+                    u += [np.r_[last, own[:-1]], np.full(hi - lo, first[1])]
+                    v += [own, own]
+                    last = own[-1]
+                elif hi - lo > most:
+                    u += [own[:-1], np.full(hi - lo - 1, own[0])]
+                    v += [own[1:], own[1:]]
+                    first, last = (region[lo], own[0]), own[-1]
+                elif hi < len(region):
+                    x, y = _all_pairs(own, size[lo:hi])
+                    u.append(x)
+                    v.append(y)
+            held = None if first is not None else (region[edges[-2] :], node[edges[-2] :], size[edges[-2] :]) if len(region) else None
+            yield _pair_batch(u, v)
         if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-        edges = [0, *cut.tolist()]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo > 1:
-                out.append(flush(rows[2][lo:hi], rows[3][lo:hi]))
-                waiting += len(out[-1])
-                if waiting > 100_000:
-                    yield _pair_batch(out)
-                    out, waiting = [], 0
-        held = [x[edges[-1] :] for x in rows]
-    if held is not None and len(held[0]) > 1:
-        out.append(flush(held[2], held[3]))
-    if out:
-        yield _pair_batch(out)
-
-
-def _pair_batch(parts) -> pa.RecordBatch:
-    pair = np.concatenate(parts)
+            x, y = _all_pairs(held[1], held[2])
+            yield _pair_batch([x], [y])
+
+    return run
+
+
+def _pair_batch(u: list, v: list) -> pa.RecordBatch:
+    u, v = (np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v))
+    pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1)[u != v], axis=0)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], ["u", "v"])
 
 
-def _rest(percent: int):
-    """Links of a large region that join components, found on the full sets; one for each two components is enough.
-
-    Documents of the largest component are compared with the others only; pairs whose signatures or sizes rule them out
-    are passed over."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, size, comp = (table[k].to_numpy().copy() for k in ("node", "n", "component"))
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
-        body = table["set"]
-        sets: dict[int, np.ndarray] = {}
-
-        def full(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = _undo(body[i].as_py())
-            return sets[i]
-
-        links = []
-        values, count = np.unique(comp, return_counts=True)
-        for i in np.flatnonzero(comp != values[count.argmax()]).tolist():
-            near = np.flatnonzero((comp != comp[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])))
-            equal = (sig[near] == sig[i]).mean(axis=1) if len(near) else np.empty(0)
-            near = near[np.argsort(-equal, kind="stable")][: int((equal >= LEAST_EQUAL).sum())]
-            own = full(i)
-            for lo in range(0, len(near), 256):
-                part = near[lo : lo + 256]
-                part = part[comp[part] != comp[i]]
-                if not len(part):
-                    continue
-                rows = [full(j) for j in part.tolist()]
-                length = np.array([len(x) for x in rows])
-                every = np.concatenate(rows)
-                hit = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-                both = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(length)[:-1]])
-                for j in part[(both > 0) & (100 * both >= percent * (length + len(own) - both))].tolist():
-                    if comp[j] != comp[i]:
-                        links.append(sorted((int(node[i]), int(node[j]))))
-                        comp[comp == comp[j]] = comp[i]
-        pair = np.array(links, np.int64).reshape(-1, 2)
-        return pa.table({"u": pa.array(pair[:, 0].copy(), pa.int64()), "v": pa.array(pair[:, 1].copy(), pa.int64())})
+def _dealt(forest: DataFrame, crowded: DataFrame, deeper: int) -> DataFrame:
+    """(region, p1, p2, p3, n, node): the forest's rows by region.
+
+    Adaptive depth: a region in ``crowded`` is dealt by four hashes, and where these have over ``deeper`` documents by six, in
+    salted parts of about ``deeper``; so no region goes to one task whole, however large."""
+    own = ["tree", "p1"]
+    inside = forest.join(crowded, own, "left")
+    deep = inside.where("c2 IS NOT NULL")
+    c4 = deep.groupBy(*own, "p2").agg(F.count("*").alias("c4")).where(f"c4 > {deeper}")
+    c6 = deep.join(c4, [*own, "p2"], "left_semi").groupBy(*own, "p2", "p3").agg(F.count("*").alias("c6"))
+    deep = deep.join(c6, [*own, "p2", "p3"], "left")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c6") / deeper))
+    key = F.when(F.col("c6").isNull(), F.xxhash64(*own, "p2", F.lit(4))).otherwise(F.xxhash64(*own, "p2", "p3", salt))
+    keep = ["p2", "p3", "n", "node"]
+    return inside.where("c2 IS NULL").select(F.xxhash64(*own).alias("region"), *keep).unionByName(deep.select(key.alias("region"), *keep))
+
+
+# --- Exact join of what large regions leave open -------------------------------------------------------------------------
+
+
+def _frequent(batches):
+    """Shingles that occur in two sets of a batch or more, with their counts."""
+    for batch in batches:
+        if batch.num_rows:
+            values, count = np.unique(np.concatenate([_undo(x) for x in batch.column(0).to_pylist()]), return_counts=True)
+            many = count > 1
+            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(count[many])], ["token", "n"])
+
+
+def _prefixes(common: np.ndarray, percent: int):
+    """Rows (token, at, own, node, n, component) of each set's prefix in the order of rare shingles first.
+
+    Of sets x and y, y not larger, with a similarity of t or more, the first |x| - ceil(t |x|) + 1 shingles of x and the
+    first |y| - ceil(2 t / (1 + t) |y|) + 1 of y have one in common; ``own`` marks the shorter prefix."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [[], [], [], []]
+            for k, body in enumerate(batch.column("set").to_pylist()):
+                x = _undo(body)
+                rank = np.searchsorted(common, x)
+                often = common[np.minimum(rank, len(common) - 1)] == x if len(common) else np.zeros(len(x), bool)
+                m = len(x)
+                long = m - -(-percent * m // 100) + 1
+                short = m - -(-2 * percent * m // (100 + percent)) + 1
+                head = x[np.argsort(often, kind="stable")[:long]]
+                for part, values in zip(parts, (head, np.arange(len(head)), np.arange(len(head)) < short, np.full(len(head), k)), strict=True):
+                    part.append(values)
+            if parts[0]:
+                token, at, own, row = map(np.concatenate, parts)
+                where = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(own), *(batch.column(c).take(where) for c in ("node", "n", "component"))], ["token", "at", "own", "node", "n", "component"])
 
     return run
 
 
+def _open_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of nodes of different components that may reach ``percent``, none left out.  ``crowd`` has node, n,
+    component, set.
+
+    A join on the shingles of the sets' prefixes, which Spark splits where a shingle is frequent.  Size and place of the
+    shared shingle rule out most pairs in the join itself."""
+    counts = crowd.select("set").mapInArrow(frugal(_frequent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    common = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()], np.int64).view(np.uint64))
+    rows = stored(crowd.mapInArrow(frugal(_prefixes(common, percent)), "token long, at int, own boolean, node long, n long, component long"), "prefixes")
+    x, y = rows.alias("x"), rows.where("own").alias("y")
+    on = """x.token = y.token AND x.component <> y.component AND (y.n < x.n OR (y.n = x.n AND y.node <> x.node))
+            AND 100 * y.n >= {p} * x.n AND (100 + {p}) * least(x.n - x.at, y.n - y.at) >= {p} * (x.n + y.n)""".format(p=percent)
+    return x.join(y, F.expr(on)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+
+
 def _sets(width: int):
     def run(batches):
         for batch in batches:
@@ -207,21 +242,21 @@ def _confirm(percent: int):
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in ("u", "v"))
-    return stored(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "set_u", "set_v").mapInArrow(_confirm(percent), "u long, v long"), name)
+    return stored(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "set_u", "set_v").mapInArrow(frugal(_confirm(percent)), "u long, v long"), name)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, region: int = REGION, deeper: int = DEEPER) -> DataFrame:
     """Link documents whose sets of word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     1. Every text gives its set size, a 128-bit key of the set and a MinHash signature.  Equal sets are one node, named
        by its least id, so exact copies cost nothing further.
     2. Forest: each tree sorts the nodes by its own order of the signature.  Nodes that share at least MIN_DEPTH hashes
-       form a region.  A region of at most REGION nodes gives all its pairs, a larger one the neighbours in the order.  A
-       pair at the threshold shares a tree's first two hashes with probability 0.56, so all 16 miss it with 2e-6.
+       form a region.  A region of at most ``region`` nodes gives all its pairs; a larger one is cut by deeper hashes
+       (adaptive depth), where each node gets its neighbour in the order and the region's first.  A pair at the threshold
+       shares a tree's first two hashes with probability 0.56, so all 16 miss it with 2e-6.
     3. Candidates are confirmed on the full sets: first those that join each node to its nearest and least candidate, then
-       all others whose nodes are not connected by these.  In large regions that still hold several components, their
-       nodes are compared on the full sets where they meet; regions over REGION_REST nodes are cut by deeper hashes first
-       (adaptive depth), so there alone a link near the threshold is found with less certainty in each tree.
+       all others whose nodes are not connected by these.  Nodes of large regions that still hold several components are
+       joined exactly, on the rarest shingles of their full sets (``_open_pairs``), so no link there depends on a cut.
     4. Components by alternating stars.
 
     Returns doc_id, n_shingles, component_id (least id reachable), kept (doc_id = component_id), a row for each input row.
@@ -229,27 +264,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that share an id are one document.  A row with a null id has no component, links to nothing and is kept.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = stored(rows.mapInArrow(_profile(width), "doc_id long, n_shingles long, k1 long, k2 long, signature binary"), "profiles")
+    base = stored(rows.mapInArrow(frugal(_profile(width)), "doc_id long, n_shingles long, k1 long, k2 long, signature binary"), "profiles")
     key = ["k1", "k2", "n_shingles"]
     usable = base.where("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
 
-    order = ["tree", "p1", "p2", "p3", "n", "node"]
-    forest = nodes.select("node", F.col("n_shingles").alias("n"), "signature").mapInArrow(_branches, "tree int, p1 long, p2 long, p3 long, node long, n long")
-    ordered = forest.repartition("tree", "p1").sortWithinPartitions(*order)
-    pairs = ordered.mapInArrow(_neighbours, "u long, v long").distinct()
+    forest = nodes.select("node", F.col("n_shingles").alias("n"), "signature").mapInArrow(frugal(_branches), "tree int, p1 long, p2 long, p3 long, node long, n long")
+    crowded = stored(forest.groupBy("tree", "p1").agg(F.count("*").alias("c2")).where(f"c2 > {region}"), "crowded")
+    ordered = _dealt(forest, crowded, deeper).repartition("region").sortWithinPartitions("region", "p2", "p3", "n", "node")
+    pairs = ordered.mapInArrow(frugal(_neighbours(region)), "u long, v long").distinct()
     signature = nodes.select("node", "signature")
     for k in ("u", "v"):
         pairs = pairs.join(signature.select(F.col("node").alias(k), F.col("signature").alias(f"s_{k}")), k)
     pairs = stored(pairs.select("u", "v", "s_u", "s_v").mapInArrow(_equal_share, "u long, v long, equal double"), "pairs")
 
     touched = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
-    crowded = forest.groupBy("tree", "p1").agg(F.count("*").alias("c2")).where(f"c2 > {REGION}")
-    regions = stored(_large_regions(forest, crowded), "regions")
+    regions = stored(forest.join(crowded, ["tree", "p1"]).select(F.xxhash64("tree", "p1").alias("region"), "node", "n"), "regions")
     touched = touched.union(regions.select("node")).distinct()
     # Both sides of the joins with texts and sets grow with the corpus, so they are merged at every size.
     texts = rows.join(touched.hint("merge"), rows["doc_id"] == touched["node"], "left_semi")
-    sets = stored(texts.mapInArrow(_sets(width), "node long, set binary"), "sets", "uncompressed")
+    sets = stored(texts.mapInArrow(frugal(_sets(width)), "node long, set binary"), "sets", "uncompressed")
 
     both = pairs.select("u", "v", "equal").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "equal"))
     best = both.groupBy("u").agg(F.max_by("v", F.struct("equal", -F.col("v"))).alias("near"), F.min("v").alias("least"))
@@ -263,9 +297,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = component(component(pairs.select("u", "v").join(first, ["u", "v"], "left_anti"), "u"), "v").where("c_u <> c_v").select("u", "v")
     crowd = component(regions.withColumnRenamed("node", "u"), "u").select(F.col("u").alias("node"), "region", "n", F.col("c_u").alias("component"))
     split = crowd.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-    crowd = crowd.join(split, "region", "left_semi").join(signature.hint("merge"), "node").join(sets.hint("merge"), "node")
-    rest = crowd.groupBy("region").applyInArrow(_rest(percent), "u long, v long")
-    more = _confirmed(apart.distinct(), sets, percent, "links").union(rest)
+    crowd = crowd.join(split, "region", "left_semi").select("node", "n", "component").distinct()
+    crowd = stored(crowd.join(sets.hint("merge"), "node").select("node", "n", "component", "set"), "crowd", "uncompressed")
+    more = _confirmed(apart.union(_open_pairs(crowd, percent)).distinct(), sets, percent, "links")
     edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
     final = stored(components(edges), "components")
 
@@ -287,12 +321,3 @@ def _equal_share(batches):
         equal = (s == t).mean(axis=1) if len(s) else np.empty(0)
         ok = equal >= LEAST_EQUAL
         yield pa.RecordBatch.from_arrays([batch.column("u").filter(pa.array(ok)), batch.column("v").filter(pa.array(ok)), pa.array(equal[ok])], ["u", "v", "equal"])
-
-
-def _large_regions(forest: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(region, node, n) of the regions too large for all pairs, cut by deeper hashes where they exceed REGION_REST."""
-    inside = forest.join(crowded, ["tree", "p1"])
-    c4 = inside.where(f"c2 > {REGION_REST}").groupBy("tree", "p1", "p2").agg(F.count("*").alias("c4"))
-    inside = inside.join(c4, ["tree", "p1", "p2"], "left")
-    region = F.when(F.col("c2") <= REGION_REST, F.xxhash64("tree", "p1")).when(F.col("c4") <= REGION_REST, F.xxhash64("tree", "p1", "p2")).otherwise(F.xxhash64("tree", "p1", "p2", "p3"))
-    return inside.select(region.alias("region"), "node", "n")

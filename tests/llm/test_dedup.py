@@ -110,18 +110,61 @@ def test_near_duplicates(docs, texts):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == want
 
 
-def test_large_regions(spark, monkeypatch):
+def _components(rows, percent=75):
+    """Components by brute force over sets of 5-word shingles."""
+    sets = {i: frozenset(tuple(w[p : p + 5]) for p in range(len(w) - 4)) for i, w in ((i, t.split()) for i, t in rows)}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_large_regions(spark):
     """A group of near copies far larger than a region."""
-    from addrflow.llm import near_dedup
-
     base = [f"w{k}" for k in range(100)]
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in enumerate(range(0, 100, 1))]
     rows += [(1000 + i, " ".join(f"y{i}_{k}" for k in range(30))) for i in range(20)]
-    monkeypatch.setattr(near_dedup, "REGION", 8)
-    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), region=8, deeper=16).collect()}
     assert {got[i] for i in range(100)} == {0} and all(got[1000 + i] == 1000 + i for i in range(20))
 
 
+@pytest.mark.parametrize("share", [0.55, 0.72])
+def test_links_inside_one_region(spark, share):
+    """Documents of one source share most of their text without being links; pairs near 0.75 among them are all found,
+    though every tree has them in a region that is cut."""
+    rng = np.random.default_rng(int(100 * share))
+    common = [f"c{k}" for k in range(300)]
+    n = int(300 / (2 * share / (1 + share))) - 300
+    rows = []
+    for i in range(160):
+        own = [f"o{i}_{k}" for k in range(n)]
+        rows.append((2 * i, " ".join(common + own)))
+        if i % 2:
+            # The least similar text that is still a link, or one just below.
+            m = len(common) + n - 4
+            for cut in range(n):
+                both = m - cut - 4
+                if 100 * both < 75 * (2 * m - both):
+                    break
+            cut -= 1 + (i % 4 == 3)
+            rows.append((2 * i + 1, " ".join(common + own[: n - cut] + [f"z{i}_{k}" for k in range(cut)])))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string"), region=8, deeper=16).collect()}
+    want = _components([(int(i), t) for i, t in rows])
+    assert got == want and len(set(want.values())) > 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
