@@ -1,7 +1,7 @@
 """Shards of a corpus and the exchange of window keys between them.
 
 A shard is a run of whole documents, stored once as one compressed row.  To learn which windows occur in other
-shards, each shard sends its distinct 64-bit window keys, sorted, cut by key range; a range merges the sorted runs of
+shards, each shard sends its distinct window keys, sorted, cut by key range; a range merges the sorted runs of
 all shards and answers with one bit for each key sent.  A key therefore travels once per shard, however often it occurs
 in it: a passage that a third of all documents hold costs no more than any other.
 """
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import blocks, text_bytes
+from .arrays import blocks, frugal, text_bytes
 from .workspace import stored
 
 #: Bytes of text in a shard: a task holds one shard at a time.
@@ -27,7 +27,7 @@ RANGE_KEYS = 1 << 20
 #: Stands for a null document id: larger than all others, so never "an earlier document".
 NULL_ID = np.iinfo(np.int64).max
 
-SHARD_SCHEMA = "shard long, n_docs long, raw_bytes long, ids binary, lengths binary, body binary"
+SHARD_SCHEMA = "shard long, n_docs long, raw_bytes long, ids binary, lengths binary, body binary, index array<binary>"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -62,14 +62,21 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
 class Shard:
     """A shard's documents: ids, bytes and offsets."""
 
-    def __init__(self, ids: bytes, lengths: bytes, body: bytes):
-        self.ids = unpack(ids)
-        self.offsets = np.concatenate([[0], np.cumsum(unpack(lengths))]).astype(np.int64)
-        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8) if body else np.empty(0, np.uint8)
+    def __init__(self, row: dict):
+        self.ids = unpack(row["ids"])
+        self.offsets = np.concatenate([[0], np.cumsum(unpack(row["lengths"]))]).astype(np.int64)
+        self._body = row.get("body")
 
+    @property
+    def data(self) -> np.ndarray:
+        if isinstance(self._body, bytes):
+            self._body = np.frombuffer(zstandard.ZstdDecompressor().decompress(self._body), np.uint8) if self._body else np.empty(0, np.uint8)
+        return self._body
 
-def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Table of shards over all rows of ``docs``, kept in the shared folder."""
+
+def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, index: Callable[[np.ndarray, np.ndarray], list[bytes]] | None = None) -> DataFrame:
+    """Table of shards over all rows of ``docs``, kept in the shared folder.  ``index`` makes what else is kept of a
+    shard's (bytes, offsets)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
@@ -78,7 +85,8 @@ def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def flush():
             nonlocal n, ids, parts, lengths, size
             body = np.concatenate(parts) if parts else np.empty(0, np.uint8)
-            row = pa.RecordBatch.from_pylist([{"shard": n, "n_docs": sum(map(len, ids)), "raw_bytes": len(body), "ids": pack(np.concatenate(ids)), "lengths": pack(np.concatenate(lengths)), "body": zstandard.ZstdCompressor(level=3).compress(body) if len(body) else b""}], schema=out)
+            kept = index(body, np.r_[0, np.cumsum(np.concatenate(lengths))]) if index is not None else []
+            row = pa.RecordBatch.from_pylist([{"index": kept, "shard": n, "n_docs": sum(map(len, ids)), "raw_bytes": len(body), "ids": pack(np.concatenate(ids)), "lengths": pack(np.concatenate(lengths)), "body": zstandard.ZstdCompressor(level=3).compress(body) if len(body) else b""}], schema=out)
             n, ids, parts, lengths, size = n + 1, [], [], [], 0
             return row
 
@@ -95,9 +103,9 @@ def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield flush()
 
-    out = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("raw_bytes", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
+    out = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("raw_bytes", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary()), ("index", pa.list_(pa.binary()))])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return stored(rows.mapInArrow(cut, SHARD_SCHEMA), "shards", "uncompressed")
+    return stored(rows.mapInArrow(frugal(cut), SHARD_SCHEMA), "shards", "uncompressed")
 
 
 def range_bits(shards: DataFrame, keys_per_byte: float) -> int:
@@ -106,20 +114,20 @@ def range_bits(shards: DataFrame, keys_per_byte: float) -> int:
     return max(5, int(np.ceil(np.log2(max(1.0, total * keys_per_byte / RANGE_KEYS)))))
 
 
-Send = Callable[[Shard, dict], tuple[np.ndarray, ...]]
+Send = Callable[[dict, dict], tuple[np.ndarray, ...]]
 
 
 def split_ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(range, start, end) of the non-empty ranges of sorted keys."""
     top = (keys >> np.uint64(64 - bits)).astype(np.int64)
     edge = np.flatnonzero(np.diff(top, prepend=-1))
-    for a, b in zip(edge, [*edge[1:], len(keys)], strict=True):
+    for a, b in zip(edge, [*edge[1:], len(keys)], strict=False):
         yield int(top[a]), int(a), int(b)
 
 
 def exchange(shards: DataFrame, send: Send, merge: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], bits: int, replies: dict[str, DataFrame], name: str) -> DataFrame:
-    """One round: ``send`` gives a shard's sorted distinct ``keys`` and per-key ``extra`` arrays; ``merge`` sees all
-    keys of a range with their extras and gives a small code for each.  Returns (shard, codes): the codes of a shard's
+    """One round: ``send`` gives, for a row of ``shards`` and its codes from earlier rounds, the sorted ``keys`` and per-key
+    ``extra`` arrays; ``merge`` sees all keys of a range with their extras and gives a small code for each.  Returns (shard, codes): the codes of a shard's
     keys, range after range, in the order in which they were sent."""
 
     known = list(replies)
@@ -127,7 +135,7 @@ def exchange(shards: DataFrame, send: Send, merge: Callable[[np.ndarray, list[np
     def sent(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                got = send(Shard(row["ids"], row["lengths"], row["body"]), {k: join_codes(row[k]) for k in known})
+                got = send(row, {k: join_codes(row[k]) for k in known})
                 keys, extra = got[0], got[1:]
                 rows = [(r, row["shard"], pack_sorted(keys[a:b]), [pack(x[a:b]) for x in extra]) for r, a, b in split_ranges(keys, bits)]
                 if rows:
@@ -143,7 +151,7 @@ def exchange(shards: DataFrame, send: Send, merge: Callable[[np.ndarray, list[np
         edge = np.cumsum([0, *map(len, parts)])
         return pa.table({"shard": pa.array([r["shard"] for r in rows], pa.int64()), "range": pa.array([table["range"][0].as_py()] * len(rows), pa.int64()), "codes": pa.array([pack(codes[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
-    out = with_replies(shards, replies).mapInArrow(sent, "range long, shard long, keys binary, extra array<binary>")
+    out = with_replies(shards, replies).mapInArrow(frugal(sent), "range long, shard long, keys binary, extra array<binary>")
     out = out.groupBy("range").applyInArrow(merged, "shard long, range long, codes binary")
     return stored(out.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "codes"))).alias("codes")), name)
 
@@ -159,17 +167,21 @@ def join_codes(parts) -> np.ndarray:
     return np.concatenate([unpack(p["codes"]) for p in parts]) if parts else np.empty(0, np.int64)
 
 
-def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): a stable order by key, and where in it each key's run starts."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(keys) else np.empty(0, np.int64)
+def _runs(*sorted_by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start of each run, its size) of rows that agree in all columns."""
+    order = np.lexsort(sorted_by[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in sorted_by:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.r_[first, len(order)])
 
 
 def repeated_code(keys: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
     """1 where a key came from two shards or more, or from two documents of one (extra[0]); else 0."""
-    order, first = groups(keys)
-    size = np.diff(np.r_[first, len(keys)])
+    order, first, size = _runs(keys)
     hit = (size > 1) | (np.maximum.reduceat(extra[0][order], first) > 0)
     out = np.empty(len(keys), np.int64)
     out[order] = np.repeat(hit, size)
@@ -177,20 +189,22 @@ def repeated_code(keys: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
 
 
 def earlier_code(keys: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
-    """1 where another shard has the key in a document with an id smaller than extra[0]; else 0."""
-    order, first = groups(keys)
+    """1 where another shard has the key, and its second half extra[1], in a document with an id smaller than extra[0]."""
+    order, first, size = _runs(keys, extra[1])
     own = extra[0][order]
-    size = np.diff(np.r_[first, len(keys)])
     out = np.empty(len(keys), np.int64)
     out[order] = own > np.repeat(np.minimum.reduceat(own, first), size)
     return out
 
 
-def distinct_with_docs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, smallest document id of each, 1 where a key is in several documents)."""
-    if not len(keys):
-        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
-    order, first = groups(keys)
+def distinct_with_docs(docs: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(place of each row among the distinct keys, the distinct keys, smallest document id of each, 1 where a key is in
+    several documents)."""
+    if not len(docs):
+        return np.empty(0, np.int64), list(keys), np.empty(0, np.int64), np.empty(0, np.int64)
+    order, first, size = _runs(*keys)
     own = docs[order]
     low, high = np.minimum.reduceat(own, first), np.maximum.reduceat(own, first)
-    return keys[order][first], low, (low < high).astype(np.int64)
+    place = np.empty(len(docs), np.int64)
+    place[order] = np.repeat(np.arange(len(first)), size)
+    return place, [k[order][first] for k in keys], low, (low < high).astype(np.int64)

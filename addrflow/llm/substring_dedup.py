@@ -8,93 +8,126 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import Rolling, byte_units, covered, mix, row_of, sliding_min, window_ok, words
+from .arrays import Rolling, byte_units, covered, frugal, mix, row_of, window_ok, words
 from .shards import NULL_ID, Shard, distinct_with_docs, earlier_code, exchange, join_codes, make_shards, range_bits, repeated_code, with_replies
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: Least length of a level, in words.
+SHORTEST = 6
 
 
 class _Words:
-    """Words of a shard as hashes."""
+    """Words of a shard as hashes, and the windows that survive the levels."""
 
     def __init__(self, shard: Shard, window: int):
         self.start, self.end, self.rows = words(shard.data, shard.offsets)
-        self.roll = Rolling(Rolling(byte_units(shard.data)).spans(self.start, self.end))
-        ids = shard.ids[row_of(self.rows)]
-        self.ok = window_ok(self.rows, window)
-        self.docs = ids[: len(self.ok)]
-
-    def anchors(self, length: int, window: int) -> np.ndarray:
-        """For each window: the least hash among the shorter windows inside it, the same wherever the window occurs."""
-        # Least hashes are small numbers: mixed again, they fill the key ranges evenly.
-        return mix(sliding_min(self.roll.windows(length), window - length + 1)) if len(self.ok) else np.empty(0, np.uint64)
-
-
-def _levels(window: int) -> list[int]:
-    """Lengths before the full one: about a half, then twice as many, until the window is reached."""
-    return [(window + 1) // 2] if window > 1 else []
-
-
-def _survivors(w: _Words, window: int, replies: list[np.ndarray], levels: list[int]) -> np.ndarray:
-    """Starts of the windows all of whose shorter levels repeat in another document."""
-    alive = np.flatnonzero(w.ok)
-    for length, code in zip(levels, replies, strict=False):
-        anchor = w.anchors(length, window)[alive]
-        keys = np.unique(anchor)
-        alive = alive[code[np.searchsorted(keys, anchor)] > 0] if len(keys) else alive[:0]
-    return alive
+        self.units = Rolling(byte_units(shard.data)).spans(self.start, self.end)
+        self.roll = Rolling(self.units)
+        self.docs = shard.ids[row_of(self.rows)]
+        self.long = np.repeat(np.diff(self.rows) >= window, np.diff(self.rows))
+
+    def inside(self, length: int) -> np.ndarray:
+        """Whether a window of this length that starts at a word lies in one text, itself long enough to matter."""
+        ok = np.zeros(len(self.start) + 1, bool)
+        fits = window_ok(self.rows, length)
+        ok[: len(fits)] = fits & self.long[: len(fits)]
+        return ok
+
+    def level_keys(self, length: int, at: np.ndarray) -> np.ndarray:
+        """48-bit hashes of windows: enough to rule out most, what they let pass is looked at again."""
+        return self.roll.windows(length)[at] & ~np.uint64(0xFFFF) if len(at) else np.empty(0, np.uint64)
+
+    def full_keys(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of windows."""
+        if not len(at):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        second = Rolling(mix(self.units ^ np.uint64(0xD6E8FEB86659FD93))).windows(length)[at]
+        return self.roll.windows(length)[at], second.view(np.int64)
+
+    def survivors(self, lengths: list[int], replies: list[np.ndarray]) -> np.ndarray:
+        """Starts of the windows of the next length whose shorter windows, at their start and at their end, both repeat.
+
+        The first length has all windows; ``replies`` tell for each length done which of its windows repeat."""
+        at = np.flatnonzero(self.inside(lengths[0]))
+        for length, longer, code in zip(lengths[:-1], lengths[1:], replies, strict=False):
+            repeats = np.zeros(len(self.start) + 1, bool)
+            place, _, _, _ = distinct_with_docs(self.docs[at], self.level_keys(length, at))
+            repeats[at[code[place] > 0]] = True
+            at = np.flatnonzero(repeats & self.inside(longer))
+            at = at[repeats[at + longer - length]]
+        return at
+
+
+def _lengths(window: int) -> list[int]:
+    """Lengths of the levels, each at most twice the one before; the last is the window itself."""
+    out = [window]
+    while -(-out[0] // 2) >= SHORTEST:
+        out.insert(0, -(-out[0] // 2))
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """Remove each word that a window of ``window`` words covers whose word sequence also starts in an earlier document.
 
-    Level-wise doubling: of each window, a content-chosen sub-window of half the length is looked up first; only
-    windows whose sub-window repeats in two documents are extended to the full length and looked up again.  A level
-    exchanges 64-bit hashes of distinct windows between shards of documents (see ``shards``), so common passages cost one
-    key a shard, and nothing is capped.
+    Level-wise doubling: all windows of the least length are looked up; those that repeat in two documents alone are
+    extended to twice that length (a longer window needs both its first and its last shorter one) and looked up again, and
+    so on to the full length, or until no candidate survives.  A level exchanges hashes of distinct windows between shards
+    of documents (see ``shards``), so common passages cost one key a shard, and nothing is capped.  Levels use 48 bits and
+    only rule out; full windows are matched by two independent hashes, 128 bits.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (SHA-256 of the kept words joined by one blank), one row for each
     input row.  Null or empty text: no words, hash of the empty string.  Rows that share a doc_id never remove each
     other's words.  A null doc_id counts as larger than all others.  Other columns are ignored.
     """
-    levels = _levels(window)
+    lengths = _lengths(window)
     shards = make_shards(docs, id_col, text_col)
     replies: dict[str, DataFrame] = {}
+    alive = True
 
-    for k, length in enumerate(levels):
+    for k, length in enumerate(lengths[:-1]):
 
-        def ask(shard: Shard, known: dict, k=k, length=length):
-            w = _Words(shard, window)
-            alive = _survivors(w, window, list(known.values()), levels[:k])
-            keys, _, many = distinct_with_docs(w.anchors(length, window)[alive], w.docs[alive])
+        def ask(row: dict, known: dict, k=k, length=length):
+            w = _Words(Shard(row), window)
+            at = w.survivors(lengths[: k + 1], list(known.values()))
+            _, (keys,), _, many = distinct_with_docs(w.docs[at], w.level_keys(length, at))
             return keys, many
 
-        replies[f"level{k}"] = exchange(shards, ask, repeated_code, range_bits(shards, 0.05), dict(replies), f"level{k}")
+        replies[f"level{k}"] = exchange(shards, ask, repeated_code, range_bits(shards, 0.18), dict(replies), f"level{k}")
+        # Codes are packed as differences from the least; a level at which nothing repeats ends the search.
+        alive = bool(replies[f"level{k}"].mapInArrow(_any_repeat, "any boolean").where("any").limit(1).count())
+        if not alive:
+            break
 
-    def ask_full(shard: Shard, known: dict):
-        w = _Words(shard, window)
-        alive = _survivors(w, window, list(known.values()), levels)
-        return distinct_with_docs(w.roll.windows(window)[alive], w.docs[alive])[:2]
+    rounds = list(replies)
+    if alive:
 
-    full = exchange(shards, ask_full, earlier_code, range_bits(shards, 0.05), dict(replies), "windows")
+        def ask_full(row: dict, known: dict):
+            w = _Words(Shard(row), window)
+            at = w.survivors(lengths, list(known.values()))
+            _, (keys, second), low, _ = distinct_with_docs(w.docs[at], *w.full_keys(window, at))
+            return keys, low, second
 
-    rounds = list(replies)
+        replies["full"] = exchange(shards, ask_full, earlier_code, range_bits(shards, 0.05), dict(replies), "windows")
 
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row["ids"], row["lengths"], row["body"])
+                shard = Shard(row)
                 w = _Words(shard, window)
-                alive = _survivors(w, window, [join_codes(row[k]) for k in rounds], levels)
-                own = w.roll.windows(window)[alive]
-                keys, low, _ = distinct_with_docs(own, w.docs[alive])
-                at = np.searchsorted(keys, own)
-                code = join_codes(row["full"])
-                hit = alive[(w.docs[alive] > low[at]) | (code[at] > 0)] if len(alive) else alive
-                gone = covered(hit, window, len(w.start))
+                gone = np.zeros(len(w.start), bool)
+                if alive:
+                    at = w.survivors(lengths, [join_codes(row[k]) for k in rounds])
+                    place, _, low, _ = distinct_with_docs(w.docs[at], *w.full_keys(window, at))
+                    hit = at[(w.docs[at] > low[place]) | (join_codes(row["full"])[place] > 0)] if len(at) else at
+                    gone = covered(hit, window, len(w.start))
                 yield _digest(shard, w, gone)
 
-    return with_replies(shards, {**replies, "full": full}).mapInArrow(finish, SCHEMA)
+    return with_replies(shards, replies).mapInArrow(frugal(finish), SCHEMA)
+
+
+def _any_repeat(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([bool((join_codes(x) > 0).any()) for x in batch.column("codes").to_pylist()], pa.bool_())], ["any"])
 
 
 def _digest(shard: Shard, w: _Words, gone: np.ndarray) -> pa.RecordBatch:

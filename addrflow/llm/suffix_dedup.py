@@ -10,8 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Rolling, blocks, byte_units, mix, sliding_min, window_ok
-from .shards import NULL_ID, Shard, exchange, join_codes, make_shards, pack, pack_sorted, range_bits, split_ranges, unpack, unpack_sorted, with_replies
+from .arrays import Rolling, blocks, byte_units, frugal, mix, sliding_min, window_ok
+from .shards import NULL_ID, Shard, distinct_with_docs, earlier_code, exchange, join_codes, make_shards, pack, pack_sorted, range_bits, split_ranges, unpack, unpack_sorted, with_replies
 from .workspace import stored
 
 #: Length of the anchors that stand for a window; a window holds window - ANCHOR + 1 of them.
@@ -20,6 +20,8 @@ ANCHOR = 16
 POSITION_BITS = 21
 #: Bytes of whole documents hashed at a time.
 BLOCK_BYTES = 1 << 20
+#: Bytes of distinct pieces under one anchor from which on it is crowded: in one shard, and over all.
+CROWDED_HERE, CROWDED = 16 << 10, 64 << 10
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -167,47 +169,106 @@ def earlier_windows(texts: list[np.ndarray], docs: np.ndarray, window: int) -> l
 # --- Pieces: runs of windows with one anchor ------------------------------------------------------------------------------
 
 
+def _second(data: np.ndarray) -> np.ndarray:
+    """Units of a second hash, independent of the first one's."""
+    return mix(byte_units(data) ^ np.uint64(0xD6E8FEB86659FD93))
+
+
+def piece_index(window: int, anchor: int):
+    """What a shard keeps of its pieces: starts, windows, 64-bit anchor hashes and 64-bit hashes of their whole texts.
+
+    Every window belongs to the least hash among its anchors; a piece is a run of windows with the same."""
+
+    def index(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        parts = [np.empty((4, 0), np.uint64)]
+        for lo, hi in blocks(offsets, BLOCK_BYTES):
+            base = int(offsets[lo])
+            own = offsets[lo : hi + 1] - base
+            text = data[base : base + own[-1]]
+            at = np.flatnonzero(window_ok(own, window))
+            if not len(at):
+                continue
+            # Least hashes are small numbers: mixed again, they fill the key ranges evenly.
+            value = mix(sliding_min(Rolling(byte_units(text)).windows(anchor), window - anchor + 1)[at])
+            row = np.searchsorted(own, at, "right") - 1
+            new = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])]
+            start = at[new]
+            count = np.diff(np.r_[np.flatnonzero(new), len(at)])
+            whole = Rolling(_second(text)).spans(start, start + count + window - 1)
+            parts.append(np.stack([(start + base).astype(np.uint64), count.astype(np.uint64), value[new], whole]))
+        start, count, key, whole = np.concatenate(parts, axis=1)
+        return [pack(np.diff(start.astype(np.int64), prepend=0)), pack(count.astype(np.int64)), key.tobytes(), whole.tobytes()]
+
+    return index
+
+
 class _Pieces:
-    """Every window of a shard belongs to the least hash among its anchors; a piece is a run of windows with the same."""
+    """The pieces of a shard, by anchor, then text, then document: the first of each text stands for the others."""
 
-    def __init__(self, shard: Shard, window: int, anchor: int):
-        self.shard = shard
-        parts = [self._block(shard, lo, hi, window, anchor) for lo, hi in blocks(shard.offsets, BLOCK_BYTES)]
-        self.start, self.windows, key, doc, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def __init__(self, row: dict, window: int):
+        self.shard, self.window = Shard(row), window
+        starts, windows, key, whole = row["index"]
+        self.start, self.windows = np.cumsum(unpack(starts)), unpack(windows)
+        key, whole = np.frombuffer(key, np.uint64), np.frombuffer(whole, np.int64)
         self.end = self.start + self.windows + window - 1
-        # By anchor, then text, then document: the first of each text stands for the others of this shard.
+        doc = self.shard.ids[np.searchsorted(self.shard.offsets, self.start, "right") - 1]
         self.order = np.lexsort((self.start, doc, whole, key))
-        k, w, d = key[self.order], whole[self.order], doc[self.order]
+        k, w, self.docs = key[self.order], whole[self.order], doc[self.order]
         first = np.r_[True, (k[1:] != k[:-1]) | (w[1:] != w[:-1])] if len(k) else np.empty(0, bool)
-        self.first = np.flatnonzero(first)
-        self.key, self.whole, self.least = k[first], w[first].astype(np.int64), d[first]
-        self.group, self.docs = np.cumsum(first) - 1, d
-
-    @staticmethod
-    def _block(shard: Shard, lo: int, hi: int, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-        """(start, windows, anchor hash, document, hash of the text) of the pieces of some documents."""
-        base = int(shard.offsets[lo])
-        offsets = shard.offsets[lo : hi + 1] - base
-        roll = Rolling(byte_units(shard.data[base : base + offsets[-1]]))
-        at = np.flatnonzero(window_ok(offsets, window))
-        # Least hashes are small numbers: mixed again, they fill the key ranges evenly.
-        value = mix(sliding_min(roll.windows(anchor), window - anchor + 1)[at]) if len(at) else np.empty(0, np.uint64)
-        row = np.searchsorted(offsets, at, "right") - 1
-        new = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])] if len(at) else np.empty(0, bool)
-        start = at[new]
-        count = np.diff(np.r_[np.flatnonzero(new), len(at)])
-        whole = roll.spans(start, start + count + window - 1) >> np.uint64(16)
-        return start + base, count, value[new], shard.ids[lo + row[new]], whole
-
-    def open(self, code: np.ndarray) -> np.ndarray:
-        """Distinct pieces that must be compared window by window: others have their anchor with another text, and no
-        earlier document has the same text."""
-        return np.flatnonzero((code & 2 > 0) & (code & 1 == 0))
+        self.first, self.group = np.flatnonzero(first), np.cumsum(first) - 1
+        self.key, self.whole, self.least = k[first], w[first], self.docs[first]
+        self.lead = self.order[self.first]
+        self.bytes = self.end[self.lead] - self.start[self.lead]
+        # Of an anchor that is crowded in this shard alone, only that is told.
+        head = np.flatnonzero(np.r_[True, self.key[1:] != self.key[:-1]]) if len(self.key) else np.empty(0, np.int64)
+        many = np.diff(np.r_[head, len(self.key)])
+        self.here = np.repeat(np.add.reduceat(self.bytes, head) > CROWDED_HERE, many) if len(head) else np.empty(0, bool)
+        self.sent = ~self.here
+        self.sent[head] = True
+
+    def tell(self) -> tuple[np.ndarray, ...]:
+        """(anchor, hash of the text, least document, bytes) of each distinct piece, or of a crowded anchor."""
+        here = self.here[self.sent]
+        return self.key[self.sent], np.where(here, 0, self.whole[self.sent]), np.where(here, NULL_ID, self.least[self.sent]), np.where(here, CROWDED + 1, self.bytes[self.sent])
+
+    def learn(self, code: np.ndarray) -> None:
+        """Take in the answer: ``code`` of each distinct piece."""
+        self.code = code[np.cumsum(self.sent) - 1] if len(self.sent) else np.empty(0, np.int64)
+        self.crowded = self.code & 4 > 0
+        # Distinct pieces that must be compared window by window: others have their anchor with another text, and no
+        # earlier document has the same text.
+        self.open = np.flatnonzero(self.code & 7 == 2)
+
+    def windows_of(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start of each window, which of ``pieces`` it is in)."""
+        n = self.windows[pieces]
+        which = np.repeat(np.arange(len(pieces)), n)
+        return self.start[pieces][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n), which
+
+    def crowded_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Of the windows under crowded anchors: start, document, place among the distinct ones, these as two 64-bit hashes,
+        and their least document here."""
+        every = np.flatnonzero(self.crowded[self.group]) if len(self.group) else np.empty(0, np.int64)
+        at, which = self.windows_of(self.order[every])
+        docs = self.docs[every][which]
+        if not len(at):
+            return at, docs, at, [np.empty(0, np.uint64), np.empty(0, np.int64)], at
+        h, g = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+        for lo, hi in blocks(self.shard.offsets, BLOCK_BYTES):
+            a, b = self.shard.offsets[lo], self.shard.offsets[hi]
+            own = np.flatnonzero((at >= a) & (at < b))
+            if len(own):
+                text = self.shard.data[a:b]
+                h[own] = Rolling(byte_units(text)).windows(self.window)[at[own] - a]
+                g[own] = Rolling(_second(text)).windows(self.window)[at[own] - a]
+        place, keys, low, _ = distinct_with_docs(docs, h, g.view(np.int64))
+        return at, docs, place, keys, low
 
 
 def _piece_code(keys: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
-    """Bit 0: another shard has the same piece in an earlier document.  Bit 1: its anchor occurs with other texts too."""
-    whole, docs = extra
+    """Bit 0: another shard has the same piece in an earlier document.  Bit 1: its anchor occurs with other texts too.
+    Bit 2: the anchor is crowded."""
+    whole, docs, size = extra
     order = np.lexsort((whole, keys))
     k, w, d = keys[order], whole[order], docs[order]
     new_key = np.r_[True, k[1:] != k[:-1]]
@@ -215,9 +276,11 @@ def _piece_code(keys: np.ndarray, extra: list[np.ndarray]) -> np.ndarray:
     at = np.flatnonzero(new)
     least = np.repeat(np.minimum.reduceat(d, at), np.diff(np.r_[at, len(k)]))
     of_key = np.flatnonzero(new_key)
-    texts = np.repeat(np.add.reduceat(new.astype(np.int64), of_key), np.diff(np.r_[of_key, len(k)]))
+    times = np.diff(np.r_[of_key, len(k)])
+    texts = np.repeat(np.add.reduceat(new.astype(np.int64), of_key), times)
+    total = np.repeat(np.add.reduceat(size[order], of_key), times)
     out = np.empty(len(keys), np.int64)
-    out[order] = (d > least) | (texts > 1).astype(np.int64) << 1
+    out[order] = (d > least) | (texts > 1).astype(np.int64) << 1 | (total > CROWDED).astype(np.int64) << 2
     return out
 
 
@@ -226,32 +289,41 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     1. Documents are stored as shards.  Each window belongs to its least 16-byte anchor hash, so equal windows meet under
        one anchor wherever they occur.  Shards exchange (anchor, hash of the piece around it); a piece whose whole text is
-       in an earlier document is removed at once, and one whose anchor occurs with the same text only, or nowhere else,
-       needs nothing more.
+       in an earlier document is removed at once (128 bits of two independent hashes must agree), and one whose anchor
+       occurs with the same text only, or nowhere else, needs nothing more.
     2. The texts of the other pieces go to shards of anchor ranges.  A suffix array (Larsson-Sadakane refinement) with
        Kasai common prefixes finds equal windows there; arrays of one range are merged by binary search.
+    3. Under an anchor with more than CROWDED bytes of distinct pieces (a line that many documents hold, each with other
+       text around it) every window stands for itself: shards exchange their distinct windows by two hashes, so such an
+       anchor is spread over all ranges, and a shard sends each of its windows once, however often it holds it.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row for each input row.  Null text counts as empty.
     Rows that share a doc_id never remove each other's bytes; a null doc_id counts as larger than all others.  Texts under
     ``window`` bytes lose nothing.  Other columns are ignored.
     """
-    anchor = min(ANCHOR, window)
-    shards = make_shards(docs, id_col, text_col)
+    shards = make_shards(docs, id_col, text_col, index=piece_index(window, min(ANCHOR, window)))
+
+    def ask(row: dict, known: dict):
+        return _Pieces(row, window).tell()
+
+    codes = exchange(shards.drop("body"), ask, _piece_code, range_bits(shards, 0.06), {}, "pieces")
 
-    def ask(shard: Shard, known: dict):
-        p = _Pieces(shard, window, anchor)
-        return p.key, p.whole, p.least
+    def ask_windows(row: dict, known: dict):
+        p = _Pieces(row, window)
+        p.learn(known["pieces"])
+        _, _, _, (keys, second), low = p.crowded_windows()
+        return keys, low, second
 
-    codes = exchange(shards, ask, _piece_code, range_bits(shards, 0.06), {}, "pieces")
+    spread = exchange(shards, ask_windows, earlier_code, range_bits(shards, 0.1), {"pieces": codes}, "windows")
     bits = range_bits(shards, 0.25)
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                p = _Pieces(Shard(row["ids"], row["lengths"], row["body"]), window, anchor)
-                wanted = p.open(join_codes(row["pieces"]))
-                at = p.order[p.first[wanted]]
-                key, start, end = p.key[wanted], p.start[at], p.end[at]
+                p = _Pieces(row, window)
+                p.learn(join_codes(row["pieces"]))
+                wanted = p.open
+                key, start, end = p.key[wanted], p.start[p.lead[wanted]], p.end[p.lead[wanted]]
                 rows = []
                 for r, a, b in split_ranges(key, bits):
                     body = b"".join(p.shard.data[x:y].tobytes() for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True))
@@ -282,44 +354,48 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lo += n
         return pa.table({"shard": pa.array([r["shard"] for r in rows], pa.int64()), "range": pa.array([r["range"] for r in rows], pa.int64()), "hits": pa.array(out, pa.binary())})
 
-    sent = with_replies(shards, {"pieces": codes}).mapInArrow(send, "range long, shard long, keys binary, docs binary, lengths binary, body binary")
+    sent = with_replies(shards, {"pieces": codes}).mapInArrow(frugal(send), "range long, shard long, keys binary, docs binary, lengths binary, body binary")
     hits = sent.groupBy("range").applyInArrow(compare, "shard long, range long, hits binary")
     hits = stored(hits.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "hits"))).alias("codes")), "hits")
 
     def finish(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row["ids"], row["lengths"], row["body"])
-                p = _Pieces(shard, window, anchor)
-                code = join_codes(row["pieces"])
-                delta = np.zeros(len(shard.data) + 1, np.int32)
+                p = _Pieces(row, window)
+                p.learn(join_codes(row["pieces"]))
+                delta = np.zeros(len(p.shard.data) + 1, np.int32)
 
                 def cover(start: np.ndarray, end: np.ndarray, delta=delta) -> None:
                     np.add.at(delta, start, 1)
                     np.add.at(delta, end, -1)
 
                 # Whole pieces: in a later document of this shard than the first, or anywhere after another shard's.
-                whole = (p.docs > p.least[p.group]) | (code[p.group] & 1 > 0)
+                whole = ((p.docs > p.least[p.group]) | (p.code[p.group] & 1 > 0)) & ~p.crowded[p.group]
                 at = p.order[whole]
                 cover(p.start[at], p.end[at])
-                wanted = p.open(code)
-                lead = p.order[p.first[wanted]]
+                # Windows under crowded anchors.
+                at, docs, place, _, low = p.crowded_windows()
+                if len(at):
+                    at = at[(docs > low[place]) | (join_codes(row["spread"])[place] > 0)]
+                    cover(at, at + window)
+                # Windows of the others that were compared.
+                lead = p.lead[p.open]
+                twins = np.diff(np.r_[p.first, len(p.order)])
                 reply = {x["range"]: x["hits"] for x in row["hits"] or []}
-                for r, a, b in split_ranges(p.key[wanted], bits):
-                    n = p.windows[lead[a:b]]
-                    hit = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(reply[r]), np.uint8), count=int(n.sum())).astype(bool)
-                    start = np.repeat(p.start[lead[a:b]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                for r, a, b in split_ranges(p.key[p.open], bits):
+                    start, which = p.windows_of(lead[a:b])
+                    hit = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(reply[r]), np.uint8), count=len(start)).astype(bool)
                     cover(start[hit], start[hit] + window)
                     # The same text again in this document, or in rows that share its id: the same windows are removed.
-                    for g in np.flatnonzero(np.diff(np.r_[p.first, len(p.order)])[wanted[a:b]] > 1):
-                        lo = p.first[wanted[a + g]]
-                        twins = p.order[lo + 1 : np.r_[p.first, len(p.order)][wanted[a + g] + 1]]
-                        inner = np.flatnonzero(hit[int(n[:g].sum()) : int(n[: g + 1].sum())])
-                        for t in twins[p.docs[lo + 1 : lo + 1 + len(twins)] == p.least[wanted[a + g]]]:
+                    for g in np.flatnonzero(twins[p.open[a:b]] > 1):
+                        lo = p.first[p.open[a + g]]
+                        again = slice(lo + 1, lo + twins[p.open[a + g]])
+                        inner = start[hit & (which == g)] - p.start[lead[a + g]]
+                        for t in p.order[again][p.docs[again] == p.least[p.open[a + g]]]:
                             cover(p.start[t] + inner, p.start[t] + inner + window)
-                yield _digest(shard, np.cumsum(delta[:-1]) > 0)
+                yield _digest(p.shard, np.cumsum(delta[:-1]) > 0)
 
-    return with_replies(shards, {"pieces": codes, "hits": hits}).mapInArrow(finish, SCHEMA)
+    return with_replies(shards, {"pieces": codes, "spread": spread, "hits": hits}).mapInArrow(frugal(finish), SCHEMA)
 
 
 def _digest(shard: Shard, gone: np.ndarray) -> pa.RecordBatch:

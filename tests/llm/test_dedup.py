@@ -45,12 +45,46 @@ def test_bytes(docs, texts):
     assert sorted(map(tuple, suffix_dedup.suffix_dedup(docs).collect())) == want
 
 
+def test_common_line(spark):
+    """A line that every document holds, each with other text around it: its anchors are crowded."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrst "))
+    draw = lambda n: "".join(rng.choice(letters, n))
+    line, other = draw(150), draw(60)
+    rows = [(i, draw(int(rng.integers(0, 90))) + line + draw(int(rng.integers(0, 90))) + (other if i % 3 else "")) for i in range(1500)]
+    rows += [(5000 + i, "ab" * (40 + i)) for i in range(60)] + [(9000, rows[3][1]), (None, rows[4][1]), (9001, line), (9002, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(df).collect()}
+    some = [(i if i is not None else 10**9, t) for i, t in rows]
+    want = {i: (int(g.sum()), hashlib.sha256(bytes(x for x, y in zip(u, g) if not y)).hexdigest()) for i, u, g in removed(some, 50, lambda t: (t or "").encode())}
+    want[None] = want.pop(10**9)
+    assert got == want
+
+
+def test_levels(spark):
+    """Windows of many lengths, and a corpus in which nothing repeats."""
+    from addrflow.llm.substring_dedup import _lengths
+
+    assert _lengths(13) == [7, 13] and _lengths(50) == [7, 13, 25, 50] and _lengths(2) == [2]
+    rng = np.random.default_rng(9)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 400, n)]
+    shared = [draw(n) for n in (12, 13, 30, 49, 50, 51, 120)]
+    rows = [(i, " ".join(draw(20) + shared[i % 7] + draw(15) + shared[(i * 5 + 1) % 7])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for window in (13, 50):
+        got = {r.doc_id: r.n_removed for r in substring_dedup(df, window=window).collect()}
+        assert got == {i: int(g.sum()) for i, _, g in removed(rows, window, str.split)} and any(got.values())
+    alone = spark.createDataFrame([(i, " ".join(f"u{i}_{k}" for k in range(40))) for i in range(9)], "doc_id long, text string")
+    assert {(r.n_words, r.n_removed) for r in substring_dedup(alone).collect()} == {(40, 0)}
+
+
 def test_empty_tables(no_docs):
     for f in (substring_dedup, suffix_dedup.suffix_dedup, near_duplicates):
         assert f(no_docs).count() == 0
 
 
 def test_null_ids(spark):
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix_dedup.suffix_dedup(spark.createDataFrame([(None, "x" * 60), (1, "x" * 60), (1, "x" * 60)], "doc_id long, text string")).collect()) == [(0, 60), (1, 0), (1, 0)]
     t = "a b c d e f g h i j k l m n o p q r s t u v w x y z aa bb cc dd"
     df = spark.createDataFrame([(None, t), (1, t)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in substring_dedup(df).collect()} == {None: 30, 1: 0}
