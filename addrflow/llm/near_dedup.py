@@ -84,17 +84,18 @@ def _all_pairs(node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _neighbours(most: int):
-    """Candidate pairs from rows in the forest's order: all pairs of a small region; in a large one each document's
-    neighbour, which shares the longest prefix, and the region's first.
+    """Candidate pairs from rows in the forest's order: all pairs of a small region; in a large one, or a part of one, each
+    document's neighbour, which shares the longest prefix, and the region's first.
 
     At most ``most`` rows of a region are held from one batch to the next, then only its first and last."""
     def run(batches):
         held, first, last = None, None, None  # rows of a region still small; first and last node of one that is large
         for batch in batches:
-            region, node, size = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("region", "node", "n"))
+            rows = [np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("region", "node", "n", "part")]
             u, v = [], []
             if held is not None:
-                region, node, size = (np.concatenate(x) for x in zip(held, (region, node, size), strict=True))
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            region, node, size, part = rows
             edges = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if lo == hi:
@@ -106,7 +107,7 @@ def _neighbours(most: int):
                     u += [np.r_[last, own[:-1]], np.full(hi - lo, first[1])]
                     v += [own, own]
                     last = own[-1]
-                elif hi - lo > most:
+                elif hi - lo > most or part[lo]:
                     u += [own[:-1], np.full(hi - lo - 1, own[0])]
                     v += [own[1:], own[1:]]
                     first, last = (region[lo], own[0]), own[-1]
@@ -114,7 +115,7 @@ def _neighbours(most: int):
                     x, y = _all_pairs(own, size[lo:hi])
                     u.append(x)
                     v.append(y)
-            held = None if first is not None else (region[edges[-2] :], node[edges[-2] :], size[edges[-2] :]) if len(region) else None
+            held = None if first is not None else [x[edges[-2] :] for x in rows] if len(region) else None
             yield _pair_batch(u, v)
         if held is not None:
             x, y = _all_pairs(held[1], held[2])
@@ -130,7 +131,7 @@ def _pair_batch(u: list, v: list) -> pa.RecordBatch:
 
 
 def _dealt(forest: DataFrame, crowded: DataFrame, deeper: int) -> DataFrame:
-    """(region, p1, p2, p3, n, node): the forest's rows by region.
+    """(region, part, p2, p3, n, node): the forest's rows by region; ``part`` marks those of a region that was cut.
 
     Adaptive depth: a region in ``crowded`` is dealt by four hashes, and where these have over ``deeper`` documents by six, in
     salted parts of about ``deeper``; so no region goes to one task whole, however large."""
@@ -143,7 +144,8 @@ def _dealt(forest: DataFrame, crowded: DataFrame, deeper: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("c6") / deeper))
     key = F.when(F.col("c6").isNull(), F.xxhash64(*own, "p2", F.lit(4))).otherwise(F.xxhash64(*own, "p2", "p3", salt))
     keep = ["p2", "p3", "n", "node"]
-    return inside.where("c2 IS NULL").select(F.xxhash64(*own).alias("region"), *keep).unionByName(deep.select(key.alias("region"), *keep))
+    whole = inside.where("c2 IS NULL").select(F.xxhash64(*own).alias("region"), F.lit(False).alias("part"), *keep)
+    return whole.unionByName(deep.select(key.alias("region"), F.lit(True).alias("part"), *keep))
 
 
 # --- Exact join of what large regions leave open -------------------------------------------------------------------------
@@ -158,8 +160,9 @@ def _frequent(batches):
             yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(count[many])], ["token", "n"])
 
 
-def _prefixes(common: np.ndarray, percent: int):
-    """Rows (token, at, own, node, n, component) of each set's prefix in the order of rare shingles first.
+def _prefixes(common: np.ndarray, order: np.ndarray, percent: int):
+    """Rows (token, at, own, node, n, component) of each set's prefix, rare shingles first: those in ``common`` come last, by
+    ``order``.
 
     Of sets x and y, y not larger, with a similarity of t or more, the first |x| - ceil(t |x|) + 1 shingles of x and the
     first |y| - ceil(2 t / (1 + t) |y|) + 1 of y have one in common; ``own`` marks the shorter prefix."""
@@ -170,7 +173,10 @@ def _prefixes(common: np.ndarray, percent: int):
             for k, body in enumerate(batch.column("set").to_pylist()):
                 x = _undo(body)
                 rank = np.searchsorted(common, x)
-                often = common[np.minimum(rank, len(common) - 1)] == x if len(common) else np.zeros(len(x), bool)
+                often = np.zeros(len(x), np.int64)
+                if len(common):
+                    rank = np.minimum(rank, len(common) - 1)
+                    often = np.where(common[rank] == x, order[rank], 0)
                 m = len(x)
                 long = m - -(-percent * m // 100) + 1
                 short = m - -(-2 * percent * m // (100 + percent)) + 1
@@ -192,8 +198,10 @@ def _open_pairs(crowd: DataFrame, percent: int) -> DataFrame:
     A join on the shingles of the sets' prefixes, which Spark splits where a shingle is frequent.  Size and place of the
     shared shingle rule out most pairs in the join itself."""
     counts = crowd.select("set").mapInArrow(frugal(_frequent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    common = np.sort(np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()], np.int64).view(np.uint64))
-    rows = stored(crowd.mapInArrow(frugal(_prefixes(common, percent)), "token long, at int, own boolean, node long, n long, component long"), "prefixes")
+    most = np.array([r["token"] for r in counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()], np.int64).view(np.uint64)
+    by_token = np.argsort(most)
+    common, order = most[by_token], len(most) - by_token
+    rows = stored(crowd.mapInArrow(frugal(_prefixes(common, order, percent)), "token long, at int, own boolean, node long, n long, component long"), "prefixes")
     x, y = rows.alias("x"), rows.where("own").alias("y")
     on = """x.token = y.token AND x.component <> y.component AND (y.n < x.n OR (y.n = x.n AND y.node <> x.node))
             AND 100 * y.n >= {p} * x.n AND (100 + {p}) * least(x.n - x.at, y.n - y.at) >= {p} * (x.n + y.n)""".format(p=percent)
@@ -252,10 +260,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        by its least id, so exact copies cost nothing further.
     2. Forest: each tree sorts the nodes by its own order of the signature.  Nodes that share at least MIN_DEPTH hashes
        form a region.  A region of at most ``region`` nodes gives all its pairs; a larger one is cut by deeper hashes
-       (adaptive depth), where each node gets its neighbour in the order and the region's first.  A pair at the threshold
+       (adaptive depth), where each node gets its neighbour in the order, the first of its part and the region's least node.  A pair at the threshold
        shares a tree's first two hashes with probability 0.56, so all 16 miss it with 2e-6.
     3. Candidates are confirmed on the full sets: first those that join each node to its nearest and least candidate, then
-       all others whose nodes are not connected by these.  Nodes of large regions that still hold several components are
+       all others whose nodes are not connected by these.  After that, nodes of large regions that still hold several components are
        joined exactly, on the rarest shingles of their full sets (``_open_pairs``), so no link there depends on a cut.
     4. Components by alternating stars.
 
@@ -270,9 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(usable.groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), "nodes")
 
     forest = nodes.select("node", F.col("n_shingles").alias("n"), "signature").mapInArrow(frugal(_branches), "tree int, p1 long, p2 long, p3 long, node long, n long")
-    crowded = stored(forest.groupBy("tree", "p1").agg(F.count("*").alias("c2")).where(f"c2 > {region}"), "crowded")
+    crowded = stored(forest.groupBy("tree", "p1").agg(F.count("*").alias("c2"), F.min("node").alias("lead")).where(f"c2 > {region}"), "crowded")
     ordered = _dealt(forest, crowded, deeper).repartition("region").sortWithinPartitions("region", "p2", "p3", "n", "node")
-    pairs = ordered.mapInArrow(frugal(_neighbours(region)), "u long, v long").distinct()
+    leads = forest.join(crowded, ["tree", "p1"]).where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    pairs = ordered.mapInArrow(frugal(_neighbours(region)), "u long, v long").union(leads).distinct()
     signature = nodes.select("node", "signature")
     for k in ("u", "v"):
         pairs = pairs.join(signature.select(F.col("node").alias(k), F.col("signature").alias(f"s_{k}")), k)
@@ -291,17 +300,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(first, sets, percent, "links")
     found = stored(components(links), "components")
 
-    def component(df: DataFrame, k: str) -> DataFrame:
+    def component(df: DataFrame, k: str, found: DataFrame) -> DataFrame:
         return df.join(found.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
 
-    apart = component(component(pairs.select("u", "v").join(first, ["u", "v"], "left_anti"), "u"), "v").where("c_u <> c_v").select("u", "v")
-    crowd = component(regions.withColumnRenamed("node", "u"), "u").select(F.col("u").alias("node"), "region", "n", F.col("c_u").alias("component"))
+    apart = component(component(pairs.select("u", "v").join(first, ["u", "v"], "left_anti"), "u", found), "v", found).where("c_u <> c_v").select("u", "v")
+    found = _with_links(found, _confirmed(apart.distinct(), sets, percent, "links"))
+    crowd = component(regions.withColumnRenamed("node", "u"), "u", found).select(F.col("u").alias("node"), "region", "n", F.col("c_u").alias("component"))
     split = crowd.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
     crowd = crowd.join(split, "region", "left_semi").select("node", "n", "component").distinct()
     crowd = stored(crowd.join(sets.hint("merge"), "node").select("node", "n", "component", "set"), "crowd", "uncompressed")
-    more = _confirmed(apart.union(_open_pairs(crowd, percent)).distinct(), sets, percent, "links")
-    edges = found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
-    final = stored(components(edges), "components")
+    final = _with_links(found, _confirmed(_open_pairs(crowd, percent), sets, percent, "links"))
 
     classes = nodes.join(final, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     own = base.drop("signature").join(classes, key, "left")
@@ -310,6 +318,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(least, F.col("doc_id")))).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _with_links(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if not links.limit(1).count():
+        return found
+    return stored(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)), "components")
+
+
 def _repeated(base: DataFrame) -> bool:
     """Whether an id occurs in several rows."""
     return bool(base.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
