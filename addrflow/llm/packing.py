@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,10 @@ CAPACITY, STEP = 2048, 8
 #: Id that ends every document.
 END_ID = 1
 #: Words whose ids a worker remembers at most, before it starts anew.
-CACHE_WORDS = 1_000_000
-_BLOCK = 4 << 20
+CACHE_WORDS = 400_000
+#: New words that the tokenizer gets at a time: what it returns for a word takes about a kilobyte.
+WORDS_AT_ONCE = 10_000
+_BLOCK = 2 << 20
 
 
 class WordTokens:
@@ -49,14 +52,18 @@ class WordTokens:
         listed = keys.tolist()
         new = [i for i, k in enumerate(listed) if k not in known]
         if new:
-            raw = data.tobytes()
+            raw = memoryview(data)
             at = first[new]
-            texts = [raw[a:b].decode("utf-8") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            parts, lengths = [self.ids], []
+            for k in range(0, len(at), WORDS_AT_ONCE):
+                own = at[k : k + WORDS_AT_ONCE]
+                texts = [str(raw[a:b], "utf-8") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
+                got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+                parts.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[-1].sum())))
             known.update(zip((listed[i] for i in new), range(len(known), len(known) + len(new)), strict=True))
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32, int(lengths.sum()))])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+            self.ids = np.concatenate(parts)
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(lengths))])
         word = np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[inverse] if len(listed) else np.empty(0, np.int64)
         begin, length = self.offsets[word], self.offsets[word + 1] - self.offsets[word]
         total = np.concatenate([[0], np.cumsum(length)])
