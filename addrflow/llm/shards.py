@@ -27,7 +27,7 @@ RANGE_KEYS = 1 << 20
 #: Stands for a null document id: larger than all others, so never "an earlier document".
 NULL_ID = np.iinfo(np.int64).max
 
-SHARD_SCHEMA = "shard long, n_docs long, raw_bytes long, ids binary, lengths binary, body binary, index array<binary>"
+SHARD_SCHEMA = "shard long, n_docs long, raw_bytes long, ids binary, lengths binary, body binary"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -74,9 +74,8 @@ class Shard:
         return self._body
 
 
-def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, index: Callable[[np.ndarray, np.ndarray], list[bytes]] | None = None) -> DataFrame:
-    """Table of shards over all rows of ``docs``, kept in the shared folder.  ``index`` makes what else is kept of a
-    shard's (bytes, offsets)."""
+def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Table of shards over all rows of ``docs``, kept in the shared folder."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
@@ -85,8 +84,7 @@ def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def flush():
             nonlocal n, ids, parts, lengths, size
             body = np.concatenate(parts) if parts else np.empty(0, np.uint8)
-            kept = index(body, np.r_[0, np.cumsum(np.concatenate(lengths))]) if index is not None else []
-            row = pa.RecordBatch.from_pylist([{"index": kept, "shard": n, "n_docs": sum(map(len, ids)), "raw_bytes": len(body), "ids": pack(np.concatenate(ids)), "lengths": pack(np.concatenate(lengths)), "body": zstandard.ZstdCompressor(level=3).compress(body) if len(body) else b""}], schema=out)
+            row = pa.RecordBatch.from_pylist([{"shard": n, "n_docs": sum(map(len, ids)), "raw_bytes": len(body), "ids": pack(np.concatenate(ids)), "lengths": pack(np.concatenate(lengths)), "body": zstandard.ZstdCompressor(level=3).compress(body) if len(body) else b""}], schema=out)
             n, ids, parts, lengths, size = n + 1, [], [], [], 0
             return row
 
@@ -103,7 +101,7 @@ def make_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield flush()
 
-    out = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("raw_bytes", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary()), ("index", pa.list_(pa.binary()))])
+    out = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("raw_bytes", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("body", pa.binary())])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return stored(rows.mapInArrow(frugal(cut), SHARD_SCHEMA), "shards", "uncompressed")
 
@@ -135,12 +133,31 @@ def exchange(shards: DataFrame, send: Send, merge: Callable[[np.ndarray, list[np
     def sent(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                got = send(row, {k: join_codes(row[k]) for k in known})
-                keys, extra = got[0], got[1:]
-                rows = [(r, row["shard"], pack_sorted(keys[a:b]), [pack(x[a:b]) for x in extra]) for r, a, b in split_ranges(keys, bits)]
+                keys, *extra = send(row, {k: join_codes(row[k]) for k in known})
+                rows = list(by_range(row["shard"], keys, extra, bits))
                 if rows:
-                    r, s, k, x = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(x, pa.list_(pa.binary()))], ["range", "shard", "keys", "extra"])
+                    yield sent_rows(rows)
+
+    return answers(with_replies(shards, replies).mapInArrow(frugal(sent), SENT), merge, name)
+
+
+def by_range(shard: int, keys: np.ndarray, extra: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """Rows of SENT for a shard's sorted keys."""
+    for r, a, b in split_ranges(keys, bits):
+        yield r, shard, pack_sorted(keys[a:b]), [pack(x[a:b]) for x in extra]
+
+
+def sent_rows(rows: list[tuple]) -> pa.RecordBatch:
+    r, s, k, x = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(x, pa.list_(pa.binary()))], ["range", "shard", "keys", "extra"])
+
+
+#: What shards send: sorted keys of one range, and columns of values for each.
+SENT = "range long, shard long, keys binary, extra array<binary>"
+
+
+def answers(sent: DataFrame, merge: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], name: str) -> DataFrame:
+    """(shard, codes) for what shards sent, see ``exchange``."""
 
     def merged(table: pa.Table) -> pa.Table:
         rows = table.select(["shard", "keys", "extra"]).to_pylist()
@@ -151,8 +168,7 @@ def exchange(shards: DataFrame, send: Send, merge: Callable[[np.ndarray, list[np
         edge = np.cumsum([0, *map(len, parts)])
         return pa.table({"shard": pa.array([r["shard"] for r in rows], pa.int64()), "range": pa.array([table["range"][0].as_py()] * len(rows), pa.int64()), "codes": pa.array([pack(codes[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
-    out = with_replies(shards, replies).mapInArrow(frugal(sent), "range long, shard long, keys binary, extra array<binary>")
-    out = out.groupBy("range").applyInArrow(merged, "shard long, range long, codes binary")
+    out = sent.groupBy("range").applyInArrow(merged, "shard long, range long, codes binary")
     return stored(out.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "codes"))).alias("codes")), name)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Rolling, blocks, byte_units, frugal, mix, sliding_min, window_ok
-from .shards import NULL_ID, Shard, distinct_with_docs, earlier_code, exchange, join_codes, make_shards, pack, pack_sorted, range_bits, split_ranges, unpack, unpack_sorted, with_replies
+from .shards import NULL_ID, SENT, Shard, answers, by_range, distinct_with_docs, earlier_code, exchange, join_codes, make_shards, pack, pack_sorted, range_bits, split_ranges, unpack, unpack_sorted, with_replies
 from .workspace import stored
 
 #: Length of the anchors that stand for a window; a window holds window - ANCHOR + 1 of them.
@@ -174,42 +174,32 @@ def _second(data: np.ndarray) -> np.ndarray:
     return mix(byte_units(data) ^ np.uint64(0xD6E8FEB86659FD93))
 
 
-def piece_index(window: int, anchor: int):
-    """What a shard keeps of its pieces: starts, windows, 64-bit anchor hashes and 64-bit hashes of their whole texts.
+class _Pieces:
+    """The pieces of a shard, by anchor, then text, then document: the first of each text stands for the others.
 
     Every window belongs to the least hash among its anchors; a piece is a run of windows with the same."""
 
-    def index(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    def __init__(self, row: dict, window: int):
+        self.shard, self.window = Shard(row), window
+        offsets, anchor = self.shard.offsets, min(ANCHOR, window)
         parts = [np.empty((4, 0), np.uint64)]
         for lo, hi in blocks(offsets, BLOCK_BYTES):
             base = int(offsets[lo])
             own = offsets[lo : hi + 1] - base
-            text = data[base : base + own[-1]]
+            text = self.shard.data[base : base + own[-1]]
             at = np.flatnonzero(window_ok(own, window))
             if not len(at):
                 continue
             # Least hashes are small numbers: mixed again, they fill the key ranges evenly.
             value = mix(sliding_min(Rolling(byte_units(text)).windows(anchor), window - anchor + 1)[at])
-            row = np.searchsorted(own, at, "right") - 1
-            new = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])]
+            of = np.searchsorted(own, at, "right") - 1
+            new = np.r_[True, (value[1:] != value[:-1]) | (of[1:] != of[:-1])]
             start = at[new]
             count = np.diff(np.r_[np.flatnonzero(new), len(at)])
             whole = Rolling(_second(text)).spans(start, start + count + window - 1)
             parts.append(np.stack([(start + base).astype(np.uint64), count.astype(np.uint64), value[new], whole]))
         start, count, key, whole = np.concatenate(parts, axis=1)
-        return [pack(np.diff(start.astype(np.int64), prepend=0)), pack(count.astype(np.int64)), key.tobytes(), whole.tobytes()]
-
-    return index
-
-
-class _Pieces:
-    """The pieces of a shard, by anchor, then text, then document: the first of each text stands for the others."""
-
-    def __init__(self, row: dict, window: int):
-        self.shard, self.window = Shard(row), window
-        starts, windows, key, whole = row["index"]
-        self.start, self.windows = np.cumsum(unpack(starts)), unpack(windows)
-        key, whole = np.frombuffer(key, np.uint64), np.frombuffer(whole, np.int64)
+        self.start, self.windows, whole = start.astype(np.int64), count.astype(np.int64), whole.view(np.int64)
         self.end = self.start + self.windows + window - 1
         doc = self.shard.ids[np.searchsorted(self.shard.offsets, self.start, "right") - 1]
         self.order = np.lexsort((self.start, doc, whole, key))
@@ -301,23 +291,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows that share a doc_id never remove each other's bytes; a null doc_id counts as larger than all others.  Texts under
     ``window`` bytes lose nothing.  Other columns are ignored.
     """
-    shards = make_shards(docs, id_col, text_col, index=piece_index(window, min(ANCHOR, window)))
+    shards = make_shards(docs, id_col, text_col)
 
     def ask(row: dict, known: dict):
         return _Pieces(row, window).tell()
 
-    codes = exchange(shards.drop("body"), ask, _piece_code, range_bits(shards, 0.06), {}, "pieces")
-
-    def ask_windows(row: dict, known: dict):
-        p = _Pieces(row, window)
-        p.learn(known["pieces"])
-        _, _, _, (keys, second), low = p.crowded_windows()
-        return keys, low, second
+    codes = exchange(shards, ask, _piece_code, range_bits(shards, 0.06), {}, "pieces")
 
-    spread = exchange(shards, ask_windows, earlier_code, range_bits(shards, 0.1), {"pieces": codes}, "windows")
-    bits = range_bits(shards, 0.25)
+    bits, window_bits = range_bits(shards, 0.25), range_bits(shards, 0.1)
 
     def send(batches):
+        """Rows with texts of open pieces, and rows without, with the windows under crowded anchors."""
         for batch in batches:
             for row in batch.to_pylist():
                 p = _Pieces(row, window)
@@ -327,19 +311,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows = []
                 for r, a, b in split_ranges(key, bits):
                     body = b"".join(p.shard.data[x:y].tobytes() for x, y in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True))
-                    rows.append((r, row["shard"], pack_sorted(key[a:b]), pack(p.least[wanted[a:b]]), pack(end[a:b] - start[a:b]), zstandard.ZstdCompressor(level=1).compress(body)))
+                    rows.append((r, row["shard"], pack_sorted(key[a:b]), [pack(p.least[wanted[a:b]]), pack(end[a:b] - start[a:b])], zstandard.ZstdCompressor(level=1).compress(body)))
+                _, _, _, (keys, second), low = p.crowded_windows()
+                rows += [(*x, None) for x in by_range(row["shard"], keys, [low, second], window_bits)]
                 if rows:
-                    r, s, *rest = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], ["range", "shard", "keys", "docs", "lengths", "body"])
+                    r, s, k, x, body = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(x, pa.list_(pa.binary())), pa.array(body, pa.binary())], ["range", "shard", "keys", "extra", "body"])
+
+    sent = stored(with_replies(shards, {"pieces": codes}).mapInArrow(frugal(send), f"{SENT}, body binary"), "sent", "uncompressed")
+    spread = answers(sent.where("body IS NULL").drop("body"), earlier_code, "windows")
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = np.concatenate([unpack_sorted(r["keys"]) for r in rows])
-        by = np.concatenate([unpack(r["docs"]) for r in rows])
+        by = np.concatenate([unpack(r["extra"][0]) for r in rows])
         texts: list[np.ndarray] = []
         for r in rows:
             data = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["body"]), np.uint8)
-            edge = np.cumsum(np.r_[0, unpack(r["lengths"])])
+            edge = np.cumsum(np.r_[0, unpack(r["extra"][1])])
             texts += [data[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         # Pieces of one anchor lie together, so that few arrays need merging.
         order = np.argsort(keys, kind="stable")
@@ -348,14 +337,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         place[order] = np.arange(len(order))
         out, lo = [], 0
         for r in rows:
-            n = len(unpack(r["lengths"]))
+            n = len(unpack(r["extra"][1]))
             own = np.concatenate([hits[place[i]] for i in range(lo, lo + n)])
             out.append(zstandard.ZstdCompressor(level=1).compress(np.packbits(own).tobytes()))
             lo += n
         return pa.table({"shard": pa.array([r["shard"] for r in rows], pa.int64()), "range": pa.array([r["range"] for r in rows], pa.int64()), "hits": pa.array(out, pa.binary())})
 
-    sent = with_replies(shards, {"pieces": codes}).mapInArrow(frugal(send), "range long, shard long, keys binary, docs binary, lengths binary, body binary")
-    hits = sent.groupBy("range").applyInArrow(compare, "shard long, range long, hits binary")
+    hits = sent.where("body IS NOT NULL").groupBy("range").applyInArrow(compare, "shard long, range long, hits binary")
     hits = stored(hits.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("range", "hits"))).alias("codes")), "hits")
 
     def finish(batches):
