@@ -39,9 +39,9 @@ def deepest_unit(codes: Column) -> Column:
     return F.array_max(F.transform(fit, lambda x: F.struct(F.length(x).alias("n"), x.alias("code"))))["code"]
 
 
-def point_hash(*parts: Column) -> Column:
+def point_hash(*parts: Column | str) -> Column:
     """SHA-256 of the fields that make a point what it is; missing ones count as empty."""
-    return F.sha2(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+    return F.sha2(F.concat_ws("\u0001", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts)), 256)
 
 
 def coordinate_text(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from addrflow.functions.codes import pad
@@ -35,6 +35,11 @@ def resolve_locality_refs(df: DataFrame, localities: DataFrame, ref: str = "loca
     return joined.withColumn("simc", F.coalesce("_simc", digits)).drop("_id", "_simc")
 
 
+def resolve_refs(points: DataFrame, streets: DataFrame, localities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(points, streets) with the ``simc`` of their locality references."""
+    return tuple(resolve_locality_refs(df.drop("simc"), localities) for df in (points, streets))
+
+
 def link_streets(points: DataFrame, staged: DataFrame, catalogue: DataFrame, ref: str = "street_ref") -> DataFrame:
     """``street_id`` of each point, by three paths, then only streets that exist.
 
@@ -44,7 +49,7 @@ def link_streets(points: DataFrame, staged: DataFrame, catalogue: DataFrame, ref
     cat = catalogue.select("street_id", "simc", "sym_ul", "name_norm", "kind")
     by_code = cat.where("sym_ul IS NOT NULL").select("simc", "sym_ul", "street_id")
     by_name = cat.groupBy("simc", "name_norm", "kind").agg(F.min("street_id").alias("by_name"))
-    via = staged.join(by_code, ["simc", "sym_ul"], "left").alias("s").join(by_name.alias("n"), (F.col("s.simc") == F.col("n.simc")) & (F.col("s.name_norm") == F.col("n.name_norm")) & F.col("s.kind").eqNullSafe(F.col("n.kind")), "left")
+    via = staged.drop("street_id").join(by_code, ["simc", "sym_ul"], "left").alias("s").join(by_name.alias("n"), (F.col("s.simc") == F.col("n.simc")) & (F.col("s.name_norm") == F.col("n.name_norm")) & F.col("s.kind").eqNullSafe(F.col("n.kind")), "left")
     via = via.select(F.col("s.gml_id").alias("gml_id"), F.col("s.simc").alias("simc"), F.col("s.sym_ul").alias("sym_ul"), F.coalesce("s.street_id", "n.by_name").alias("target"))
     path1 = via.where("gml_id IS NOT NULL AND target IS NOT NULL").groupBy(F.col("gml_id").alias(ref)).agg(F.min("target").alias("_1"))
     path2 = via.where("sym_ul IS NOT NULL AND target IS NOT NULL").groupBy("simc", F.col("sym_ul").alias("_code")).agg(F.min("target").alias("_2"))
@@ -70,7 +75,3 @@ def dominant_postal_code(points: DataFrame, by: list[str]) -> DataFrame:
     """The commonest postal code of each group; of equal ones the least."""
     seen = active(points).where("postal_code IS NOT NULL").groupBy(*by, "postal_code").agg(F.count("*").alias("n"))
     return seen.groupBy(*by).agg(F.max_by("postal_code", F.struct("n", F.negative(F.conv(F.regexp_replace("postal_code", "-", ""), 10, 10).cast("long")))).alias("dominant_code"))
-
-
-def first_rank(keys: list[str], order) -> F.Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

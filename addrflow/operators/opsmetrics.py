@@ -71,16 +71,15 @@ def bucket_percentile(histogram: DataFrame, share: float) -> DataFrame:
 
 def alerts(metrics: DataFrame, rules: dict[str, tuple[str, str, float]]) -> DataFrame:
     """(alert, metric, value) where a rule (metric, operator, limit) holds over (metric, value) rows."""
-    out = None
-    for name, (metric, operator, limit) in rules.items():
-        hit = metrics.where((F.col("metric") == metric) & F.expr(f"value {operator} {limit}")).select(F.lit(name).alias("alert"), "metric", "value")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    hits = [F.when((F.col("metric") == m) & F.expr(f"value {operator} {limit}"), F.lit(name)) for name, (m, operator, limit) in rules.items()]
+    return metrics.select(F.explode(F.array_compact(F.array(*hits))).alias("alert"), "metric", "value")
+
 
+def traffic(events: DataFrame, width: str = "5 minutes", accuracy: int = 10_000) -> DataFrame:
+    """Requests per second and latency percentiles of each endpoint and window.
 
-def traffic(events: DataFrame, width: str = "5 minutes") -> DataFrame:
-    """Requests per second and latency percentiles of each endpoint and window."""
+    A percentile is the least value that this share of the requests doesn't exceed, to one rank in ``accuracy``."""
     w = F.window("ts", width)
-    out = events.groupBy(w.alias("w"), "route").agg(F.count("*").alias("n"), F.percentile_approx("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), 1000).alias("p"))
+    out = events.groupBy(w.alias("w"), "route").agg(F.count("*").alias("n"), F.percentile_approx("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), accuracy).alias("p"))
     seconds = F.unix_seconds("w.end") - F.unix_seconds("w.start")
     return out.select(F.col("w.start").alias("start"), "route", (F.col("n") / seconds).alias("per_second"), F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))

@@ -111,27 +111,40 @@ def merge_duplicate_streets(streets: DataFrame, points: DataFrame, keys: list[st
     return kept, moved
 
 
+def merge_all_duplicates(streets: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(streets, points) after both passes (P12): streets with a code are one for each (simc, sym_ul), then those without
+    one for each (simc, name_norm, kind), a missing kind being a kind of its own."""
+    coded, points = merge_duplicate_streets(streets.where("sym_ul IS NOT NULL"), points, ["simc", "sym_ul"])
+    bare, points = merge_duplicate_streets(streets.where("sym_ul IS NULL"), points, ["simc", "name_norm", "kind"])
+    return coded.unionByName(bare), points
+
+
+def _lines(df: DataFrame, **values) -> DataFrame:
+    """One row (measure, value) for each aggregate, by a single pass."""
+    names = list(values)
+    one = df.agg(*(F.coalesce(v.cast("long"), F.lit(0)).alias(k) for k, v in values.items()))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in names))))
+
+
 def merge_report(streets: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Measures of a street catalogue, to compare before and after a merge."""
-    groups = streets.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("sym_ul").alias("codes"))
-    named = streets.groupBy("simc", "name_norm").agg(F.count_distinct("sym_ul").alias("codes"))
-    linked = points.where("street_id IS NOT NULL")
-
-    def line(df: DataFrame, measure: str, value) -> DataFrame:
-        return df.agg(value.cast("long").alias("value")).select(F.lit(measure).alias("measure"), F.coalesce("value", F.lit(0)).alias("value"))
-
-    used = streets.join(linked.select("street_id").distinct(), "street_id", "left_anti")
-    orphans = linked.join(streets.select("street_id"), "street_id", "left_anti")
-    return union_all(
-        line(streets, "streets", F.count("*")),
-        line(groups, "duplicate_groups", F.count_if(F.col("n") > 1)),
-        line(groups, "surplus_rows", F.sum(F.col("n") - 1)),
-        line(named, "names_with_several_codes", F.count_if(F.col("codes") > 1)),
-        line(streets, "streets_without_kind", F.count_if(F.col("kind").isNull())),
-        line(used, "streets_without_points", F.count("*")),
-        line(orphans, "points_of_missing_streets", F.count("*")),
-        line(linked, "points_with_street", F.count("*")),
-    )
+    """Measures of a street catalogue, to compare before and after a merge.
+
+    Points meet the streets once; streets are counted by key, by name and alone."""
+    linked = active(points).where("street_id IS NOT NULL").groupBy("street_id").agg(F.count("*").alias("n"))
+    joined = linked.join(active(streets).select("street_id", F.lit(1).alias("known")), "street_id", "full_outer")
+    own, missing = F.col("known").isNotNull(), F.col("known").isNull()
+    counts = _lines(joined, streets=F.count("known"), streets_without_points=F.count_if(own & F.col("n").isNull()), points_of_missing_streets=F.sum(F.when(missing, F.col("n"))), points_with_street=F.sum("n"))
+    groups = active(streets).groupBy(*keys).agg(F.count("*").alias("n"))
+    doubles = _lines(groups, duplicate_groups=F.count_if(F.col("n") > 1), surplus_rows=F.sum(F.col("n") - 1))
+    coded = active(streets).groupBy("simc", "name_norm").agg(F.count_distinct("sym_ul").alias("codes"), F.count_if(F.col("kind").isNull()).alias("bare"), F.count_if(F.col("sym_ul").isNull()).alias("uncoded"))
+    names = _lines(coded, names_with_several_codes=F.count_if(F.col("codes") > 1), streets_without_kind=F.sum("bare"), streets_without_code=F.sum("uncoded"))
+    return union_all(counts, doubles, names, _lines(active(points), points=F.count("*")))
+
+
+def merge_comparison(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], keys: list[str]) -> DataFrame:
+    """(measure, before, after) of two states, each (streets, points): what a merge did."""
+    a, b = (merge_report(*x, keys) for x in (before, after))
+    return a.withColumnRenamed("value", "before").join(b.withColumnRenamed("value", "after"), "measure")
 
 
 def merge_secondary(primary: DataFrame, secondary: DataFrame, first: str, second: str, accept: bool = False) -> DataFrame:
@@ -144,6 +157,3 @@ def merge_secondary(primary: DataFrame, secondary: DataFrame, first: str, second
     extra = match_by_key(secondary, primary.select(first, second), first, second, "left_anti").withColumn("accepted", F.lit(True))
     return own.unionByName(extra, allowMissingColumns=True)
 
-
-def published_active(merged: DataFrame) -> DataFrame:
-    return active(merged)

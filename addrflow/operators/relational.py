@@ -62,10 +62,9 @@ def prefix_join(queries: DataFrame, keys: DataFrame, probe: str, key: str, width
     """Rows of ``keys`` that start with each query's ``probe``.
 
     Equality on the first ``width`` characters does the shuffle: a probe shorter than that meets keys by their own prefix of
-    its length, so keys are listed once for each shorter length that some probe has."""
-    lengths = [r[0] for r in queries.select(F.least(F.length(probe), F.lit(width)).alias("n")).distinct().collect() if r[0]]
-    right = keys.withColumn("_head", F.explode(F.array(*(F.substring(key, 1, n) for n in sorted(lengths))))) if lengths else keys.withColumn("_head", F.lit(None).cast("string"))
-    left = queries.withColumn("_head", F.substring(F.col(probe), 1, width))
+    its length, so keys are listed once for each length up to ``width``."""
+    right = keys.withColumn("_head", F.explode(F.array(*(F.substring(key, 1, n) for n in range(1, width + 1)))))
+    left = queries.where(F.length(probe) > 0).withColumn("_head", F.substring(F.col(probe), 1, width))
     return left.join(right.distinct(), "_head").where(F.startswith(F.col(key), F.col(probe))).drop("_head")
 
 

@@ -10,11 +10,11 @@ from addrflow.functions.streets import leading_type_offset, short_street_name, s
 from addrflow.functions.text import normalize_text, tokenize
 
 from .addresses import active, unit_names
-from .relational import prefix_join, top_k, union_all
+from .relational import top_k, union_all
 
-#: Words that keys leave out, most words of a key, characters of the equality part of the prefix join.
+#: Words that keys leave out, most words of a key, characters of the shortest probe of a cut word.
 STOP_WORDS = ("ul", "al", "pl", "os", "im")
-KEY_WORDS, KEY_HEAD, SHORTEST = 6, 4, 4
+KEY_WORDS, SHORTEST = 6, 4
 
 
 def build_docs(localities: DataFrame, streets: DataFrame, units: DataFrame) -> DataFrame:
@@ -58,57 +58,90 @@ def probes(queries: DataFrame) -> DataFrame:
     return q.select(*q.columns, F.posexplode(F.concat(F.array("q"), by_length, cut)).alias("level", "probe"))
 
 
-def candidates(queries: DataFrame, docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(query_id, q, doc_id, key) of the first level of probes that hits after the filters.
+def prefix_index(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(prefix, key, doc_id, type, simc): every prefix of every key, so that a lookup is an equality."""
+    rows = keys.join(docs.select("doc_id", "type", "simc"), "doc_id")
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))
+    return rows.where("key <> ''").select(F.explode(prefixes).alias("prefix"), "key", "doc_id", "type", "simc")
 
-    ``queries`` may carry ``want_type`` and ``want_simc``.  All hits of the level are kept, so that a short probe can't
-    miss the best label."""
-    p = probes(queries)
-    kind = docs.select("doc_id", "type", "simc")
-    hits = prefix_join(p, keys, "probe", "key", KEY_HEAD).join(kind, "doc_id")
-    if "want_type" in queries.columns:
-        hits = hits.where(F.col("want_type").isNull() | (F.col("want_type") == F.col("type")))
-    if "want_simc" in queries.columns:
-        hits = hits.where(F.col("want_simc").isNull() | (F.col("want_simc") == F.col("simc")))
-    hits = hits.withColumn("best", F.min("level").over(Window.partitionBy("query_id"))).where("level = best")
-    return hits.groupBy("query_id", "q", "doc_id").agg(F.min("key").alias("key"))
 
+def candidates(queries: DataFrame, docs: DataFrame, keys: DataFrame, optional: bool = False) -> DataFrame:
+    """(query_id, q, doc_id, key) of the first level of probes that hits after the filters.
 
-def score(q: Column, label: Column, points: Column, locality_points: Column) -> Column:
-    """Rank of a label for a normalised query (F4); 0 if no word of the query is in it."""
-    text = let(normalize_text(label), lambda n: F.struct(n.alias("n"), leading_type_offset(n).alias("offset"), F.split(n, " ").alias("words")))
+    ``queries`` may carry ``want_type`` and ``want_simc``; with ``optional``, a null there asks for everything, without it
+    finds nothing.  First each query's lowest level with any hit is found, then only
+    that level's probe meets the keys.  All its hits are kept, so that a short probe can't miss the best label."""
+    index = prefix_index(docs, keys)
+    wanted = [c for c in ("want_type", "want_simc") if c in queries.columns]
+
+    def found(p: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
+        cond = F.col("probe") == F.col("prefix")
+        for want, have in on:
+            cond = cond & (F.col(want) == F.col(have))
+        return p.join(index, cond, how)
+
+    # Queries with the same filters share a join whose keys are all equalities.
+    p, out = probes(queries), None
+    for bits in range(1 << len(wanted)) if optional else [(1 << len(wanted)) - 1]:
+        given = [w for k, w in enumerate(wanted) if bits >> k & 1]
+        own = p
+        for w in wanted if optional else []:
+            own = own.where(F.col(w).isNotNull() if w in given else F.col(w).isNull())
+        on = [(w, w[5:]) for w in given]
+        best = found(own, on, "left_semi").groupBy("query_id", "q", *given).agg(F.min_by("probe", "level").alias("probe"))
+        hits = found(best, on, "inner").groupBy("query_id", "q", "doc_id").agg(F.min("key").alias("key"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """Documents with what their score needs and no query changes: ``norm``, ``offset``, ``words``, ``weight``."""
+    weight = 30.0 * F.log10(F.col("n_points") + 1.0) + 25.0 * F.log10(F.col("locality_points") + 1.0)
+    out = docs.withColumn("norm", normalize_text(F.col("label"))).withColumn("weight", weight)
+    return out.withColumn("offset", leading_type_offset(F.col("norm"))).withColumn("words", F.split("norm", " "))
+
+
+def score(q: Column) -> Column:
+    """Rank of a ``measured`` document for a normalised query (F4); 0 if no word of the query is in it.
+
+    Where the query's words stand in the label as they are, at a word's start, every word is found without edits: only the
+    other labels need edit distances."""
+    norm, words, offset = F.col("norm"), F.col("words"), F.col("offset")
+    plain = F.startswith(norm, q)
+    moved = ~plain & (offset > 0) & F.startswith(F.substr(norm, offset + 1), q)
+    whole = plain | moved | F.contains(norm, F.concat(F.lit(" "), q))
+    bonus = F.when(plain | moved, 1000.0).when(F.contains(norm, q), 500.0).otherwise(0.0)
+    rest = F.col("weight") - 1.5 * F.least(F.length(norm) - F.when(moved, offset).otherwise(0), F.lit(60))
 
     def distance(x: Column, t: Column) -> Column:
         return F.when(F.startswith(x, t), 0).when(F.abs(F.length(x) - F.length(t)) <= 2, F.nullif(F.levenshtein(t, x, 2), F.lit(-1)))
 
-    def measured(d: Column) -> Column:
-        edits = F.transform(F.split(q, " "), lambda t: F.array_min(F.transform(d["words"], lambda x: distance(x, t))))
-        plain = F.startswith(d["n"], q)
-        moved = ~plain & (d["offset"] > 0) & F.startswith(F.substr(d["n"], d["offset"] + 1), q)
-        return F.struct(d["n"].alias("n"), d["offset"].alias("offset"), plain.alias("plain"), moved.alias("moved"), edits.alias("edits"))
-
-    def value(m: Column) -> Column:
-        found = F.size(F.filter(m["edits"], lambda e: e.isNotNull()))
-        total = F.aggregate(m["edits"], F.lit(0), lambda a, e: a + F.coalesce(e, F.lit(0)))
-        bonus = F.when(m["plain"] | m["moved"], 1000.0).when(F.contains(m["n"], q), 500.0).otherwise(0.0)
-        length = F.least(F.length(m["n"]) - F.when(m["moved"], m["offset"]).otherwise(0), F.lit(60))
-        rank = bonus + 600.0 * found / F.size(m["edits"]) - 40.0 * total + 30.0 * F.log10(points + 1.0) + 25.0 * F.log10(locality_points + 1.0) - 1.5 * length
-        return F.when(found == 0, 0.0).otherwise(rank)
+    def value(edits: Column) -> Column:
+        found = F.size(F.filter(edits, lambda e: e.isNotNull()))
+        total = F.aggregate(edits, F.lit(0), lambda a, e: a + F.coalesce(e, F.lit(0)))
+        return F.when(found == 0, 0.0).otherwise(bonus + 600.0 * found / F.size(edits) - 40.0 * total + rest)
 
-    return let(let(text, measured), value)
+    edits = F.transform(F.split(q, " "), lambda t: F.array_min(F.transform(words, lambda x: distance(x, t))))
+    return F.when(whole, bonus + 600.0 + rest).otherwise(let(edits, value))
 
 
-def suggest(queries: DataFrame, docs: DataFrame, keys: DataFrame, k: int = 10) -> DataFrame:
+def suggest(queries: DataFrame, docs: DataFrame, keys: DataFrame, k: int = 10, optional: bool = False) -> DataFrame:
     """The best ``k`` documents of each query, with display fields."""
-    joined = candidates(queries, docs, keys).join(docs, "doc_id")
-    scored = joined.withColumn("score", score(F.col("q"), F.col("label"), F.col("n_points"), F.col("locality_points"))).where("score <> 0")
+    joined = candidates(queries, docs, keys, optional).join(measured(docs), "doc_id")
+    scored = joined.withColumn("score", score(F.col("q"))).where("score <> 0")
     best = top_k(scored, ["query_id"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], k)
     parts = split_label(F.col("label"))
     return best.select("query_id", "rank", "doc_id", "type", "label", "simc", "street_id", F.when(F.col("type") == "street", parts["street"]).alias("street"), "commune", "county", "voivodeship", "has_streets", "n_points", "score")
 
 
+def streets_matching(queries: DataFrame, docs: DataFrame, keys: DataFrame, k: int = 20) -> DataFrame:
+    """The best ``k`` streets for a text within a locality: queries have query_id, q, simc."""
+    asked = queries.select("query_id", "q", F.col("simc").alias("want_simc"), F.lit("street").alias("want_type"))
+    return suggest(asked, docs, keys, k)
+
+
 def streets_of(simcs: DataFrame, docs: DataFrame) -> DataFrame:
-    """All streets of the given localities, by points, then label."""
+    """All streets of the given localities, by points, then label (F6 without a text)."""
     rows = docs.where("type = 'street'").join(simcs.select("simc").distinct(), "simc", "left_semi")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("simc").orderBy(F.desc("n_points"), "label", "doc_id"))).select("simc", "rank", "street_id", "label", "n_points")
 

@@ -32,9 +32,17 @@ def monthly_usage(usage: DataFrame, keys: DataFrame, period) -> DataFrame:
 
 
 def quota_flags(events: DataFrame, clients: DataFrame) -> DataFrame:
-    """Events with the units billed before them in the month, and whether the quota rejects them."""
-    before = Window.partitionBy("client_id", "period").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    counted = billed(events).withColumn("used_before", F.coalesce(F.sum("units").over(before), F.lit(0)))
+    """Events with the units billed before them in the month, and whether the quota rejects them.
+
+    A busy client's month is no single task: units are summed by hour first, then only the events of an hour are put in
+    order."""
+    own = billed(events).withColumn("_hour", F.date_trunc("hour", "ts"))
+    hours = own.groupBy("client_id", "period", "_hour").agg(F.sum("units").alias("_units"))
+    earlier = Window.partitionBy("client_id", "period").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("client_id", "period", "_hour", F.coalesce(F.sum("_units").over(earlier), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("client_id", "period", "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = own.withColumn("_inside", F.coalesce(F.sum("units").over(before), F.lit(0))).join(hours, ["client_id", "period", "_hour"])
+    counted = counted.withColumn("used_before", F.col("_base") + F.col("_inside")).drop("_hour", "_base", "_inside")
     out = counted.join(clients.select("client_id", "monthly_quota"), "client_id")
     return out.withColumn("rejected", F.coalesce(F.col("used_before") >= F.col("monthly_quota"), F.lit(False)))
 
@@ -46,6 +54,12 @@ def key_state(keys: DataFrame, clients: DataFrame, as_of) -> DataFrame:
     return keys.join(clients.select("client_id", "suspended_at"), "client_id").withColumn("state", state)
 
 
+def address_limit_flags(events: DataFrame, per_minute: int = 60) -> DataFrame:
+    """Minutes in which an address made more requests than ``per_minute`` without a verified client."""
+    seen = events.where("client_id IS NULL").groupBy("address", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").alias("requests"))
+    return seen.withColumn("limited", F.col("requests") > per_minute)
+
+
 def rate_limit_flags(events: DataFrame, keys: DataFrame, clients: DataFrame) -> DataFrame:
     """Minutes in which a client made more requests than the lesser of its and the key's limit."""
     limits = keys.join(clients.select("client_id", F.col("per_minute").alias("_client")), "client_id").groupBy("client_id").agg(F.min(F.least("per_minute", "_client")).alias("per_minute_limit"))

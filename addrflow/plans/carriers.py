@@ -50,6 +50,17 @@ FROM {point} WHERE k % 11 <> 0 AND (k % 29 <> 0 OR k % 4 = 0)""",
 SELECT 'Z-' || cast(k AS string) AS id, CASE WHEN k % 4 = 0 THEN NULL ELSE p.simc END AS simc, l.name_norm AS locality_norm, s.name_norm AS street_norm,
        number_key || CASE WHEN k % 6 = 0 THEN 'x' ELSE '' END AS number_key, CASE WHEN k % 15 = 1 THEN '99-999' ELSE postal_code END AS postal_code
 FROM {point} p JOIN {locality} l ON p.simc = l.simc LEFT JOIN {street} s ON p.street_id = s.street_id WHERE k % 2 = 0""",
+    "line": """
+SELECT query_id, postal AS expected_postal, CASE WHEN box THEN split_part(place, ' ', 1) ELSE place END AS expected_locality, CASE WHEN NOT box THEN kind END AS expected_kind, CASE WHEN NOT box THEN road END AS expected_street,
+       CASE WHEN NOT box THEN split_part(number, '/', 1) END AS expected_building, CASE WHEN NOT box AND number LIKE '%/%' THEN split_part(number, '/', 2) END AS expected_flat,
+       CASE WHEN NOT box AND number LIKE '%/%' AND number NOT LIKE '%A%' THEN number ELSE '' END AS expected_other, box,
+       CASE WHEN box THEN 'skr. poczt. 15, ' || place ELSE coalesce(kind || ' ' || road, place) || ' ' || number || ', ' || coalesce(CASE WHEN k % 8 = 1 THEN replace(postal, '-', '') ELSE postal END || ' ', '') || place END AS line
+FROM (SELECT point_id AS query_id, k, k % 43 = 0 AS box, CASE WHEN k % 31 = 0 THEN 'Nigdzie' WHEN k % 41 = 0 THEN replace(l.name, 'U', 'O') ELSE l.name END AS place,
+             s.kind, CASE WHEN k % 29 = 0 THEN replace(s.name, 'E', 'F') ELSE s.name END AS road, CASE WHEN k % 37 = 0 THEN '9999' ELSE number END AS number,
+             CASE WHEN k % 43 = 0 OR k % 4 = 0 THEN NULL WHEN k % 59 = 2 AND k % 8 <> 1 THEN '00-000' ELSE postal_code END AS postal
+      FROM {point} p JOIN {locality} l ON p.simc = l.simc LEFT JOIN {street} s ON p.street_id = s.street_id) x""",
+    "leaky": """
+SELECT doc_id, text || ' ' || CASE doc_id % 9 WHEN 0 THEN 'key adr_live_Ab1_Ab1_Ab1_Ab1_Ab1_Ab1_Ab1_Ab1__EK-ZSQ end' WHEN 1 THEN 'adr_test_aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa_yrEXdw' WHEN 2 THEN 'adr_live_aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa_AAAAAA' ELSE 'adr_live_short_AAAAAA' END AS text FROM {documents}""",
     "client": """
 SELECT c_custkey AS client_id, c_name AS client_name, cast(20 + c_custkey % 60 AS bigint) AS monthly_quota, cast(1 + c_custkey % 3 AS int) AS per_minute, CASE WHEN c_custkey % 40 = 3 THEN timestamp '2024-01-10 00:00:00' END AS suspended_at FROM {customer}""",
     "key": """

@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrflow.functions.codes import build_terc, match_key_name
-from addrflow.functions.geo import to_wgs84
-from addrflow.functions.numbers import building_key, building_sort_key, canonical_building, looks_like_building_number
+from addrflow.functions.numbers import building_key, building_sort_key, canonical_building
 from addrflow.functions.postal import is_placeholder_postal, is_valid_postal, normalize_postal
 from addrflow.functions.text import clean_text, normalize_text, tokenize
 from addrflow.operators import addresses, compare, lookup, opsmetrics, publish, quality, search, usage, validate
 from addrflow.operators.relational import distinct_on, top_k, union_all
+from addrflow.sources.scratch import scratch_folder
 
-from .carriers import carrier, with_carriers
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-AS_OF = "2024-02-01 00:00:00"
-
-
-def query(name: str, *tables: str, sql: str | None = None):
-    """Register a function of the named tables as a query, and its oracle."""
+from . import cycles, ingestion, scalars  # noqa: F401  (they register queries of their own)
+from .register import AS_OF, ORACLES, QUERIES, query
 
-    def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*(carrier(spark, sf_dir, t) for t in tables))
-        if sql:
-            ORACLES[name] = with_carriers(sql, *tables)
-        return f
-
-    return register
+__all__ = ["AS_OF", "ORACLES", "QUERIES"]
 
 
 # --- Joins and derived data ---------------------------------------------------------------------------------------------
@@ -180,21 +164,43 @@ def _(street, point):
     return publish.merge_duplicate_streets(street, point, ["simc", "kind"])[1].select("point_id", "street_id")
 
 
-@query(
-    "merge_report",
-    "street",
-    "point",
-    sql="""
-WITH g AS (SELECT simc, kind, count(*) AS n FROM street GROUP BY ALL), m AS (SELECT simc, name_norm, count(DISTINCT sym_ul) AS c FROM street GROUP BY ALL)
-SELECT 'streets' AS measure, count(*) AS value FROM street UNION ALL SELECT 'duplicate_groups', count(*) FROM g WHERE n > 1 UNION ALL SELECT 'surplus_rows', cast(coalesce(sum(n - 1), 0) AS bigint) FROM g
-UNION ALL SELECT 'names_with_several_codes', count(*) FROM m WHERE c > 1 UNION ALL SELECT 'streets_without_kind', count(*) FROM street WHERE kind IS NULL
-UNION ALL SELECT 'streets_without_points', count(*) FROM street WHERE street_id NOT IN (SELECT street_id FROM point WHERE street_id IS NOT NULL)
-UNION ALL SELECT 'points_of_missing_streets', count(*) FROM point WHERE street_id IS NOT NULL AND street_id NOT IN (SELECT street_id FROM street) UNION ALL SELECT 'points_with_street', count(*) FROM point WHERE street_id IS NOT NULL""",
-)
+REPORT = """
+g AS (SELECT simc, kind, count(*) AS n FROM {s} GROUP BY ALL), m AS (SELECT simc, name_norm, count(DISTINCT sym_ul) AS c FROM {s} GROUP BY ALL)
+SELECT 'streets' AS measure, count(*) AS value FROM {s} UNION ALL SELECT 'duplicate_groups', count(*) FROM g WHERE n > 1 UNION ALL SELECT 'surplus_rows', cast(coalesce(sum(n - 1), 0) AS bigint) FROM g
+UNION ALL SELECT 'names_with_several_codes', count(*) FROM m WHERE c > 1 UNION ALL SELECT 'streets_without_kind', count(*) FROM {s} WHERE kind IS NULL UNION ALL SELECT 'streets_without_code', count(*) FROM {s} WHERE sym_ul IS NULL
+UNION ALL SELECT 'streets_without_points', count(*) FROM {s} WHERE street_id NOT IN (SELECT street_id FROM {p} WHERE street_id IS NOT NULL) UNION ALL SELECT 'points', count(*) FROM {p}
+UNION ALL SELECT 'points_of_missing_streets', count(*) FROM {p} WHERE street_id IS NOT NULL AND street_id NOT IN (SELECT street_id FROM {s}) UNION ALL SELECT 'points_with_street', count(*) FROM {p} WHERE street_id IS NOT NULL"""
+
+
+@query("merge_report", "street", "point", sql="WITH " + REPORT.format(s="street", p="point"))
 def _(street, point):
     return publish.merge_report(street, point, ["simc", "kind"])
 
 
+BOTH_PASSES = """
+st AS (SELECT * REPLACE (CASE WHEN sym_ul IN ('00003', '00005') AND cast(simc AS bigint) % 2 = 0 THEN NULL WHEN sym_ul = '00002' THEN '00001' ELSE sym_ul END AS sym_ul, CASE WHEN sym_ul = '00005' THEN 'medium' ELSE name_norm END AS name_norm, CASE WHEN sym_ul = '00001' THEN NULL ELSE kind END AS kind) FROM street),
+c AS (SELECT s.*, (SELECT count(*) FROM point p WHERE p.street_id = s.street_id) AS n FROM st s),
+r AS (SELECT street_id, n, name, official, kind, first_value(street_id) OVER (PARTITION BY sym_ul IS NULL, simc, coalesce(sym_ul, name_norm || '|' || kind) ORDER BY n DESC, street_id) AS survivor FROM c)"""
+
+
+@query("merge_both_passes", "street", "point", sql=f"WITH {BOTH_PASSES} SELECT survivor AS street_id, cast(sum(n) AS bigint) AS n_points, coalesce(min_by(name, street_id) FILTER (official), max(name) FILTER (street_id = survivor)) AS name, coalesce(max(kind) FILTER (street_id = survivor), min(kind)) AS kind FROM r GROUP BY 1")
+def _(street, point):
+    return publish.merge_all_duplicates(_doubled(street), point)[0].select("street_id", "n_points", "name", "kind")
+
+
+@query("merge_comparison", "street", "point", sql=f"WITH {BOTH_PASSES}, st2 AS (SELECT * FROM st WHERE street_id IN (SELECT survivor FROM r)), p2 AS (SELECT p.* REPLACE (r.survivor AS street_id) FROM point p LEFT JOIN r ON p.street_id = r.street_id), k2 AS (SELECT r.survivor AS street_id, coalesce(max(kind) FILTER (r.street_id = survivor), min(kind)) AS kind FROM r GROUP BY 1), st3 AS (SELECT s.* REPLACE (k2.kind AS kind) FROM st2 s JOIN k2 ON s.street_id = k2.street_id), a AS (WITH {REPORT.format(s='st', p='point')}), b AS (WITH {REPORT.format(s='st3', p='p2')}) SELECT a.measure, a.value AS before, b.value AS after FROM a JOIN b ON a.measure = b.measure WHERE a.measure <> 'names_with_several_codes'")
+def _(street, point):
+    before = (_doubled(street), point)
+    return publish.merge_comparison(before, publish.merge_all_duplicates(*before), ["simc", "kind"]).where("measure <> 'names_with_several_codes'")
+
+
+def _doubled(street):
+    """Streets with codes that occur twice, streets without codes, some of them alike, and streets without a kind."""
+    odd = F.col("simc").cast("bigint") % 2 == 0
+    code = F.when(F.col("sym_ul").isin("00003", "00005") & odd, None).when(F.col("sym_ul") == "00002", "00001").otherwise(F.col("sym_ul"))
+    return street.select("street_id", "simc", code.alias("sym_ul"), F.when(F.col("sym_ul") != "00001", F.col("kind")).alias("kind"), "name", F.when(F.col("sym_ul") == "00005", "medium").otherwise(F.col("name_norm")).alias("name_norm"), "official", "withdrawn")
+
+
 # --- Quality gates ------------------------------------------------------------------------------------------------------
 
 
@@ -272,6 +278,16 @@ def _index(locality, street, unit, point):
     return docs, search.build_keys(docs)
 
 
+def _stored_index(docs, keys):
+    """The index as a search has it: written once, read by every query."""
+    out = []
+    for name, df in (("docs", docs), ("keys", keys)):
+        path = scratch_folder(df.sparkSession, name)
+        df.write.parquet(path)
+        out.append(df.sparkSession.read.schema(df.schema).parquet(path))
+    return out
+
+
 DOCS = """
 lp AS (SELECT simc, count(*) AS n FROM point GROUP BY 1), sp AS (SELECT street_id, count(*) AS n FROM point WHERE street_id IS NOT NULL GROUP BY 1),
 loc AS (SELECT l.*, coalesce(n, 0) AS pts, l.simc IN (SELECT simc FROM street) AS hs FROM locality l LEFT JOIN lp ON l.simc = lp.simc WHERE l.withdrawn IS NULL),
@@ -303,26 +319,30 @@ def _(locality, street, unit, point):
     return search.streets_of(locality, docs).select("simc", "label", "n_points", "rank")
 
 
-@query(
-    "suggest",
-    *_INDEXED,
-    sql=f"""WITH {DOCS},
-q AS (SELECT simc AS query_id, lower(CASE WHEN cast(simc AS bigint) % 3 = 0 THEN substring(name, 1, 6) WHEN cast(simc AS bigint) % 3 = 1 THEN name ELSE replace(name, 'U', 'O') END) AS q FROM locality WHERE cast(simc AS bigint) % 20 = 0),
-w AS (SELECT query_id, q, list_filter(string_split(q, ' '), lambda x: x <> '') AS t FROM q),
-sorted AS (SELECT query_id, q, (SELECT list(x ORDER BY length(x) DESC, x) FROM (SELECT unnest(w.t) AS x)) AS t FROM w),
-pr AS (SELECT query_id, q, unnest(p) AS probe, generate_subscripts(p, 1) AS level FROM (SELECT query_id, q, list_concat([q], t, CASE WHEN length(t[1]) > 4 THEN list_transform(range(length(t[1]) - 1, 3, -1), lambda n: t[1][1:n]) ELSE [] END) AS p FROM sorted)),
-hit AS (SELECT pr.*, keys.key, keys.doc_id, min(level) OVER (PARTITION BY query_id) AS best FROM pr JOIN keys ON starts_with(keys.key, pr.probe)),
-c AS (SELECT query_id, q, doc_id, min(key) AS key FROM hit WHERE level = best GROUP BY ALL),
-n AS (SELECT c.*, d.label, d.n_points, d.locality_points, trim(regexp_replace(lower(d.label), '[^a-z0-9]+', ' ', 'g')) AS norm FROM c JOIN docs d ON c.doc_id = d.doc_id),
-o AS (SELECT *, CASE WHEN split_part(norm, ' ', 1) IN ('ulica', 'ul', 'aleja', 'al', 'plac', 'pl') AND position(' ' IN norm) < length(norm) THEN position(' ' IN norm) ELSE 0 END AS off, string_split(q, ' ') AS qt, string_split(norm, ' ') AS nt FROM n),
-e AS (SELECT *, NOT starts_with(norm, q) AND off > 0 AND starts_with(substring(norm, off + 1), q) AS moved,
-  list_transform(qt, lambda t: list_min(list_transform(nt, lambda x: CASE WHEN starts_with(x, t) THEN 0 WHEN abs(length(x) - length(t)) <= 2 AND levenshtein(t, x) <= 2 THEN levenshtein(t, x) END))) AS ed FROM o),
-s AS (SELECT *, CASE WHEN len(list_filter(ed, lambda v: v IS NOT NULL)) = 0 THEN 0 ELSE CASE WHEN starts_with(norm, q) OR moved THEN 1000.0 WHEN contains(norm, q) THEN 500.0 ELSE 0.0 END
-  + 600.0 * len(list_filter(ed, lambda v: v IS NOT NULL)) / len(ed) - 40.0 * coalesce(list_sum(ed), 0) + 30 * log10(n_points + 1) + 25 * log10(locality_points + 1) - 1.5 * least(length(norm) - CASE WHEN moved THEN off ELSE 0 END, 60) END AS score FROM e)
-SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key, doc_id) AS rank FROM s WHERE score <> 0) WHERE rank <= 5""",
-)
+def suggest_sql(name: str, asked: str, filters: str = "true", k: int = 5) -> str:
+    """Expressions that end in ``name``: (query_id, doc_id, score, rank) for ``asked``, rows (query_id, q, want)."""
+    n = name
+    return f"""
+{n}_w AS (SELECT query_id, q, want, list_filter(string_split(q, ' '), lambda x: x <> '') AS t FROM ({asked})),
+{n}_sorted AS (SELECT query_id, q, want, (SELECT list(x ORDER BY length(x) DESC, x) FROM (SELECT unnest(y.t) AS x)) AS t FROM {n}_w y),
+{n}_pr AS (SELECT query_id, q, want, unnest(p) AS probe, generate_subscripts(p, 1) AS level FROM (SELECT query_id, q, want, list_concat([q], t, CASE WHEN length(t[1]) > 4 THEN list_transform(range(length(t[1]) - 1, 3, -1), lambda n: t[1][1:n]) ELSE [] END) AS p FROM {n}_sorted)),
+{n}_hit AS (SELECT pr.*, keys.key, keys.doc_id, min(level) OVER (PARTITION BY query_id) AS best FROM {n}_pr pr JOIN keys ON starts_with(keys.key, pr.probe) JOIN docs d ON keys.doc_id = d.doc_id WHERE {filters}),
+{n}_c AS (SELECT query_id, q, doc_id, min(key) AS key FROM {n}_hit WHERE level = best GROUP BY ALL),
+{n}_n AS (SELECT c.*, d.label, d.n_points, d.locality_points, trim(regexp_replace(lower(d.label), '[^a-z0-9]+', ' ', 'g')) AS norm FROM {n}_c c JOIN docs d ON c.doc_id = d.doc_id),
+{n}_o AS (SELECT *, CASE WHEN split_part(norm, ' ', 1) IN ('ulica', 'ul', 'aleja', 'al', 'plac', 'pl') AND position(' ' IN norm) < length(norm) THEN position(' ' IN norm) ELSE 0 END AS off, string_split(q, ' ') AS qt, string_split(norm, ' ') AS nt FROM {n}_n),
+{n}_e AS (SELECT *, NOT starts_with(norm, q) AND off > 0 AND starts_with(substring(norm, off + 1), q) AS moved,
+  list_transform(qt, lambda t: list_min(list_transform(nt, lambda x: CASE WHEN starts_with(x, t) THEN 0 WHEN abs(length(x) - length(t)) <= 2 AND levenshtein(t, x) <= 2 THEN levenshtein(t, x) END))) AS ed FROM {n}_o),
+{n}_s AS (SELECT *, CASE WHEN len(list_filter(ed, lambda v: v IS NOT NULL)) = 0 THEN 0 ELSE CASE WHEN starts_with(norm, q) OR moved THEN 1000.0 WHEN contains(norm, q) THEN 500.0 ELSE 0.0 END
+  + 600.0 * len(list_filter(ed, lambda v: v IS NOT NULL)) / len(ed) - 40.0 * coalesce(list_sum(ed), 0) + 30 * log10(n_points + 1) + 25 * log10(locality_points + 1) - 1.5 * least(length(norm) - CASE WHEN moved THEN off ELSE 0 END, 60) END AS score FROM {n}_e),
+{name} AS (SELECT query_id, doc_id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, key, doc_id) AS rank FROM {n}_s WHERE score <> 0) WHERE rank <= {k})"""
+
+
+ASKED = "SELECT simc AS query_id, lower(CASE WHEN cast(simc AS bigint) % 3 = 0 THEN substring(name, 1, 6) WHEN cast(simc AS bigint) % 3 = 1 THEN name ELSE replace(name, 'U', 'O') END) AS q, '' AS want FROM locality WHERE cast(simc AS bigint) % 20 = 0"
+
+
+@query("suggest", *_INDEXED, sql=f"WITH {DOCS}, {suggest_sql('top', ASKED)} SELECT query_id, doc_id, score, rank FROM top")
 def _(locality, street, unit, point):
-    docs, keys = _index(locality, street, unit, point)
+    docs, keys = _stored_index(*_index(locality, street, unit, point))
     code = F.col("simc").cast("bigint") % 3
     text = F.when(code == 0, F.substring("name", 1, 6)).when(code == 1, F.col("name")).otherwise(F.replace("name", F.lit("U"), F.lit("O")))
     # The query set of a search: every twentieth locality, against all documents.
@@ -330,14 +350,32 @@ def _(locality, street, unit, point):
     return search.suggest(asked.select(F.col("simc").alias("query_id"), text.alias("q")), docs, keys, 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
-@query("golden_suggestions", *_INDEXED)
+GOLDEN = "SELECT simc AS query_id, lower(name) AS q, '' AS want FROM locality WHERE withdrawn IS NULL AND cast(simc AS bigint) % 20 = 0"
+
+
+@query(
+    "golden_suggestions",
+    *_INDEXED,
+    sql=f"WITH {DOCS}, {suggest_sql('top', GOLDEN)}, asked AS (SELECT simc, name FROM locality WHERE withdrawn IS NULL AND cast(simc AS bigint) % 20 = 0) SELECT ok, count(*) AS n FROM (SELECT a.simc, coalesce(min(rank) FILTER (d.label = a.name) <= 3, false) AS ok FROM asked a LEFT JOIN top t ON a.simc = t.query_id LEFT JOIN docs d ON t.doc_id = d.doc_id GROUP BY 1) GROUP BY 1",
+)
 def _(locality, street, unit, point):
-    docs, keys = _index(locality, street, unit, point)
+    docs, keys = _stored_index(*_index(locality, street, unit, point))
     asked = locality.where("withdrawn IS NULL AND cast(simc AS bigint) % 20 = 0").select(F.col("simc").alias("query_id"), F.col("name").alias("q"))
-    expected = asked.select("query_id", F.col("q").alias("label"), F.lit(5).alias("within"))
+    expected = asked.select("query_id", F.col("q").alias("label"), F.lit(3).alias("within"))
     return search.evaluate_golden(expected, search.suggest(asked, docs, keys, 5)).groupBy("ok").agg(F.count("*").alias("n"))
 
 
+@query(
+    "streets_matching",
+    *_INDEXED,
+    sql=f"WITH {DOCS}, {suggest_sql('top', """SELECT simc AS query_id, CASE WHEN cast(simc AS bigint) % 2 = 0 THEN 'ur' ELSE 'speciified' END AS q, simc AS want FROM locality""", "d.type = 'street' AND d.simc = pr.want", 2)} SELECT query_id, doc_id, rank FROM top",
+)
+def _(locality, street, unit, point):
+    docs, keys = _stored_index(*_index(locality, street, unit, point))
+    asked = locality.select(F.col("simc").alias("query_id"), F.when(F.col("simc").cast("bigint") % 2 == 0, "ur").otherwise("speciified").alias("q"), "simc")
+    return search.streets_matching(asked, docs, keys, 2).select("query_id", "doc_id", "rank")
+
+
 # --- Lookups --------------------------------------------------------------------------------------------------------------
 
 
@@ -384,46 +422,71 @@ def _(locality, published):
 # --- Parsing and validation -------------------------------------------------------------------------------------------------
 
 
-def _lines(point, locality, street):
-    """Address lines of all points; some lack a code, some have a wrong locality or number."""
-    rows = point.join(locality.select("simc", F.col("name").alias("locality")), "simc").join(street.select("street_id", "kind", F.col("name").alias("street")), "street_id", "left")
-    place = F.when(F.col("k") % 31 == 0, F.lit("Nigdzie")).otherwise(F.initcap("locality"))
-    number = F.when(F.col("k") % 37 == 0, F.lit("9999")).otherwise(F.col("number"))
-    first = F.when(F.col("street").isNotNull(), F.concat_ws(" ", "kind", F.initcap("street"), number)).otherwise(F.concat_ws(" ", place, number))
-    return rows.select(F.col("point_id").alias("query_id"), F.concat_ws(", ", first, F.concat_ws(" ", F.when(F.col("k") % 4 != 0, F.col("postal_code")), place)).alias("line"))
-
+@query("parse_address_lines", "line", sql="SELECT query_id, expected_postal AS postal_code, expected_locality AS locality, expected_kind AS street_kind, expected_street AS street, expected_building AS building, expected_flat AS flat, expected_other AS other, CASE WHEN box THEN 'po_box' END AS unusual, line AS raw FROM line")
+def _(line):
+    parsed = validate.parse_address_lines(line.select("query_id", "line")).select("query_id", "parsed.*")
+    return parsed.select("query_id", "postal_code", "locality", "street_kind", "street", "building", "flat", F.array_join("alternatives", ",").alias("other"), "unusual", "raw")
+
+
+VALIDATED = f"""
+{DOCS},
+named AS (SELECT name_norm, arg_min(simc, (-pts, simc)) AS simc, count(*) AS n FROM loc GROUP BY 1),
+lines AS (SELECT *, lower(expected_locality) AS place, lower(expected_street) AS road FROM line),
+{suggest_sql('loc_top', "SELECT DISTINCT place AS query_id, place AS q, '' AS want FROM lines WHERE place NOT IN (SELECT name_norm FROM named)", "d.type = 'locality'")},
+loc_hit AS (SELECT query_id, substring(arg_min(doc_id, rank), 3) AS simc, count(*) AS n FROM loc_top GROUP BY 1),
+placed AS (SELECT l.*, coalesce(m.simc, h.simc) AS simc, coalesce(m.n, h.n, 0) AS candidates FROM lines l LEFT JOIN named m ON l.place = m.name_norm LEFT JOIN loc_hit h ON l.place = h.query_id),
+roads AS (SELECT p.*, x.name AS locality_name, x.hs, s.street_id AS exact FROM placed p LEFT JOIN loc x ON p.simc = x.simc LEFT JOIN street s ON p.simc = s.simc AND p.road = s.name_norm),
+{suggest_sql('road_top', "SELECT DISTINCT simc || '|' || road AS query_id, road AS q, simc AS want FROM roads WHERE exact IS NULL AND simc IS NOT NULL AND road IS NOT NULL", "d.type = 'street' AND d.simc = pr.want", 1)},
+found AS (SELECT r.*, coalesce(exact, substring(t.doc_id, 3)) AS street_id FROM roads r LEFT JOIN road_top t ON r.simc || '|' || r.road = t.query_id),
+num AS (SELECT simc, street_id, number_key, arg_min(postal_code, point_id) AS code, min(point_id) AS point_id, arg_min(status, point_id) AS status, arg_min(number, point_id) AS number, max(1) AS one FROM point GROUP BY 1, 2, 3),
+asked AS (SELECT *, expected_building IS NOT NULL AND (street_id IS NOT NULL OR NOT coalesce(hs, true)) AS ask FROM found),
+hit AS (SELECT a.*, CASE WHEN ask THEN coalesce(x.one, y.one) IS NOT NULL END AS number_exists, CASE WHEN x.one = 1 THEN expected_building WHEN y.one = 1 THEN expected_other END AS matched,
+    CASE WHEN x.one = 1 THEN x.code ELSE y.code END AS registry_code, CASE WHEN x.one = 1 THEN x.status ELSE y.status END AS status, CASE WHEN x.one = 1 THEN x.point_id ELSE y.point_id END AS point_id, CASE WHEN x.one = 1 THEN x.number ELSE y.number END AS registry_number
+  FROM asked a LEFT JOIN num x ON a.ask AND a.simc = x.simc AND a.street_id IS NOT DISTINCT FROM x.street_id AND lower(a.expected_building) = x.number_key
+  LEFT JOIN num y ON a.ask AND a.simc = y.simc AND a.street_id IS NOT DISTINCT FROM y.street_id AND lower(a.expected_other) = y.number_key),
+checked AS (SELECT *, simc IS NOT NULL AND (expected_street IS NULL OR street_id IS NOT NULL) AND coalesce(number_exists, false) AS full_match,
+    concat_ws(',', CASE WHEN expected_building IS NULL THEN 'missing_number' END, CASE WHEN expected_postal = '00-000' THEN 'bad_postal_code' END, CASE WHEN simc IS NULL THEN 'unknown_locality' END, CASE WHEN candidates > 1 THEN 'several_candidates' END,
+      CASE WHEN expected_street IS NOT NULL AND NOT hs THEN 'street_where_none_are' END, CASE WHEN expected_street IS NULL AND hs THEN 'missing_street' END, CASE WHEN expected_street IS NOT NULL AND street_id IS NULL THEN 'unknown_street' END,
+      CASE WHEN NOT number_exists THEN 'unknown_number' END, CASE WHEN status <> 'istniejacy' THEN 'planned_number' END, CASE WHEN expected_postal <> registry_code THEN 'postal_code_differs' END) AS issues FROM hit),
+validated AS (SELECT query_id, simc, street_id, matched, registry_code, CASE WHEN box THEN 'unusual' WHEN full_match THEN 'verified' WHEN simc IS NOT NULL THEN 'partly_verified' ELSE 'unverified' END AS confidence, issues,
+    coalesce(locality_name, expected_locality) AS locality, coalesce(registry_number, expected_building, '') AS building, CASE WHEN NOT coalesce(matched = expected_other, false) THEN expected_flat END AS flat, point_id FROM checked)"""
+_VALIDATION = ("line", "locality", "street", "unit", "point")
+
+
+def _validated(line, locality, street, unit, point):
+    s, m = publish.refresh_derived(point, street, locality)
+    docs = search.build_docs(m, s, unit)
+    return validate.validate_addresses(line.select("query_id", "line"), m, s, point, _stored_index(docs, search.build_keys(docs)))
 
-@query("parse_address_lines", "point", "locality", "street")
-def _(point, locality, street):
-    return validate.parse_address_lines(_lines(point, locality, street)).select("query_id", "parsed.*")
 
+@query("validate_addresses", *_VALIDATION, sql=f"WITH {VALIDATED} SELECT * FROM validated")
+def _(line, locality, street, unit, point):
+    out = _validated(line, locality, street, unit, point)
+    codes = F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("issues")
+    return out.select("query_id", "simc", "street_id", "matched", "registry_code", "confidence", codes, "address.locality", "address.building", "address.flat", "address.point_id")
 
-@query("validate_addresses", "point", "locality", "street")
-def _(point, locality, street):
-    s, m = publish.refresh_derived(point, street, locality)
-    out = validate.validate_addresses(_lines(point, locality, street), m, s, point)
-    return out.select("query_id", "simc", "street_id", "matched", "registry_code", "confidence", F.transform("issues", lambda i: i["code"]).alias("issues"))
 
-
-@query("validation_summary", "point", "locality", "street")
-def _(point, locality, street):
-    s, m = publish.refresh_derived(point, street, locality)
-    return validate.validation_summary(validate.validate_addresses(_lines(point, locality, street), m, s, point))
+@query("validation_summary", *_VALIDATION, sql=f"WITH {VALIDATED} SELECT confidence, count(*) AS n FROM validated GROUP BY 1")
+def _(line, locality, street, unit, point):
+    return validate.validation_summary(_validated(line, locality, street, unit, point))
 
 
 # --- Scalar functions over whole tables -----------------------------------------------------------------------------------
 
 
-@query("number_functions", "point", sql="SELECT point_id, number_sort AS sort_key, number_key AS key, number AS canonical, true AS looks FROM point")
+@query("number_functions", "point", sql="SELECT point_id, number_sort AS sort_key, number_key AS key, number AS canonical FROM point")
 def _(point):
     spaced = F.concat(F.lit(" "), F.lower(F.regexp_replace("number", "/", " / ")))
-    return point.select("point_id", building_sort_key(F.col("number")).alias("sort_key"), building_key(spaced).alias("key"), canonical_building(spaced).alias("canonical"), looks_like_building_number(spaced).alias("looks"))
+    return point.select("point_id", building_sort_key(F.col("number")).alias("sort_key"), building_key(spaced).alias("key"), canonical_building(spaced).alias("canonical"))
 
 
-@query("postal_functions", "point", sql="SELECT point_id, postal_code AS code, true AS valid, postal_code IN ('00-000', '99-999', '11-111', '12-345') AS placeholder FROM point WHERE postal_code IS NOT NULL")
+@query("postal_functions", "point", sql="SELECT point_id, CASE WHEN k % 5 = 0 THEN NULL ELSE postal_code END AS code, k % 5 <> 0 AND k % 7 <> 0 AS valid, k % 5 <> 0 AND postal_code IN ('00-000', '99-999', '11-111', '12-345') AS placeholder FROM point WHERE postal_code IS NOT NULL")
 def _(point):
-    bare = normalize_postal(F.regexp_replace("postal_code", "-", " "))
-    return point.where("postal_code IS NOT NULL").select("point_id", bare.alias("code"), is_valid_postal(bare).alias("valid"), is_placeholder_postal(bare).alias("placeholder"))
+    # Every fifth code has lost a digit; of the others every seventh is tested as it is written.
+    spaced = F.regexp_replace("postal_code", "-", " ")
+    bare = normalize_postal(F.when(F.col("k") % 5 == 0, F.substring(spaced, 1, 5)).otherwise(spaced))
+    valid = F.coalesce(is_valid_postal(F.when(F.col("k") % 7 == 0, spaced).otherwise(bare)), F.lit(False))
+    return point.where("postal_code IS NOT NULL").select("point_id", bare.alias("code"), (valid & bare.isNotNull()).alias("valid"), F.coalesce(is_placeholder_postal(bare), F.lit(False)).alias("placeholder"))
 
 
 @query("normalized_documents", "documents", sql="SELECT doc_id, length(n) AS n_chars, len(string_split(n, ' ')) AS n_tokens, md5(n) AS digest FROM (SELECT doc_id, trim(regexp_replace(translate(lower(text), 'ąćęłńóśźżáàâäãåčçďéèêëěíìîïľĺňñôöõòřŕšťúùûüůýžøđ', 'acelnoszzaaaaaaccdeeeeeiiiillnnoooorrstuuuuuyzod'), '[^a-z0-9]+', ' ', 'g')) AS n FROM documents) WHERE n <> ''")
@@ -448,12 +511,6 @@ def _(secondary):
     return secondary.select("id", match_key_name(F.col("locality_norm"), F.col("street_norm"), F.col("number_key")).alias("key"))
 
 
-@query("projected_points", "point")
-def _(point):
-    p = to_wgs84(F.col("k") % 700_000 + 150_000.5, F.col("k") * 37 % 700_000 + 130_000.25, F.lit(2180), F.lit(False))
-    return point.select("point_id", p["lon"].alias("lon"), p["lat"].alias("lat"), p["swapped"].alias("swapped"))
-
-
 # --- Usage and keys ---------------------------------------------------------------------------------------------------------
 
 BILLED = "b AS (SELECT *, CASE WHEN route = '/v1/batch' THEN greatest(items, 1) ELSE 1 END AS units, cast(date_trunc('month', ts) AS date) AS period FROM request WHERE status < 500)"
@@ -509,9 +566,9 @@ def _(key, client):
     return usage.find_keys(key, client, "00001").select("key_id", "client_name")
 
 
-@query("leaked_keys", "documents", sql="SELECT doc_id, '' AS environment FROM documents WHERE regexp_matches(text, 'adr_(live|test)_[A-Za-z0-9_-]{32}_[A-Za-z0-9_-]{6}')")
-def _(documents):
-    return usage.scan_leaked_keys(documents, "text", "doc_id").select("doc_id", "environment")
+@query("leaked_keys", "leaky", sql="SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'live' ELSE 'test' END AS environment FROM leaky WHERE doc_id % 9 <= 1 AND text IS NOT NULL")
+def _(leaky):
+    return usage.scan_leaked_keys(leaky, "text", "doc_id").select("doc_id", "environment")
 
 
 OUTCOME = "CASE WHEN status < 400 THEN 'ok' WHEN status = 401 THEN 'unauthorized' WHEN status = 403 THEN 'forbidden' WHEN status = 429 THEN 'limited' WHEN status < 500 THEN 'bad_request' ELSE 'error' END"
@@ -556,9 +613,17 @@ def _(published, run):
     return opsmetrics.table_stats({"points": published, "runs": run}, "withdrawn", AS_OF).withColumn("age_days", F.col("age_days").cast("bigint"))
 
 
-@query("status_warnings", "run", sql="SELECT CASE status WHEN 'held' THEN 'last_run_held' WHEN 'error' THEN 'last_run_failed' END AS warning FROM (SELECT arg_max(status, (started_at, run_id)) AS status FROM run) WHERE status IN ('held', 'error')")
+@query(
+    "status_warnings",
+    "run",
+    sql=f"SELECT source, unnest(list_filter([CASE WHEN date_diff('day', cast(max(started_at) AS date), date '2024-02-01') > 30 THEN 'stale_data' END, CASE arg_max(status, (started_at, run_id)) WHEN 'held' THEN 'last_run_held' WHEN 'error' THEN 'last_run_failed' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT version AS source, run_id, started_at, status FROM run WHERE version <> 'v1' UNION ALL SELECT 'old', run_id, started_at, 'held' FROM run WHERE started_at < timestamp '2024-01-10 00:00:00') GROUP BY 1",
+)
 def _(run):
-    return opsmetrics.status_warnings(run, run.select(F.col("started_at").alias("fetched_at")), AS_OF)
+    """For each version its last run, and a group whose runs are all old and held."""
+    old = run.where("started_at < timestamp '2024-01-10 00:00:00'").withColumn("status", F.lit("held"))
+    groups = [("old", old), *((v, run.where(F.col("version") == v)) for v in ("v0", "v2", "v3", "v4", "v5", "v6", "v7"))]
+    rows = [opsmetrics.status_warnings(df, df.select(F.col("started_at").alias("fetched_at")), AS_OF).select(F.lit(name).alias("source"), "warning") for name, df in groups]
+    return union_all(*rows)
 
 
 @query("alerts", "request", sql=f"SELECT alert, metric, value FROM (SELECT 'many_errors' AS alert, 'error' AS metric, count(*)::double AS value FROM request WHERE {OUTCOME} = 'error' UNION ALL SELECT 'many_limited', 'limited', count(*)::double FROM request WHERE {OUTCOME} = 'limited') WHERE value > 10")
@@ -567,9 +632,15 @@ def _(request):
     return opsmetrics.alerts(metrics, {"many_errors": ("error", ">", 10), "many_limited": ("limited", ">", 10)})
 
 
-@query("traffic", "request")
+@query("traffic", "request", sql="SELECT cast(date_trunc('day', ts) AS timestamp) AS start, route, round(count(*) / 86400.0, 9) AS per_second, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95, quantile_disc(ms, 0.99) AS p99 FROM request GROUP BY 1, 2")
+def _(request):
+    return opsmetrics.traffic(request, "1 day").withColumn("per_second", F.round("per_second", 9))
+
+
+@query("latency_percentiles", "request", sql="""WITH h AS (SELECT route, b.le, b.low, count(*) AS total, count(*) FILTER (ms <= b.le) AS n, count(*) FILTER (ms <= b.low) AS before FROM request, (SELECT unnest([0.5, 1, 2, 5, 10, 25, 50, 100, 250, 500])::double AS le, unnest([0, 0.5, 1, 2, 5, 10, 25, 50, 100, 250])::double AS low) b WHERE starts_with(route, '/v1/') AND status < 400 GROUP BY ALL)
+SELECT route, round(min(low + (le - low) * (total * 0.9 - before) / greatest(n - before, 1)), 6) AS p90 FROM (SELECT *, min(le) OVER (PARTITION BY route) AS least FROM h WHERE n >= total * 0.9) WHERE le = least GROUP BY 1""")
 def _(request):
-    return opsmetrics.traffic(request, "1 day")
+    return opsmetrics.bucket_percentile(opsmetrics.latency_histogram(request), 0.9).select("route", F.round("ms", 6).alias("p90"))
 
 
 @query("union_of_points", "published", "staged", sql="SELECT part, count(*) AS n, count(DISTINCT point_id) AS points FROM (SELECT 'old' AS part, point_id FROM published UNION ALL SELECT 'new', point_id FROM staged) GROUP BY 1")

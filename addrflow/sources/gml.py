@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addrflow.functions.codes import LOCALITY_KINDS, OBJECT_KINDS, deepest_unit, pad, recode
+from addrflow.functions.codes import LOCALITY_KINDS, OBJECT_KINDS, coordinate_text, deepest_unit, pad, point_hash, recode
 from addrflow.functions.geo import first_vertex, in_poland, parse_epsg, to_wgs84
 from addrflow.functions.numbers import building_key, building_sort_key, canonical_building, is_garbage_number
 from addrflow.functions.text import clean_text, normalize_text, not_empty, title_case
@@ -28,28 +28,37 @@ FEATURES = {
 }
 
 
+def _tags(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(name with prefix, element, n) of the opening tags whose element fits a pattern.
+
+    Text is cut at every ``>``, so that a file without line breaks is no single row."""
+    rows = spark.read.option("lineSep", ">").text(path)
+    tag = F.regexp_extract("value", rf"<((?:[\w.-]+:)?(?:{names}))(?:[\s/][^<]*)?$", 1)
+    found = rows.select(tag.alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    return found.select("name", F.regexp_replace("name", "^[^:]*:", "").alias("element"), "n")
+
+
 def detect_profile(spark: SparkSession, path: str) -> DataFrame:
     """(element, structure, kind, features) of the known elements, and other feature-like ones without a structure."""
     known = {tag: key for key, (tag, _) in FEATURES.items()}
-    tags = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(r"<(?:[\w.-]+:)?((?:AD|PRG|EGB|OT)_\w+)[\s>/]"), F.lit(1))).alias("element"))
-    rows = tags.groupBy("element").agg(F.count("*").alias("features"))
+    rows = _tags(spark, path, r"(?:AD|PRG|EGB|OT)_\w+").groupBy("element").agg(F.sum("n").alias("features"))
     pick = F.create_map(*(F.lit(x) for tag, (s, k) in known.items() for x in (tag, f"{s} {k}")))
     found = F.try_element_at(pick, F.col("element"))
     return rows.select("element", F.split_part(found, F.lit(" "), F.lit(1)).alias("structure"), F.split_part(found, F.lit(" "), F.lit(2)).alias("kind"), "features")
 
 
-def read_gml(spark: SparkSession, path: str, kind: str, profile: str = "auto", sniff_lines: int = 2000) -> DataFrame:
+def read_gml(spark: SparkSession, path: str, kind: str, profile: str = "auto") -> DataFrame:
     """Raw rows of one kind of feature, whatever the namespaces.
 
-    The file is cut at the feature's closing tag, so that one large file is read by many tasks; the tag's prefix is found in
-    the first lines.  Nothing found is an error, never an empty snapshot."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(sniff_lines).collect())
+    The text is cut at the feature's closing tag, so that one large file is read by many tasks; the tag's prefix is found by
+    one pass over all tags, wherever the first such feature stands.  Nothing found is an error, never an empty snapshot."""
     structures = ("2021", "2012") if profile == "auto" else (profile,)
+    # A handful of names at most: one for each prefix that the files use.
+    names = _tags(spark, path, "|".join(FEATURES[s, kind][0] for s in structures)).orderBy(F.desc("n"), "name").collect()
     for structure in structures:
         tag, schema = FEATURES[structure, kind]
-        m = re.search(rf"<((?:[\w.-]+:)?){tag}[\s>]", head)
-        if m:
-            name = m[1] + tag
+        name = next((r["name"] for r in names if r["element"] == tag), None)
+        if name:
             parts = spark.read.option("lineSep", f"</{name}>").text(path)
             body = F.regexp_extract("value", rf"(?s)(<{re.escape(name)}[\s>].*)$", 1)
             rows = parts.select(body.alias("body")).where("body <> ''")
@@ -90,18 +99,20 @@ def _position(raw: DataFrame) -> Column:
 
 
 def map_points(raw: DataFrame) -> DataFrame:
-    """Points with ``skipped``, the reason why a row is no address (M1, M4)."""
+    """Points with their ``hash`` and ``skipped``, the reason why a row is no address."""
     number = clean_text(pick_path(raw, ["numerPorzadkowy"]))
     code = pick_path(raw, ["kodPocztowy"])
     point_id = F.coalesce(pick_path(raw, ["idIIP.AD_IdentyfikatorIIP.lokalnyId", "lokalnyId"]), pick_path(raw, ["_id"]))
     df = raw.withColumn("_pos", _position(raw))
     reason = F.when(point_id.isNull(), "no id").when(number.isNull(), "no number").when(is_garbage_number(number), "no address number")
-    return df.select(
+    terc = deepest_unit(pick_path_all(raw, "jednostkaAdministracyjna"))
+    rows = df.select(
         point_id.alias("point_id"),
         pick_path(raw, ["idIIP.AD_IdentyfikatorIIP.wersjaId", "wersjaId"]).alias("version_id"),
         pick_path(raw, ["miejsce._href", "miejscowosc"]).alias("locality_ref"),
         pick_path(raw, ["ulica2._href", "ulica"]).alias("street_ref"),
-        deepest_unit(pick_path_all(raw, "jednostkaAdministracyjna")).alias("terc_ref"),
+        terc.alias("terc_ref"),
+        F.substring(terc, 1, 2).alias("region"),
         canonical_building(number).alias("number"),
         building_key(number).alias("number_key"),
         building_sort_key(canonical_building(number)).alias("number_sort"),
@@ -112,6 +123,8 @@ def map_points(raw: DataFrame) -> DataFrame:
         F.col("_pos.swapped").alias("swapped"),
         reason.alias("skipped"),
     )
+    rounded = [coordinate_text(F.col(c)) for c in ("lat", "lon")]
+    return rows.withColumn("hash", point_hash("locality_ref", "street_ref", "number", "postal_code", "status", *rounded))
 
 
 def map_localities(raw: DataFrame) -> DataFrame:
@@ -146,9 +159,10 @@ def ingest_stats(mapped: DataFrame, top: int = 10) -> DataFrame:
 
 def discover_gml(spark: SparkSession, path: str, samples: int = 3) -> DataFrame:
     """(element, n, samples, candidate) of the leaf elements of an unknown file."""
-    text = spark.read.text(path)
-    leaf = r"<(?:[\w.-]+:)?(\w+)(?:\s[^>]*)?>([^<]+)</"
-    pairs = text.select(F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(leaf), F.lit(1)).alias("e"), F.regexp_extract_all("value", F.lit(leaf), F.lit(2)).alias("v"))).alias("x")).select("x.*")
+    # Cut at closing tags: a leaf element is what stands at the end of such a piece.
+    text = spark.read.option("lineSep", "</").text(path)
+    leaf = r"<(?:[\w.-]+:)?(\w+)(?:\s[^>]*)?>([^<]+)$"
+    pairs = text.select(F.regexp_extract("value", leaf, 1).alias("e"), F.regexp_extract("value", leaf, 2).alias("v")).where("e <> '' AND trim(v) <> ''")
     out = pairs.groupBy(F.col("e").alias("element")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.trim("v"))), 1, samples).alias("samples"))
     feature = detect_profile(spark, path).select("element", F.col("features").alias("n"), F.array().cast("array<string>").alias("samples"))
     return out.unionByName(feature).withColumn("candidate", F.rlike("element", F.lit("^(AD_|PRG_|EGB_|OT_)")))

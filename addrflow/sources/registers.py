@@ -73,7 +73,10 @@ def read_catalogue(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A catalogue from CSV or from XML rows of named columns, whichever the file is."""
     first = spark.read.text(path).limit(1).first()
     if first and first[0].lstrip("﻿").lstrip().startswith("<"):
-        rows = spark.read.format("xml").option("rowTag", "row").schema("col array<struct<_name:string,_VALUE:string>>").load(path)
+        # Cut at the rows' closing tags, so that one large file is read by many tasks.
+        body = F.regexp_extract("value", r"(?s)(<row[\s>].*)$", 1)
+        parts = spark.read.option("lineSep", "</row>").text(path).select(body.alias("body")).where("body <> ''")
+        rows = parts.select(F.from_xml(F.concat("body", F.lit("</row>")), "col array<struct<_name:string,_VALUE:string>>").alias("r")).select("r.*")
         names = {"terc": "WOJ POW GMI RODZ NAZWA NAZWA_DOD STAN_NA", "simc": "WOJ POW GMI RODZ_GMI RM MZ NAZWA SYM SYMPOD STAN_NA", "ulic": "WOJ POW GMI RODZ_GMI SYM SYM_UL CECHA NAZWA_1 NAZWA_2 STAN_NA", "wmrodz": "RM NAZWA_RM STAN_NA"}[kind].split()
         values = F.map_from_entries(F.transform("col", lambda c: F.struct(c["_name"], c["_VALUE"])))
         df = rows.select(values.alias("m")).select(*(F.try_element_at("m", F.lit(n)).alias(n) for n in names))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def snapshot_manifest(spark: SparkSession, glob: str) -> DataFrame:
-    """(file, size, sha256) of the files of a snapshot."""
+def snapshot_manifest(spark: SparkSession, glob: str, name: Column | None = None) -> DataFrame:
+    """(file, size, sha256) of the files of a snapshot; ``name`` gives the file's name from its ``path``."""
     files = spark.read.format("binaryFile").load(glob)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    own = F.element_at(F.split("path", "/"), -1) if name is None else name
+    return files.select(own.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def changed_files(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -42,9 +43,9 @@ def write_comparison(df: DataFrame, root: str) -> None:
     df.write.partitionBy("source", "source_version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
 
 
-def read_archive(spark: SparkSession, root: str, source: str, version: str) -> DataFrame:
+def read_archive(spark: SparkSession, root: str, source: str, version: str, column: str = "version") -> DataFrame:
     """An archived snapshot, by partition."""
-    return spark.read.option("basePath", root).parquet(root).where((F.col("source") == source) & (F.col("version") == version))
+    return spark.read.option("basePath", root).parquet(root).where((F.col("source") == source) & (F.col(column) == version))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -54,29 +55,37 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish_version(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write all tables under ``v=<version>`` and then move the pointer: readers see all of it or nothing."""
+    """Write all tables under ``v=<version>`` and then move the pointer: readers see all of it or nothing.
+
+    A version that was published is never written again, as readers may hold it; what a failed attempt left is replaced.
+    The pointer is renamed over the old one in one step."""
     spark = next(iter(tables.values())).sparkSession
+    fs, hadoop = _fs(spark, root)
+    done = hadoop.Path(f"{root}/v={version}/_complete")
+    if fs.exists(done):
+        raise ValueError(f"version {version} is published already")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
-    fs, hadoop = _fs(spark, root)
+    fs.create(done, True).close()
     fresh, pointer = hadoop.Path(f"{root}/_pointer.new"), hadoop.Path(f"{root}/_pointer")
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, pointer, overwrite)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """The version that the pointer names; a pointer left half moved is finished by its copy."""
+    """The version that the pointer names."""
     fs, hadoop = _fs(spark, root)
-    for name in ("_pointer", "_pointer.new"):
-        if fs.exists(hadoop.Path(f"{root}/{name}")):
-            stream = fs.open(hadoop.Path(f"{root}/{name}"))
-            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-            return text
-    return None
+    pointer = hadoop.Path(f"{root}/_pointer")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -84,11 +93,26 @@ def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v={current_version(spark, root)}/{table}")
 
 
+def reload_if_moved(spark: SparkSession, root: str, seen: str | None, tables: list[str]) -> tuple[str | None, dict[str, DataFrame]]:
+    """(version, its tables) if the pointer has moved from ``seen``, else (seen, nothing)."""
+    version = current_version(spark, root)
+    if version is None or version == seen:
+        return seen, {}
+    return version, {t: spark.read.parquet(f"{root}/v={version}/{t}") for t in tables}
+
+
 def prune_versions(spark: SparkSession, root: str, keep: int = 3) -> list[str]:
-    """Delete all versions but the newest ``keep`` and the current one; returns what went."""
+    """Delete all versions but the ``keep`` written last and the current one; returns what went, the oldest first."""
     fs, hadoop = _fs(spark, root)
-    have = sorted(s.getPath().getName()[2:] for s in fs.listStatus(hadoop.Path(root)) if s.getPath().getName().startswith("v="))
-    stay = {*have[-keep:], current_version(spark, root)}
+    found = [s.getPath() for s in fs.listStatus(hadoop.Path(root)) if s.getPath().getName().startswith("v=")]
+
+    def written(path) -> tuple:
+        # An attempt without its mark failed: it goes first.
+        mark = hadoop.Path(path, "_complete")
+        return (fs.exists(mark), fs.getFileStatus(mark if fs.exists(mark) else path).getModificationTime(), path.getName())
+
+    have = [p.getName()[2:] for p in sorted(found, key=written)]
+    stay = {*have[len(have) - keep :], current_version(spark, root)}
     gone = [v for v in have if v not in stay]
     for v in gone:
         fs.delete(hadoop.Path(f"{root}/v={v}"), True)

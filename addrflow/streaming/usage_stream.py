@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from addrflow.operators.usage import add_usage, billed, outcome
 
@@ -46,4 +47,23 @@ def throttled(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return keyed.withWatermark("slot", lateness).dropDuplicatesWithinWatermark(["outcome", "slot"])
 
 
-__all__ = ["add_usage", "event_stream", "meter", "metered", "outcome_counts", "rate_windows", "throttled"]
+def quota_stream(events: DataFrame, clients: DataFrame) -> DataFrame:
+    """event_id, used_before, rejected of every billed event, with a running total for each client and month.
+
+    A client's units so far are the state; events of a micro-batch are taken in the order of their time."""
+    quota = clients.select("client_id", "monthly_quota")
+    own = billed(events).join(quota, "client_id").select("client_id", "period", "event_id", "ts", "units", "monthly_quota")
+
+    def decide(key, batches, state):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        start = state.get[0] if state.exists else 0
+        before = start + rows["units"].cumsum() - rows["units"]
+        state.update((int(start + rows["units"].sum()),))
+        yield pd.DataFrame({"event_id": rows["event_id"], "used_before": before.astype("int64"), "rejected": before >= rows["monthly_quota"]})
+
+    return own.groupBy("client_id", "period").applyInPandasWithState(decide, "event_id long, used_before long, rejected boolean", "total long", "append", GroupStateTimeout.NoTimeout)
+
+
+__all__ = ["add_usage", "event_stream", "meter", "metered", "outcome_counts", "quota_stream", "rate_windows", "throttled"]

@@ -12,15 +12,15 @@ DATA = "/root/testdata/sf0.001"
 
 NEW = """<?xml version="1.0"?>
 <gml:FeatureCollection xmlns:gml="g" xmlns:e="e" xmlns:xlink="x">
-<gml:featureMember><e:AD_Miejscowosc gml:id="M-0918123"><e:idIIP><e:AD_IdentyfikatorIIP><e:lokalnyId>l1</e:lokalnyId><e:wersjaId>v1</e:wersjaId></e:AD_IdentyfikatorIIP></e:idIIP><e:nazwa>WARSZAWA</e:nazwa><e:rodzaj>miasto</e:rodzaj><e:identyfikatorSIMC>918123</e:identyfikatorSIMC><e:TERYTGminy>1465011</e:TERYTGminy><e:georeferencja><gml:Point srsName="urn:ogc:def:crs:EPSG::2180"><gml:pos>486000 637000</gml:pos></gml:Point></e:georeferencja></e:AD_Miejscowosc></gml:featureMember>
-<gml:featureMember><e:AD_UlicaPlac gml:id="U-19357"><e:nazwaPelna>Tadeusza Kościuszki</e:nazwaPelna><e:rodzaj>ulica</e:rodzaj><e:identyfikatorULIC>19357</e:identyfikatorULIC><e:ulica1 xlink:href="#M-0918123"/></e:AD_UlicaPlac></gml:featureMember>
-<gml:featureMember><e:AD_PunktAdresowy gml:id="P1"><e:idIIP><e:AD_IdentyfikatorIIP><e:lokalnyId>PA-000001</e:lokalnyId></e:AD_IdentyfikatorIIP></e:idIIP><e:numerPorzadkowy>12 a</e:numerPorzadkowy><e:kodPocztowy>00-950</e:kodPocztowy><e:miejsce xlink:href="#M-0918123"/><e:ulica2 xlink:href="#U-19357"/><e:georeferencja><gml:Point srsName="urn:ogc:def:crs:EPSG::2180"><gml:pos>486987.65 637123.45</gml:pos></gml:Point></e:georeferencja></e:AD_PunktAdresowy></gml:featureMember>
+<gml:featureMember><e:AD_Miejscowosc gml:id="M-77"><e:idIIP><e:AD_IdentyfikatorIIP><e:lokalnyId>l1</e:lokalnyId><e:wersjaId>v1</e:wersjaId></e:AD_IdentyfikatorIIP></e:idIIP><e:nazwa>KALINOWIEC GÓRNY</e:nazwa><e:rodzaj>osada</e:rodzaj><e:identyfikatorSIMC>40404</e:identyfikatorSIMC><e:TERYTGminy>0203042</e:TERYTGminy><e:georeferencja><gml:Point srsName="urn:ogc:def:crs:EPSG::2180"><gml:pos>412000 523000</gml:pos></gml:Point></e:georeferencja></e:AD_Miejscowosc></gml:featureMember>
+<gml:featureMember><e:AD_UlicaPlac gml:id="U-55"><e:nazwaPelna>Huberta Wrzosa</e:nazwaPelna><e:rodzaj>ulica</e:rodzaj><e:identyfikatorULIC>606</e:identyfikatorULIC><e:ulica1 xlink:href="#M-77"/></e:AD_UlicaPlac></gml:featureMember>
+<gml:featureMember><e:AD_PunktAdresowy gml:id="P1"><e:idIIP><e:AD_IdentyfikatorIIP><e:lokalnyId>X-1</e:lokalnyId></e:AD_IdentyfikatorIIP></e:idIIP><e:numerPorzadkowy>8 c</e:numerPorzadkowy><e:kodPocztowy>31-313</e:kodPocztowy><e:miejsce xlink:href="#M-77"/><e:ulica2 xlink:href="#U-55"/><e:georeferencja><gml:Point srsName="urn:ogc:def:crs:EPSG::2180"><gml:pos>412345.75 523456.5</gml:pos></gml:Point></e:georeferencja></e:AD_PunktAdresowy></gml:featureMember>
 </gml:FeatureCollection>
 """
 OLD = """<?xml version="1.0"?>
 <gml:FeatureCollection xmlns:gml="g" xmlns:p="p">
-<gml:featureMember><p:PRG_PunktAdresowy gml:id="Q1"><p:lokalnyId>PA-1</p:lokalnyId><p:jednostkaAdministracyjna>14</p:jednostkaAdministracyjna><p:jednostkaAdministracyjna>1465</p:jednostkaAdministracyjna><p:jednostkaAdministracyjna>1465011</p:jednostkaAdministracyjna><p:miejscowosc>918123</p:miejscowosc><p:ulica>19357</p:ulica><p:numerPorzadkowy>12A</p:numerPorzadkowy><p:kodPocztowy>00950</p:kodPocztowy><p:pozycja><gml:Point srsName="EPSG:2180"><gml:pos>637123.45 486987.65</gml:pos></gml:Point></p:pozycja></p:PRG_PunktAdresowy></gml:featureMember>
-<gml:featureMember><p:PRG_PunktAdresowy gml:id="Q2"><p:lokalnyId>PA-2</p:lokalnyId><p:miejscowosc>918123</p:miejscowosc><p:numerPorzadkowy>B.N.</p:numerPorzadkowy></p:PRG_PunktAdresowy></gml:featureMember>
+<gml:featureMember><p:PRG_PunktAdresowy gml:id="Q1"><p:lokalnyId>Y-1</p:lokalnyId><p:jednostkaAdministracyjna>02</p:jednostkaAdministracyjna><p:jednostkaAdministracyjna>0203</p:jednostkaAdministracyjna><p:jednostkaAdministracyjna>0203042</p:jednostkaAdministracyjna><p:miejscowosc>40404</p:miejscowosc><p:ulica>606</p:ulica><p:numerPorzadkowy>8C</p:numerPorzadkowy><p:kodPocztowy>31313</p:kodPocztowy><p:pozycja><gml:Point srsName="EPSG:2180"><gml:pos>523456.5 412345.75</gml:pos></gml:Point></p:pozycja></p:PRG_PunktAdresowy></gml:featureMember>
+<gml:featureMember><p:PRG_PunktAdresowy gml:id="Q2"><p:lokalnyId>Y-2</p:lokalnyId><p:miejscowosc>40404</p:miejscowosc><p:numerPorzadkowy>B.N.</p:numerPorzadkowy></p:PRG_PunktAdresowy></gml:featureMember>
 </gml:FeatureCollection>
 """
 
@@ -30,20 +30,24 @@ def test_gml(spark, tmp_path):
     new.write_text(NEW)
     old.write_text(OLD)
     p = gml.map_points(gml.read_gml(spark, str(new), "point")).first()
-    assert (p.point_id, p.number, p.postal_code, p.locality_ref, p.street_ref, p.skipped) == ("PA-000001", "12A", "00-950", "M-0918123", "U-19357", None)
+    assert (p.point_id, p.number, p.postal_code, p.locality_ref, p.street_ref, p.skipped) == ("X-1", "8C", "31-313", "M-77", "U-55", None)
     q = gml.map_points(gml.read_gml(spark, str(old), "point"))
     kept, skipped = gml.split_skipped(q)
     o = kept.first()
-    assert (o.point_id, o.terc_ref, o.postal_code) == ("PA-1", "1465011", None) and skipped.count() == 1
-    assert abs(p.lon - 21.0085065) < 1e-6 and (p.lon, p.lat) == (o.lon, o.lat)
+    assert (o.point_id, o.terc_ref, o.region, o.postal_code) == ("Y-1", "0203042", "02", None) and skipped.count() == 1
+    assert abs(p.lon - 19.3386016) < 1e-6 and (p.lon, p.lat) == (o.lon, o.lat) and len(p.hash) == 64 and p.hash != o.hash
     loc = gml.map_localities(gml.read_gml(spark, str(new), "locality")).first()
-    assert (loc.simc, loc.name, loc.name_norm, loc.kind, loc.terc) == ("0918123", "Warszawa", "warszawa", 96, "1465011")
+    assert (loc.simc, loc.name, loc.name_norm, loc.kind, loc.terc) == ("0040404", "Kalinowiec Górny", "kalinowiec gorny", 4, "0203042")
     road = gml.map_streets(gml.read_gml(spark, str(new), "street")).first()
-    assert (road.sym_ul, road.kind, road.name, road.locality_ref) == ("19357", "ul.", "Tadeusza Kościuszki", "M-0918123")
+    assert (road.sym_ul, road.kind, road.name, road.locality_ref) == ("00606", "ul.", "Huberta Wrzosa", "M-77")
     assert {r.measure: r.n for r in gml.ingest_stats(q).collect()}["skipped: no address number"] == 1
     assert {r.element: r.structure for r in gml.detect_profile(spark, str(old)).collect()} == {"PRG_PunktAdresowy": "2012"}
     with pytest.raises(ValueError):
         gml.read_gml(spark, str(old), "street")
+    # The kind is found wherever its first feature stands, in a file of one line too.
+    many = tmp_path / "many.gml"
+    many.write_text(NEW.replace("<gml:featureMember>", "<gml:featureMember>" + "<e:filler>x</e:filler>" * 4000, 1).replace("\n", ""))
+    assert gml.read_gml(spark, str(many), "point").count() == 1
     found = {r.element: (r.n, r.candidate) for r in gml.discover_gml(spark, str(new)).collect()}
     assert found["nazwaPelna"] == (1, False) and found["AD_UlicaPlac"] == (1, True)
 
@@ -72,10 +76,20 @@ def test_tabular(spark, tmp_path):
 
 def test_store(spark, tmp_path):
     root = str(tmp_path / "published")
-    for v in ("1", "2", "3"):
+    assert store.current_version(spark, root) is None
+    for v in ("8", "9", "10", "11"):
         store.publish_version({"t": spark.range(int(v))}, root, v)
-    assert store.current_version(spark, root) == "3" and store.read_current(spark, root, "t").count() == 3
-    assert store.prune_versions(spark, root, 1) == ["1", "2"] and store.read_current(spark, root, "t").count() == 3
+    assert store.current_version(spark, root) == "11" and store.read_current(spark, root, "t").count() == 11
+    with pytest.raises(ValueError, match="published already"):
+        store.publish_version({"t": spark.range(1)}, root, "10")
+    assert store.prune_versions(spark, root, 3) == ["8"] and store.prune_versions(spark, root, 1) == ["9", "10"]
+    assert store.reload_if_moved(spark, root, "11", ["t"]) == ("11", {})
+    seen, tables = store.reload_if_moved(spark, root, "10", ["t"])
+    assert seen == "11" and tables["t"].count() == 11
+    # A version that failed half-way may be written again.
+    spark.range(5).write.parquet(f"{root}/v=12/t")
+    store.publish_version({"t": spark.range(12)}, root, "12")
+    assert store.read_current(spark, root, "t").count() == 12
     staging = str(tmp_path / "staging")
     df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, region string")
     store.write_staging(df, staging)
@@ -84,6 +98,8 @@ def test_store(spark, tmp_path):
     (tmp_path / "f1").write_text("one")
     m = store.snapshot_manifest(spark, str(tmp_path / "f1"))
     assert [r.change for r in store.changed_files(m, m).collect()] == ["same"]
+    a, b = (spark.createDataFrame(x, "file string, sha256 string") for x in ([("f", "1"), ("g", "1"), ("h", "1")], [("g", "2"), ("h", "1"), ("i", "1")]))
+    assert {r.file: r.change for r in store.changed_files(a, b).collect()} == {"f": "removed", "g": "changed", "h": "same", "i": "added"}
     files = spark.createDataFrame([("a", "x.gml", 9), ("a", "NOWE_x.gml", 5), ("b", "y.gml", 1)], "region string, file string, size int")
     assert sorted(r.file for r in store.pick_members(files).collect()) == ["NOWE_x.gml", "y.gml"]
 
@@ -104,6 +120,24 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == usage.throttle(events).count()
 
 
+def test_quota_stream(spark, tmp_path):
+    """The stateful stream decides as the batch form does."""
+    events, clients = carrier(spark, DATA, "request"), carrier(spark, DATA, "client")
+    folder = str(tmp_path / "events")
+    events.orderBy("ts", "event_id").coalesce(1).write.option("maxRecordsPerFile", 400).parquet(folder)
+    stream = usage_stream.quota_stream(usage_stream.event_stream(spark, folder, events.schema), clients)
+    q = stream.writeStream.format("memory").queryName("quotas").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = usage.quota_flags(events, clients).select("event_id", "used_before", "rejected")
+    assert sorted(map(tuple, spark.table("quotas").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_unverified_callers(spark):
+    rows = [(None, "a", f"2024-01-01 00:00:{k:02d}") for k in range(4)] + [(None, "b", "2024-01-01 00:00:00"), (7, "a", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "client_id long, address string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {(r.address, r.requests, r.limited) for r in usage.address_limit_flags(df, 3).collect()} == {("a", 4, True), ("b", 1, False)}
+
+
 def test_usage_is_added_once(spark):
     total = spark.createDataFrame([(1, "k", 5)], "batch_id int, key_id string, units int")
     again = usage.add_usage(total, total)
