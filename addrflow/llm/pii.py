@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,10 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import frugal
+from .workspace import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Shapes that the node potentials tell apart, at most; all others share one.
-SHAPES = 5000
+#: Buckets of the words before a candidate.
+CONTEXTS = 1 << 14
+#: Rows that count as much as a factor's prior; pairs of each label that count as much as the belief that like candidates
+#: have the same label.
+PRIOR_ROWS, PRIOR_PAIRS = 2.0, 50
 #: Least marginal probability of an added span, and rounds of message passing.
 LEAST_MARGINAL, ROUNDS = 0.8, 8
 #: Tokens apart at which two candidates of the chain still touch.
@@ -29,7 +36,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_RUN = re.compile(r"[0-9]+|[A-Za-zÀ-ɏ]+|[^0-9A-Za-zÀ-ɏ]")
+#: A group of digits that may be one of several that make a number.
+_GROUP = re.compile(r"[(+]*[0-9]+(?:[()/-]+[0-9]+)*[),.;:!?]*")
+_EDGE = ".,;:!?()[]<>\"'"
+#: Digits that groups are joined to, at least and at most.
+_JOINED = range(7, 20)
 
 
 def luhn(digits: str) -> bool:
@@ -63,39 +74,52 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def shape(token: str) -> str:
-    """Runs of digits and letters by length class, other characters as they are."""
-    out = []
-    for r in _RUN.findall(token)[:12]:
-        n = len(r)
-        out.append(f"d{n if n < 5 else '5-7' if n < 8 else '8-13' if n < 14 else '14-19' if n < 20 else '20+'}" if r[0].isdigit() else "w" if r[0].isalpha() else r)
-    return "".join(out)
+def shape(text: str) -> str:
+    """What a candidate is made of, less than what the fixed patterns look at: an @, or its points, digits and letters."""
+    if "@" in text:
+        return "@"
+    digits = sum(c.isdigit() for c in text)
+    letters = min(sum(c.isalpha() for c in text), 2)
+    return f"{min(text.strip('.').count('.'), 4)}.{digits if digits < 20 else '20+'}{'a' * letters}"
 
 
-def skip_key(token: str) -> str | None:
-    """What distant tokens must share to influence each other: the last seven digits, or the bare lower-case token."""
-    digits = re.sub(r"[^0-9]", "", token)
-    if len(digits) >= 7 and "@" not in token:
+def skip_key(text: str) -> str | None:
+    """What distant candidates must share to influence each other: the last seven digits, or the bare lower-case text (of an
+    address with @, what follows it)."""
+    if "@" in text:
+        host = text.rpartition("@")[2].strip(_EDGE).lower()
+        return "@" + host if host else None
+    digits = re.sub(r"[^0-9]", "", text)
+    if len(digits) >= 7:
         return digits[-7:]
-    bare = token.strip(".,;:!?()[]<>\"'").lower()
+    bare = text.strip(_EDGE).lower()
     return bare if len(bare) >= 6 else None
 
 
+def context(word: str) -> int:
+    """Bucket of the last word of letters before a candidate; 0 without one."""
+    bare = word.strip(_EDGE).lower()
+    return 1 + zlib.crc32(bare.encode()) % (CONTEXTS - 1) if bare.isalpha() else 0
+
+
 class Chain:
-    """The candidate tokens of one text (with a digit or @, or inside a base span), their edges and known labels."""
+    """The candidates of one text, their edges and known labels.
+
+    Candidates are tokens with a digit or @, or inside a base span; groups of digits next to each other are one candidate
+    if they make a number of 7 to 19 digits."""
 
     def __init__(self, text: str):
         self.spans = base_spans(text)
-        self.start, self.end, self.shapes, self.known = [], [], [], []
+        self.start, self.end, self.shapes, self.contexts, self.known, self.keys = [], [], [], [], [], []
         self.near: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         if not _ANY.search(text):
             return
-        held: dict[str, tuple[int, int]] = {}
         by_start = iter(self.spans)
         live: list[tuple[int, int, int]] = []
         following = next(by_start, None)
-        last = -NEAR - 1
+        before = ""
+        found: list[list] = []  # place of the first and last token, start, end, label, word before, a group of digits
         for k, m in enumerate(_TOKEN.finditer(text)):
             a, b = m.span()
             while following and following[0] < b:
@@ -103,74 +127,118 @@ class Chain:
                 following = next(by_start, None)
             live = [s for s in live if s[2] > a]
             if not live and not _ANY.search(m[0]):
+                before = m[0]
                 continue
-            i = len(self.start)
+            label = live[0][1] + 1 if live else 0
+            found.append([k, k, a, b, label, before, _GROUP.fullmatch(m[0]) is not None])
+        place = -NEAR - 1
+        for k, last, a, b, label, word, _ in self._joined(found, text):
+            if k - place <= NEAR:
+                self.near.append((len(self.start) - 1, len(self.start)))
+            place = last
             self.start.append(a)
             self.end.append(b)
-            self.shapes.append(shape(m[0]))
-            self.known.append(live[0][1] + 1 if live else 0)
-            if k - last <= NEAR:
-                self.near.append((i - 1, i))
-            last = k
-            if key := skip_key(m[0]):
-                first, before = held.get(key, (i, i))
-                if before != i:
-                    self.skip.append((before, i))
-                if first not in (before, i):
+            self.shapes.append(shape(text[a:b]))
+            self.contexts.append(context(word))
+            self.known.append(label)
+        held: dict[str, tuple[int, int]] = {}
+        for i, (a, b) in enumerate(zip(self.start, self.end, strict=True)):
+            key = skip_key(text[a:b])
+            self.keys.append(key)
+            if key:
+                first, last = held.get(key, (i, i))
+                if last != i:
+                    self.skip.append((last, i))
+                if first not in (last, i):
                     self.skip.append((first, i))
                 held[key] = (first, i)
 
+    @staticmethod
+    def _joined(found: list[list], text: str) -> Iterator[list]:
+        """Candidates, with neighbouring groups of digits joined where they make one number of one label."""
+        lo = 0
+        while lo < len(found):
+            hi = lo + 1
+            while hi < len(found) and found[hi][6] and found[hi - 1][6] and found[hi][0] == found[hi - 1][1] + 1 and text[found[hi - 1][3] - 1].isdigit():
+                hi += 1
+            run = found[lo:hi]
+            labels = {x[4] for x in run}
+            if hi - lo > 1 and len(labels) == 1 and sum(c.isdigit() for c in text[run[0][2] : run[-1][3]]) in _JOINED:
+                yield [run[0][0], run[-1][1], run[0][2], run[-1][3], run[0][4], run[0][5], True]
+            else:
+                yield from run
+            lo = hi
+
+
+def _counts(labelled: frozenset | None):
+    """Label counts, summed within a task: of shapes; or, where the shapes that patterns label are known, of contexts,
+    neighbours and skip edges between candidates of such shapes.  Of others the patterns say nothing."""
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label counts of shapes, neighbours and skip edges, summed within a task."""
-    seen: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            c = Chain(text or "")
-            seen.update(("shape", s, 0, k) for s, k in zip(c.shapes, c.known, strict=True))
-            seen.update(("near", "", c.known[i], c.known[j]) for i, j in c.near)
-            seen.update(("skip", "", c.known[i], c.known[j]) for i, j in c.skip)
-    if seen:
-        rows, n = list(seen), list(seen.values())
-        what, key, x, y = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(key), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], ["what", "key", "x", "y", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                c = Chain(text or "")
+                if labelled is None:
+                    seen.update(("shape", s, 0, k) for s, k in zip(c.shapes, c.known, strict=True))
+                    continue
+                told = [s in labelled for s in c.shapes]
+                seen.update(("context", "", w, k) for w, k, ok in zip(c.contexts, c.known, told, strict=True) if ok)
+                for what, edges in (("near", c.near), ("skip", c.skip)):
+                    seen.update((what, "", c.known[i], c.known[j]) for i, j in edges if told[i] and told[j])
+        if seen:
+            rows, n = list(seen), list(seen.values())
+            what, key, x, y = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(key), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(n, pa.int64())], ["what", "key", "x", "y", "n"])
+
+    return run
 
 
 class Field:
-    """Potentials of the random field, each factor trained by itself (piecewise) on counts over the whole corpus."""
+    """Potentials of the random field, each factor trained by itself (piecewise) on counts over the whole corpus.
 
-    def __init__(self, rows):
+    The labels are those of the fixed patterns.  The node factors see less than the patterns do (how many digits, which
+    word stands before), so they do not merely repeat them.  A shape that no pattern ever labels has the prior alone: that
+    it is unlabelled says nothing.  ``skips=False`` leaves the skip edges out."""
+
+    def __init__(self, rows, skips: bool = True):
         size = len(LABELS)
         shapes: dict[str, np.ndarray] = {}
-        pair = {"near": np.ones((size, size)), "skip": np.eye(size) * 2 + 1}
+        contexts = np.zeros((CONTEXTS, size))
+        pair = {"near": np.ones((size, size)), "skip": np.eye(size) * PRIOR_PAIRS + 1}
         for r in rows:
             if r["what"] == "shape":
                 shapes.setdefault(r["key"], np.zeros(size))[r["y"]] += r["n"]
+            elif r["what"] == "context":
+                contexts[r["x"], r["y"]] += r["n"]
             else:
                 pair[r["what"]][r["x"], r["y"]] += r["n"]
         total = sum(shapes.values(), np.full(size, 0.5))
         prior = total / total.sum()
-        self.nodes = {k: np.log((v + 0.5 * prior) / (v.sum() + 0.5)) for k, v in shapes.items()}
+        self.nodes = {k: np.log((v + PRIOR_ROWS * prior) / (v.sum() + PRIOR_ROWS)) for k, v in shapes.items() if v[1:].any()}
         self.other = np.log(prior)
+        self.contexts = np.log((contexts + PRIOR_ROWS * prior) / (contexts.sum(axis=1, keepdims=True) + PRIOR_ROWS) / prior)
+        self.contexts[0] = 0.0
 
         def gain(counts: np.ndarray) -> np.ndarray:
             joint = counts / counts.sum()
             joint = (joint + joint.T) / 2
             return np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
 
-        self.near, self.skip = gain(pair["near"]), gain(pair["skip"])
+        self.near = gain(pair["near"])
+        self.skip = gain(pair["skip"]) if skips else np.zeros((size, size))
 
     def marginals(self, chains: list[Chain]) -> np.ndarray:
-        """Loopy sum-product over the tokens of all chains at once; tokens inside base spans are observed."""
+        """Loopy sum-product over the candidates of all chains at once; those inside base spans are observed."""
         n = sum(len(c.start) for c in chains)
         node, edges, weights, at = np.zeros((n, len(LABELS))), [], [], 0
         for c in chains:
-            for i, (s, k) in enumerate(zip(c.shapes, c.known, strict=True)):
+            for i, (s, w, k) in enumerate(zip(c.shapes, c.contexts, c.known, strict=True)):
                 if k:
                     node[at + i] = -50.0
                     node[at + i, k] = 0.0
                 else:
-                    node[at + i] = self.nodes.get(s, self.other)
+                    node[at + i] = self.nodes.get(s, self.other) + self.contexts[w]
             for pairs, table in ((c.near, self.near), (c.skip, self.skip)):
                 edges += [(at + i, at + j) for i, j in pairs]
                 weights += [table] * len(pairs)
@@ -196,32 +264,32 @@ class Field:
         return p / p.sum(axis=1, keepdims=True) if n else p
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Field:
-    """Count over every document; at most SHAPES shapes reach the driver, the commonest first."""
+def train(docs: DataFrame, text_col: str = "text", skips: bool = True) -> Field:
+    """Count over every document; what reaches the driver is bounded by the numbers of shapes and contexts."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string")).where(F.col(text_col).rlike("[0-9@]"))
-    seen = rows.mapInArrow(_counts, "what string, key string, x int, y int, n long").groupBy("what", "key", "x", "y").agg(F.sum("n").alias("n")).persist()
-    pairs = seen.where("what <> 'shape'").collect()
-    top = seen.where("what = 'shape'").groupBy("key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("y", "n")).alias("labels")).orderBy(F.desc("total"), "key").limit(SHAPES).collect()
-    seen.unpersist()
-    return Field([*pairs, *({"what": "shape", "key": r["key"], "y": x["y"], "n": x["n"]} for r in top for x in r["labels"])])
+
+    def counted(labelled: frozenset | None) -> list:
+        seen = rows.mapInArrow(frugal(_counts(labelled)), "what string, key string, x int, y int, n long")
+        return seen.groupBy("what", "key", "x", "y").agg(F.sum("n").alias("n")).collect()
+
+    shapes = counted(None)
+    return Field([*shapes, *counted(frozenset(r["key"] for r in shapes if r["y"]))], skips)
 
 
 def added_spans(chain: Chain, p: np.ndarray, text: str) -> list[tuple[int, int, int]]:
-    """Spans of tokens outside the base spans that the field labels with confidence and whose like, elsewhere in the
-    text, has the same label."""
+    """Spans of candidates outside the base spans that the field labels with confidence, as it does for a base span of the
+    same kind that shares their key."""
     label = p.argmax(axis=1)
-    like: dict[int, set] = {}
-    for i, j in chain.skip:
-        like.setdefault(i, set()).add(label[j])
-        like.setdefault(j, set()).add(label[i])
+    seen = {(key, k) for key, k in zip(chain.keys, chain.known, strict=True) if key and k}
     out, previous = [], -2
     for i, (a, b) in enumerate(zip(chain.start, chain.end, strict=True)):
         k = int(label[i])
-        if chain.known[i] or not k or p[i, k] < LEAST_MARGINAL or k not in like.get(i, ()):
+        if chain.known[i] or not k or p[i, k] < LEAST_MARGINAL or (chain.keys[i], k) not in seen:
             continue
         token = text[a:b]
-        a += len(token) - len(token.lstrip(".,;:!?()[]<>\"'"))
-        b -= len(token) - len(token.rstrip(".,;:!?()[]<>\"'"))
+        a += len(token) - len(token.lstrip(_EDGE))
+        b -= len(token) - len(token.rstrip(_EDGE))
         if a < b and not any(s[0] < b and a < s[2] for s in chain.spans):
             if out and previous == i - 1 and out[-1][1] == k - 1 and (i - 1, i) in chain.near:
                 out[-1] = (out[-1][0], k - 1, b)
@@ -260,9 +328,10 @@ def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
             kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [id_col, *names])
 
+    bounded_batches(docs.sparkSession)
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "masked"]
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, masked string")
+    out = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(frugal(run), f"{id_col} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, masked string")
     return out if mask else out.drop("masked")
 
 

@@ -69,16 +69,56 @@ def test_base_spans(text):
     assert pii.base_spans(text) == sorted(want)
 
 
+def _private_rows():
+    rows = [(i, f"card 4111 1111 1111 1111 number n{i}; 4111111111111111 again 4111111111111111x end") for i in range(20)]
+    rows += [(100 + i, f"call me at +48 22 {555 + i} 12 34 or 22 {555 + i} 12 34 today, order 77 {i}") for i in range(20)]
+    rows += [(200 + i, f"write to ann{i}@mail.example or to a***@mail.example now") for i in range(20)]
+    return rows + [(50, "order 1234567890123452 only"), (51, None), (52, ""), (53, "call 22 555 12 34 alone"), (54, "x***@other.example")]
+
+
 def test_field_is_consistent(spark):
-    """A number that looks like a known card elsewhere in the text is found too; a lone one is not."""
-    rows = [(i, f"card 4111 1111 1111 1111 number n{i}; 4111111111111111 again 4111111111111111x end") for i in range(20)] + [(50, "order 1234567890123452 only"), (51, None), (52, "")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    """A number that looks like a known one elsewhere in the text is found in another form too; a lone one is not."""
+    df = spark.createDataFrame(_private_rows(), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find_pii(df, pii.train(df), mask=True).collect()}
     assert got[51].masked is None and got[52].masked == "" and got[51].spans == ""
-    assert all(got[i].n_card >= 1 and "4111111111111111 " not in got[i].masked for i in range(20))
+    assert all(got[i].n_card >= 1 and "4111111111111111" not in got[i].masked for i in range(20))
+    assert all(got[i].masked == f"call me at [PHONE] or [PHONE] today, order 77 {i - 100}" for i in range(100, 120))
+    assert all(got[i].masked == "write to [EMAIL] or to [EMAIL] now" for i in range(200, 220))
+    assert got[50].n_added == got[53].n_added == got[54].n_added == 0
     assert pii.find_pii(df.where("doc_id < 0"), pii.train(df.where("doc_id < 0"))).count() == 0
 
 
+def test_skip_edges_matter(spark):
+    """Without skip edges no distant repeat is added; base spans stay as they are."""
+    df = spark.createDataFrame(_private_rows() + [(100, "call me at +48 22 555 12 34 or 22 555 12 34")], "doc_id long, text string").selectExpr("*", "1 AS spans", "'z' AS masked")
+    with_skips, without = (pii.find_pii(df, pii.train(df, skips=x)).collect() for x in (True, False))
+    assert sum(r.n_added for r in with_skips) == 41 and len(with_skips) == df.count()
+    phones = lambda rows: sum(r.n_added for r in rows if r.doc_id >= 100 and r.doc_id < 200)
+    assert phones(with_skips) == 21 and phones(without) == 0
+    assert sorted((r.doc_id, r.base_sha256) for r in with_skips) == sorted((r.doc_id, r.base_sha256) for r in without)
+
+
+def test_digests(spark):
+    """Counts, digest and span string against the patterns run one by one."""
+    import hashlib
+
+    rows = [r for r in _private_rows() if r[1]] + [(60, "1.2.3.4 a@b.c +1 (839) 555-1724 4111111111111111")]
+    want = {}
+    for i, t in rows:
+        spans = []
+        for k, p in enumerate(PATTERNS):
+            for m in p.finditer(t):
+                d = re.sub("[^0-9]", "", m[0])
+                if not (k == 1 and any(int(x) > 255 for x in m[0].split(".")) or k == 2 and not (14 <= len(d) <= 19 and pii.luhn(d)) or k == 3 and not 10 <= len(d) <= 15):
+                    spans.append((m.start(), k, m.end()))
+        text = ",".join(f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        want[i] = (*(sum(s[1] == k for s in spans) for k in range(4)), hashlib.sha256(text.encode()).hexdigest(), text)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_pii(df, pii.train(df)).collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == want[r.doc_id][:5]
+        assert set(want[r.doc_id][5].split(",")) - {""} <= set(r.spans.split(",")) and len(r.spans.split(",")) == sum(want[r.doc_id][:4]) + r.n_added + (not r.spans)
+
+
 def test_url_filter(spark):
     import duckdb
 
