@@ -200,6 +200,27 @@ def test_contaminated_by_common_words(spark):
     assert got[100, 7] == (1.0, "copy")
 
 
+@pytest.mark.parametrize("holders, words", [(40, 200), (4, 2000)])
+def test_common_items_and_long_texts(spark, holders, words):
+    """An item that many documents hold, and texts so long that most hashed terms are common: all are retrieved."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: rng.choice(np.array([f"w{k}" for k in range(9000)]), n).tolist()
+    item = draw(17)
+    docs = [(i, " ".join(draw(words // 2) + (item if i < holders else []) + draw(words // 2))) for i in range(200)]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame([(1, " ".join(item)), (2, " ".join(draw(20)))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows if r.item_id == 1) == list(range(holders)) and all(r.item_id == 1 for r in rows)
+    assert sum(r.retrieved for r in rows) >= 0.9 * holders
+
+
+def test_contaminated_odd_rows(spark):
+    """Null ids, repeated rows and clashing columns."""
+    item = "seven purple giraffes juggled eleven frozen melons beside quiet harbour walls tonight"
+    rows = [(None, item, 1.0, "x"), (5, item, 1.0, "x"), (5, item, 1.0, "x"), (6, "nothing here", 0.0, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, cosine double, item_id string")
+    got = contaminated(df, spark.createDataFrame([(1, item, 9), (1, item, 9)], "item_id long, text string, doc_id long")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id, r.verdict) for r in got) == [(False, 5, 1, "copy"), (True, 0, 1, "copy")]
+
+
 def test_contaminated_equals_every_place(spark):
     """Evenly reworded items, long items held in part, copies: the same pairs as the verdict at every place."""
     rng = np.random.default_rng(4)
@@ -213,6 +234,11 @@ def test_contaminated_equals_every_place(spark):
             docs.append((1000 * every + k, draw(90) + text + draw(90)))
     docs += [(10**6 + k, draw(50) + own[len(own) // 3 :] + draw(50)) for k, own in items]
     docs, items = [(i, " ".join(t)) for i, t in docs], [(k, " ".join(t)) for k, t in items]
-    got = {(r.doc_id, r.item_id): (r.sequence_share, r.answer_share, r.verdict) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), items_per_pass=8).collect()}
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), items_per_pass=8).collect()
+    got = {(r.doc_id, r.item_id): (r.sequence_share, r.answer_share, r.verdict) for r in found}
     want = _every_place(docs, items)
     assert len(want) > 40 and got == want
+    # Recall of the latent search alone, of all and of the reworded ones.
+    assert sum(r.retrieved for r in found) >= 0.9 * len(found)
+    reworded = [r.retrieved for r in found if r.sequence_share < 0.95]
+    assert len(reworded) > 20 and sum(reworded) >= 0.9 * len(reworded)
