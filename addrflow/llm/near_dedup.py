@@ -88,6 +88,7 @@ def _neighbours(most: int):
     document's neighbour, which shares the longest prefix, and the region's first.
 
     At most ``most`` rows of a region are held from one batch to the next, then only its first and last."""
+
     def run(batches):
         held, first, last = None, None, None  # rows of a region still small; first and last node of one that is large
         for batch in batches:
@@ -96,10 +97,11 @@ def _neighbours(most: int):
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             region, node, size, part = rows
-            edges = [0, *(np.flatnonzero(np.diff(region)) + 1).tolist(), len(region)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if lo == hi:
-                    continue
+            edges = np.r_[0, np.flatnonzero(np.diff(region)) + 1, len(region)] if len(region) else np.zeros(1, np.int64)
+            # Regions of one document have nothing to pair, but the first and last may go on over the batch's edges.
+            several = np.diff(edges) > 1
+            several[:1] = several[-1:] = True
+            for lo, hi in zip(edges[:-1][several].tolist(), edges[1:][several].tolist(), strict=True):
                 own = node[lo:hi]
                 if first is not None and first[0] != region[lo]:
                     first = None

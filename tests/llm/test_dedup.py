@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from addrflow.llm import shards, suffix_dedup
@@ -199,6 +200,32 @@ def test_links_inside_one_region(spark, share):
     assert got == want and len(set(want.values())) > 10
 
 
+def test_neighbours_over_batches():
+    """Regions of all sizes, cut into batches anywhere, against the definition."""
+    from addrflow.llm.near_dedup import _neighbours
+
+    def brute(region, node, n, part, most):
+        out = set()
+        for r in np.unique(region):
+            at = np.flatnonzero(region == r)
+            own = node[at].tolist()
+            if len(own) > most or part[at[0]]:
+                out |= {tuple(sorted(p)) for p in [*zip(own[:-1], own[1:]), *((own[0], b) for b in own[1:])]}
+            else:
+                out |= {tuple(sorted((int(node[x]), int(node[y])))) for x in at for y in at if x < y and 4 * min(n[x], n[y]) >= 3 * max(n[x], n[y])}
+        return out
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        m = int(rng.integers(1, 120))
+        region, node, n = np.sort(rng.integers(0, rng.integers(1, 40), m)), rng.permutation(m), rng.integers(1, 9, m)
+        cuts = np.unique(np.r_[0, rng.integers(0, m + 1, rng.integers(0, 9)), m])
+        rows = [region, node, n, region % 3 == 0]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[a:b]) for x in rows], ["region", "node", "n", "part"]) for a, b in zip(cuts[:-1], cuts[1:])]
+        got = {p for b in _neighbours(5)(iter(batches)) for p in zip(*(b.column(k).to_pylist() for k in ("u", "v")))}
+        assert got == brute(*rows, 5)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
