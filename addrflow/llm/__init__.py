@@ -1,5 +1,6 @@
 """Operators for large training-data corpora.
 
-Nothing else in the library imports this subpackage.  Each ``*_operator`` module holds one operator with its own
-general interface; ``queries.py`` derives the registered queries from them.
+Nothing else in the library imports this subpackage.  Each operator has a module of its own with a general interface;
+``queries.py`` derives the registered queries from them; ``arrays``, ``shards``, ``components`` and ``workspace`` are
+shared.
 """

@@ -31,6 +31,38 @@ def test_quality_rules(docs, texts, spark):
     assert quality_rules(df, df.where("doc_id < 0")).where("llr <> 0").count() == 0
 
 
+def test_likelihood_ratio(spark):
+    """word_chars, the score and the verdict against the definition, with Spark's hash."""
+    import xxhash
+
+    from addrflow.llm.quality_rules import BUCKETS, THRESHOLD
+
+    rng = np.random.default_rng(2)
+    good, bad = [f"good{k}" for k in range(40)], [f"baad{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(good if i % 3 else bad, 70)) + "\n$x") for i in range(40)] + [(90, None), (91, "é ü  \t" + "word " * 80)]
+    trusted = [i for i in range(40) if i % 3]
+    docs = spark.createDataFrame([(*r, 5, True) for r in rows], "doc_id long, text string, llr int, kept boolean")
+    got = {r.doc_id: r for r in quality_rules(docs, spark.createDataFrame([(i,) for i in [*trusted, None, 777]], "doc_id long")).select("doc.doc_id", "word_chars", "n_words", "n_repeat_words", "base_failed", "llr", "kept").collect()}
+
+    def grams(t):
+        w = [x.encode() for x in WORD.findall(t or "")]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return [h % BUCKETS for h in one + [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(w, w[1:])]]
+
+    target, raw = np.ones(BUCKETS), np.ones(BUCKETS)
+    for i, t in rows:
+        np.add.at(raw, grams(t), 1)
+        if i in trusted:
+            np.add.at(target, grams(t), 1)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for i, t in rows:
+        g, r = grams(t), got[i]
+        want = float(ratio[g].mean()) if g else 0.0
+        assert abs(r.llr - want) < 1e-9 and r.word_chars == sum(map(len, WORD.findall(t or "")))
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and want >= THRESHOLD)
+    assert {r.kept for r in got.values()} == {True, False}
+
+
 def test_additive_model():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))

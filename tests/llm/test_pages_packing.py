@@ -177,6 +177,32 @@ def test_special_tokens_in_text(spark):
     assert got.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
 
 
+def test_pipeline_end_to_end(spark, tmp_path):
+    """All stages through packing, with null and empty texts, repeated rows, copies and a leaked item; then empty tables."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 900, n))
+    item = " ".join(f"item{k}" for k in range(30))
+    texts = {i: draw(120) for i in range(30)}
+    texts |= {40: texts[3], 41: texts[4] + " tail", 42: draw(60) + " " + item + " " + draw(60), 43: None, 44: "", 45: "short", 46: draw(80) + " mail bob@mail.example end", 47: draw(5000)}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()] + [(None, draw(100), None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for folder, docs in (("full", rows), ("none", [])):
+        spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / folder / "documents.parquet"))
+        spark.createDataFrame([(i, 1, 0) for i in range(48)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / folder / "labels.parquet"))
+        spark.createDataFrame([(1, item)] if docs else [], "item_id long, text string").write.parquet(str(tmp_path / folder / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    ids = {r.doc_id for r in got}
+    assert ids == {*range(30), 46, 47}
+    tokens = Tokenizer.from_file(PATH)
+    masked = texts[46].replace("bob@mail.example", "[EMAIL]")
+    lengths = {i: len(tokens.encode(masked if i == 46 else texts[i], add_special_tokens=False).ids) + 1 for i in ids}
+    assert all(sum(r.length for r in got if r.doc_id == i) == n for i, n in lengths.items())
+    assert all(r.offset + r.length <= 2048 for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from addrflow.llm.decontamination import contaminated
