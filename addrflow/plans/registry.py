@@ -638,9 +638,9 @@ def _(request):
 
 
 @query("latency_percentiles", "request", sql="""WITH h AS (SELECT route, b.le, b.low, count(*) AS total, count(*) FILTER (ms <= b.le) AS n, count(*) FILTER (ms <= b.low) AS before FROM request, (SELECT unnest([0.5, 1, 2, 5, 10, 25, 50, 100, 250, 500])::double AS le, unnest([0, 0.5, 1, 2, 5, 10, 25, 50, 100, 250])::double AS low) b WHERE starts_with(route, '/v1/') AND status < 400 GROUP BY ALL)
-SELECT route, round(min(low + (le - low) * (total * 0.9 - before) / greatest(n - before, 1)), 6) AS p90 FROM (SELECT *, min(le) OVER (PARTITION BY route) AS least FROM h WHERE n >= total * 0.9) WHERE le = least GROUP BY 1""")
+SELECT route, round(min(low + (le - low) * (total * 0.9 - before) / greatest(n - before, 1)), 2) AS p90 FROM (SELECT *, min(le) OVER (PARTITION BY route) AS least FROM h WHERE n >= total * 0.9) WHERE le = least GROUP BY 1""")
 def _(request):
-    return opsmetrics.bucket_percentile(opsmetrics.latency_histogram(request), 0.9).select("route", F.round("ms", 6).alias("p90"))
+    return opsmetrics.bucket_percentile(opsmetrics.latency_histogram(request), 0.9).select("route", F.round("ms", 2).alias("p90"))
 
 
 @query("union_of_points", "published", "staged", sql="SELECT part, count(*) AS n, count(DISTINCT point_id) AS points FROM (SELECT 'old' AS part, point_id FROM published UNION ALL SELECT 'new', point_id FROM staged) GROUP BY 1")
