@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from addrflow.sources.scratch import kept
 from addrflow.sources.store import current_version, publish_version, read_current
 
 from . import addresses, publish, quality
@@ -18,15 +19,16 @@ RUN_SCHEMA = "version string, outcome string, reason string, warnings array<stri
 def publish_state(state: dict[str, DataFrame], staged: dict[str, DataFrame], as_of, regions: list[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables after a snapshot, merged points with their class): P2 to P10 in their order.
 
-    References of staged points and streets are resolved against the merged localities, where they are given as such."""
-    localities = publish.merge_localities(state["locality"], staged["locality"])
+    References of staged points and streets are resolved against the merged localities, where they are given as such.
+    Merged tables are kept in scratch folders, as counts and links read them again."""
+    localities = kept("localities", publish.merge_localities(state["locality"], staged["locality"]))
     points, streets = staged["point"], staged["street"]
     if "locality_ref" in points.columns and "locality_ref" in streets.columns:
         points, streets = addresses.resolve_refs(points, streets, localities)
-    catalogue = publish.merge_uncoded_streets(publish.merge_streets(state["street"], publish.split_type_words(streets), localities), streets, localities)
+    catalogue = kept("catalogue", publish.merge_uncoded_streets(publish.merge_streets(state["street"], publish.split_type_words(streets), localities), streets, localities))
     if "street_ref" in points.columns:
         points = addresses.link_streets(points.drop("street_id"), streets, catalogue)
-    merged = publish.merge_points(state["point"], points, as_of, regions)
+    merged = kept("merged", publish.merge_points(state["point"], points, as_of, regions))
     done = merged.drop("class")
     own_streets, own_localities = publish.refresh_derived(done, catalogue, localities)
     return {"point": done, "street": own_streets, "locality": own_localities}, merged
