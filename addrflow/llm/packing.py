@@ -20,10 +20,10 @@ CAPACITY, STEP = 2048, 8
 #: Id that ends every document.
 END_ID = 1
 #: Words whose ids a worker remembers at most, before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: New words that the tokenizer gets at a time: what it returns for a word takes about a kilobyte.
 WORDS_AT_ONCE = 10_000
-_BLOCK = 2 << 20
+_BLOCK = 4 << 20
 
 
 class WordTokens:
