@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import url_filter as urls
 from .decontamination import contaminated
+from .hard_negatives import hard_negatives
+from .hard_negatives import oracle_sql as hard_negatives_sql
 from .html_extract import extract_text
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -15,6 +18,8 @@ from .quality_model import quality_scores
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .vector_packing import vector_pack_documents
+from .whitening import whiten
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +69,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(_read(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), label=label)
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return vector_pack_documents(_read(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +94,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_vector_packing": op13_vector_packing,
 }
 
-ORACLES: dict[str, str] = {"op10_url_filter": urls.oracle_sql()}
+ORACLES: dict[str, str] = {"op10_url_filter": urls.oracle_sql(), "op12_hard_negatives": hard_negatives_sql()}
