@@ -35,7 +35,7 @@ def test_likelihood_ratio(spark):
     """word_chars, the score and the verdict against the definition, with Spark's hash."""
     import xxhash
 
-    from addrflow.llm.quality_rules import BUCKETS, THRESHOLD
+    from addrflow.llm.quality_rules import BUCKETS, DEVIATIONS, PRIOR
 
     rng = np.random.default_rng(2)
     good, bad = [f"good{k}" for k in range(40)], [f"baad{k}" for k in range(40)]
@@ -49,20 +49,38 @@ def test_likelihood_ratio(spark):
         one = [xxhash.xxh64_intdigest(x, 42) for x in w]
         return [h % BUCKETS for h in one + [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(w, w[1:])]]
 
-    target, raw = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, half = np.ones(BUCKETS), [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    side = {i: xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) % 2 for i, _ in rows}
     for i, t in rows:
         np.add.at(raw, grams(t), 1)
         if i in trusted:
-            np.add.at(target, grams(t), 1)
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+            np.add.at(half[side[i]], grams(t), 1)
+    ratios = [np.log1p(h / (PRIOR * raw / raw.sum())) for h in half]
+    ratio = (ratios[0] + ratios[1]) / 2
+    apart = [ratios[1 - side[i]][grams(t)].mean() for i, t in rows if i in trusted and not got[i].base_failed]
+    threshold = np.mean(apart) - DEVIATIONS * np.std(apart)
     for i, t in rows:
         g, r = grams(t), got[i]
         want = float(ratio[g].mean()) if g else 0.0
         assert abs(r.llr - want) < 1e-9 and r.word_chars == sum(map(len, WORD.findall(t or "")))
-        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and want >= THRESHOLD)
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.kept == (not r.base_failed and want >= threshold)
     assert {r.kept for r in got.values()} == {True, False}
 
 
+def test_few_trusted_documents_reject_nothing_clean(spark):
+    """From ten trusted documents to all of them, the kept share of clean ones stays; with all of them junk is rejected."""
+    rng = np.random.default_rng(12)
+    vocabulary, p = np.array([f"w{k}" for k in range(2000)]), 1 / np.arange(1, 2001)
+    clean = [(i, " ".join(rng.choice(vocabulary, 200, p=p / p.sum()))) for i in range(400)]
+    junk = [(1000 + i, " ".join(f"{rng.integers(10**9)}%%%" for _ in range(200))) for i in range(40)]
+    docs = spark.createDataFrame(clean + junk, "doc_id long, text string").repartition(4)
+    for n in (0, 1, 2, 10, 50, 400):
+        kept = {r[0] for r in quality_rules(docs, spark.createDataFrame([(i,) for i in range(n)], "doc_id long")).where("kept").select("doc.doc_id").collect()}
+        assert sum(i < 1000 for i in kept) >= 0.99 * 400
+        if n >= 50:
+            assert not any(i >= 1000 for i in kept)
+
+
 def test_additive_model():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))
@@ -205,15 +223,16 @@ def test_contaminated(spark, texts):
 
 
 def _every_place(docs, items):
-    """Pairs that the verdict accepts at some place, by brute force; answers by counts of documents."""
-    from addrflow.llm.decontamination import ANSWER_WORDS, _terms_of, verdict, window
+    """Pairs that the verdict accepts at some place, by brute force; answers by counts of items."""
+    from addrflow.llm.decontamination import ANSWER_SHARE, ANSWER_WORDS, _terms_of, verdict, window
 
     split = lambda x: _terms_of([x]).hashes.tolist()
     texts = {i: split(t) for i, t in docs}
-    count = Counter(h for t in texts.values() for h in set(t))
+    count = Counter(h for _, t in items for h in set(split(t)))
     found = {}
     for k, own in ((k, split(t)) for k, t in items):
-        answer = frozenset(sorted(set(own), key=lambda h: (count[h], h))[:ANSWER_WORDS])
+        answer = {h for h in own if count[h] <= max(1, ANSWER_SHARE * len(items))}
+        answer = frozenset(answer if len(answer) >= ANSWER_WORDS else sorted(set(own), key=lambda h: (count[h], h))[:ANSWER_WORDS])
         for i, t in texts.items():
             got = [v for s in range(len(t)) if (v := verdict(own, answer, t[s : s + window(len(own))]))[2]]
             if got:
@@ -244,6 +263,18 @@ def test_common_items_and_long_texts(spark, holders, words):
     assert sum(r.retrieved for r in rows) >= 0.9 * holders
 
 
+@pytest.mark.parametrize("holders", [1, 3, 40])
+def test_like_paraphrases_do_not_hide_an_item(spark, holders):
+    """One rewording, every third word replaced, in one, a few or a fifth of all documents: found in each, and nowhere else."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.choice(np.array([f"w{k}" for k in range(9000)]), n).tolist()
+    items = [draw(17) for _ in range(5)]
+    reworded = [f"other{j}" if j % 3 == 2 else w for j, w in enumerate(items[0])]
+    docs = [(i, " ".join(draw(100) + (reworded if i < holders else []) + draw(100))) for i in range(200)]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.verdict) for r in rows) == [(i, 0, "paraphrase") for i in range(holders)]
+
+
 def test_contaminated_odd_rows(spark):
     """Null ids, repeated rows and clashing columns."""
     item = "seven purple giraffes juggled eleven frozen melons beside quiet harbour walls tonight"
