@@ -19,18 +19,18 @@ from .workspace import bounded_batches, stored
 
 #: Elements without content, and elements whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object xmp".split())
 #: Elements that begin and end a block of text.
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An open element of the value is closed by the key's start.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that are no part of an article.
-NOT_TEXT = frozenset("head nav header footer aside form script style noscript template iframe svg math object select button input textarea dialog menu".split())
-#: Whole class, id or role names, and first or last parts of hyphenated ones, that hint at something else than the article; a
-#: hint only: it never removes what holds the page's article or nearly all of its text.
+NOT_TEXT = frozenset("head nav header footer aside form script style noscript template iframe svg object select button input textarea menu".split())
+#: Class, id or role names that hint at something else than the article; a hint only: it never removes what holds the
+#: page's article or nearly all of its text.  A name of several parts hints if each part is such a name, or says where or
+#: how it stands on the page, so that a subject (related-work, ad-hoc, share-price) never does.
 HINTS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related respond share sharing sidebar signup skip sponsor sponsored subscribe toolbar widget".split())
-FIRST_HINTS = frozenset("ad ads advert breadcrumb comment comments cookie footer menu nav navbar newsletter promo related share sidebar sponsor".split())
-NEGATIONS = frozenset("no not without has with".split())
+PLACES = frozenset("area bar block bottom box btn button buttons column container content feed float footer form grid group header heading icons inner item items left link links list main module outer overlay page panel posts primary reader right row secondary section site slot social sticky tag thread title to top unit user wrap wrapper".split())
 #: Elements whose like siblings are one node of the alignment; of others, runs longer than RUN.
 REPEATED, RUN = frozenset("p li dt dd tr td th option h2 h3 h4 h5 h6 blockquote pre figure figcaption article br hr".split()), 7
 #: Elements that a wrapper may open further to find the article.
@@ -39,6 +39,9 @@ OPENED = frozenset("html body div section main center table tbody tr td article"
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 8
 #: Page structures of a host that get a wrapper, the commonest first; other pages go to the one that fits best.
 SEEDS = 4
+#: Blocks of a page from which on like siblings are one node where a parent has more than WIDE children, and everywhere if
+#: that is not enough: then each node has one partner at most by label, and an alignment takes time in proportion to the page.
+LARGE, WIDE = 256, 16
 #: Share of a slot's varying text that one inner slot must hold to be the article; share of link text that makes a menu;
 #: weight of an article element, and of a hinted one.
 DOMINANT, MENU, ARTICLE_WEIGHT, HINT_WEIGHT = 0.6, 0.6, 4.0, 0.25
@@ -46,7 +49,7 @@ DOMINANT, MENU, ARTICLE_WEIGHT, HINT_WEIGHT = 0.6, 0.6, 4.0, 0.25
 WHOLE = 0.95
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style|open)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 
 
@@ -56,13 +59,16 @@ class Node:
     __slots__ = ("label", "tag", "names", "hidden", "children")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.children, self.hidden = tag, [], False
+        # A dialog shows when it is open.
+        self.tag, self.children, self.hidden = tag, [], tag == "dialog"
         names: list[str] = []
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if key in ("class", "id", "role"):
                     names += value.split()
+                elif key == "open":
+                    self.hidden &= tag != "dialog"
                 else:
                     self.hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value) is not None)
         self.names = frozenset(names)
@@ -76,10 +82,8 @@ class Node:
 
 
 def _hint(name: str) -> bool:
-    if name in HINTS:
-        return True
-    parts = re.split("[-_]+", name)
-    return len(parts) > 1 and parts[0] not in NEGATIONS and (parts[-1] in HINTS or parts[0] in FIRST_HINTS)
+    parts = [x for x in re.split("[-_0-9]+", name) if x]
+    return any(x in HINTS for x in parts) and all(x in HINTS or x in PLACES for x in parts)
 
 
 def parse(page: str) -> Node:
@@ -236,7 +240,7 @@ class Outline:
         return cls([x for _, x in rows], [int(p) for p, _ in rows])
 
     @classmethod
-    def of_page(cls, root: Node) -> Outline:
+    def of_page(cls, root: Node, widest: int | None = None) -> Outline:
         labels, parent, members, own_text, own_links = ["html"], [-1], [[root]], [], []
         todo, order = [0], []
         children: list[list[tuple[str, list[Node]]]] = [[]]
@@ -272,11 +276,15 @@ class Outline:
                 own_links.append(0)
             own_text[k], own_links[k] = text, links
             new = []
+            if widest is not None and len(groups) > widest:
+                groups = _by_label(groups)
             for g in _long_runs(groups):
                 new.append(len(labels))
                 labels.append(g[0].label)
                 parent.append(k)
                 members.append(g)
+            if len(labels) > LARGE and widest != 0:
+                return cls.of_page(root, WIDE if widest is None else 0)
             todo.extend(reversed(new))
         place = {k: i for i, k in enumerate(order)}
         out = cls([labels[k] for k in order], [place[parent[k]] if k else -1 for k in order])
@@ -305,14 +313,54 @@ def _long_runs(groups: list[list[Node]]) -> list[list[Node]]:
     return out
 
 
-def _table(x: list[int], y: list[int], weight: dict) -> list[list[int]]:
-    rows = [[0] * (len(y) + 1)]
-    for p in x:
-        last, row = rows[-1], [0]
-        for j, q in enumerate(y):
-            row.append(max(last[j + 1], row[j], last[j] + weight.get((p, q), 0)))
-        rows.append(row)
-    return rows
+def _by_label(groups: list[list[Node]]) -> list[list[Node]]:
+    merged: dict[str, list[Node]] = {}
+    for g in groups:
+        merged.setdefault(g[0].label, []).extend(g)
+    return list(merged.values())
+
+
+def _places(labels: list[str], nodes: list[int]) -> dict[str, list[int]]:
+    at: dict[str, list[int]] = {}
+    for j, q in enumerate(nodes):
+        at.setdefault(labels[q], []).append(j)
+    return at
+
+
+def _chain(a: Outline, b: Outline, p: int, q: int, weight: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest pairing of the children of p and q that keeps the order of both: its weight and its pairs.
+
+    Only like children are looked at; a tree of prefix maxima (over the places in q) gives each its best predecessor."""
+    y = b.kids[q]
+    at = _places(b.labels, y)
+    best: list[tuple[int, int]] = [(0, -1)] * (len(y) + 1)
+    links: list[tuple[int, int, int]] = []
+
+    def before(j: int) -> tuple[int, int]:
+        top = (0, -1)
+        while j > 0:
+            if best[j][0] > top[0]:
+                top = best[j]
+            j -= j & -j
+        return top
+
+    for x in a.kids[p]:
+        # From the last place on, so that a child has no other pair of its own before it.
+        for j in reversed(at.get(a.labels[x], ())):
+            top = before(j)
+            here = (top[0] + weight[x, y[j]], len(links))
+            links.append((x, y[j], top[1]))
+            j += 1
+            while j <= len(y):
+                if best[j][0] < here[0]:
+                    best[j] = here
+                j += j & -j
+    total, k = before(len(y))
+    pairs = []
+    while k >= 0:
+        x, z, k = links[k]
+        pairs.append((x, z))
+    return total, pairs
 
 
 def aligned(a: Outline, b: Outline) -> tuple[int, list[int]]:
@@ -321,30 +369,20 @@ def aligned(a: Outline, b: Outline) -> tuple[int, list[int]]:
     partner = [-1] * len(a.labels)
     if a.labels[0] != b.labels[0]:
         return 0, partner
-    pairs, seen = [(0, 0)], {(0, 0)}
+    pairs = [(0, 0)]
     for p, q in pairs:
-        for x in a.kids[p]:
-            for y in b.kids[q]:
-                if a.labels[x] == b.labels[y] and (x, y) not in seen:
-                    seen.add((x, y))
-                    pairs.append((x, y))
+        at = _places(b.labels, b.kids[q])
+        pairs += [(x, b.kids[q][j]) for x in a.kids[p] for j in at.get(a.labels[x], ())]
     weight: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for p, q in reversed(pairs):
-        weight[p, q] = 1 + _table(a.kids[p], b.kids[q], weight)[-1][-1]
+        total, chosen[p, q] = _chain(a, b, p, q, weight) if a.kids[p] and b.kids[q] else (0, [])
+        weight[p, q] = 1 + total
     todo = [(0, 0)]
     while todo:
         p, q = todo.pop()
         partner[p] = q
-        x, y = a.kids[p], b.kids[q]
-        rows, i, j = _table(x, y, weight), len(x), len(y)
-        while i and j:
-            if (w := weight.get((x[i - 1], y[j - 1]), 0)) and rows[i][j] == rows[i - 1][j - 1] + w:
-                i, j = i - 1, j - 1
-                todo.append((x[i], y[j]))
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i -= 1
+        todo += chosen[p, q]
     return weight[0, 0], partner
 
 
@@ -513,7 +551,7 @@ def induce_wrappers(pages: DataFrame, url_col: str, html_col: str, broadcast_byt
     outlines = stored(rows.mapInArrow(frugal(_outlines), "host string, shape string, keys array<long>, sizes array<long>, links array<long>"), "outlines")
     shapes = outlines.groupBy("host", "shape").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("host").orderBy(F.desc("n"), F.desc(F.length("shape")), "shape")
-    top = shapes.withColumn("seed", F.row_number().over(rank) - 1).where(f"seed < {SEEDS}")
+    top = shapes.withColumn("seed", F.row_number().over(rank)).where(f"seed <= {SEEDS}").withColumn("seed", F.col("seed") - 1)
     large = shapes.groupBy("host").agg(F.sum("n").alias("n_host")).where(f"n_host >= {CONSTANT_PAGES}")
     seeds = stored(top.join(large, "host").select("host", F.col("seed").cast("long").alias("seed"), "shape"), "seeds")
     known = seeds.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "shape"))), lambda x: x["shape"]).alias("seeds"))
@@ -537,12 +575,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     the pages that have them (and 8) are template and left out; of the varying slots the one that holds the article is
     found by how much text outside links it holds over all pages of the host.  A host of fewer pages has no wrapper: then
     the page's article or main elements are taken.  In either, elements that can't be part of an article (menus, headers,
-    footers, asides, forms, scripts ...) and those whose class, id or role name hints at such a part are left out, unless
-    they hold the article or nearly all of the text.  Character references are decoded, white space inside a block becomes one
+    footers, asides, forms, scripts, closed dialogs ...) and those whose class, id or role name is that of such a part are left
+    out, unless they hold the article or nearly all of the text.  Character references are decoded, white space inside a block becomes one
     blank, and blocks are joined by one blank.
 
     Null or empty html has the empty text.  A null url, or one without a host, belongs to the empty host.  Pages may be of
-    any length and depth.  Repeated rows are kept; other columns are ignored.  Wrappers are broadcast if they take at most
+    any length and depth; of pages with more than LARGE blocks, like siblings are one node of the alignment.  Repeated rows are kept; other columns are ignored.  Wrappers are broadcast if they take at most
     ``broadcast_bytes``, else joined.
     """
     bounded_batches(pages.sparkSession)

@@ -78,6 +78,30 @@ def test_hints_do_not_swallow_articles():
     assert text('<article><p title="5" tall">text</p><p title="a>b">c</p></article>') == "text c"
 
 
+def test_subjects_are_no_hints():
+    text = lambda x: html_extract.main_text(f"<article><p>a</p>{x}</article>", None)
+    for kept in ('<section class="related-work">b</section>', '<div class="comment-analysis">b</div>', '<div class="ad-hoc">b</div>', '<p class="share-price">b</p>', "<p><math><mi>b</mi></math></p>", "<dialog open>b</dialog>", '<div id="cookie-recipes">b</div>', '<div class="notice-period">b</div>'):
+        assert text(kept) == "a b", kept
+    for gone in ('<div class="comment-list">b</div>', '<div class="ad-slot-3">b</div>', '<div id="share_buttons">b</div>', "<dialog>b</dialog>", '<div class="cookie-banner">b</div>', '<section id="comments">b</section>', '<ul class="related-posts"><li>b</ul>'):
+        assert text(gone) == "a", gone
+
+
+def test_alternating_blocks_are_aligned_in_linear_time(spark):
+    """Pages of 20,000 alternating blocks, and of 5,000 kinds of blocks, in the time of their reading."""
+    import time
+
+    many = lambda i, n: "".join(f"<h2>head {i} {k}</h2><p>text {i} {k}</p>" for k in range(n))
+    kinds = lambda i: "".join(f"<div class='{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'>w{i} {k}</div>" for k in range(5000))
+    for make in (lambda i: many(i, 10_000 + i), kinds):
+        a, b = (html_extract.Outline.of_page(html_extract.parse(f"<body><div>{make(i)}</div></body>")) for i in (1, 2))
+        start = time.process_time()
+        score, _ = html_extract.aligned(a, b)
+        assert score == len(a.labels) and time.process_time() - start < 2
+    rows = [(i, f"http://h.example/{i}", f"<body><div>menu of the host</div><div>{many(i, 10_000)}</div></body>") for i in range(9)]
+    got = extracted(spark, rows)
+    assert all(got[i] == " ".join(f"head {i} {k} text {i} {k}" for k in range(10_000)) for i in range(9))
+
+
 def test_deep_and_long_pages(spark):
     deep = "<div>" * 3000 + "<p>inner</p>" + "</div>" * 3000
     long = "<article>" + "<p>word</p>" * 200_000 + "</article>"
