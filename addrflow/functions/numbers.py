@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 from .binding import let
 
 _L = "A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż"
-#: One part of a number: up to five digits and a letter.
-_P = rf"[0-9]{{1,5}}\s?[{_L}]?"
-#: Ways of writing that there is no number.
+#: Ways of writing that there is no number; words before a flat.
 _NONE = r"(?i)^(b\.?\s?n\.?|bn|brak|nd|n/d|0+|[-.\s]+)$"
-_FLAT = rf"(?i)^(.+?)\s*(?:m\.?|lok\.?|mieszk\.?|mieszkanie)\s*([0-9]{{1,5}}\s?[{_L}]?)$"
-_RANGE = rf"^{_P}\s*-\s*{_P}$"
-_TRIPLE = rf"^({_P}\s*/\s*{_P})\s*/\s*({_P})$"
-_PAIR = rf"^({_P})\s*/\s*({_P})$"
+_FLAT_WORD = r"(?i)(?:mieszkanie|(?:mieszk|lok|m)\.?)(?=\s*[0-9])"
+#: Stands for a flat word while a number is read; no number holds it.
+_MARK = "\ue000"
 
 
 def _bare(s: Column) -> Column:
@@ -44,10 +41,23 @@ def canonical_flat(s: Column) -> Column:
     return F.upper(_bare(F.trim(s)))
 
 
+def _is_part(s: Column) -> Column:
+    """Up to five digits and a letter."""
+    return F.rlike(s, F.lit(f"^[0-9]{{1,5}}[{_L}]?$"))
+
+
+def _all_parts(parts: Column, most: int) -> Column:
+    return (F.size(parts) <= most) & F.forall(parts, _is_part)
+
+
+def _is_building(s: Column) -> Column:
+    """A part, two parts with a slash, or a range of two, without blanks."""
+    return _all_parts(F.split(s, "/"), 2) | _all_parts(F.split(s, "-"), 2)
+
+
 def looks_like_building_number(s: Column) -> Column:
     """A number, a range or a pair, without a flat."""
-    t = _bare(F.trim(s))
-    return ~F.rlike(t, F.lit(_NONE)) & F.rlike(t, F.lit(f"^{_P}$|{_RANGE}|{_PAIR}"))
+    return let(_bare(F.trim(s)), lambda t: ~F.rlike(t, F.lit(_NONE)) & _is_building(t))
 
 
 def is_garbage_number(s: Column) -> Column:
@@ -65,26 +75,27 @@ def parse_number(s: Column) -> Column:
 
 
 def _reading(t: Column) -> Column:
+    """Flat words cut a number in house and flat; without one, slashes do: the last of three parts is a flat, the last of two
+    may be."""
     none = F.lit(None).cast("string")
 
-    def result(building: Column, flat: Column = none, ambiguous: Column | None = None) -> Column:
-        doubt = F.lit(False) if ambiguous is None else ambiguous
+    def result(building: Column, flat: Column = none, doubt: Column | bool = False) -> Column:
+        doubt = F.lit(doubt) if isinstance(doubt, bool) else doubt
         other = F.when(doubt, F.array(canonical_building(t))).otherwise(F.array().cast("array<string>"))
-        return F.struct(building.alias("building"), flat.alias("flat"), doubt.alias("ambiguous"), other.alias("alternatives"))
-
-    def has(pattern: str) -> Column:
-        return F.rlike(t, F.lit(pattern))
-
-    def part(pattern: str, k: int) -> Column:
-        return F.regexp_extract(t, pattern, k)
-
-    marked = has(_FLAT) & F.rlike(_bare(part(_FLAT, 1)), F.lit(f"^{_P}$|{_RANGE}|{_PAIR}"))
-    digits = F.rlike(_bare(t), F.lit("^[0-9]+/[0-9]+$"))
-    return (
-        F.when((t == "") | has(_NONE), None)
-        .when(marked, result(canonical_building(part(_FLAT, 1)), canonical_flat(part(_FLAT, 2))))
-        .when(has(_RANGE), result(canonical_building(t)))
-        .when(has(_TRIPLE), result(canonical_building(part(_TRIPLE, 1)), canonical_flat(part(_TRIPLE, 2))))
-        .when(has(_PAIR), result(canonical_building(part(_PAIR, 1)), canonical_flat(part(_PAIR, 2)), digits))
-        .when(has(f"^{_P}$"), result(canonical_building(t)))
-    )
+        return F.struct(canonical_building(building).alias("building"), canonical_flat(flat).alias("flat"), doubt.alias("ambiguous"), other.alias("alternatives"))
+
+    def cut(x: Column) -> Column:
+        house, flat, parts = x["sides"][0], F.get(x["sides"], F.lit(1)), x["parts"]
+        slashed = F.when(F.size(parts) == 3, result(F.concat_ws("/", parts[0], F.get(parts, F.lit(1))), F.get(parts, F.lit(2))))
+        slashed = slashed.when(F.size(parts) == 2, result(parts[0], F.get(parts, F.lit(1)), ~F.rlike(house, F.lit(f"[{_L}]"))))
+        return (
+            F.when((t == "") | F.rlike(t, F.lit(_NONE)) | (F.size(x["sides"]) > 2), None)
+            # Digits that only a blank parts are two numbers.
+            .when(F.rlike(x["end"], F.lit("[0-9] [0-9]")), None)
+            .when(flat.isNotNull(), F.when(_is_part(flat) & _is_building(house), result(house, flat)))
+            .when(_all_parts(parts, 3), F.when(F.size(parts) == 1, result(house)).otherwise(slashed))
+            .when(_is_building(house), result(house))
+        )
+
+    sides = F.split(F.regexp_replace(t, _FLAT_WORD, _MARK), _MARK)
+    return let(sides, lambda s: let(F.struct(F.transform(s, _bare).alias("sides"), F.split(_bare(s[0]), "/").alias("parts"), F.element_at(s, -1).alias("end")), cut))
