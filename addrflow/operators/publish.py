@@ -56,13 +56,27 @@ def merge_uncoded_streets(current: DataFrame, staged: DataFrame, localities: Dat
     return current.unionByName(new)
 
 
+def latest_rows(staged: DataFrame) -> DataFrame:
+    """One row of each point id of a snapshot: the latest version, then the least hash.
+
+    The join that follows needs the same partitioning, so this shuffles nothing more."""
+    order = [F.desc_nulls_last("version_id")] if "version_id" in staged.columns else []
+    return distinct_on(staged, ["point_id"], [*order, F.asc("hash")])
+
+
+def duplicate_ids(staged: DataFrame) -> DataFrame:
+    """One row: point ids that a snapshot has more than once, and the rows beyond the first of each."""
+    groups = staged.groupBy("point_id").agg(F.count("*").alias("n")).where("n > 1")
+    return groups.agg(F.count("*").alias("ids"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
+
+
 def merge_points(current: DataFrame, staged: DataFrame, as_of, regions: list[str] | None = None, source: str | None = None) -> DataFrame:
     """The published points after a snapshot, with the ``class`` of each.
 
-    One full outer join sorts all rows out.  New, changed and restored points take the staged values, but keep the old
+    One full outer join sorts all rows out.  Of several staged rows of an id the latest counts (``latest_rows``).  New, changed and restored points take the staged values, but keep the old
     status and position where the new ones are missing.  Missing points of the snapshot's regions (and ``source``) are
     stamped as withdrawn; all others stay as they were."""
-    joined = classify_changes(current, staged, "point_id")
+    joined = classify_changes(current, latest_rows(staged), "point_id")
     taken = F.col("class").isin("new", "changed", "restored")
     gone = F.col("class") == "missing"
     if regions is not None:

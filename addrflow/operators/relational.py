@@ -1,4 +1,4 @@
-"""General relational helpers: distinct-on, top-k, change classes, tagged keys, prefix and grid joins."""
+"""General relational helpers: distinct-on, top-k, change classes, tagged keys and grid joins."""
 
 from __future__ import annotations
 
@@ -58,16 +58,6 @@ def match_by_key(left: DataFrame, right: DataFrame, first: str, second: str, how
     return left.withColumn("_key", F.coalesce(first, second)).join(tagged, "_key", how).drop("_key")
 
 
-def prefix_join(queries: DataFrame, keys: DataFrame, probe: str, key: str, width: int = 4) -> DataFrame:
-    """Rows of ``keys`` that start with each query's ``probe``.
-
-    Equality on the first ``width`` characters does the shuffle: a probe shorter than that meets keys by their own prefix of
-    its length, so keys are listed once for each length up to ``width``."""
-    right = keys.withColumn("_head", F.explode(F.array(*(F.substring(key, 1, n) for n in range(1, width + 1)))))
-    left = queries.where(F.length(probe) > 0).withColumn("_head", F.substring(F.col(probe), 1, width))
-    return left.join(right.distinct(), "_head").where(F.startswith(F.col(key), F.col(probe))).drop("_head")
-
-
 def within_radius(inputs: DataFrame, points: DataFrame, max_m: float) -> DataFrame:
     """Pairs of inputs (lon, lat) and points (plon, plat) up to ``max_m`` metres apart, with ``distance``.
 

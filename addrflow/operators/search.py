@@ -1,13 +1,16 @@
-"""Bulk address search: documents, prefix keys, candidates, scores and suggestions."""
+"""Bulk address search: documents, prefix keys, an index with ranked lists, candidates, scores and suggestions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrflow.functions.binding import let
-from addrflow.functions.streets import leading_type_offset, short_street_name, split_label, street_label
+from addrflow.functions.streets import leading_type_offset, ordinal_variants, short_street_name, split_label, street_label
 from addrflow.functions.text import normalize_text, tokenize
+from addrflow.sources.scratch import kept, scratch_folder
 
 from .addresses import active, unit_names
 from .relational import top_k, union_all
@@ -15,10 +18,16 @@ from .relational import top_k, union_all
 #: Words that keys leave out, most words of a key, characters of the shortest probe of a cut word.
 STOP_WORDS = ("ul", "al", "pl", "os", "im")
 KEY_WORDS, SHORTEST = 6, 4
+#: Keys under a prefix from which on it has ranked lists, and the length of these.
+CROWDED, LISTED = 64, 20
+#: Rows of an index file.
+FILE_ROWS = 1 << 20
+
 
+def build_docs(localities: DataFrame, streets: DataFrame, units: DataFrame, ordinals: bool = False) -> DataFrame:
+    """Localities with points or streets, and streets, as search documents.
 
-def build_docs(localities: DataFrame, streets: DataFrame, units: DataFrame) -> DataFrame:
-    """Localities with points or streets, and streets, as search documents."""
+    Streets have their short name as an alias, and with ``ordinals`` other spellings of the ordinals in their names."""
     names = unit_names(units)
     loc = active(localities).join(names, "terc", "left")
     own = loc.where((F.col("n_points") > 0) | F.col("has_streets"))
@@ -28,6 +37,8 @@ def build_docs(localities: DataFrame, streets: DataFrame, units: DataFrame) -> D
     joined = road.join(loc, "simc")
     short = short_street_name(F.col("street"))
     alias = F.array_compact(F.array(F.when(short.isNotNull(), F.concat_ws(", ", short, "name"))))
+    if ordinals:
+        alias = F.concat(alias, F.transform(ordinal_variants(F.col("street")), lambda x: F.concat_ws(", ", x, "name")))
     b = joined.select(F.concat(F.lit("S-"), "street_id").alias("doc_id"), F.lit("street").alias("type"), street_label(F.col("street_kind"), F.col("street"), F.col("name")).alias("label"), "simc", "street_id", F.col("street_points").alias("n_points"), F.col("n_points").alias("locality_points"), "commune", "county", "voivodeship", F.lit(True).alias("has_streets"), alias.alias("aliases"))
     return union_all(a, b)
 
@@ -58,42 +69,6 @@ def probes(queries: DataFrame) -> DataFrame:
     return q.select(*q.columns, F.posexplode(F.concat(F.array("q"), by_length, cut)).alias("level", "probe"))
 
 
-def prefix_index(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(prefix, key, doc_id, type, simc): every prefix of every key, so that a lookup is an equality."""
-    rows = keys.join(docs.select("doc_id", "type", "simc"), "doc_id")
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))
-    return rows.where("key <> ''").select(F.explode(prefixes).alias("prefix"), "key", "doc_id", "type", "simc")
-
-
-def candidates(queries: DataFrame, docs: DataFrame, keys: DataFrame, optional: bool = False) -> DataFrame:
-    """(query_id, q, doc_id, key) of the first level of probes that hits after the filters.
-
-    ``queries`` may carry ``want_type`` and ``want_simc``; with ``optional``, a null there asks for everything, without it
-    finds nothing.  First each query's lowest level with any hit is found, then only
-    that level's probe meets the keys.  All its hits are kept, so that a short probe can't miss the best label."""
-    index = prefix_index(docs, keys)
-    wanted = [c for c in ("want_type", "want_simc") if c in queries.columns]
-
-    def found(p: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
-        cond = F.col("probe") == F.col("prefix")
-        for want, have in on:
-            cond = cond & (F.col(want) == F.col(have))
-        return p.join(index, cond, how)
-
-    # Queries with the same filters share a join whose keys are all equalities.
-    p, out = probes(queries), None
-    for bits in range(1 << len(wanted)) if optional else [(1 << len(wanted)) - 1]:
-        given = [w for k, w in enumerate(wanted) if bits >> k & 1]
-        own = p
-        for w in wanted if optional else []:
-            own = own.where(F.col(w).isNotNull() if w in given else F.col(w).isNull())
-        on = [(w, w[5:]) for w in given]
-        best = found(own, on, "left_semi").groupBy("query_id", "q", *given).agg(F.min_by("probe", "level").alias("probe"))
-        hits = found(best, on, "inner").groupBy("query_id", "q", "doc_id").agg(F.min("key").alias("key"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """Documents with what their score needs and no query changes: ``norm``, ``offset``, ``words``, ``weight``."""
     weight = 30.0 * F.log10(F.col("n_points") + 1.0) + 25.0 * F.log10(F.col("locality_points") + 1.0)
@@ -125,19 +100,155 @@ def score(q: Column) -> Column:
     return F.when(whole, bonus + 600.0 + rest).otherwise(let(edits, value))
 
 
-def suggest(queries: DataFrame, docs: DataFrame, keys: DataFrame, k: int = 10, optional: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class SearchIndex:
+    """What lookups read.
+
+    ``docs``: measured documents.  ``crowded``: (prefix, scope) of prefixes that more than CROWDED keys have, for each type
+    and for all together (''); ``scope`` there has documents.  ``entries``: each key under all its crowded prefixes and under
+    its shortest other one, the bucket of all keys that go on like it.  ``lists``: for each crowded prefix and scope the
+    LISTED best documents of the query that is that prefix."""
+
+    docs: DataFrame
+    keys: DataFrame
+    crowded: DataFrame
+    entries: DataFrame
+    lists: DataFrame
+    path: str
+
+
+_PARTS = ("docs", "keys", "crowded", "entries", "lists", "bounds")
+
+
+def _prefixes(key: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.substring(key, F.lit(1), n))
+
+
+def build_index(docs: DataFrame, path: str | None = None, crowded: int = CROWDED, listed: int = LISTED, file_rows: int = FILE_ROWS) -> SearchIndex:
+    """Write a search index and open it.
+
+    A query that is a crowded prefix is scored here, once for all who ask it: the score depends on nothing but the query and
+    the document.  Keys are a trie cut where at most ``crowded`` of them are left.  Ranked lists are cut within the tasks
+    before they are shuffled, so that a prefix of a third of all keys is no hot key."""
+    spark = docs.sparkSession
+    path = path or scratch_folder(spark, "index")
+
+    def part(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    own = part("docs", measured(docs))
+    keys = part("keys", build_keys(docs).where("key <> ''").join(own.select("doc_id", "type", "simc"), "doc_id"))
+    many = keys.select(F.explode(_prefixes(F.col("key"))).alias("prefix"), "type")
+    scopes = many.groupBy("prefix", "type").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("prefix"))
+    scopes = scopes.withColumn("total", total).where(F.col("total") > crowded)
+    both = part("crowded", scopes.select("prefix", F.explode(F.array(F.lit(""), F.col("type"))).alias("scope")).distinct())
+    # Crowded prefixes of a key are its shortest ones; the next longer one is its bucket.
+    heads = both.where("scope = ''").select("prefix")
+    lengths = keys.select("key").distinct().select("key", F.explode(_prefixes(F.col("key"))).alias("prefix")).join(heads, "prefix").groupBy("key").agg(F.max(F.length("prefix")).alias("n"))
+    cut = keys.join(lengths, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    spots = F.transform(F.sequence(F.lit(1), F.least(F.col("n") + 1, F.length("key"))), lambda n: F.substring("key", F.lit(1), n))
+    spots = F.when(F.col("n") > 0, spots).otherwise(F.array(F.substring("key", 1, 1)))
+    rows = cut.select(F.explode(spots).alias("entry"), "key", "doc_id", "type", "simc")
+    # Ranges of entry and key, so that the keys of one large entry go to several files.
+    files = 1 + keys.count() // file_rows
+    entries = part("entries", rows.repartitionByRange(files, "entry", "key", "doc_id").sortWithinPartitions("entry", "key", "doc_id"))
+    part("bounds", entries.groupBy(F.input_file_name().alias("file")).agg(F.min("entry").alias("low"), F.max("entry").alias("high")))
+    hits = entries.join(heads.withColumnRenamed("prefix", "entry"), "entry").groupBy(F.col("entry").alias("prefix"), "doc_id").agg(F.min("key").alias("key"))
+    scored = hits.join(own, "doc_id").withColumn("score", score(F.col("prefix"))).where("score <> 0")
+    scored = scored.select("prefix", F.explode(F.array(F.lit(""), F.col("type"))).alias("scope"), "doc_id", "key", "score")
+    best = top_k(scored, ["prefix", "scope"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], listed)
+    part("lists", best.repartitionByRange("prefix").sortWithinPartitions("prefix", "scope", "rank"))
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> SearchIndex:
+    """An index written before; it is read as often as it is opened, not made again."""
+    return SearchIndex(*(spark.read.parquet(f"{path}/{n}") for n in _PARTS[:-1]), path)
+
+
+def keys_under(index: SearchIndex, prefix: str) -> DataFrame:
+    """(key, doc_id) of one prefix in byte order, from the files whose bounds hold its entries (T4).
+
+    Only the table of bounds, a row for each file, is looked into before."""
+    spark = index.entries.sparkSession
+    heads = [prefix[:n] for n in range(1, len(prefix) + 1)]
+    crowded = index.crowded.where(F.col("prefix").isin(heads) & (F.col("scope") == "")).agg(F.max(F.length("prefix"))).first()[0] or 0
+    entry = prefix[: min(len(prefix), crowded + 1)]
+    files = spark.read.parquet(f"{index.path}/bounds").where((F.col("low") <= entry) & (F.col("high") >= entry)).collect()
+    rows = spark.read.schema(index.entries.schema).parquet(*[r["file"] for r in files]) if files else index.entries.limit(0)
+    return rows.where((F.col("entry") == entry) & F.startswith("key", F.lit(prefix))).select("key", "doc_id").sort("key", "doc_id")
+
+
+def _placed(p: DataFrame, index: SearchIndex) -> DataFrame:
+    """Probes with ``entry``, where their keys are, and ``many``, whether that is a crowded prefix."""
+    heads = index.crowded.where("scope = ''").select("prefix")
+    found = p.select("probe").distinct().select("probe", F.explode(_prefixes(F.col("probe"))).alias("prefix")).join(heads, "prefix").groupBy("probe").agg(F.max(F.length("prefix")).alias("_n"))
+    out = p.join(found, "probe", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return out.withColumn("many", F.col("_n") == F.length("probe")).withColumn("entry", F.substring(F.col("probe"), F.lit(1), F.least(F.col("_n") + 1, F.length("probe")))).drop("_n")
+
+
+def candidates(queries: DataFrame, index: SearchIndex, optional: bool = False, k: int = 0, max_candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, ranked) of the first level of probes that finds something after the filters.
+
+    ``queries`` may carry ``want_type`` and ``want_simc``; with ``optional``, a null there asks for everything, without it
+    finds nothing.  Hits are (query_id, q, doc_id, key), all of that level, or with ``max_candidates`` the first keys in byte
+    order.  Queries that are a crowded prefix themselves need none: their best ``k`` come ranked from the index, as
+    (query_id, q, doc_id, key, score, rank)."""
+    wanted = [c for c in ("want_type", "want_simc") if c in queries.columns]
+    p = kept("probes", _placed(probes(queries), index))
+    from_lists = 0 < k <= LISTED and max_candidates is None
+    ranked, hits = [], []
+    # Queries with the same filters share a join whose keys are all equalities.
+    for bits in range(1 << len(wanted)) if optional else [(1 << len(wanted)) - 1]:
+        given = [w for j, w in enumerate(wanted) if bits >> j & 1]
+        own = p
+        for w in wanted if optional else []:
+            own = own.where(F.col(w).isNotNull() if w in given else F.col(w).isNull())
+        scope = F.coalesce("want_type", F.lit("")) if "want_type" in given else F.lit("")
+        own = own.withColumn("scope", scope)
+
+        def entries_of(rows: DataFrame, how: str, given: list[str] = given) -> DataFrame:
+            cond = (rows["entry"] == index.entries["entry"]) & F.startswith(index.entries["key"], rows["probe"])
+            for w in given:
+                cond = cond & (rows[w] == index.entries[w[5:]])
+            return rows.join(index.entries, cond, how)
+
+        if "want_simc" in given:
+            found = entries_of(own, "left_semi")
+        else:
+            known = index.crowded.select(F.col("prefix").alias("probe"), "scope")
+            found = own.where("many").join(known, ["probe", "scope"], "left_semi").select(own.columns).unionByName(entries_of(own.where("NOT many"), "left_semi"))
+        best = found.groupBy("query_id", "q", "scope", *given).agg(F.min_by(F.struct("level", "probe", "entry", "many"), "level").alias("b")).select("query_id", "q", "scope", *given, "b.*")
+        listed = F.col("many") & (F.col("level") == 0) & F.lit(from_lists and "want_simc" not in given)
+        if from_lists and "want_simc" not in given:
+            lists = index.lists.where(F.col("rank") <= k).withColumnRenamed("prefix", "probe")
+            ranked.append(best.where(listed).join(lists, ["probe", "scope"]).select("query_id", "q", "doc_id", "key", "score", "rank"))
+        rows = entries_of(best.where(~listed), "inner").select(best["query_id"], best["q"], "doc_id", "key")
+        if max_candidates is not None:
+            rows = top_k(rows, ["query_id"], [F.asc("key"), F.asc("doc_id")], max_candidates)
+        hits.append(rows.groupBy("query_id", "q", "doc_id").agg(F.min("key").alias("key")))
+    none = index.lists.sparkSession.createDataFrame([], "doc_id string, key string, score double, rank int")
+    if not ranked:
+        ranked = [hits[0].select("query_id", "q").join(none, F.lit(False))]
+    return union_all(*hits), union_all(*ranked)
+
+
+def suggest(queries: DataFrame, index: SearchIndex, k: int = 10, optional: bool = False, max_candidates: int | None = None) -> DataFrame:
     """The best ``k`` documents of each query, with display fields."""
-    joined = candidates(queries, docs, keys, optional).join(measured(docs), "doc_id")
-    scored = joined.withColumn("score", score(F.col("q"))).where("score <> 0")
+    hits, ranked = candidates(queries, index, optional, k, max_candidates)
+    scored = hits.join(index.docs, "doc_id").withColumn("score", score(F.col("q"))).where("score <> 0")
     best = top_k(scored, ["query_id"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], k)
+    rows = best.select("query_id", "doc_id", "score", "rank").unionByName(ranked.select("query_id", "doc_id", "score", "rank")).join(index.docs, "doc_id")
     parts = split_label(F.col("label"))
-    return best.select("query_id", "rank", "doc_id", "type", "label", "simc", "street_id", F.when(F.col("type") == "street", parts["street"]).alias("street"), "commune", "county", "voivodeship", "has_streets", "n_points", "score")
+    return rows.select("query_id", "rank", "doc_id", "type", "label", "simc", "street_id", F.when(F.col("type") == "street", parts["street"]).alias("street"), "commune", "county", "voivodeship", "has_streets", "n_points", "score")
 
 
-def streets_matching(queries: DataFrame, docs: DataFrame, keys: DataFrame, k: int = 20) -> DataFrame:
+def streets_matching(queries: DataFrame, index: SearchIndex, k: int = 20) -> DataFrame:
     """The best ``k`` streets for a text within a locality: queries have query_id, q, simc."""
     asked = queries.select("query_id", "q", F.col("simc").alias("want_simc"), F.lit("street").alias("want_type"))
-    return suggest(asked, docs, keys, k)
+    return suggest(asked, index, k)
 
 
 def streets_of(simcs: DataFrame, docs: DataFrame) -> DataFrame:

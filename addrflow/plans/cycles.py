@@ -77,6 +77,46 @@ def _(published, staged, locality, street):
     return cycle.runs().select("version", "outcome", F.when(F.col("outcome") == "error", "some").otherwise(F.coalesce("reason", F.lit(""))).alias("reason"), *counts)
 
 
+@query(
+    "changed_parts",
+    "published",
+    "locality",
+    "street",
+    sql="""
+WITH p AS (SELECT DISTINCT region, substring(md5(point_id), 1, 1) AS b FROM published), o AS (SELECT DISTINCT 's', substring(md5(street_id), 1, 1) FROM street UNION ALL SELECT DISTINCT 'l', substring(md5(simc), 1, 1) FROM locality),
+n AS (SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM o) AS total, (SELECT count(*) FROM p WHERE region = '01' AND b IN ('0', '1')) AS moved)
+SELECT '1' AS version, 0 AS parts_kept, total AS parts_written FROM n UNION ALL SELECT '2', total - moved, moved FROM n UNION ALL SELECT '3', total, 0 FROM n""",
+)
+def _(published, locality, street):
+    """Parts that stay the files they are: none at first, all but those with a changed point, all without a change."""
+    spark = published.sparkSession
+    cycle = Cycle(spark, scratch_folder(spark, "parts"), LOOSE)
+    tables = lambda points: lambda: {"point": points, "locality": locality, "street": _street(street)}
+    before = published.withColumn("withdrawn", F.lit(None).cast("timestamp"))
+    moved = (F.col("region") == "01") & F.substring(F.md5("point_id"), 1, 1).isin("0", "1")
+    after = before.withColumn("hash", F.when(moved, F.concat("hash", F.lit("|new"))).otherwise(F.col("hash")))
+    regions = [r["region"] for r in published.select("region").distinct().collect()]
+    cycle.run("1", tables(before), regions, AS_OF)
+    cycle.run("2", tables(after), ["01"], AS_OF)
+    cycle.run("3", tables(after), regions, AS_OF)
+    return cycle.runs().select("version", "parts_kept", "parts_written")
+
+
+@query(
+    "duplicate_points",
+    "published",
+    "staged",
+    sql="SELECT (SELECT count(*) FROM staged WHERE k % 7 = 0) AS ids, (SELECT count(*) FROM staged WHERE k % 7 = 0) AS surplus, count(*) AS rows, 0 AS stale FROM published c FULL OUTER JOIN staged n ON c.point_id = n.point_id",
+)
+def _(published, staged):
+    """A snapshot that has every seventh point twice: the later version is published, once."""
+    rows = staged.withColumn("version_id", F.lit("2024-02-01T10:00"))
+    old = staged.where("k % 7 = 0").withColumn("version_id", F.lit("2023-05-01T10:00")).withColumn("hash", F.lit("stale"))
+    both = rows.unionByName(old)
+    merged = publish.merge_points(published, both, AS_OF).agg(F.count("*").alias("rows"), F.count_if(F.col("hash") == "stale").alias("stale"))
+    return publish.duplicate_ids(both).join(merged, F.lit(True)).select("ids", "surplus", "rows", "stale")
+
+
 @query("published_versions", "published", "staged", sql="SELECT 'current' AS what, '11' AS version, count(*) AS rows FROM staged UNION ALL SELECT 'pruned', '8', 0 UNION ALL SELECT 'pruned', '9', 0 UNION ALL SELECT 'moved', '11', 1 UNION ALL SELECT 'unmoved', '11', 0")
 def _(published, staged):
     """Four versions behind a pointer; the two oldest are pruned though their names sort last."""

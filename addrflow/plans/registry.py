@@ -10,7 +10,6 @@ from addrflow.functions.postal import is_placeholder_postal, is_valid_postal, no
 from addrflow.functions.text import clean_text, normalize_text, tokenize
 from addrflow.operators import addresses, compare, lookup, opsmetrics, publish, quality, search, usage, validate
 from addrflow.operators.relational import distinct_on, top_k, union_all
-from addrflow.sources.scratch import kept
 
 from . import cycles, ingestion, scalars  # noqa: F401  (they register queries of their own)
 from .register import AS_OF, ORACLES, QUERIES, query
@@ -278,12 +277,6 @@ def _index(locality, street, unit, point):
     return docs, search.build_keys(docs)
 
 
-def _stored_index(docs):
-    """(documents, keys) as a search has them: written once, read by every query."""
-    docs = kept("docs", docs)
-    return docs, kept("keys", search.build_keys(docs))
-
-
 DOCS = """
 lp AS (SELECT simc, count(*) AS n FROM point GROUP BY 1), sp AS (SELECT street_id, count(*) AS n FROM point WHERE street_id IS NOT NULL GROUP BY 1),
 loc AS (SELECT l.*, coalesce(n, 0) AS pts, l.simc IN (SELECT simc FROM street) AS hs FROM locality l LEFT JOIN lp ON l.simc = lp.simc WHERE l.withdrawn IS NULL),
@@ -338,12 +331,12 @@ ASKED = "SELECT simc AS query_id, lower(CASE WHEN cast(simc AS bigint) % 3 = 0 T
 
 @query("suggest", *_INDEXED, sql=f"WITH {DOCS}, {suggest_sql('top', ASKED)} SELECT query_id, doc_id, score, rank FROM top")
 def _(locality, street, unit, point):
-    docs, keys = _stored_index(_index(locality, street, unit, point)[0])
+    index = search.build_index(_index(locality, street, unit, point)[0])
     code = F.col("simc").cast("bigint") % 3
     text = F.when(code == 0, F.substring("name", 1, 6)).when(code == 1, F.col("name")).otherwise(F.replace("name", F.lit("U"), F.lit("O")))
     # The query set of a search: every twentieth locality, against all documents.
     asked = locality.where(F.col("simc").cast("bigint") % 20 == 0)
-    return search.suggest(asked.select(F.col("simc").alias("query_id"), text.alias("q")), docs, keys, 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return search.suggest(asked.select(F.col("simc").alias("query_id"), text.alias("q")), index, 5).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 GOLDEN = "SELECT simc AS query_id, lower(name) AS q, '' AS want FROM locality WHERE withdrawn IS NULL AND cast(simc AS bigint) % 20 = 0"
@@ -355,10 +348,10 @@ GOLDEN = "SELECT simc AS query_id, lower(name) AS q, '' AS want FROM locality WH
     sql=f"WITH {DOCS}, {suggest_sql('top', GOLDEN)}, asked AS (SELECT simc, name FROM locality WHERE withdrawn IS NULL AND cast(simc AS bigint) % 20 = 0) SELECT ok, count(*) AS n FROM (SELECT a.simc, coalesce(min(rank) FILTER (d.label = a.name) <= 3, false) AS ok FROM asked a LEFT JOIN top t ON a.simc = t.query_id LEFT JOIN docs d ON t.doc_id = d.doc_id GROUP BY 1) GROUP BY 1",
 )
 def _(locality, street, unit, point):
-    docs, keys = _stored_index(_index(locality, street, unit, point)[0])
+    index = search.build_index(_index(locality, street, unit, point)[0])
     asked = locality.where("withdrawn IS NULL AND cast(simc AS bigint) % 20 = 0").select(F.col("simc").alias("query_id"), F.col("name").alias("q"))
     expected = asked.select("query_id", F.col("q").alias("label"), F.lit(3).alias("within"))
-    return search.evaluate_golden(expected, search.suggest(asked, docs, keys, 5)).groupBy("ok").agg(F.count("*").alias("n"))
+    return search.evaluate_golden(expected, search.suggest(asked, index, 5)).groupBy("ok").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -367,9 +360,9 @@ def _(locality, street, unit, point):
     sql=f"WITH {DOCS}, {suggest_sql('top', """SELECT simc AS query_id, CASE WHEN cast(simc AS bigint) % 2 = 0 THEN 'ur' ELSE 'speciified' END AS q, simc AS want FROM locality""", "d.type = 'street' AND d.simc = pr.want", 2)} SELECT query_id, doc_id, rank FROM top",
 )
 def _(locality, street, unit, point):
-    docs, keys = _stored_index(_index(locality, street, unit, point)[0])
+    index = search.build_index(_index(locality, street, unit, point)[0])
     asked = locality.select(F.col("simc").alias("query_id"), F.when(F.col("simc").cast("bigint") % 2 == 0, "ur").otherwise("speciified").alias("q"), "simc")
-    return search.streets_matching(asked, docs, keys, 2).select("query_id", "doc_id", "rank")
+    return search.streets_matching(asked, index, 2).select("query_id", "doc_id", "rank")
 
 
 # --- Lookups --------------------------------------------------------------------------------------------------------------
@@ -452,7 +445,7 @@ _VALIDATION = ("line", "locality", "street", "unit", "point")
 def _validated(line, locality, street, unit, point):
     s, m = publish.refresh_derived(point, street, locality)
     docs = search.build_docs(m, s, unit)
-    return validate.validate_addresses(line.select("query_id", "line"), m, s, point, _stored_index(docs))
+    return validate.validate_addresses(line.select("query_id", "line"), m, s, point, search.build_index(docs))
 
 
 @query("validate_addresses", *_VALIDATION, sql=f"WITH {VALIDATED} SELECT * FROM validated")

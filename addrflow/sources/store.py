@@ -1,9 +1,14 @@
-"""Snapshot manifests, staging tables, and versioned publication behind a pointer."""
+"""Snapshot manifests, staging tables, and versioned publication in parts behind a pointer."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def snapshot_manifest(spark: SparkSession, glob: str, name: Column | None = None) -> DataFrame:
@@ -54,18 +59,62 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
-def publish_version(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Write all tables under ``v=<version>`` and then move the pointer: readers see all of it or nothing.
+#: What a version is: each table's parts, where they are, and what tells whether they have changed.
+MANIFEST = "table string, part string, path string, rows long, digest decimal(38,0), schema string"
+
+
+def hashed_part(key: str, digits: int = 1, within: str | None = None) -> Column:
+    """The part of a row: the first hex digits of its key's md5, within a column (such as the region) if given.
+
+    A part is read and written as a whole: 16 ** ``digits`` of them should leave some 100 MB in each.  Rows without a key or
+    within nothing have a part of their own."""
+    bucket = F.coalesce(F.substring(F.md5(F.col(key)), 1, digits), F.lit("none"))
+    return bucket if within is None else F.concat_ws("-", F.coalesce(F.col(within), F.lit("none")), bucket)
+
+
+def _digests(df: DataFrame) -> DataFrame:
+    """(part, rows, digest): the digest is a sum of row hashes, so neither order nor files matter."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns if c != "part"), *(F.col(f"`{c}`").isNull() for c in df.columns if c != "part"))
+    return df.groupBy("part").agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("digest"))
 
-    A version that was published is never written again, as readers may hold it; what a failed attempt left is replaced.
-    The pointer is renamed over the old one in one step."""
+
+def publish_version(tables: dict[str, DataFrame], root: str, version: str, parts: dict[str, Column] | None = None, within: dict[str, Collection[str]] | None = None) -> dict[str, tuple[int, int]]:
+    """Publish a version and then move the pointer: readers see all of it or nothing.
+
+    ``parts`` divides a table (one part without).  A version is a manifest of parts: those whose rows differ from the current
+    version's are written, all others stay the files they were, so what is written follows what has changed.  ``within``
+    says that a table holds only the parts that begin with one of these names; the other ones stay.  A version that was
+    published is never written again, as readers may hold it; what a failed attempt left is replaced.  The pointer is renamed
+    over the old one in one step.  Returns (parts kept, parts written) by table."""
     spark = next(iter(tables.values())).sparkSession
     fs, hadoop = _fs(spark, root)
     done = hadoop.Path(f"{root}/v={version}/_complete")
     if fs.exists(done):
         raise ValueError(f"version {version} is published already")
+    before = current_version(spark, root)
+    old = {(r["table"], r["part"]): r for r in read_manifest(spark, root, before).collect()} if before else {}
+    lines, counts = [], {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/v={version}/{name}")
+        schema = df.schema.json()
+        held = df.withColumn("part", (parts or {}).get(name, F.lit("all")))
+        scope = tuple(f"{w}-" for w in (within or {})[name]) if within and name in within else None
+        stays = [r for (t, p), r in old.items() if t == name and scope is not None and not p.startswith(scope)]
+        # As many rows as there are parts.
+        new = _digests(held).collect()
+        same = {d["part"]: r for d in new if (r := old.get((name, d["part"]))) and (r["rows"], r["digest"], r["schema"]) == (d["rows"], d["digest"], schema)}
+        changed = [d for d in new if d["part"] not in same]
+        target = f"data/{name}/{version}-{uuid.uuid4().hex}"
+        if changed:
+            wanted = F.broadcast(spark.createDataFrame([(d["part"],) for d in changed], "part string"))
+            rows = held.join(wanted, "part")
+            rows = rows.repartition("part") if parts and name in parts else rows
+            rows.write.partitionBy("part").parquet(f"{root}/{target}")
+        lines += [(name, r["part"], r["path"], r["rows"], r["digest"], schema) for r in [*stays, *same.values()]]
+        lines += [(name, d["part"], f"{target}/part={d['part']}", d["rows"], d["digest"], schema) for d in changed]
+        if not (stays or new):
+            lines.append((name, None, None, 0, None, schema))
+        counts[name] = (len(stays) + len(same), len(changed))
+    spark.createDataFrame(lines, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{root}/v={version}/_manifest")
     fs.create(done, True).close()
     fresh, pointer = hadoop.Path(f"{root}/_pointer.new"), hadoop.Path(f"{root}/_pointer")
     out = fs.create(fresh, True)
@@ -74,6 +123,23 @@ def publish_version(tables: dict[str, DataFrame], root: str, version: str) -> No
     overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     overwrite[0] = hadoop.Options.Rename.OVERWRITE
     hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, pointer, overwrite)
+    return counts
+
+
+def read_manifest(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """The parts of a version."""
+    return spark.read.schema(MANIFEST).parquet(f"{root}/v={version}/_manifest")
+
+
+def read_version(spark: SparkSession, root: str, version: str, table: str, within: Collection[str] | None = None) -> DataFrame:
+    """A table of a version, or only its parts that begin with one of these names: other files are not even listed."""
+    lines = read_manifest(spark, root, version).where(F.col("table") == table).collect()
+    if not lines:
+        raise ValueError(f"version {version} has no table {table}")
+    scope = None if within is None else tuple(f"{w}-" for w in within)
+    paths = [f"{root}/{r['path']}" for r in lines if r["path"] and (scope is None or r["part"].startswith(scope))]
+    schema = StructType.fromJson(json.loads(lines[0]["schema"]))
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
@@ -88,9 +154,9 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return text
 
 
-def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
+def read_current(spark: SparkSession, root: str, table: str, within: Collection[str] | None = None) -> DataFrame:
     """A table of the current version."""
-    return spark.read.parquet(f"{root}/v={current_version(spark, root)}/{table}")
+    return read_version(spark, root, current_version(spark, root), table, within)
 
 
 def reload_if_moved(spark: SparkSession, root: str, seen: str | None, tables: list[str]) -> tuple[str | None, dict[str, DataFrame]]:
@@ -98,11 +164,12 @@ def reload_if_moved(spark: SparkSession, root: str, seen: str | None, tables: li
     version = current_version(spark, root)
     if version is None or version == seen:
         return seen, {}
-    return version, {t: spark.read.parquet(f"{root}/v={version}/{t}") for t in tables}
+    return version, {t: read_version(spark, root, version, t) for t in tables}
 
 
 def prune_versions(spark: SparkSession, root: str, keep: int = 3) -> list[str]:
-    """Delete all versions but the ``keep`` written last and the current one; returns what went, the oldest first."""
+    """Delete all versions but the ``keep`` written last and the current one, and all parts that no other version names;
+    returns what went, the oldest first (S20).  No version may be in the making meanwhile."""
     fs, hadoop = _fs(spark, root)
     found = [s.getPath() for s in fs.listStatus(hadoop.Path(root)) if s.getPath().getName().startswith("v=")]
 
@@ -116,4 +183,15 @@ def prune_versions(spark: SparkSession, root: str, keep: int = 3) -> list[str]:
     gone = [v for v in have if v not in stay]
     for v in gone:
         fs.delete(hadoop.Path(f"{root}/v={v}"), True)
+    named = {r["path"] for v in have if v in stay and fs.exists(hadoop.Path(f"{root}/v={v}/_manifest")) for r in read_manifest(spark, root, v).select("path").distinct().collect()}
+    folders = {p.rsplit("/", 1)[0] for p in named if p}
+    for table in fs.listStatus(hadoop.Path(f"{root}/data")) if fs.exists(hadoop.Path(f"{root}/data")) else []:
+        for attempt in fs.listStatus(table.getPath()):
+            place = f"data/{table.getPath().getName()}/{attempt.getPath().getName()}"
+            if place not in folders:
+                fs.delete(attempt.getPath(), True)
+                continue
+            for part in fs.listStatus(attempt.getPath()):
+                if part.isDirectory() and f"{place}/{part.getPath().getName()}" not in named:
+                    fs.delete(part.getPath(), True)
     return gone

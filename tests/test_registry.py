@@ -54,7 +54,7 @@ def test_mistyped_names_are_searched(spark):
     points = points.selectExpr("*", "'istniejacy' AS status", "20.0 AS lon", "50.0 AS lat", "cast(NULL AS timestamp) AS withdrawn")
     docs = search.build_docs(places, roads, units)
     lines = [("a", "al. Kwiatowa 3/5, 11-200 Brzozów"), ("b", "ul. Lesno 7, 11-300 Olszyni"), ("c", "Puste 1"), ("d", "ul. Dębowa 1, Nieznane"), ("e", "Olszyny 4")]
-    out = validate.validate_addresses(spark.createDataFrame(lines, "query_id string, line string"), places, roads, points, (docs, search.build_keys(docs)))
+    out = validate.validate_addresses(spark.createDataFrame(lines, "query_id string, line string"), places, roads, points, search.build_index(docs))
     got = {r.query_id: r for r in out.collect()}
     a, b, c, d, e = (got[k] for k in "abcde")
     assert (a.simc, a.street_id, a.candidates, a.matched, a.confidence) == ("0000002", "s2", 2, "3/5", "verified")

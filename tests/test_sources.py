@@ -159,3 +159,29 @@ def test_generator(spark):
     assert a.repartition(7).exceptAll(datagen.points(spark, 500, 50)).count() == 0
     assert datagen.streets(spark, 200, 50).groupBy("simc", "name").count().where("count > 1").count() == 0
     assert datagen.localities(spark, 100).count() == 100
+
+
+def test_parts_follow_the_change(spark, tmp_path):
+    """One changed row rewrites one part; all other files stay, through pruning too; a region's rows may come alone."""
+    root = str(tmp_path / "parts")
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.lpad((F.col("id") % 3).cast("string"), 2, "0").alias("region"), F.lit("a").alias("v"))
+    parts = {"t": store.hashed_part("k", 1, "region")}
+    files = lambda: set(store.read_current(spark, root, "t").inputFiles())
+    assert store.publish_version({"t": rows}, root, "1", parts) == {"t": (0, 48)}
+    first = files()
+    assert store.publish_version({"t": rows.repartition(7)}, root, "2", parts) == {"t": (48, 0)} and files() == first
+    changed = rows.withColumn("v", F.when(F.col("k") == "17", "b").otherwise(F.col("v")))
+    assert store.publish_version({"t": changed}, root, "3", parts) == {"t": (47, 1)} and len(files() - first) == 1
+    own = changed.where("region = '01' AND k <> '1'")
+    assert store.publish_version({"t": own}, root, "4", parts, {"t": ["01"]}) == {"t": (47, 1)}
+    got = store.read_current(spark, root, "t")
+    assert got.count() == 3999 and got.where("v = 'b'").count() == 1
+    assert {r[0] for r in store.read_current(spark, root, "t", ["01"]).select("region").distinct().collect()} == {"01"}
+    assert store.prune_versions(spark, root, 1) == ["1", "2", "3"]
+    assert store.read_current(spark, root, "t").count() == 3999 and len(first & files()) == 46
+    # A row that leaves a part empties it; null parts' rows are kept; a table may become empty.
+    odd = spark.createDataFrame([("1", "07", None), (None, None, None)], "k string, region string, v string")
+    store.publish_version({"t": odd}, root, "5", parts)
+    assert sorted(map(tuple, store.read_current(spark, root, "t").collect()), key=str) == [("1", "07", None), (None, None, None)]
+    store.publish_version({"t": odd.limit(0)}, root, "6", parts)
+    assert store.read_current(spark, root, "t").count() == 0 and store.read_current(spark, root, "t").columns == ["k", "region", "v"]
