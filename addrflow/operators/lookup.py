@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .addresses import active, dominant_postal_code, unit_names
-from .relational import top_k, within_radius
+from .nearest import nearest
+from .relational import top_k
 
 
 def numbers(points: DataFrame, owners: DataFrame, limit: int = 100) -> DataFrame:
@@ -43,5 +44,4 @@ def locality_details(localities: DataFrame, units: DataFrame, kinds: DataFrame)
 def reverse_geocode(inputs: DataFrame, points: DataFrame, max_m: float = 500.0, k: int = 5, most_m: float = 5000.0) -> DataFrame:
     """The nearest ``k`` active points within ``max_m`` metres (at most ``most_m``) of each (input_id, lon, lat)."""
     p = active(points).where("lon IS NOT NULL").select("point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-    near = within_radius(inputs, p, min(max_m, most_m))
-    return top_k(near, ["input_id"], [F.asc("distance"), F.asc("point_id")], k).select("input_id", "rank", "point_id", "distance")
+    return nearest(inputs, p, k, min(max_m, most_m))
