@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,93 @@ CAPACITY, STEP = 2048, 8
 #: Id that ends every document.
 END_ID = 1
 #: Words whose ids a worker remembers at most, before it starts anew.
-CACHE_WORDS = 1_000_000
-#: New words that the tokenizer gets at a time: what it returns for a word takes about a kilobyte.
+CACHE_WORDS = 1 << 21
+#: New words that are encoded at a time.
 WORDS_AT_ONCE = 10_000
 _BLOCK = 4 << 20
 
 
+class Places:
+    """Place of 64-bit hashes in the order in which they were added: a table with linear probing, in whole arrays."""
+
+    def __init__(self, most: int):
+        self.bits = max(4, (2 * most - 1).bit_length())
+        self.mask = np.int64((1 << self.bits) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.places, self.n = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32), 0
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 where there is none."""
+        out, left, at = np.full(len(keys), -1, np.int32), np.arange(len(keys)), self._start(keys)
+        while len(left):
+            have = self.keys[at]
+            hit = have == keys[left]
+            out[left[hit]] = self.places[at[hit]]
+            on = ~hit & (have != 0)
+            left, at = left[on], (at[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Add hashes that are new and differ from each other; none is 0."""
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            # Of several that want a slot one has got it.
+            got = free & (self.keys[at] == keys[left])
+            self.places[at[got]] = self.n + left[got]
+            left, at = left[~got], (at[~got] + 1) & self.mask
+        self.n += len(keys)
+
+
+class PlainWords:
+    """Token ids of words in Latin letters, digits and signs, by the vocabulary's ranks: the same ids as the tokenizer's.
+
+    Each piece of a word ends with a mark, so that the vocabulary's word ends are tokens of bytes like others."""
+
+    #: Words whose lower case and pieces need nothing but their own characters.
+    PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+    #: Fixed value: the vocabulary's pieces of a text.
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    MARK, END = "\x1f", "</w>"
+
+    def __init__(self, path: str):
+        import regex
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocabulary, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        # Ranks stand for the order of merges only where ids follow it.
+        made = [vocabulary[a + b] for a, b in merges]
+        self.usable = made == sorted(made) and model["end_of_word_suffix"] == self.END
+        # The byte alphabet: printable bytes stand for themselves, others follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+        ranks = {}
+        for token, k in vocabulary.items():
+            body = token.removesuffix(self.END)
+            if not token.startswith("<|"):
+                ranks[bytes(byte_of[c] for c in body) + (self.MARK.encode() if token != body else b"")] = k
+        self.blank = ranks[b" "]
+        self.encoding = tiktoken.Encoding("words", pat_str="[^\x1f ]+\x1f| ", mergeable_ranks=ranks, special_tokens={})
+        self.pieces = regex.compile(self.PIECE)
+
+    def fits(self, word: str) -> bool:
+        return self.usable and self.PLAIN.fullmatch(word) is not None and "<|" not in word
+
+    def encode(self, words_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, length by word)."""
+        ids = self.encoding.encode_to_numpy(self.pieces.sub(r"\g<0>" + self.MARK, " ".join(words_).lower()))
+        edge = np.concatenate([[-1], np.flatnonzero(ids == self.blank), [len(ids)]])
+        return ids[ids != self.blank], np.diff(edge) - 1
+
+
 class WordTokens:
     """Token ids of white-space separated words, remembered by word.
 
@@ -35,40 +118,63 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), PlainWords(path)
+        self.known = Places(CACHE_WORDS)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.known.clear()
         self.ids, self.offsets = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, length by word)."""
+        plain = np.fromiter(map(self.plain.fits, texts), bool, len(texts))
+        length, parts = np.empty(len(texts), np.int64), []
+        own = list(compress(texts, plain))
+        got = self.plain.encode(own) if own else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        length[plain] = got[1]
+        if len(own) == len(texts):
+            return got[0], length
+        other = [e.ids for e in self.tokenizer.encode_batch_fast(list(compress(texts, ~plain)), add_special_tokens=False)]
+        length[~plain] = np.fromiter(map(len, other), np.int64, len(other))
+        runs, others = iter(np.split(got[0], np.cumsum(got[1])[:-1])), iter(other)
+        parts = [next(runs) if p else np.array(next(others), np.uint32) for p in plain.tolist()]
+        return np.concatenate(parts).astype(np.uint32), length
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by row) of the texts."""
         start, end, rows = words(data, offsets)
-        keys, first, inverse = np.unique(Rolling(byte_units(data)).spans(start, end), return_index=True, return_inverse=True)
-        if len(self.index) + len(keys) > CACHE_WORDS:
-            self.clear()
-        known = self.index
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in known]
-        if new:
-            raw = memoryview(data)
-            at = first[new]
+        keys = np.maximum(Rolling(byte_units(data)).spans(start, end), np.uint64(1))
+        # One long text may have more words than there is room for.
+        some = [slice(k, k + CACHE_WORDS) for k in range(0, max(1, len(keys)), CACHE_WORDS)]
+        ids, lengths = zip(*(self._ids(data, keys[k], start[k], end[k]) for k in some), strict=True)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))])[rows]
+
+    def _ids(self, data: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, length by word) of at most CACHE_WORDS words."""
+        word = self.known.find(keys)
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            fresh, first = np.unique(keys[new], return_index=True)
+            if self.known.n + len(fresh) > CACHE_WORDS:
+                self.clear()
+                new = np.arange(len(keys))
+                fresh, first = np.unique(keys, return_index=True)
+            raw, at = memoryview(data), new[first]
             parts, lengths = [self.ids], []
             for k in range(0, len(at), WORDS_AT_ONCE):
                 own = at[k : k + WORDS_AT_ONCE]
-                texts = [str(raw[a:b], "utf-8") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)]
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-                parts.append(np.fromiter(chain.from_iterable(got), np.uint32, int(lengths[-1].sum())))
-            known.update(zip((listed[i] for i in new), range(len(known), len(known) + len(new)), strict=True))
+                ids, length = self._new([str(raw[a:b], "utf-8") for a, b in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+                parts.append(ids)
+                lengths.append(length)
+            self.known.add(fresh)
             self.ids = np.concatenate(parts)
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(lengths))])
-        word = np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))[inverse] if len(listed) else np.empty(0, np.int64)
-        begin, length = self.offsets[word], self.offsets[word + 1] - self.offsets[word]
-        total = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(begin - total[:-1], length) + np.arange(total[-1])
-        return self.ids[at], total[rows]
+            word[new] = self.known.find(keys[new])
+        begin = self.offsets[word]
+        length = self.offsets[word + 1] - begin
+        before = np.cumsum(length) - length
+        return self.ids[np.repeat(begin - before, length) + np.arange(length.sum())], length
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from addrflow.llm import html_extract
@@ -155,6 +156,38 @@ def test_outline():
     assert html_extract.Outline.of_shape(o.shape).kids == o.kids
 
 
+def test_word_ids_are_those_of_the_tokenizer(monkeypatch):
+    """Plain words by ranks, others by the tokenizer, whatever is remembered and forgotten between."""
+    from addrflow.llm import packing
+    from addrflow.llm.arrays import text_bytes
+
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefgXYZäöüßéñçÑÉ0123456789'.,-#%&_"))
+    odd = ["İstanbul", "Σίσυφος", "don't", "WE'LL'd", "ǅungla", "a\x1fb", "a\x1cb", "<|endoftext|>x", "中文字", "x\x85y", "x\xa0y", "e\u0301", "ŉa", "\xad", "'s't", "x" * 5000, "…", "𝔘1"]
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(60)) + "\n" + " ".join(rng.choice(odd, 3)) for _ in range(120)] + ["", " ", *odd]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1 << 21, 64, 700):
+        monkeypatch.setattr(packing, "CACHE_WORDS", most)
+        encoder = packing.WordTokens(PATH)
+        assert encoder.plain.usable
+        for block in (texts, texts[::-1], texts[40:50]):
+            data, offsets = text_bytes(pa.array(block))
+            ids, edge = encoder.encode(data, offsets)
+            assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:])] == [want[texts.index(t)] for t in block]
+
+
+def test_places():
+    from addrflow.llm.packing import Places
+
+    keys = np.unique(np.random.default_rng(1).integers(1, 1 << 63, 3000, dtype=np.uint64) & np.uint64(0xFFFF0000000000FF) | np.uint64(1 << 50))
+    p = Places(len(keys))
+    for part in np.array_split(keys, 3):
+        assert (p.find(part) == -1).all()
+        p.add(part)
+    assert p.find(keys).tolist() == list(range(len(keys))) and p.find(keys + np.uint64(1 << 20)).max() == -1
+
+
 def test_knapsack():
     value, count = best_pattern(np.array([3.0, 5.0]), np.array([2, 3]), 7)
     assert value == 11.0 and count.tolist() == [2, 1]
@@ -210,7 +243,8 @@ def test_pipeline_end_to_end(spark, tmp_path):
     item = " ".join(f"item{k}" for k in range(30))
     texts = {i: draw(120) for i in range(30)}
     texts |= {40: texts[3], 41: texts[4] + " tail", 42: draw(60) + " " + item + " " + draw(60), 43: None, 44: "", 45: "short", 46: draw(80) + " mail bob@mail.example end", 47: draw(5000)}
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()] + [(None, draw(100), None, None, None)]
+    texts[None] = draw(100)
+    rows = [(i, t, "en" if i is not None else None, "s", len(t or "")) for i, t in texts.items()]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     for folder, docs in (("full", rows), ("none", [])):
         spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / folder / "documents.parquet"))
@@ -218,7 +252,8 @@ def test_pipeline_end_to_end(spark, tmp_path):
         spark.createDataFrame([(1, item)] if docs else [], "item_id long, text string").write.parquet(str(tmp_path / folder / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
     ids = {r.doc_id for r in got}
-    assert ids == {*range(30), 46, 47}
+    # The document without an id is as clean as the others.
+    assert ids == {*range(30), 46, 47, None}
     tokens = Tokenizer.from_file(PATH)
     masked = texts[46].replace("bob@mail.example", "[EMAIL]")
     lengths = {i: len(tokens.encode(masked if i == 46 else texts[i], add_special_tokens=False).ids) + 1 for i in ids}
