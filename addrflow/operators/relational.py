@@ -21,6 +21,19 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int) -> D
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def least_values(pairs: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+    """For each key ``n``, the rows with a value, and ``samples``, the ``k`` least different values.
+
+    Values are counted before they are ranked, and tasks keep ``k`` of each key before they send them, so that nothing
+    holds all values of a key."""
+    counted = pairs.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    totals = counted.groupBy(*by).agg(F.sum(F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)).alias("n"))
+    least = top_k(counted.where(F.col(value).isNotNull()), by, [F.asc(value)], k).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(value).alias("v")))), lambda x: x["v"]).alias("samples"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    out = totals.alias("a").join(least.alias("b"), same, "left")
+    return out.select(*(F.col(f"a.{c}") for c in by), "n", F.coalesce("samples", F.array().cast(f"array<{pairs.schema[value].dataType.simpleString()}>")).alias("samples"))
+
+
 def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 

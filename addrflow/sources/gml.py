@@ -11,6 +11,7 @@ from addrflow.functions.codes import LOCALITY_KINDS, OBJECT_KINDS, coordinate_te
 from addrflow.functions.geo import first_vertex, in_poland, parse_epsg, to_wgs84
 from addrflow.functions.numbers import building_key, building_sort_key, canonical_building, is_garbage_number
 from addrflow.functions.text import clean_text, normalize_text, not_empty, title_case
+from addrflow.operators.relational import least_values
 
 _ID = "struct<lokalnyId:string,przestrzenNazw:string,wersjaId:string>"
 _WRAP = f"idIIP struct<AD_IdentyfikatorIIP:{_ID}>"
@@ -163,6 +164,6 @@ def discover_gml(spark: SparkSession, path: str, samples: int = 3) -> DataFrame:
     text = spark.read.option("lineSep", "</").text(path)
     leaf = r"<(?:[\w.-]+:)?(\w+)(?:\s[^>]*)?>([^<]+)$"
     pairs = text.select(F.regexp_extract("value", leaf, 1).alias("e"), F.regexp_extract("value", leaf, 2).alias("v")).where("e <> '' AND trim(v) <> ''")
-    out = pairs.groupBy(F.col("e").alias("element")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.trim("v"))), 1, samples).alias("samples"))
+    out = least_values(pairs.select(F.col("e").alias("element"), F.trim("v").alias("v")), ["element"], "v", samples)
     feature = detect_profile(spark, path).select("element", F.col("features").alias("n"), F.array().cast("array<string>").alias("samples"))
     return out.unionByName(feature).withColumn("candidate", F.rlike("element", F.lit("^(AD_|PRG_|EGB_|OT_)")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from addrflow.functions.codes import build_terc, pad
 from addrflow.functions.text import normalize_text, not_empty
+from addrflow.operators.relational import least_values
 
 
 def sniff_csv(spark: SparkSession, path: str) -> dict[str, str]:
@@ -153,6 +154,6 @@ def discover_tabular(spark: SparkSession, path: str, profile: Profile = COMPARIS
     df = read_csv(spark, path)
     target = {header_key(n): t for t, names in profile.fields.items() for n in names}
     cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lit(target.get(header_key(c))).alias("target"), not_empty(F.col(f"`{c}`")).alias("value")) for c in df.columns))).alias("x")).select("x.*")
-    return cells.groupBy("column", "target").agg(F.slice(F.array_sort(F.collect_set("value")), 1, samples).alias("samples"))
+    return least_values(cells, ["column", "target"], "value", samples).select("column", "target", "samples")
 
 

@@ -47,23 +47,43 @@ def throttled(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return keyed.withWatermark("slot", lateness).dropDuplicatesWithinWatermark(["outcome", "slot"])
 
 
-def quota_stream(events: DataFrame, clients: DataFrame) -> DataFrame:
+def quota_stream(events: DataFrame, clients: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """event_id, used_before, rejected of every billed event, with a running total for each client and month.
 
-    A client's units so far are the state; events of a micro-batch are taken in the order of their time."""
+    Events wait until the watermark has passed them, so that they are counted in the order of their time in whichever
+    micro-batch they came; those later than ``lateness`` are left out, as in every windowed stream.  A client's state is
+    its units so far and the events that wait; when its month is over it goes."""
     quota = clients.select("client_id", "monthly_quota")
-    own = billed(events).join(quota, "client_id").select("client_id", "period", "event_id", "ts", "units", "monthly_quota")
+    ends = F.unix_micros(F.add_months(F.col("period"), 1).cast("timestamp")).alias("ends")
+    own = billed(events.withWatermark("ts", lateness)).join(quota, "client_id")
+    own = own.select("client_id", "period", "ts", "event_id", F.unix_micros("ts").alias("us"), F.col("units").cast("long").alias("units"), F.col("monthly_quota").cast("long").alias("monthly_quota"), ends)
+    columns = ["us", "event_id", "units", "monthly_quota"]
 
     def decide(key, batches, state):
         import pandas as pd
 
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        start = state.get[0] if state.exists else 0
-        before = start + rows["units"].cumsum() - rows["units"]
-        state.update((int(start + rows["units"].sum()),))
-        yield pd.DataFrame({"event_id": rows["event_id"], "used_before": before.astype("int64"), "rejected": before >= rows["monthly_quota"]})
-
-    return own.groupBy("client_id", "period").applyInPandasWithState(decide, "event_id long, used_before long, rejected boolean", "total long", "append", GroupStateTimeout.NoTimeout)
+        total, ends, *waiting = state.get if state.exists else (0, 0, *([] for _ in columns))
+        parts = [pd.DataFrame(dict(zip(columns, map(list, waiting), strict=True)), dtype="int64")]
+        if not state.hasTimedOut:
+            for rows in batches:
+                parts.append(rows[columns].astype("int64"))
+                ends = int(rows["ends"].iloc[0]) if len(rows) else ends
+        rows = pd.concat(parts, ignore_index=True).sort_values(["us", "event_id"], ignore_index=True)
+        mark = max(0, state.getCurrentWatermarkMs())
+        passed = int((rows["us"] <= mark * 1000).sum())
+        ready, rest = rows[:passed], rows[passed:]
+        before = total + ready["units"].cumsum() - ready["units"]
+        total += int(ready["units"].sum())
+        if len(rest) or ends > mark * 1000:
+            state.update((total, ends, *(rest[c].tolist() for c in columns)))
+            wake = int(rest["us"].iloc[0]) if len(rest) else ends
+            state.setTimeoutTimestamp(max(mark + 1, wake // 1000))
+        else:
+            state.remove()
+        yield pd.DataFrame({"event_id": ready["event_id"], "used_before": before.astype("int64"), "rejected": before >= ready["monthly_quota"]})
+
+    held = "total long, ends long, us array<long>, event_id array<long>, units array<long>, monthly_quota array<long>"
+    return own.groupBy("client_id", "period").applyInPandasWithState(decide, "event_id long, used_before long, rejected boolean", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 __all__ = ["add_usage", "event_stream", "meter", "metered", "outcome_counts", "quota_stream", "rate_windows", "throttled"]

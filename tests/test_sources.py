@@ -1,5 +1,7 @@
 """Readers, store and streams on small files that the tests write."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,15 +123,30 @@ def test_streams(spark, tmp_path):
 
 
 def test_quota_stream(spark, tmp_path):
-    """The stateful stream decides as the batch form does."""
+    """The stateful stream decides as the batch form does, though files come out of order; ended months leave no state."""
     events, clients = carrier(spark, DATA, "request"), carrier(spark, DATA, "client")
     folder = str(tmp_path / "events")
-    events.orderBy("ts", "event_id").coalesce(1).write.option("maxRecordsPerFile", 400).parquet(folder)
-    stream = usage_stream.quota_stream(usage_stream.event_stream(spark, folder, events.schema), clients)
+    # Every third event comes a file later than its time, and one event a year later moves the watermark past all others.
+    rows = [r for r in events.orderBy("ts", "event_id").collect()]
+    late = [r for k, r in enumerate(rows) if k % 3 == 0]
+    prompt = [r for k, r in enumerate(rows) if k % 3]
+    last = rows[-1].asDict() | {"event_id": 10**9, "ts": rows[-1].ts.replace(year=rows[-1].ts.year + 1)}
+    for k, part in enumerate((prompt, late, [last], [last | {"event_id": 10**9 + 1}])):
+        spark.createDataFrame(part, events.schema).coalesce(1).write.parquet(f"{tmp_path}/part{k}")
+        for f in (tmp_path / f"part{k}").glob("*.parquet"):
+            (tmp_path / "events").mkdir(exist_ok=True)
+            f.rename(tmp_path / "events" / f"{k}.parquet")
+            os.utime(tmp_path / "events" / f"{k}.parquet", (10**9 + k, 10**9 + k))
+    stream = usage_stream.quota_stream(usage_stream.event_stream(spark, folder, events.schema, 1), clients, "400 days")
     q = stream.writeStream.format("memory").queryName("quotas").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
+    assert spark.table("quotas").count() == 0  # all within the lateness that the stream allows: they wait
+    stream = usage_stream.quota_stream(usage_stream.event_stream(spark, folder, events.schema, 1), clients, "60 days")
+    q = stream.writeStream.format("memory").queryName("quotas60").option("checkpointLocation", str(tmp_path / "cp60")).trigger(availableNow=True).start()
+    q.awaitTermination()
     want = usage.quota_flags(events, clients).select("event_id", "used_before", "rejected")
-    assert sorted(map(tuple, spark.table("quotas").collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, spark.table("quotas60").collect())) == sorted(map(tuple, want.collect()))
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
 
 
 def test_unverified_callers(spark):
