@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from addrflow.functions.codes import match_key_name, match_key_simc
+from addrflow.sources.scratch import kept
 
 from .relational import match_by_key, union_all
 
@@ -53,9 +54,40 @@ def diff_communes(source: DataFrame, registry: DataFrame, localities: DataFrame,
     return joined.groupBy(F.coalesce("terc", F.lit("unknown")).alias("terc")).agg(F.count("*").alias("gaps")).orderBy(F.desc("gaps"), "terc").limit(n)
 
 
-def diff_report(source: DataFrame, registry: DataFrame, max_share: float = 0.05) -> DataFrame:
-    """Measures and warnings of a comparison as (item, value, warning) rows."""
-    totals = diff_totals(source, registry)
-    lines = totals.select(F.expr("stack(5, 'in_source', cast(in_source as double), in_source = 0, 'in_registry', cast(in_registry as double), false, 'common', cast(common as double), false, 'only_source', cast(only_source as double), false, 'gap_share', gap_share, gap_share > " + str(max_share) + ") as (item, value, warning)"))
-    codes = diff_postal(source, registry).agg(F.count("*").cast("double").alias("value")).select(F.lit("postal_pairs").alias("item"), "value", (F.col("value") > 0).alias("warning"))
-    return union_all(lines, codes)
+def compared(source: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each source row with ``known``, whether the registry has its address, and ``pairs``, the registry rows there whose
+    postal code differs: one join for all reports (D2 to D5).
+
+    The registry is counted by key and code first, so that an address that many rows share joins once."""
+    keys = F.explode(F.array_distinct(F.array_compact(F.array("key_simc", "key_name"))))
+    coded = registry.select(keys.alias("key"), "registry_code").groupBy("key", "registry_code").agg(F.count("*").alias("n"))
+    # An address has as many codes as there are postal codes at most.
+    codes = F.map_from_entries(F.collect_list(F.when(F.col("registry_code").isNotNull(), F.struct("registry_code", "n"))))
+    right = coded.groupBy("key").agg(F.sum(F.when(F.col("registry_code").isNotNull(), F.col("n")).otherwise(0)).alias("coded"), codes.alias("codes"))
+    joined = source.withColumn("key", F.coalesce("key_simc", "key_name")).join(right, "key", "left")
+    other = F.col("coded") - F.coalesce(F.try_element_at("codes", F.col("postal_code")), F.lit(0))
+    pairs = F.coalesce(F.when(F.col("postal_code").isNotNull(), other), F.lit(0))
+    return joined.select(*source.columns, F.col("coded").isNotNull().alias("known"), pairs.alias("pairs"))
+
+
+def diff_report(source: DataFrame, registry: DataFrame, localities: DataFrame, n_sample: int = 25, n_communes: int = 10, max_share: float = 0.05) -> DataFrame:
+    """The whole comparison as (section, item, value, warning) rows: totals, the first gaps by id, the communes with the most
+    gaps (D6).
+
+    Each side is made once and joined once; sums by commune give the totals, too.  Warnings: an empty source, more gaps
+    than ``max_share``, pairs with differing codes."""
+    right = kept("registry", registry.select("key_simc", "key_name", "registry_code"))
+    rows = compared(source, right).join(localities.select("simc", "terc").dropDuplicates(["simc"]), "simc", "left")
+    rows = kept("compared", rows.select("id", "known", "pairs", F.coalesce("terc", F.lit("unknown")).alias("terc")))
+    communes = kept("communes", rows.groupBy("terc").agg(F.count("*").alias("n"), F.count_if(~F.col("known")).alias("gaps"), F.sum("pairs").alias("pairs")))
+    sums = communes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "gaps", "pairs"))).join(right.agg(F.count("*").alias("registry")), F.lit(True))
+    share = F.col("gaps") / F.greatest("n", F.lit(1))
+    line = lambda item, value, warning: F.struct(F.lit("totals").alias("section"), F.lit(item).alias("item"), value.cast("double").alias("value"), warning.alias("warning"))
+    never = F.lit(False)
+    totals = sums.select(F.inline(F.array(
+        line("in_source", F.col("n"), F.col("n") == 0), line("in_registry", F.col("registry"), never), line("common", F.col("n") - F.col("gaps"), never),
+        line("only_source", F.col("gaps"), never), line("gap_share", share, share > max_share), line("postal_pairs", F.col("pairs"), F.col("pairs") > 0),
+    )))
+    sample = rows.where("NOT known").orderBy("id").limit(n_sample).select(F.lit("first gaps").alias("section"), F.col("id").cast("string").alias("item"), F.lit(1.0).alias("value"), never.alias("warning"))
+    worst = communes.where("gaps > 0").orderBy(F.desc("gaps"), "terc").limit(n_communes).select(F.lit("communes").alias("section"), F.col("terc").alias("item"), F.col("gaps").cast("double").alias("value"), never.alias("warning"))
+    return union_all(totals, sample, worst)

@@ -262,6 +262,18 @@ def _(secondary, published, locality, street):
     return compare.diff_communes(*_sides(secondary, published, locality, street), locality)
 
 
+@query(
+    "diff_report",
+    *_COMPARED,
+    sql=f"""WITH {KEYS}, n AS (SELECT (SELECT count(*) FROM z) AS a, (SELECT count(*) FROM rk) AS b, (SELECT count(*) FROM gap) AS g, (SELECT count(*) FROM z JOIN (SELECT ks AS k, registry_code FROM rk UNION ALL SELECT kn, registry_code FROM rk) ON key = k WHERE postal_code <> registry_code) AS p)
+SELECT 'totals' AS section, 'in_source' AS item, a::double AS value, a = 0 AS warning FROM n UNION ALL SELECT 'totals', 'in_registry', b, false FROM n UNION ALL SELECT 'totals', 'common', a - g, false FROM n UNION ALL SELECT 'totals', 'only_source', g, false FROM n
+UNION ALL SELECT 'totals', 'gap_share', round(g::double / a, 6), g::double / a > 0.05 FROM n UNION ALL SELECT 'totals', 'postal_pairs', p, p > 0 FROM n UNION ALL SELECT 'first gaps', id, 1, false FROM (SELECT id FROM gap ORDER BY id LIMIT 25)
+UNION ALL SELECT 'communes', terc, n, false FROM (SELECT coalesce(l.terc, 'unknown') AS terc, count(*) AS n FROM gap LEFT JOIN locality l ON gap.simc = l.simc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)""",
+)
+def _(secondary, published, locality, street):
+    return compare.diff_report(*_sides(secondary, published, locality, street), locality).withColumn("value", F.round("value", 6))
+
+
 @query("merge_secondary", *_COMPARED, sql=f"WITH {KEYS} SELECT false AS accepted, count(*) AS n FROM rk UNION ALL SELECT true, count(*) FROM gap")
 def _(secondary, published, locality, street):
     z, k = _sides(secondary, published, locality, street)
