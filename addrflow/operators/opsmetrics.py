@@ -43,12 +43,14 @@ def index_is_stale(index_built_at: Column, published_at: Column) -> Column:
     return F.coalesce(index_built_at < published_at, F.lit(False))
 
 
-def status_warnings(runs: DataFrame, log: DataFrame, as_of, stale_days: int = 30) -> DataFrame:
-    """Warnings about stale data and the last run."""
-    state = last_run(runs, as_of).withColumn("_k", F.lit("x"))
-    fresh = log.agg(F.datediff(F.lit(as_of).cast("date"), F.max("fetched_at").cast("date")).alias("age_days")).withColumn("_k", F.lit("x"))
+def status_warnings(runs: DataFrame, log: DataFrame, as_of, stale_days: int = 30, by: list[str] | None = None) -> DataFrame:
+    """Warnings about stale data and the last run (O5), for each of the groups ``by``, or for all runs together."""
+    keys = by or []
+    state = runs.groupBy(*keys).agg(F.max_by("status", F.struct("started_at", "run_id")).alias("status"))
+    fresh = log.groupBy(*keys).agg(F.datediff(F.lit(as_of).cast("date"), F.max("fetched_at").cast("date")).alias("age_days"))
     rows = F.array_compact(F.array(F.when(F.col("age_days") > stale_days, F.lit("stale_data")), F.when(F.col("status") == "held", F.lit("last_run_held")), F.when(F.col("status") == "error", F.lit("last_run_failed"))))
-    return state.join(fresh, "_k").select(F.explode(rows).alias("warning"))
+    both = state.join(fresh, keys, "full_outer") if keys else state.join(fresh, F.lit(True))
+    return both.select(*keys, F.explode(rows).alias("warning"))
 
 
 def latency_histogram(events: DataFrame) -> DataFrame:

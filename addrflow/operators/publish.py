@@ -150,15 +150,20 @@ def merge_report(streets: DataFrame, points: DataFrame, keys: list[str]) -> Data
     counts = _lines(joined, streets=F.count("known"), streets_without_points=F.count_if(own & F.col("n").isNull()), points_of_missing_streets=F.sum(F.when(missing, F.col("n"))), points_with_street=F.sum("n"))
     groups = active(streets).groupBy(*keys).agg(F.count("*").alias("n"))
     doubles = _lines(groups, duplicate_groups=F.count_if(F.col("n") > 1), surplus_rows=F.sum(F.col("n") - 1))
+    alike = active(streets).where("sym_ul IS NOT NULL").groupBy("simc", "sym_ul").agg(F.count("*").alias("n"))
+    codes = _lines(alike, surplus_rows_of_codes=F.sum(F.col("n") - 1))
     coded = active(streets).groupBy("simc", "name_norm").agg(F.count_distinct("sym_ul").alias("codes"), F.count_if(F.col("kind").isNull()).alias("bare"), F.count_if(F.col("sym_ul").isNull()).alias("uncoded"))
     names = _lines(coded, names_with_several_codes=F.count_if(F.col("codes") > 1), streets_without_kind=F.sum("bare"), streets_without_code=F.sum("uncoded"))
-    return union_all(counts, doubles, names, _lines(active(points), points=F.count("*")))
+    return union_all(counts, doubles, codes, names, _lines(active(points), points=F.count("*")))
 
 
 def merge_comparison(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], keys: list[str]) -> DataFrame:
-    """(measure, before, after) of two states, each (streets, points): what a merge did."""
+    """(measure, before, after) of two states, each (streets, points): what a merge did, and how many streets it merged
+    (P13)."""
     a, b = (merge_report(*x, keys) for x in (before, after))
-    return a.withColumnRenamed("value", "before").join(b.withColumnRenamed("value", "after"), "measure")
+    both = a.withColumnRenamed("value", "before").join(b.withColumnRenamed("value", "after"), "measure")
+    merged = both.where("measure = 'streets'").select(F.lit("merged_streets").alias("measure"), F.lit(0).cast("long").alias("before"), (F.col("before") - F.col("after")).alias("after"))
+    return both.unionByName(merged)
 
 
 def merge_secondary(primary: DataFrame, secondary: DataFrame, first: str, second: str, accept: bool = False) -> DataFrame:

@@ -75,3 +75,11 @@ def passed(report: DataFrame) -> bool:
 def shrink_guard(before: int, after: int, percent: float = 50.0) -> bool:
     """Whether a reload may replace a table: it must not shrink by more than ``percent`` (Q-7)."""
     return before == 0 or after >= before * (1 - percent / 100)
+
+
+def shrunken(before: DataFrame, after: DataFrame, by: str, percent: float = 50.0) -> DataFrame:
+    """Rows of each part of a table before and after a reload, and whether it may replace them (Q-7); new parts always may."""
+    a = before.groupBy(by).agg(F.count("*").alias("before"))
+    b = after.groupBy(by).agg(F.count("*").alias("after"))
+    both = a.join(b, by, "full_outer").select(by, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    return both.withColumn("ok", (F.col("before") == 0) | (F.col("after") >= F.col("before") * (1 - percent / 100)))

@@ -165,7 +165,7 @@ def _(street, point):
 
 REPORT = """
 g AS (SELECT simc, kind, count(*) AS n FROM {s} GROUP BY ALL), m AS (SELECT simc, name_norm, count(DISTINCT sym_ul) AS c FROM {s} GROUP BY ALL)
-SELECT 'streets' AS measure, count(*) AS value FROM {s} UNION ALL SELECT 'duplicate_groups', count(*) FROM g WHERE n > 1 UNION ALL SELECT 'surplus_rows', cast(coalesce(sum(n - 1), 0) AS bigint) FROM g
+SELECT 'streets' AS measure, count(*) AS value FROM {s} UNION ALL SELECT 'surplus_rows_of_codes', cast(coalesce(sum(n - 1), 0) AS bigint) FROM (SELECT count(*) AS n FROM {s} WHERE sym_ul IS NOT NULL GROUP BY simc, sym_ul) UNION ALL SELECT 'duplicate_groups', count(*) FROM g WHERE n > 1 UNION ALL SELECT 'surplus_rows', cast(coalesce(sum(n - 1), 0) AS bigint) FROM g
 UNION ALL SELECT 'names_with_several_codes', count(*) FROM m WHERE c > 1 UNION ALL SELECT 'streets_without_kind', count(*) FROM {s} WHERE kind IS NULL UNION ALL SELECT 'streets_without_code', count(*) FROM {s} WHERE sym_ul IS NULL
 UNION ALL SELECT 'streets_without_points', count(*) FROM {s} WHERE street_id NOT IN (SELECT street_id FROM {p} WHERE street_id IS NOT NULL) UNION ALL SELECT 'points', count(*) FROM {p}
 UNION ALL SELECT 'points_of_missing_streets', count(*) FROM {p} WHERE street_id IS NOT NULL AND street_id NOT IN (SELECT street_id FROM {s}) UNION ALL SELECT 'points_with_street', count(*) FROM {p} WHERE street_id IS NOT NULL"""
@@ -179,7 +179,7 @@ def _(street, point):
 BOTH_PASSES = """
 st AS (SELECT * REPLACE (CASE WHEN sym_ul IN ('00003', '00005') AND cast(simc AS bigint) % 2 = 0 THEN NULL WHEN sym_ul = '00002' THEN '00001' ELSE sym_ul END AS sym_ul, CASE WHEN sym_ul = '00005' THEN 'medium' ELSE name_norm END AS name_norm, CASE WHEN sym_ul = '00001' THEN NULL ELSE kind END AS kind) FROM street),
 c AS (SELECT s.*, (SELECT count(*) FROM point p WHERE p.street_id = s.street_id) AS n FROM st s),
-r AS (SELECT street_id, n, name, official, kind, first_value(street_id) OVER (PARTITION BY sym_ul IS NULL, simc, coalesce(sym_ul, name_norm || '|' || kind) ORDER BY n DESC, street_id) AS survivor FROM c)"""
+r AS (SELECT street_id, n, name, name_norm, official, kind, first_value(street_id) OVER (PARTITION BY sym_ul IS NULL, simc, coalesce(sym_ul, name_norm || '|' || kind) ORDER BY n DESC, street_id) AS survivor FROM c)"""
 
 
 @query("merge_both_passes", "street", "point", sql=f"WITH {BOTH_PASSES} SELECT survivor AS street_id, cast(sum(n) AS bigint) AS n_points, coalesce(min_by(name, street_id) FILTER (official), max(name) FILTER (street_id = survivor)) AS name, coalesce(max(kind) FILTER (street_id = survivor), min(kind)) AS kind FROM r GROUP BY 1")
@@ -187,10 +187,10 @@ def _(street, point):
     return publish.merge_all_duplicates(_doubled(street), point)[0].select("street_id", "n_points", "name", "kind")
 
 
-@query("merge_comparison", "street", "point", sql=f"WITH {BOTH_PASSES}, st2 AS (SELECT * FROM st WHERE street_id IN (SELECT survivor FROM r)), p2 AS (SELECT p.* REPLACE (r.survivor AS street_id) FROM point p LEFT JOIN r ON p.street_id = r.street_id), k2 AS (SELECT r.survivor AS street_id, coalesce(max(kind) FILTER (r.street_id = survivor), min(kind)) AS kind FROM r GROUP BY 1), st3 AS (SELECT s.* REPLACE (k2.kind AS kind) FROM st2 s JOIN k2 ON s.street_id = k2.street_id), a AS (WITH {REPORT.format(s='st', p='point')}), b AS (WITH {REPORT.format(s='st3', p='p2')}) SELECT a.measure, a.value AS before, b.value AS after FROM a JOIN b ON a.measure = b.measure WHERE a.measure <> 'names_with_several_codes'")
+@query("merge_comparison", "street", "point", sql=f"WITH {BOTH_PASSES}, st2 AS (SELECT * FROM st WHERE street_id IN (SELECT survivor FROM r)), p2 AS (SELECT p.* REPLACE (r.survivor AS street_id) FROM point p LEFT JOIN r ON p.street_id = r.street_id), k2 AS (SELECT r.survivor AS street_id, coalesce(max(kind) FILTER (r.street_id = survivor), min(kind)) AS kind, coalesce(min_by(name_norm, street_id) FILTER (official), max(name_norm) FILTER (r.street_id = survivor)) AS name_norm FROM r GROUP BY 1), st3 AS (SELECT s.* REPLACE (k2.kind AS kind, k2.name_norm AS name_norm) FROM st2 s JOIN k2 ON s.street_id = k2.street_id), a AS (WITH {REPORT.format(s='st', p='point')}), b AS (WITH {REPORT.format(s='st3', p='p2')}) SELECT a.measure, a.value AS before, b.value AS after FROM a JOIN b ON a.measure = b.measure UNION ALL SELECT 'merged_streets', 0, count(*) FROM r WHERE street_id <> survivor")
 def _(street, point):
     before = (_doubled(street), point)
-    return publish.merge_comparison(before, publish.merge_all_duplicates(*before), ["simc", "kind"]).where("measure <> 'names_with_several_codes'")
+    return publish.merge_comparison(before, publish.merge_all_duplicates(*before), ["simc", "kind"])
 
 
 def _doubled(street):
@@ -228,6 +228,24 @@ def _(published, staged):
     return quality.quality_report(published, staged, {"min_rows": 1000}).select("gate", "level", "ok", F.round("value", 6).alias("value"))
 
 
+@query(
+    "same_snapshot",
+    "staged",
+    sql="WITH d AS (SELECT count(*) FILTER (a.point_id IS NULL OR b.point_id IS NULL OR a.hash <> b.hash) AS n FROM staged a FULL OUTER JOIN staged b ON a.point_id = b.point_id), m AS (SELECT count(*) FILTER (k % 1000 = 1) AS n FROM staged) SELECT 'same' AS snapshot, 40 AS days, n > 0 AS ok FROM d UNION ALL SELECT 'same', 3, true FROM d UNION ALL SELECT 'changed', 40, n > 0 FROM m",
+)
+def _(staged):
+    """The warning about a snapshot without a change: old data, new data, and one with a few changes."""
+    changed = staged.withColumn("hash", F.when(F.col("k") % 1000 == 1, "other").otherwise(F.col("hash")))
+    cases = [("same", 40, staged), ("same", 3, staged), ("changed", 40, changed)]
+    return union_all(*(quality.quality_report(staged, new, {}, days).where("gate = 'zero_delta'").select(F.lit(name).alias("snapshot"), F.lit(days).alias("days"), "ok") for name, days, new in cases))
+
+
+@query("shrunken_reloads", "published", "staged", sql="WITH a AS (SELECT region, count(*) AS n FROM published GROUP BY 1), b AS (SELECT region, count(*) AS n FROM staged WHERE region <> '00' AND (k % 3 = 0 OR region <> '01') GROUP BY 1) SELECT coalesce(a.region, b.region) AS region, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(a.n, 0) = 0 OR coalesce(b.n, 0) >= a.n * 0.5 AS ok FROM a FULL OUTER JOIN b ON a.region = b.region")
+def _(published, staged):
+    """A reload that lacks one region and two thirds of another."""
+    return quality.shrunken(published, staged.where("region <> '00' AND (k % 3 = 0 OR region <> '01')"), "region")
+
+
 # --- Comparison of sources ------------------------------------------------------------------------------------------------
 
 KEYS = """
@@ -636,14 +654,30 @@ def _(published, run):
 @query(
     "status_warnings",
     "run",
-    sql=f"SELECT source, unnest(list_filter([CASE WHEN date_diff('day', cast(max(started_at) AS date), date '2024-02-01') > 30 THEN 'stale_data' END, CASE arg_max(status, (started_at, run_id)) WHEN 'held' THEN 'last_run_held' WHEN 'error' THEN 'last_run_failed' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT version AS source, run_id, started_at, status FROM run WHERE version <> 'v1' UNION ALL SELECT 'old', run_id, started_at, 'held' FROM run WHERE started_at < timestamp '2024-01-10 00:00:00') GROUP BY 1",
+    sql="SELECT source, unnest(list_filter([CASE WHEN date_diff('day', cast(max(started_at) AS date), date '2024-02-01') > 30 THEN 'stale_data' END, CASE arg_max(status, (started_at, run_id)) WHEN 'held' THEN 'last_run_held' WHEN 'error' THEN 'last_run_failed' END], lambda x: x IS NOT NULL)) AS warning FROM (SELECT version AS source, run_id, started_at, status FROM run UNION ALL SELECT 'old', run_id, started_at, 'held' FROM run WHERE started_at < timestamp '2024-01-10 00:00:00') GROUP BY 1",
 )
 def _(run):
     """For each version its last run, and a group whose runs are all old and held."""
-    old = run.where("started_at < timestamp '2024-01-10 00:00:00'").withColumn("status", F.lit("held"))
-    groups = [("old", old), *((v, run.where(F.col("version") == v)) for v in ("v0", "v2", "v3", "v4", "v5", "v6", "v7"))]
-    rows = [opsmetrics.status_warnings(df, df.select(F.col("started_at").alias("fetched_at")), AS_OF).select(F.lit(name).alias("source"), "warning") for name, df in groups]
-    return union_all(*rows)
+    old = run.where("started_at < timestamp '2024-01-10 00:00:00'").select(F.lit("old").alias("source"), "run_id", "started_at", F.lit("held").alias("status"))
+    runs = run.select(F.col("version").alias("source"), "run_id", "started_at", "status").unionByName(old)
+    return opsmetrics.status_warnings(runs, runs.withColumnRenamed("started_at", "fetched_at"), AS_OF, by=["source"])
+
+
+@query("stale_indexes", "run", sql="SELECT source, version, coalesce(max(started_at) FILTER (status = 'ok') < max(started_at) FILTER (status <> 'ok'), false) AS stale FROM run GROUP BY 1, 2")
+def _(run):
+    """Indexes built by the last good run of a version, against what was published by the others since."""
+    built = F.max(F.when(F.col("status") == "ok", F.col("started_at")))
+    newest = F.max(F.when(F.col("status") != "ok", F.col("started_at")))
+    return run.groupBy("source", "version").agg(opsmetrics.index_is_stale(built, newest).alias("stale"))
+
+
+@query("added_usage", "request", sql="SELECT key_id, count(*) AS requests, cast(sum(coalesce(items, 1)) AS bigint) AS units FROM request WHERE date_part('day', ts) % 5 <> 4 GROUP BY 1")
+def _(request):
+    """Usage of four batches, of which one was sent twice."""
+    rows = request.select((F.dayofmonth("ts") % 5).alias("batch_id"), "key_id", F.coalesce("items", F.lit(1)).alias("units"))
+    batches = rows.groupBy("batch_id", "key_id").agg(F.count("*").alias("requests"), F.sum("units").alias("units"))
+    total = usage.add_usage(batches.where("batch_id IN (0, 1, 2)"), batches.where("batch_id IN (2, 3)"))
+    return total.groupBy("key_id").agg(F.sum("requests").alias("requests"), F.sum("units").alias("units"))
 
 
 @query("alerts", "request", sql=f"SELECT alert, metric, value FROM (SELECT 'many_errors' AS alert, 'error' AS metric, count(*)::double AS value FROM request WHERE {OUTCOME} = 'error' UNION ALL SELECT 'many_limited', 'limited', count(*)::double FROM request WHERE {OUTCOME} = 'limited') WHERE value > 10")
