@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from addrflow.operators.relational import union_all
 from addrflow.sources import gml, registers
 from addrflow.sources.scratch import scratch_folder
 
@@ -177,6 +178,34 @@ def _(locality, unit):
     return registers.attach_units(rows, unit).select("simc", "unit_terc")
 
 
+@query(
+    "loaded_catalogues",
+    "unit",
+    "locality",
+    "street",
+    sql="""
+WITH l AS (SELECT *, cast(simc AS bigint) % 97 = 0 AS lost FROM locality), u AS (SELECT terc FROM unit WHERE level = 3),
+p AS (SELECT simc, kind, coalesce((SELECT max(terc) FROM u WHERE u.terc = CASE WHEN kind = 2 THEN substring(l.terc, 1, 6) || '5' ELSE l.terc END), (SELECT min(terc) FROM u WHERE substring(u.terc, 1, 6) = substring(l.terc, 1, 6))) AS terc FROM l WHERE NOT lost)
+SELECT 'unit' AS item, count(DISTINCT terc) AS n, count(DISTINCT terc) AS codes FROM unit UNION ALL SELECT 'locality', count(*), count(DISTINCT terc) FROM p UNION ALL SELECT 'street', count(*), count(DISTINCT s.simc) FROM street s JOIN p ON s.simc = p.simc
+UNION ALL SELECT 'kind', count(DISTINCT kind), count(DISTINCT kind) FROM locality UNION ALL SELECT 'locality without unit', count(*), 0 FROM l WHERE lost UNION ALL SELECT 'street without locality', count(*), 0 FROM street s JOIN l ON s.simc = l.simc WHERE lost""",
+)
+def _(unit, locality, street):
+    """All four files in one load: units listed twice, parts of mixed communes, localities of no unit and their streets."""
+    part = lambda a, n, least: F.when(F.col("level") >= least, F.substring("terc", a, n))
+    units = unit.select(part(1, 2, 1).alias("WOJ"), part(3, 2, 2).alias("POW"), part(5, 2, 3).alias("GMI"), part(7, 1, 3).alias("RODZ"), F.col("name").alias("NAZWA"), F.lit("2024-01-01").alias("STAN_NA"))
+    units = units.unionByName(units.where("WOJ = '01'").withColumn("STAN_NA", F.lit("2020-01-01")))
+    lost = F.col("simc").cast("bigint") % 97 == 0
+    kind = F.when(F.col("kind") == 2, "5").otherwise(F.substring("terc", 7, 1))
+    places = locality.select(F.when(lost, "98").otherwise(F.substring("terc", 1, 2)).alias("WOJ"), F.substring("terc", 3, 2).alias("POW"), F.substring("terc", 5, 2).alias("GMI"), kind.alias("RODZ_GMI"), F.lpad(F.col("kind").cast("string"), 2, "0").alias("RM"), F.col("name").alias("NAZWA"), F.col("simc").alias("SYM"), F.col("simc").alias("SYMPOD"))
+    roads = street.select(F.col("simc").alias("SYM"), F.col("sym_ul").alias("SYM_UL"), F.col("kind").alias("CECHA"), F.col("name").alias("NAZWA_1"), F.lit(None).cast("string").alias("NAZWA_2"))
+    kinds = locality.select(F.lpad(F.col("kind").cast("string"), 2, "0").alias("RM"), F.concat(F.lit("kind "), F.col("kind").cast("string")).alias("NAZWA_RM")).distinct()
+    got = registers.load_teryt(unit.sparkSession, _csv(units, "terc"), _csv(places, "simc"), _csv(roads, "ulic"), _csv(kinds, "wmrodz"))
+    codes = {"unit": "terc", "locality": "terc", "street": "simc", "kind": "code"}
+    rows = [got[t].agg(F.count("*").alias("n"), F.count_distinct(c).alias("codes")).select(F.lit(t).alias("item"), "n", "codes") for t, c in codes.items()]
+    rows.append(got["left_out"].select(F.col("reason").alias("item"), "n", F.lit(0).cast("long").alias("codes")))
+    return union_all(*rows)
+
+
 # --- A secondary source ----------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from addrflow.functions.codes import build_terc, pad
 from addrflow.functions.text import normalize_text, not_empty
-from addrflow.operators.relational import least_values
+from addrflow.operators.relational import distinct_on, least_values
 
 
 def sniff_csv(spark: SparkSession, path: str) -> dict[str, str]:
@@ -96,6 +96,23 @@ def attach_units(localities: DataFrame, units: DataFrame) -> DataFrame:
     return out.withColumn("unit_terc", F.coalesce("_full", "_least")).drop("_full", "_six", "_least")
 
 
+def load_teryt(spark: SparkSession, terc: str, simc: str, ulic: str, wmrodz: str) -> dict[str, DataFrame]:
+    """The official catalogues as registry tables: units, localities, streets, kinds, and ``left_out`` (reason, n).
+
+    Of a code that a file lists twice the newest unit counts, else the least name.  A locality has the commune that lists it,
+    or the whole commune with its six digits (``attach_units``); localities of no unit and streets of no such locality are
+    left out and counted."""
+    units = distinct_on(read_catalogue(spark, terc, "terc"), ["terc"], [F.desc_nulls_last("as_of"), F.asc("name")])
+    places = distinct_on(read_catalogue(spark, simc, "simc").where("simc IS NOT NULL"), ["simc"], [F.asc("name"), F.asc("terc")])
+    placed = attach_units(places, units)
+    localities = placed.where("unit_terc IS NOT NULL").withColumn("terc", F.col("unit_terc")).drop("unit_terc")
+    named = distinct_on(read_catalogue(spark, ulic, "ulic").where("simc IS NOT NULL AND sym_ul IS NOT NULL"), ["simc", "sym_ul"], [F.asc("name")])
+    known = named.join(localities.select("simc", F.lit(True).alias("known")), "simc", "left")
+    streets = known.where("known").select(F.concat_ws("-", "simc", "sym_ul").alias("street_id"), *named.columns)
+    reasons = (placed.agg(F.count_if(F.col("unit_terc").isNull()).alias("n")).select(F.lit("locality without unit").alias("reason"), "n"), known.agg(F.count_if(F.col("known").isNull()).alias("n")).select(F.lit("street without locality").alias("reason"), "n"))
+    return {"unit": units, "locality": localities, "street": streets, "kind": read_catalogue(spark, wmrodz, "wmrodz"), "left_out": reasons[0].unionByName(reasons[1])}
+
+
 @dataclass(frozen=True)
 class Profile:
     """Target column -> candidate column names; ``numbers`` may have a decimal comma."""
