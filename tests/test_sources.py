@@ -178,6 +178,31 @@ def test_generator(spark):
     assert datagen.localities(spark, 100).count() == 100
 
 
+def test_zipf(spark):
+    """Shares of the ranks against the distribution whose inverse is drawn from."""
+    import math
+
+    n, draws = 50, 200_000
+    got = dict(spark.range(draws).select(datagen.zipf(datagen.unit(F.col("id"), "z"), n).alias("r")).groupBy("r").count().collect())
+    want = {r: math.log((r + 2) / (r + 1)) / math.log(n + 1) for r in range(n)}
+    assert set(got) <= set(want) and all(abs(got.get(r, 0) / draws - p) < 0.005 for r, p in want.items())
+
+
+def test_scale_run(spark, tmp_path):
+    """The generated registry goes through load, gates, publication and search; each figure follows from the one before."""
+    from scale_run import scale_run
+
+    steps = {s["step"]: s for s in scale_run(spark, 3000, str(tmp_path), asked=60)}
+    assert steps["load"]["points"] == steps["first publication"]["added"] == steps["the same again"]["unchanged"] == 3000
+    assert all(steps[s]["outcome"] == "published" for s in ("first publication", "the same again", "0.4 % changed"))
+    assert steps["the same again"]["parts_written"] == 0 and 0 < steps["0.4 % changed"]["changed"] < 60
+    assert 0 < steps["0.4 % changed"]["parts_written"] <= 16 and steps["0.4 % changed"]["parts_kept"] > 100
+    assert steps["suggestions"]["hits"] >= 60
+    tables = datagen.registry(spark, 3000)
+    lost = tables["point"].where("street_id IS NOT NULL").join(tables["street"], "street_id", "left_anti").count()
+    assert lost == 0 and tables["locality"].join(tables["unit"], "terc", "left_anti").count() == 0
+
+
 def test_parts_follow_the_change(spark, tmp_path):
     """One changed row rewrites one part; all other files stay, through pruning too; a region's rows may come alone."""
     root = str(tmp_path / "parts")
