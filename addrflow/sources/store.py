@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
-from collections.abc import Collection
+from collections.abc import Collection, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def snapshot_manifest(spark: SparkSession, glob: str, name: Column | None = None) -> DataFrame:
-    """(file, size, sha256) of the files of a snapshot; ``name`` gives the file's name from its ``path``."""
+#: Bytes of a file that are hashed at a time.
+BLOCK = 64 << 20
+
+
+def _block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, block, digest) of ranges of files, read in pieces of a megabyte."""
+    for batch in batches:
+        digests = []
+        for path, start, size in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "size")), strict=True):
+            system, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with system.open_input_file(place) as f:
+                for at in range(start, start + size, 1 << 20):
+                    digest.update(f.read_at(min(1 << 20, start + size - at), at))
+            digests.append(digest.digest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("start"), pa.array(digests, pa.binary())], ["path", "start", "digest"])
+
+
+def snapshot_manifest(spark: SparkSession, glob: str, name: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """(file, size, sha256) of the files of a snapshot; ``name`` gives the file's name from its ``path``.
+
+    The checksum is the SHA-256 of the SHA-256 digests of the file's blocks, in their order, so that a file of any size is
+    hashed by many tasks.  Files of one block are read by Spark; larger ones by ranges, which needs a scheme that Arrow opens
+    (local and shared folders, HDFS, object stores).  An empty file is no file of a snapshot: Spark lists none."""
     files = spark.read.format("binaryFile").load(glob)
     own = F.element_at(F.split("path", "/"), -1) if name is None else name
-    return files.select(own.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= block).select("path", F.col("length").alias("size"), F.sha2(F.unhex(F.sha2("content", 256)), 256).alias("sha256"))
+    # Without its content a file's row is its name and size.
+    large = files.select("path", F.col("length").alias("bytes")).where(F.col("bytes") > block)
+    ranges = large.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(block).cast("long"))).alias("start"))
+    ranges = ranges.withColumn("size", F.least(F.lit(block), F.col("bytes") - F.col("start")))
+    hashed = ranges.repartition("path", "start").mapInArrow(_block_hashes, "path string, start long, digest binary")
+    whole = hashed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "digest"))).alias("blocks")).join(large, "path")
+    joined = F.aggregate("blocks", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["digest"]))
+    rows = small.unionByName(whole.select("path", F.col("bytes").alias("size"), F.sha2(joined, 256).alias("sha256")))
+    return rows.select(own.alias("file"), "size", "sha256")
 
 
 def changed_files(previous: DataFrame, current: DataFrame) -> DataFrame:
