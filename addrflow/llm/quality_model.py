@@ -142,6 +142,46 @@ def _tree(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray, leaves: in
     return out
 
 
+def _strips(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(worth, cut) of each strip of cells, cut in two where that is best; cut 0 leaves it whole."""
+    g, w, c = (np.cumsum(v, axis=1) for v in (gradient, weight, rows))
+    whole = g[:, -1:] ** 2 / (w[:, -1:] + SHRINK)
+    left, right = g[:, :-1] ** 2 / (w[:, :-1] + SHRINK), (g[:, -1:] - g[:, :-1]) ** 2 / (w[:, -1:] - w[:, :-1] + SHRINK)
+    enough = (c[:, :-1] >= LEAST_ROWS) & (c[:, -1:] - c[:, :-1] >= LEAST_ROWS)
+    worth = np.concatenate([whole, np.where(enough, left + right, -np.inf)], axis=1)
+    cut = worth.argmax(axis=1)
+    return worth[np.arange(len(worth)), cut], cut
+
+
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A tree of two levels over a pair's cells: one feature is cut once, each side then on the other feature, whichever comes
+    first; its value for every cell."""
+    best: tuple = (-np.inf, None)
+    for turned in (False, True):
+        g, w, c = (v.T if turned else v for v in (gradient, weight, rows))
+        low = [np.cumsum(v, axis=0) for v in (g, w, c)]
+        whole, cut_whole = _strips(*(v[-1:] for v in low))
+        if whole[0] > best[0] + 1e-12:
+            best = (whole[0], (turned, len(g), int(cut_whole[0]), 0))
+        if len(g) > 1:
+            below = [v[:-1] for v in low]
+            above = [v[-1:] - v[:-1] for v in low]
+            (one, cut_one), (two, cut_two) = _strips(*below), _strips(*above)
+            enough = (below[2].sum(axis=1) >= LEAST_ROWS) & (above[2].sum(axis=1) >= LEAST_ROWS)
+            total = np.where(enough, one + two, -np.inf)
+            k = int(total.argmax())
+            if total[k] > best[0] + 1e-12:
+                best = (total[k], (turned, k + 1, int(cut_one[k]), int(cut_two[k])))
+    turned, first, *cuts = best[1]
+    out = np.zeros((gradient.T if turned else gradient).shape)
+    g, w = (v.T if turned else v for v in (gradient, weight))
+    for a, b, cut in ((0, first, cuts[0]), (first, len(out), cuts[1])):
+        for x, y in ((0, cut), (cut, out.shape[1])):
+            if a < b and x < y:
+                out[a:b, x:y] = g[a:b, x:y].sum() / (w[a:b, x:y].sum() + SHRINK)
+    return out.T if turned else out
+
+
 class AdditiveModel:
     """Lookup tables: one for each feature's bins, one for each chosen pair's cells; a score is their sum."""
 
@@ -181,8 +221,8 @@ class AdditiveModel:
         for _ in range(PAIR_ROUNDS):
             for (a, b), table in zip(self.pairs, self.pair_tables, strict=True):
                 p = 1 / (1 + np.exp(-score))
-                k = cell(a, b)
-                step = RATE * np.bincount(k, y - p, len(table)) / (np.bincount(k, p * (1 - p), len(table)) + 2 * SHRINK)
+                k, shape = cell(a, b), (len(self.coarse[a]) + 1, len(self.coarse[b]) + 1)
+                step = RATE * _pair_tree(*(np.bincount(k, v, len(table)).reshape(shape) for v in (y - p, p * (1 - p), np.ones(n)))).ravel()
                 table += step
                 score += step[k]
 

@@ -81,6 +81,62 @@ def test_few_trusted_documents_reject_nothing_clean(spark):
             assert not any(i >= 1000 for i in kept)
 
 
+def test_pair_tree_is_the_best_of_two_levels():
+    """Against every tree of two levels."""
+    from addrflow.llm.quality_model import LEAST_ROWS, SHRINK, _pair_tree
+
+    def leaf(g, w, c, a, b, x, y):
+        return g[a:b, x:y].sum() ** 2 / (w[a:b, x:y].sum() + SHRINK), c[a:b, x:y].sum()
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        shape = rng.integers(1, 5, 2)
+        g, w, c = rng.normal(size=shape) * 9, rng.random(shape) * 5, rng.integers(0, 9, shape).astype(float)
+        best = -np.inf
+        for u, v, n in ((g, w, c), (g.T, w.T, c.T)):
+            rows, columns = u.shape
+            for first in range(1, rows + 1):
+                for p in range(columns):
+                    for q in range(columns) if first < rows else [0]:
+                        cells = [(a, b, x, y) for a, b, cut in ((0, first, p), (first, rows, q)) for x, y in ((0, cut), (cut, columns)) if a < b and x < y]
+                        found = [leaf(u, v, n, *k) for k in cells]
+                        sides = [n[:first].sum(), n[first:].sum()] if first < rows else [np.inf]
+                        if min(sides) >= LEAST_ROWS and all(m >= LEAST_ROWS for _, m in found if len(cells) > 1):
+                            best = max(best, sum(worth for worth, _ in found))
+        values = _pair_tree(g, w, c)
+        # A tree's worth follows from its values: each leaf's is gradient sum over shrunken weight.
+        assert np.isclose((g * values).sum(), max(best, g.sum() ** 2 / (w.sum() + SHRINK)))
+
+
+def test_additive_model_equals_a_plain_fit(monkeypatch):
+    """Cyclic boosting over bins against the same steps row by row."""
+    from addrflow.llm import quality_model as qm
+
+    monkeypatch.setattr(qm, "ROUNDS", 4)
+    monkeypatch.setattr(qm, "PAIR_ROUNDS", 0)
+    rng = np.random.default_rng(9)
+    x = np.round(rng.random((200, 3)), 1)
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.2 * rng.random(200) > 0.8).astype(float)
+    score = np.full(200, np.log((y.sum() + 1) / (201 - y.sum())))
+    bins = [np.searchsorted(np.unique(np.quantile(x[:, j], np.linspace(0, 1, qm.BINS + 1)[1:-1])), x[:, j], "right") for j in range(3)]
+    for _ in range(4):
+        for b in bins:
+            p = 1 / (1 + np.exp(-score))
+            r, h = y - p, p * (1 - p)
+            worth = lambda m: r[m].sum() ** 2 / (h[m].sum() + qm.SHRINK)
+            leaves = [np.ones(200, bool)]
+            while len(leaves) < qm.LEAVES:
+                cuts = [(worth(m & (b < t)) + worth(m & (b >= t)) - worth(m), k, t) for k, m in enumerate(leaves) for t in range(1, b.max() + 1) if (m & (b < t)).sum() >= qm.LEAST_ROWS and (m & (b >= t)).sum() >= qm.LEAST_ROWS]
+                if not cuts or max(cuts)[0] <= 1e-9:
+                    break
+                _, k, t = max(cuts)
+                m = leaves.pop(k)
+                leaves += [m & (b < t), m & (b >= t)]
+            for m in leaves:
+                score[m] += qm.RATE * r[m].sum() / (h[m].sum() + qm.SHRINK)
+    assert np.allclose(qm.AdditiveModel(x, y).score(x), 1 / (1 + np.exp(-score)))
+
+
 def test_additive_model():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 4))
