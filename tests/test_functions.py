@@ -62,3 +62,39 @@ def test_projection(spark):
     row = spark.range(1).select(geo.to_wgs84(F.lit(637123.45), F.lit(486987.65), F.lit(2180), F.lit(False)).alias("a"), geo.to_wgs84(F.lit(486987.65), F.lit(637123.45), F.lit(2180), F.lit(True)).alias("b")).first()
     assert abs(row.a.lon - 21.0085065) < 1e-6 and abs(row.a.lat - 52.2318357) < 1e-6 and not row.a.swapped
     assert row.a == row.b
+
+
+def test_projections_against_integrals(spark):
+    """Northings on the central meridian and eastings near it, from integrals over the ellipsoid GRS80 that share nothing with
+    the series: the meridian's arc, and the isometric latitude's step off the meridian."""
+    import cmath
+    import math
+
+    a, f = 6378137.0, 1 / 298.257222101
+    e2 = f * (2 - f)
+
+    def arc(phi):
+        """Meridian arc to a latitude, of complex values too, by Simpson's rule."""
+        n = 2000
+        h = phi / n
+        value = lambda t: a * (1 - e2) / (1 - e2 * cmath.sin(t) ** 2) ** 1.5
+        return h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * value(k * h) for k in range(n + 1))
+
+    def plane(lon, lat, middle, scale, east, north):
+        """Gauss's conformal map: the latitude whose isometric latitude is q + i * (difference of longitude)."""
+        e = math.sqrt(e2)
+        isometric = lambda p: cmath.atanh(cmath.sin(p)) - e * cmath.atanh(e * cmath.sin(p))
+        want, p = isometric(math.radians(lat)) + 1j * math.radians(lon - middle), complex(math.radians(lat))
+        for _ in range(30):
+            slope = (1 - e2) / ((1 - e2 * cmath.sin(p) ** 2) * cmath.cos(p))
+            p += (want - isometric(p)) / slope
+        m = arc(p) * scale
+        return m.imag + east, m.real + north
+
+    rows = []
+    for epsg, (middle, scale, east, north) in {2180: (19, 0.9993, 5e5, -5.3e6), 2176: (15, 0.999923, 5.5e6, 0), 2177: (18, 0.999923, 6.5e6, 0), 2178: (21, 0.999923, 7.5e6, 0), 2179: (24, 0.999923, 8.5e6, 0)}.items():
+        for dlon, lat in ((0, 52.0), (1.2, 50.5), (-1.4, 54.2)) + (((4.8, 53.1), (-4.6, 49.3)) if epsg == 2180 else ()):
+            rows.append((epsg, middle + dlon, lat, *plane(middle + dlon, lat, middle, scale, east, north)))
+    df = spark.createDataFrame([(e, float(lo), la, float(x), float(y)) for e, lo, la, x, y in rows], "epsg int, lon double, lat double, x double, y double")
+    got = df.select("lon", "lat", geo.unproject(F.col("x"), F.col("y"), F.col("epsg")).alias("g")).collect()
+    assert len(got) == 17 and all(abs(r.g.lon - r.lon) < 1e-8 and abs(r.g.lat - r.lat) < 1e-8 for r in got)
