@@ -20,6 +20,8 @@ STOP_WORDS = ("ul", "al", "pl", "os", "im")
 KEY_WORDS, SHORTEST = 6, 4
 #: Keys under a prefix from which on it has ranked lists, and the length of these.
 CROWDED, LISTED = 64, 20
+#: Edits up to which a word counts as found.
+EDITS = 2
 #: Rows of an index file.
 FILE_ROWS = 1 << 20
 
@@ -49,10 +51,10 @@ def rotational_keys(label: Column) -> Column:
     return F.when(F.size(t) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size(t), F.lit(KEY_WORDS))), lambda i: F.array_join(F.slice(t, i, F.size(t)), " ")))).otherwise(F.array().cast("array<string>"))
 
 
-def build_keys(docs: DataFrame) -> DataFrame:
-    """Distinct (key, doc_id) of labels and aliases (F2)."""
-    names = docs.select("doc_id", F.explode(F.concat(F.array("label"), "aliases")).alias("name"))
-    return names.select(F.explode(rotational_keys(F.col("name"))).alias("key"), "doc_id").distinct()
+def build_keys(docs: DataFrame, *carried: str) -> DataFrame:
+    """Distinct (key, doc_id) of labels and aliases, with the ``carried`` columns of the document (F2)."""
+    names = docs.select("doc_id", *carried, F.explode(F.concat(F.array("label"), "aliases")).alias("name"))
+    return names.select(F.explode(rotational_keys(F.col("name"))).alias("key"), "doc_id", *carried).distinct()
 
 
 def sorted_keys(keys: DataFrame) -> DataFrame:
@@ -105,23 +107,42 @@ class SearchIndex:
     """What lookups read.
 
     ``docs``: measured documents.  ``crowded``: (prefix, scope) of prefixes that more than CROWDED keys have, for each type
-    and for all together (''); ``scope`` there has documents.  ``entries``: each key under all its crowded prefixes and under
-    its shortest other one, the bucket of all keys that go on like it.  ``lists``: for each crowded prefix and scope the
-    LISTED best documents of the query that is that prefix."""
+    and for all together (''); ``scope`` there has documents.  ``entries``: each key once, in the bucket of all keys that go
+    on like it after its crowded prefixes.  ``spans``: the buckets under each crowded prefix.  ``lists``: for each crowded
+    prefix and scope the LISTED best documents of the query that is that prefix; ``heavy``: the LISTED weightiest documents
+    there, whatever the query.  ``postings``: (word, doc_id) of all labels.  ``forms``: (form, word), a word's beginnings,
+    ends and forms with up to EDITS letters left out, by which words near a misspelt one are found."""
 
     docs: DataFrame
-    keys: DataFrame
     crowded: DataFrame
     entries: DataFrame
+    spans: DataFrame
     lists: DataFrame
+    heavy: DataFrame
+    postings: DataFrame
+    forms: DataFrame
     path: str
 
 
-_PARTS = ("docs", "keys", "crowded", "entries", "lists", "bounds")
+_PARTS = ("docs", "crowded", "entries", "spans", "lists", "heavy", "postings", "forms")
 
 
-def _prefixes(key: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(key)), lambda n: F.substring(key, F.lit(1), n))
+def _shortened(words: Column) -> Column:
+    """The words, and each with one letter left out."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, cut))))
+
+
+def _forms(word: Column) -> Column:
+    """Two words with an edit distance of EDITS at most have one of these in common."""
+    out = F.array(word)
+    for _ in range(EDITS):
+        out = _shortened(out)
+    return out
+
+
+def _prefixes(text: Column, most: Column | None = None) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) if most is None else most), lambda n: F.substring(text, F.lit(1), n))
 
 
 def build_index(docs: DataFrame, path: str | None = None, crowded: int = CROWDED, listed: int = LISTED, file_rows: int = FILE_ROWS) -> SearchIndex:
@@ -138,34 +159,38 @@ def build_index(docs: DataFrame, path: str | None = None, crowded: int = CROWDED
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     own = part("docs", measured(docs))
-    keys = part("keys", build_keys(docs).where("key <> ''").join(own.select("doc_id", "type", "simc"), "doc_id"))
-    many = keys.select(F.explode(_prefixes(F.col("key"))).alias("prefix"), "type")
-    scopes = many.groupBy("prefix", "type").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("prefix"))
-    scopes = scopes.withColumn("total", total).where(F.col("total") > crowded)
+    keys = kept("keys", build_keys(own, "type", "simc").where("key <> ''"))
+    # Different keys are counted once for each type before their prefixes are made.
+    texts = keys.groupBy("key", "type").agg(F.count("*").alias("n"))
+    scopes = texts.select(F.explode(_prefixes(F.col("key"))).alias("prefix"), "type", "n").groupBy("prefix", "type").agg(F.sum("n").alias("n"))
+    scopes = scopes.withColumn("total", F.sum("n").over(Window.partitionBy("prefix"))).where(F.col("total") > crowded)
     both = part("crowded", scopes.select("prefix", F.explode(F.array(F.lit(""), F.col("type"))).alias("scope")).distinct())
-    # Crowded prefixes of a key are its shortest ones; the next longer one is its bucket.
+    # Crowded prefixes of a key are its shortest ones; with one character more, if it has one, they name its bucket.
     heads = both.where("scope = ''").select("prefix")
-    lengths = keys.select("key").distinct().select("key", F.explode(_prefixes(F.col("key"))).alias("prefix")).join(heads, "prefix").groupBy("key").agg(F.max(F.length("prefix")).alias("n"))
+    lengths = texts.select("key").distinct().select("key", F.explode(_prefixes(F.col("key"))).alias("prefix")).join(heads, "prefix").groupBy("key").agg(F.max(F.length("prefix")).alias("n"))
     cut = keys.join(lengths, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    spots = F.transform(F.sequence(F.lit(1), F.least(F.col("n") + 1, F.length("key"))), lambda n: F.substring("key", F.lit(1), n))
-    spots = F.when(F.col("n") > 0, spots).otherwise(F.array(F.substring("key", 1, 1)))
-    rows = cut.select(F.explode(spots).alias("entry"), "key", "doc_id", "type", "simc")
+    rows = cut.select(F.substring(F.col("key"), F.lit(1), F.least(F.col("n") + 1, F.length("key"))).alias("entry"), "n", "key", "doc_id", "type", "simc", F.substring("key", 1, 1).alias("head"))
     # Ranges of entry and key, so that the keys of one large entry go to several files.
     files = 1 + keys.count() // file_rows
     entries = part("entries", rows.repartitionByRange(files, "entry", "key", "doc_id").sortWithinPartitions("entry", "key", "doc_id"))
-    part("bounds", entries.groupBy(F.input_file_name().alias("file")).agg(F.min("entry").alias("low"), F.max("entry").alias("high")))
-    hits = entries.join(heads.withColumnRenamed("prefix", "entry"), "entry").groupBy(F.col("entry").alias("prefix"), "doc_id").agg(F.min("key").alias("key"))
-    scored = hits.join(own, "doc_id").withColumn("score", score(F.col("prefix"))).where("score <> 0")
-    scored = scored.select("prefix", F.explode(F.array(F.lit(""), F.col("type"))).alias("scope"), "doc_id", "key", "score")
-    best = top_k(scored, ["prefix", "scope"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], listed)
+    entries.groupBy(F.input_file_name().alias("file")).agg(F.min("entry").alias("low"), F.max("entry").alias("high")).write.parquet(f"{path}/bounds")
+    spans = part("spans", entries.where("n > 0").select("entry", "n").distinct().select(F.explode(_prefixes(F.col("entry"), F.col("n"))).alias("prefix"), "entry"))
+    hits = spans.join(entries, "entry").groupBy("prefix", "doc_id").agg(F.min("key").alias("key"))
+    scored = hits.join(own, "doc_id").withColumn("score", score(F.col("prefix"))).withColumn("rest", F.col("weight") - 1.5 * F.least(F.length("norm"), F.lit(60)))
+    scored = kept("scored", scored.select("prefix", F.explode(F.array(F.lit(""), F.col("type"))).alias("scope"), "doc_id", "key", "score", "rest"))
+    best = top_k(scored.where("score <> 0").drop("rest"), ["prefix", "scope"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], listed)
     part("lists", best.repartitionByRange("prefix").sortWithinPartitions("prefix", "scope", "rank"))
+    part("heavy", top_k(scored.drop("score"), ["prefix", "scope"], [F.desc("rest"), F.asc("key"), F.asc("doc_id")], listed).drop("rest"))
+    postings = part("postings", own.select(F.explode(F.array_distinct("words")).alias("word"), "doc_id"))
+    distinct = postings.select("word").where("word <> ''").distinct()
+    ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), n, F.length("word")))
+    part("forms", distinct.select(F.explode(F.array_distinct(F.concat(_prefixes(F.col("word")), ends, _forms(F.col("word"))))).alias("form"), "word"))
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> SearchIndex:
     """An index written before; it is read as often as it is opened, not made again."""
-    return SearchIndex(*(spark.read.parquet(f"{path}/{n}") for n in _PARTS[:-1]), path)
+    return SearchIndex(*(spark.read.parquet(f"{path}/{n}") for n in _PARTS), path)
 
 
 def keys_under(index: SearchIndex, prefix: str) -> DataFrame:
@@ -174,67 +199,99 @@ def keys_under(index: SearchIndex, prefix: str) -> DataFrame:
     Only the table of bounds, a row for each file, is looked into before."""
     spark = index.entries.sparkSession
     heads = [prefix[:n] for n in range(1, len(prefix) + 1)]
-    crowded = index.crowded.where(F.col("prefix").isin(heads) & (F.col("scope") == "")).agg(F.max(F.length("prefix"))).first()[0] or 0
-    entry = prefix[: min(len(prefix), crowded + 1)]
-    files = spark.read.parquet(f"{index.path}/bounds").where((F.col("low") <= entry) & (F.col("high") >= entry)).collect()
+    many = index.crowded.where(F.col("prefix").isin(heads) & (F.col("scope") == "")).agg(F.max(F.length("prefix"))).first()[0] or 0
+    # A crowded prefix has all entries that begin with it, any other one entry.
+    entry = prefix[: many + 1]
+    above = entry + "\U0010ffff" if many == len(prefix) else entry
+    files = spark.read.parquet(f"{index.path}/bounds").where((F.col("low") <= above) & (F.col("high") >= entry)).collect()
     rows = spark.read.schema(index.entries.schema).parquet(*[r["file"] for r in files]) if files else index.entries.limit(0)
-    return rows.where((F.col("entry") == entry) & F.startswith("key", F.lit(prefix))).select("key", "doc_id").sort("key", "doc_id")
+    return rows.where((F.col("entry") >= entry) & (F.col("entry") <= above) & F.startswith("key", F.lit(prefix))).select("key", "doc_id").sort("key", "doc_id")
 
 
 def _placed(p: DataFrame, index: SearchIndex) -> DataFrame:
-    """Probes with ``entry``, where their keys are, and ``many``, whether that is a crowded prefix."""
+    """Probes with ``entry``, where their keys are, and ``many``, whether they are a crowded prefix with several such."""
     heads = index.crowded.where("scope = ''").select("prefix")
     found = p.select("probe").distinct().select("probe", F.explode(_prefixes(F.col("probe"))).alias("prefix")).join(heads, "prefix").groupBy("probe").agg(F.max(F.length("prefix")).alias("_n"))
     out = p.join(found, "probe", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    return out.withColumn("many", F.col("_n") == F.length("probe")).withColumn("entry", F.substring(F.col("probe"), F.lit(1), F.least(F.col("_n") + 1, F.length("probe")))).drop("_n")
+    return out.withColumn("many", F.col("_n") == F.length("probe")).withColumn("entry", F.substring(F.col("probe"), F.lit(1), F.col("_n") + 1)).withColumn("head", F.substring("probe", 1, 1)).drop("_n")
 
 
 def candidates(queries: DataFrame, index: SearchIndex, optional: bool = False, k: int = 0, max_candidates: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, ranked) of the first level of probes that finds something after the filters.
 
     ``queries`` may carry ``want_type`` and ``want_simc``; with ``optional``, a null there asks for everything, without it
-    finds nothing.  Hits are (query_id, q, doc_id, key), all of that level, or with ``max_candidates`` the first keys in byte
-    order.  Queries that are a crowded prefix themselves need none: their best ``k`` come ranked from the index, as
-    (query_id, q, doc_id, key, score, rank)."""
+    finds nothing.  Hits are (query_id, q, doc_id, key), all of that level that can be among the best ``k`` (all, without
+    ``k``), or with ``max_candidates`` the first keys in byte order.  Queries that are a crowded prefix themselves need none: their best ``k`` come ranked from the index, as
+    (query_id, q, doc_id, key, score, rank).  Within a locality its own keys are looked through."""
     wanted = [c for c in ("want_type", "want_simc") if c in queries.columns]
     p = kept("probes", _placed(probes(queries), index))
     from_lists = 0 < k <= LISTED and max_candidates is None
     ranked, hits = [], []
+    entries = index.entries.select(*(F.col(c).alias(f"_{c}") for c in ("entry", "key", "doc_id", "type", "simc", "head")))
     # Queries with the same filters share a join whose keys are all equalities.
     for bits in range(1 << len(wanted)) if optional else [(1 << len(wanted)) - 1]:
         given = [w for j, w in enumerate(wanted) if bits >> j & 1]
+        within = "want_simc" in given
         own = p
         for w in wanted if optional else []:
             own = own.where(F.col(w).isNotNull() if w in given else F.col(w).isNull())
-        scope = F.coalesce("want_type", F.lit("")) if "want_type" in given else F.lit("")
-        own = own.withColumn("scope", scope)
+        own = own.withColumn("scope", F.coalesce("want_type", F.lit("")) if "want_type" in given else F.lit(""))
 
-        def entries_of(rows: DataFrame, how: str, given: list[str] = given) -> DataFrame:
-            cond = (rows["entry"] == index.entries["entry"]) & F.startswith(index.entries["key"], rows["probe"])
+        def entries_of(rows: DataFrame, how: str, on: str, given: list[str] = given) -> DataFrame:
+            cond = (F.col(on) == F.col(f"_{on}")) & F.startswith(F.col("_key"), F.col("probe"))
             for w in given:
-                cond = cond & (rows[w] == index.entries[w[5:]])
-            return rows.join(index.entries, cond, how)
+                cond = cond & (F.col(w) == F.col(f"_{w[5:]}"))
+            return rows.join(entries, cond, how)
 
-        if "want_simc" in given:
-            found = entries_of(own, "left_semi")
+        if within:
+            found = entries_of(own, "left_semi", "head")
         else:
             known = index.crowded.select(F.col("prefix").alias("probe"), "scope")
-            found = own.where("many").join(known, ["probe", "scope"], "left_semi").select(own.columns).unionByName(entries_of(own.where("NOT many"), "left_semi"))
-        best = found.groupBy("query_id", "q", "scope", *given).agg(F.min_by(F.struct("level", "probe", "entry", "many"), "level").alias("b")).select("query_id", "q", "scope", *given, "b.*")
-        listed = F.col("many") & (F.col("level") == 0) & F.lit(from_lists and "want_simc" not in given)
-        if from_lists and "want_simc" not in given:
-            lists = index.lists.where(F.col("rank") <= k).withColumnRenamed("prefix", "probe")
-            ranked.append(best.where(listed).join(lists, ["probe", "scope"]).select("query_id", "q", "doc_id", "key", "score", "rank"))
-        rows = entries_of(best.where(~listed), "inner").select(best["query_id"], best["q"], "doc_id", "key")
+            found = own.where("many").join(known, ["probe", "scope"], "left_semi").select(own.columns).unionByName(entries_of(own.where("NOT many"), "left_semi", "entry"))
+        best = found.groupBy("query_id", "q", "scope", *given).agg(F.min_by(F.struct("level", "probe", "entry", "head", "many"), "level").alias("b")).select("query_id", "q", "scope", *given, "b.*")
+        if within:
+            rows = entries_of(best, "inner", "head")
+        else:
+            listed = F.col("many") & (F.col("level") == 0) & F.lit(from_lists)
+            if from_lists:
+                lists = index.lists.where(F.col("rank") <= k).withColumnRenamed("prefix", "probe")
+                ranked.append(best.where(listed).join(lists, ["probe", "scope"]).select("query_id", "q", "doc_id", "key", "score", "rank"))
+            rest = best.where(F.col("many") & ~listed)
+            if from_lists:
+                hits.append(_found_beside(rest, index, k).groupBy("query_id", "q", "doc_id").agg(F.min("key").alias("key")))
+                rows = entries_of(best.where("NOT many"), "inner", "entry")
+            else:
+                spread = rest.drop("entry").join(index.spans.withColumnRenamed("prefix", "probe"), "probe")
+                rows = entries_of(best.where("NOT many").unionByName(spread), "inner", "entry")
+        rows = rows.select("query_id", "q", F.col("_doc_id").alias("doc_id"), F.col("_key").alias("key"))
         if max_candidates is not None:
             rows = top_k(rows, ["query_id"], [F.asc("key"), F.asc("doc_id")], max_candidates)
         hits.append(rows.groupBy("query_id", "q", "doc_id").agg(F.min("key").alias("key")))
-    none = index.lists.sparkSession.createDataFrame([], "doc_id string, key string, score double, rank int")
     if not ranked:
+        none = index.lists.sparkSession.createDataFrame([], "doc_id string, key string, score double, rank int")
         ranked = [hits[0].select("query_id", "q").join(none, F.lit(False))]
     return union_all(*hits), union_all(*ranked)
 
 
+def _found_beside(best: DataFrame, index: SearchIndex, k: int) -> DataFrame:
+    """(query_id, q, doc_id, key): of the documents under each query's crowded probe those that can be among its best ``k``.
+
+    Under a probe that is one of the query's words, documents in which no other word is found differ by weight alone: the
+    weightiest do.  All others hold a word that begins or ends with another word of the query, or is near it: these are
+    found by that word.  So a misspelt street in a large town meets the streets that are spelt alike, not all of the town."""
+    tokens = best.select("query_id", "q", "probe", "scope", F.explode(F.array_distinct(F.split("q", " "))).alias("token")).where("token <> '' AND token <> probe")
+    asked = tokens.select("token").distinct().select("token", F.explode(_forms(F.col("token"))).alias("form"))
+    near = F.startswith(F.col("word"), F.col("token")) | F.endswith(F.col("word"), F.col("token")) | (F.levenshtein("word", "token", EDITS) >= 0)
+    words = kept("near", asked.join(index.forms, "form").select("token", "word").distinct().where(near))
+    # Documents under the probes in question, once for all queries.
+    under = best.select("probe").distinct().join(index.spans.withColumnRenamed("prefix", "probe"), "probe").join(index.entries, "entry")
+    under = under.where(F.startswith("key", "probe")).groupBy("probe", "doc_id").agg(F.min("key").alias("key"), F.first("type").alias("type"))
+    held = tokens.join(words, "token").join(index.postings, "word").select("query_id", "q", "probe", "scope", "doc_id").distinct()
+    beside = held.join(under, ["probe", "doc_id"]).where("scope = '' OR scope = type").select("query_id", "q", "doc_id", "key")
+    heavy = best.join(index.heavy.where(F.col("rank") <= k).withColumnRenamed("prefix", "probe"), ["probe", "scope"]).select("query_id", "q", "doc_id", "key")
+    return beside.unionByName(heavy)
+
+
 def suggest(queries: DataFrame, index: SearchIndex, k: int = 10, optional: bool = False, max_candidates: int | None = None) -> DataFrame:
     """The best ``k`` documents of each query, with display fields."""
     hits, ranked = candidates(queries, index, optional, k, max_candidates)

@@ -66,7 +66,7 @@ def scale_run(spark: SparkSession, n: int, root: str, asked: int = 10_000) -> li
 
     def index() -> dict:
         made["index"] = search.build_index(docs)
-        return {"documents": made["index"].docs.count(), "keys": made["index"].keys.count()}
+        return {"documents": made["index"].docs.count(), "keys": made["index"].entries.count()}
 
     step("index", index)
     label = F.regexp_replace(F.regexp_replace("label", "^ul. ", ""), ",.*", "")

@@ -43,7 +43,7 @@ def plain(queries, docs, k):
     return {(r.query_id, r.rank, r.doc_id) for r in top_k(scored, ["query_id"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], k).collect()}
 
 
-TEXTS = ["n", "no", "nowa", "nowa wies", "s", "polna", "polma", "zielona gora", "x", "a xyzzy", "ul. nowa", "wies nowa", "nowic", "gora lipowa jasna", "n wies", "", "mostt"]
+TEXTS = ["n", "no", "nowa", "nowa wies", "s", "polna", "polma", "zielona gora", "x", "a xyzzy", "ul. nowa", "wies nowa", "nowic", "gora lipowa jasna", "n wies", "", "mostt", "na polna", "polmo nowa", "nowa polmo", "wa wies", "nowa xyzzy", "nowa nwoa", "jasn lipow", "staraa gor"]
 
 
 @pytest.mark.parametrize("k", [3, 8])
@@ -63,6 +63,7 @@ def test_reads_are_bounded(spark, index):
     """A bucket holds at most CROWDED keys' rows, a list at most its length; crowded queries need no hits at all."""
     heads = index.crowded.where("scope = ''").select(F.col("prefix").alias("entry"))
     assert index.entries.join(heads, "entry", "left_anti").groupBy("entry").count().agg(F.max("count")).first()[0] <= 10
+    assert index.entries.select("key", "doc_id").distinct().count() == index.entries.count()
     assert index.lists.groupBy("prefix", "scope").count().agg(F.max("count")).first()[0] == 8
     queries = spark.createDataFrame([(1, "n"), (2, "nowa"), (3, "s")], "query_id int, q string")
     hits, ranked = search.candidates(queries, index, k=5)
@@ -97,7 +98,7 @@ def test_ordinal_aliases(spark):
     ask = spark.createDataFrame([(1, "trzeciego maja")], "query_id int, q string")
     for ordinals in (False, True):
         index = search.build_index(search.build_docs(places, roads, units, ordinals))
-        assert index.keys.where("key LIKE 'trzeciego%'").count() == int(ordinals)
+        assert index.entries.where("key LIKE 'trzeciego%'").count() == int(ordinals)
         assert [r.doc_id for r in search.suggest(ask, index).collect()] == ["S-s1"]
 
 
