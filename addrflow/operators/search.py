@@ -177,10 +177,16 @@ def build_index(docs: DataFrame, path: str | None = None, crowded: int = CROWDED
     spans = part("spans", entries.where("n > 0").select("entry", "n").distinct().select(F.explode(_prefixes(F.col("entry"), F.col("n"))).alias("prefix"), "entry"))
     hits = spans.join(entries, "entry").groupBy("prefix", "doc_id").agg(F.min("key").alias("key"))
     scored = hits.join(own, "doc_id").withColumn("score", score(F.col("prefix"))).withColumn("rest", F.col("weight") - 1.5 * F.least(F.length("norm"), F.lit(60)))
-    scored = kept("scored", scored.select("prefix", F.explode(F.array(F.lit(""), F.col("type"))).alias("scope"), "doc_id", "key", "score", "rest"))
-    best = top_k(scored.where("score <> 0").drop("rest"), ["prefix", "scope"], [F.desc("score"), F.asc("key"), F.asc("doc_id")], listed)
-    part("lists", best.repartitionByRange("prefix").sortWithinPartitions("prefix", "scope", "rank"))
-    part("heavy", top_k(scored.drop("score"), ["prefix", "scope"], [F.desc("rest"), F.asc("key"), F.asc("doc_id")], listed).drop("rest"))
+    scored = kept("scored", scored.select("prefix", "type", "doc_id", "key", "score", "rest"))
+
+    def best(order: str, rows: DataFrame) -> DataFrame:
+        """The first of each prefix in every scope, of all of which a row in one scope is one."""
+        by_type = top_k(rows, ["prefix", "type"], [F.desc(order), F.asc("key"), F.asc("doc_id")], listed)
+        every = top_k(by_type.drop("rank"), ["prefix"], [F.desc(order), F.asc("key"), F.asc("doc_id")], listed).withColumn("scope", F.lit(""))
+        return by_type.withColumn("scope", F.col("type")).unionByName(every).select("prefix", "scope", "doc_id", "key", "score", "rank")
+
+    part("lists", best("score", scored.where("score <> 0")).repartitionByRange("prefix").sortWithinPartitions("prefix", "scope", "rank"))
+    part("heavy", best("rest", scored).drop("score"))
     postings = part("postings", own.select(F.explode(F.array_distinct("words")).alias("word"), "doc_id"))
     distinct = postings.select("word").where("word <> ''").distinct()
     ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), n, F.length("word")))
