@@ -49,7 +49,8 @@ def split_cells(points: DataFrame, side_x: float, side_y: float, cell_points: in
             leaves.append(own)
             break
         leaves.append(own.join(dense, ["_x", "_y"], "left_anti"))
-        rest = own.join(dense, ["_x", "_y"], "left_semi").select(points.columns)
+        # Written, so that no level's plan holds those of all levels above it.
+        rest = kept("dense", own.join(dense, ["_x", "_y"], "left_semi").select(points.columns))
     return union_all(*cells), union_all(*leaves), len(cells)
 
 
@@ -86,13 +87,22 @@ def nearest(inputs: DataFrame, points: DataFrame, k: int, max_m: float, cell_poi
 
     The first grid's cells are no smaller than ``max_m``.  A map without dense cells is joined at once; else cells are split
     where they are dense, so that an input reads some cells' points, however many lie around it.  Inputs and points without
-    a position are left out."""
+    a position are left out.
+
+    Positions are searched, not points and inputs: of the points at one place only the ``k`` least ids can count, and of
+    equally distant places those with the least ids.  So a tower of flats is one place, and is never split in vain."""
     side_x, side_y = degrees_of(max_m)
     inputs, points = inputs.where("lon IS NOT NULL AND lat IS NOT NULL"), points.where("plon IS NOT NULL AND plat IS NOT NULL")
-    cells, leaves, levels = split_cells(points, side_x, side_y, cell_points)
+    spots = kept("spots", inputs.select("lon", "lat").distinct().select(F.struct("lon", "lat").alias("input_id"), "lon", "lat"))
+    places = kept("places", points.groupBy("plon", "plat").agg(F.min("point_id").alias("_first")))
+    cells, leaves, levels = split_cells(places, side_x, side_y, cell_points)
     if levels == 1:
-        near = within_radius(inputs, points, max_m)
+        near = within_radius(spots, places, max_m)
     else:
-        read = cells_to_read(inputs, cells, levels, side_x, side_y, k, max_m, cell_points)
+        read = cells_to_read(spots, cells, levels, side_x, side_y, k, max_m, cell_points)
         near = read.join(leaves, ["_level", "_x", "_y"]).withColumn("distance", distance_m(F.col("lon"), F.col("lat"), F.col("plon"), F.col("plat"))).where(F.col("distance") <= max_m)
-    return top_k(near, ["input_id", "lon", "lat"], [F.asc("distance"), F.asc("point_id")], k).select("input_id", "rank", "point_id", "distance")
+    near = kept("near", top_k(near, ["lon", "lat"], [F.asc("distance"), F.asc("_first")], k).select("lon", "lat", "plon", "plat", "distance"))
+    there = points.join(near.select("plon", "plat").distinct(), ["plon", "plat"], "left_semi")
+    least = top_k(there, ["plon", "plat"], [F.asc("point_id")], k).select("plon", "plat", "point_id")
+    best = top_k(near.join(least, ["plon", "plat"]), ["lon", "lat"], [F.asc("distance"), F.asc("point_id")], k)
+    return inputs.join(best, ["lon", "lat"]).select("input_id", "rank", "point_id", "distance")

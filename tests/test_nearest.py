@@ -57,3 +57,15 @@ def test_work_is_bounded_where_points_are_dense(spark):
 def test_no_points(spark):
     p = spark.createDataFrame([], "point_id string, plon double, plat double")
     assert near.nearest(spark.createDataFrame([(1, 19.0, 52.0)], "input_id int, lon double, lat double"), p, 3, 500).count() == 0
+
+
+def test_points_at_one_place_are_never_split(spark):
+    """Many flats at few places, and many inputs at one: places are searched, and ties go to the lesser ids."""
+    flats = spark.range(6000).selectExpr("concat('p', lpad(id, 5, '0')) AS point_id", "19 + (id % 3) / 1000D AS plon", "52D AS plat")
+    sides = degrees_of(5000)
+    assert near.split_cells(flats.select("plon", "plat").distinct(), *sides, 20)[2] == 1
+    inputs = spark.range(40).selectExpr("id AS input_id", "19.001D AS lon", "52D AS lat")
+    got = {(r.input_id, r.rank, r.point_id) for r in near.nearest(inputs, flats, 3, 5000, cell_points=20).collect()}
+    assert got == {(i, k + 1, f"p{1 + 3 * k:05d}") for i in range(40) for k in range(3)}
+    plan = near.nearest(inputs, flats, 3, 5000, cell_points=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4
