@@ -105,3 +105,17 @@ def test_ordinal_aliases(spark):
 def test_empty_index(spark, docs):
     index = search.build_index(docs.limit(0))
     assert search.suggest(spark.createDataFrame([(1, "nowa")], "query_id int, q string"), index).count() == 0
+
+
+def test_one_label_of_many_documents_is_scored_once(spark, docs):
+    """Copies of a label: the best of them are found, in lists and beside them, and other labels are not crowded out; equal queries are one."""
+    copies = docs.crossJoin(spark.range(40).select(F.col("id").alias("i"))).withColumn("doc_id", F.concat_ws("-", "doc_id", "i")).withColumn("n_points", (F.col("n_points") * 7 + F.col("i") * 13) % 90)
+    copies = copies.withColumn("simc", F.lpad((F.col("simc").cast("int") + 7 * F.col("i")).cast("string"), 7, "0"))
+    index = search.build_index(copies, crowded=10, listed=8)
+    texts = copies.select("type", "label").distinct().count()
+    assert index.postings.select("doc_id").distinct().count() == texts and copies.count() > 40 * texts
+    queries = spark.createDataFrame([(2 * i + j, t, "0000003" if i % 5 == 0 else None) for i, t in enumerate(TEXTS[:16]) for j in (0, 1)], "query_id int, q string, want_simc string")
+    got = {(r.query_id, r.rank, r.doc_id) for r in search.suggest(queries, index, 4, optional=True).collect()}
+    assert got == plain(queries, copies, 4)
+    hits, _ = search.candidates(queries.drop("want_simc"), index, k=4)
+    assert hits.groupBy("query_id").count().agg(F.max("count")).first()[0] <= texts
