@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from addrflow.functions.codes import LOCALITY_KINDS, OBJECT_KINDS, coordinate_text, deepest_unit, pad, point_hash, recode
@@ -12,6 +14,7 @@ from addrflow.functions.geo import first_vertex, in_poland, parse_epsg, to_wgs84
 from addrflow.functions.numbers import building_key, building_sort_key, canonical_building, is_garbage_number
 from addrflow.functions.text import clean_text, normalize_text, not_empty, title_case
 from addrflow.operators.relational import least_values
+from addrflow.sources.scratch import kept
 
 _ID = "struct<lokalnyId:string,przestrzenNazw:string,wersjaId:string>"
 _WRAP = f"idIIP struct<AD_IdentyfikatorIIP:{_ID}>"
@@ -48,11 +51,98 @@ def detect_profile(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("element", F.split_part(found, F.lit(" "), F.lit(1)).alias("structure"), F.split_part(found, F.lit(" "), F.lit(2)).alias("kind"), "features")
 
 
+#: A piece of a file: a whole feature, or what a split of the file begins and ends with.
+_PIECE = "file long, start long, body string, head string, tail string"
+#: Tags that stand between features, never inside one; characters after which a split without any fits no feature.
+_APART = rf"</?(?:[\w.-]+:)?(?:{'|'.join(t for t, _ in FEATURES.values())}|featureMembers?|members?)[\s>]"
+_LONGEST = 1 << 23
+
+
+def _cut(name: str):
+    """Batches of texts between ``</`` to features of one name, a split of a file at a time.
+
+    ``head`` ends a feature that an earlier split began, ``tail`` begins one that a later split ends; every split has a row
+    with both, null where there is none.  Nothing but the feature that is open is held."""
+    apart = re.compile(_APART)
+    opens, close = re.compile(rf"<{re.escape(name)}[\s>]"), f"</{name}>"
+
+    def cut(batches):
+        state = None  # (file, start), open text or None, whether a first end may belong to an earlier split, head
+
+        def end(state):
+            return (*state[0], None, state[3], None if state[2] else state[1])
+
+        for batch in batches:
+            values, files, starts = (batch.column(i) for i in range(3))
+            keys = np.stack([files.to_numpy(), starts.to_numpy()])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            rows = []
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                key = (int(keys[0, lo]), int(keys[1, lo]))
+                text = "</".join(values.slice(lo, hi - lo).to_pylist())
+                if state is None or state[0] != key:
+                    if state is not None:
+                        rows.append(end(state))
+                    # All texts but a file's first follow a separator.
+                    text, state = text if key[1] == 0 else "</" + text, (key, None, key[1] > 0, None)
+                else:
+                    text = f"{state[1] or ''}</{text}"
+                _, _, first, head = state
+                at, left = 0, None
+                while True:
+                    found = opens.search(text, at)
+                    if first:
+                        stop = text.find(close, 0, found.start() if found else len(text))
+                        if stop >= 0:
+                            head, first = text[: stop + len(close)], False
+                    if found is None:
+                        break
+                    first = False
+                    stop = text.find(close, found.end())
+                    if stop < 0:
+                        left = text[found.start() :]
+                        break
+                    at = stop + len(close)
+                    rows.append((*key, text[found.start() : at], None, None))
+                if first and apart.search(text):
+                    first = False
+                elif first:
+                    # Until it is known to be none, what stands here may be the rest of a feature; "" says that it is too long.
+                    first = len(text) < _LONGEST
+                    head, left = (None, text) if first else ("", None)
+                state = (key, left, first, head)
+            yield _batch(rows)
+        if state is not None:
+            yield _batch([end(state)])
+
+    def _batch(rows):
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["file", "start", "body", "head", "tail"])
+
+    return cut
+
+
+def _features(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(body) of every feature of a name.
+
+    Files are read in texts between closing tags of any element, so that a stretch without such a feature is no single row;
+    tasks put the texts of their split together again, and a feature on the border of two splits is joined."""
+    texts = spark.read.option("lineSep", "</").text(path).select("value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    pieces = kept("features", texts.mapInArrow(_cut(name), _PIECE))
+    after = F.lead("head").over(Window.partitionBy("file").orderBy("start"))
+    # An unclosed feature at the end of a file is closed, one that no split holds the end of is an error.
+    rest = F.when(F.col("after") == "", F.raise_error(F.lit(f"a feature {name} is longer than a split"))).otherwise(F.coalesce("after", F.lit(f"</{name}>")))
+    borders = pieces.where("body IS NULL").withColumn("after", after).where("tail IS NOT NULL").withColumn("head", rest)
+    return pieces.where("body IS NOT NULL").select("body").unionByName(borders.select(F.concat("tail", "head").alias("body")))
+
+
 def read_gml(spark: SparkSession, path: str, kind: str, profile: str = "auto") -> DataFrame:
     """Raw rows of one kind of feature, whatever the namespaces.
 
-    The text is cut at the feature's closing tag, so that one large file is read by many tasks; the tag's prefix is found by
-    one pass over all tags, wherever the first such feature stands.  Nothing found is an error, never an empty snapshot."""
+    One large file is read by many tasks, in pieces no longer than a feature; the tag's prefix is found by one pass over all
+    tags, wherever the first such feature stands.  Nothing found is an error, never an empty snapshot."""
     structures = ("2021", "2012") if profile == "auto" else (profile,)
     # A handful of names at most: one for each prefix that the files use.
     names = _tags(spark, path, "|".join(FEATURES[s, kind][0] for s in structures)).orderBy(F.desc("n"), "name").collect()
@@ -60,12 +150,10 @@ def read_gml(spark: SparkSession, path: str, kind: str, profile: str = "auto") -
         tag, schema = FEATURES[structure, kind]
         name = next((r["name"] for r in names if r["element"] == tag), None)
         if name:
-            parts = spark.read.option("lineSep", f"</{name}>").text(path)
-            body = F.regexp_extract("value", rf"(?s)(<{re.escape(name)}[\s>].*)$", 1)
-            rows = parts.select(body.alias("body")).where("body <> ''")
             # Prefixes are dropped: their declarations are at the top of the file, not in the piece.
-            bare = F.regexp_replace(F.regexp_replace(F.concat("body", F.lit(f"</{name}>")), r"<(/?)[\w.-]+:", "<$1"), r"\s[\w.-]+:(\w+)=", " $1=")
-            parsed = rows.select(F.from_xml(bare, schema, {"ignoreNamespace": "true"}).alias("f"))
+            bare = F.regexp_replace(F.regexp_replace("body", r"<(/?)[\w.-]+:", "<$1"), r"\s[\w.-]+:(\w+)=", " $1=")
+            # A generator of one row: else each field would parse the feature anew.
+            parsed = _features(spark, path, name).select(F.explode(F.array(F.from_xml(bare, schema, {"ignoreNamespace": "true"}))).alias("f"))
             return parsed.select("f.*", F.lit(structure).alias("structure"))
     raise ValueError(f"no feature of kind {kind} in {path}")
 
@@ -99,12 +187,17 @@ def _position(raw: DataFrame) -> Column:
     return F.when(v.isNotNull(), to_wgs84(v["a"], v["b"], crs["epsg"], crs["north_first"]))
 
 
+def _placed(raw: DataFrame) -> DataFrame:
+    """Rows with ``_pos``; a generator of one row keeps its projection from being computed for each use."""
+    return raw.select("*", F.explode(F.array(_position(raw))).alias("_pos"))
+
+
 def map_points(raw: DataFrame) -> DataFrame:
     """Points with their ``hash`` and ``skipped``, the reason why a row is no address."""
     number = clean_text(pick_path(raw, ["numerPorzadkowy"]))
     code = pick_path(raw, ["kodPocztowy"])
     point_id = F.coalesce(pick_path(raw, ["idIIP.AD_IdentyfikatorIIP.lokalnyId", "lokalnyId"]), pick_path(raw, ["_id"]))
-    df = raw.withColumn("_pos", _position(raw))
+    df = _placed(raw)
     reason = F.when(point_id.isNull(), "no id").when(number.isNull(), "no number").when(is_garbage_number(number), "no address number")
     terc = deepest_unit(pick_path_all(raw, "jednostkaAdministracyjna"))
     rows = df.select(
@@ -132,7 +225,7 @@ def map_localities(raw: DataFrame) -> DataFrame:
     """Localities with title-cased and normalised names (M2)."""
     name = title_case(clean_text(pick_path(raw, ["nazwa"])))
     simc = pad(pick_path(raw, ["identyfikatorSIMC", "idTERYT"]), 7)
-    df = raw.withColumn("_pos", _position(raw))
+    df = _placed(raw)
     reason = F.when(name.isNull(), "no name").when(~F.coalesce(F.rlike(simc, F.lit("^[0-9]{7}$")), F.lit(False)), "no locality code")
     return df.select(pick_path(raw, ["_id"]).alias("gml_id"), simc.alias("simc"), name.alias("name"), normalize_text(name).alias("name_norm"), recode(pick_path(raw, ["rodzaj"]), LOCALITY_KINDS).alias("kind"), pick_path(raw, ["TERYTGminy"]).alias("terc"), pick_path(raw, ["identyfikatorPRNG"]).alias("prng_id"), F.col("_pos.lon").alias("lon"), F.col("_pos.lat").alias("lat"), reason.alias("skipped"))
 
@@ -152,9 +245,12 @@ def split_skipped(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ingest_stats(mapped: DataFrame, top: int = 10) -> DataFrame:
     """(measure, n): rows, positions missing, swapped or outside, and the commonest reasons for skipping."""
-    shape = mapped.agg(F.count("*").alias("rows"), F.count_if(F.col("lon").isNull()).alias("no_position"), F.count_if(F.col("swapped")).alias("swapped"), F.count_if(~in_poland(F.col("lon"), F.col("lat"))).alias("outside"))
+    # One pass: a handful of rows, one for each reason.
+    seen = mapped.groupBy("skipped").agg(F.count("*").alias("rows"), F.count_if(F.col("lon").isNull()).alias("no_position"), F.count_if(F.col("swapped")).alias("swapped"), F.count_if(~in_poland(F.col("lon"), F.col("lat"))).alias("outside"))
+    seen = kept("statistics", seen)
+    shape = seen.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "no_position", "swapped", "outside")))
     a = shape.select(F.expr("stack(4, 'rows', rows, 'no_position', no_position, 'swapped', swapped, 'outside', outside) as (measure, n)"))
-    b = mapped.where("skipped IS NOT NULL").groupBy(F.concat(F.lit("skipped: "), "skipped").alias("measure")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "measure").limit(top)
+    b = seen.where("skipped IS NOT NULL").select(F.concat(F.lit("skipped: "), "skipped").alias("measure"), F.col("rows").alias("n")).orderBy(F.desc("n"), "measure").limit(top)
     return a.unionByName(b)
 
 
