@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrflow.sources.scratch import kept
-from addrflow.sources.store import current_version, hashed_part, publish_version, read_current
+from addrflow.sources.store import check_unpublished, current_version, hashed_part, publish_version, read_current
 
 from . import addresses, publish, quality
 
@@ -28,7 +28,9 @@ def publish_state(state: dict[str, DataFrame], staged: dict[str, DataFrame], as_
     points, streets = staged["point"], staged["street"]
     if "locality_ref" in points.columns and "locality_ref" in streets.columns:
         points, streets = addresses.resolve_refs(points, streets, localities)
-    catalogue = kept("catalogue", publish.merge_uncoded_streets(publish.merge_streets(state["street"], publish.split_type_words(streets), localities), streets, localities))
+    # The merge of streets without a code reads the others three times.
+    coded = kept("coded", publish.merge_streets(state["street"], publish.split_type_words(streets), localities))
+    catalogue = kept("catalogue", publish.merge_uncoded_streets(coded, streets, localities))
     if "street_ref" in points.columns:
         points = addresses.link_streets(points.drop("street_id"), streets, catalogue)
     merged = kept("merged", publish.merge_points(state["point"], points, as_of, regions))
@@ -81,16 +83,22 @@ class Cycle:
             return "held", ", ".join(failed), warnings, {}
         if dry_run:
             return "no_change", "dry run", warnings, {}
+        # Before the merge, not after it.
+        check_unpublished(self.spark, self.root, version)
         within, others = None, None
         if not first:
             # Beside the changed regions, those that staged points come from: the rest is neither merged nor written.
-            away = state["point"].where(~F.col("region").isin(*changed)).join(points.select("point_id"), "point_id", "left_semi").select("region").distinct()
-            touched = {*changed, *(r["region"] for r in away.collect())}
             every = {r["region"] for r in state["point"].select("region").distinct().collect()}
+            touched = set(changed)
+            if every - touched:
+                away = state["point"].where(~F.col("region").isin(*changed)).join(points.select("point_id"), "point_id", "left_semi").select("region").distinct()
+                touched |= {r["region"] for r in away.collect()}
             within = {"point": touched}
             state["point"] = read_current(self.spark, self.root, "point", touched)
             others = read_current(self.spark, self.root, "point", every - touched)
         tables, merged = publish_state(state, {**staged, "point": points}, as_of, changed, others)
+        # Parts are compared, then written.
+        tables |= {t: kept(t, tables[t]) for t in ("street", "locality")}
         # Counts and tables read the same state and staging, which the new version doesn't touch.
         counts = publish.publish_summary(merged).first().asDict()
         parts = {"point": hashed_part("point_id", self.digits, "region"), "street": hashed_part("street_id", self.digits), "locality": hashed_part("simc", self.digits)}

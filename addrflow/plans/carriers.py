@@ -5,9 +5,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 
+from addrflow.sources.scratch import kept
+
 CARRIERS = {
     "unit": """
 SELECT lpad(cast(r_regionkey AS string), 2, '0') || '00000' AS terc, r_name AS name, 1 AS level, cast(NULL AS string) AS parent_terc FROM {region}
@@ -79,12 +82,20 @@ SELECT o_orderkey AS run_id, timestamp '2024-01-01 00:00:00' + CASE WHEN o_order
 _TABLES = ("region", "nation", "customer", "orders", "lineitem", "events", "documents", "conversations")
 
 
-def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table; base tables by their own names."""
+def carrier(spark: SparkSession, sf_dir: str, name: str, keep: Collection[str] = (), made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A derived table; base tables by their own names.
+
+    Tables in ``keep`` are written to a scratch folder when they are first needed, also by other derived tables: whoever reads
+    one often makes it once.  ``made`` holds those of one query."""
+    made = {} if made is None else made
     if name not in CARRIERS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = CARRIERS[name]
-    return spark.sql(text, **{n: carrier(spark, sf_dir, n) for n in _needs(name)})
+    if name in made:
+        return made[name]
+    df = spark.sql(CARRIERS[name], **{n: carrier(spark, sf_dir, n, keep, made) for n in _needs(name)})
+    if name in keep:
+        df = made[name] = kept(name, df)
+    return df
 
 
 def _needs(name: str) -> list[str]:

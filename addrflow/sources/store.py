@@ -113,6 +113,13 @@ def _digests(df: DataFrame) -> DataFrame:
     return df.groupBy("part").agg(F.count("*").alias("rows"), F.sum(row.cast("decimal(38,0)")).alias("digest"))
 
 
+def check_unpublished(spark: SparkSession, root: str, version: str) -> None:
+    """An error if the version was published."""
+    fs, hadoop = _fs(spark, root)
+    if fs.exists(hadoop.Path(f"{root}/v={version}/_complete")):
+        raise ValueError(f"version {version} is published already")
+
+
 def publish_version(tables: dict[str, DataFrame], root: str, version: str, parts: dict[str, Column] | None = None, within: dict[str, Collection[str]] | None = None) -> dict[str, tuple[int, int]]:
     """Publish a version and then move the pointer: readers see all of it or nothing.
 
@@ -122,10 +129,9 @@ def publish_version(tables: dict[str, DataFrame], root: str, version: str, parts
     published is never written again, as readers may hold it; what a failed attempt left is replaced.  The pointer is renamed
     over the old one in one step.  Returns (parts kept, parts written) by table."""
     spark = next(iter(tables.values())).sparkSession
+    check_unpublished(spark, root, version)
     fs, hadoop = _fs(spark, root)
     done = hadoop.Path(f"{root}/v={version}/_complete")
-    if fs.exists(done):
-        raise ValueError(f"version {version} is published already")
     before = current_version(spark, root)
     old = {(r["table"], r["part"]): r for r in read_manifest(spark, root, before).collect()} if before else {}
     lines, counts = [], {}
