@@ -31,13 +31,14 @@ def extract_postal(s: Column) -> Column:
     A code with a hyphen comes first; five bare digits count only apart from digits and slashes, and not if they make a
     placeholder.  ``index`` counts from 0."""
     dashed, plain = r"(?<![\p{L}0-9_])[0-9]{2}-[0-9]{3}(?![\p{L}0-9_])", r"(?<![0-9/])[0-9]{5}(?![0-9/])"
-    found = F.struct(F.regexp_extract(s, dashed, 0).alias("d"), F.regexp_extract(s, plain, 0).alias("p"))
+    def bare(p: Column) -> Column:
+        code = normalize_postal(p)
+        return F.when((p != "") & ~is_placeholder_postal(code), F.struct(code.alias("code"), _at(s, plain).alias("index"), F.lit(5).alias("length")))
 
-    def choose(x: Column) -> Column:
-        code = normalize_postal(x["p"])
-        return F.when(x["d"] != "", F.struct(x["d"].alias("code"), _at(s, dashed).alias("index"), F.lit(6).alias("length"))).when((x["p"] != "") & ~is_placeholder_postal(code), F.struct(code.alias("code"), _at(s, plain).alias("index"), F.lit(5).alias("length")))
+    def choose(d: Column) -> Column:
+        return F.when(d != "", F.struct(d.alias("code"), _at(s, dashed).alias("index"), F.lit(6).alias("length"))).otherwise(let(F.regexp_extract(s, plain, 0), bare))
 
-    return let(found, choose)
+    return let(F.regexp_extract(s, dashed, 0), choose)
 
 
 def _at(s: Column, pattern: str) -> Column:

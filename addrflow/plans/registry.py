@@ -462,7 +462,7 @@ def _(locality, published):
 
 @query("parse_address_lines", "line", sql="SELECT query_id, expected_postal AS postal_code, expected_locality AS locality, expected_kind AS street_kind, expected_street AS street, expected_building AS building, expected_flat AS flat, expected_other AS other, CASE WHEN box THEN 'po_box' END AS unusual, line AS raw FROM line")
 def _(line):
-    parsed = validate.parse_address_lines(line.select("query_id", "line")).select("query_id", "parsed.*")
+    parsed = validate.parse_address_lines(validate.spread(line.select("query_id", "line"), "query_id")).select("query_id", "parsed.*")
     return parsed.select("query_id", "postal_code", "locality", "street_kind", "street", "building", "flat", F.array_join("alternatives", ",").alias("other"), "unusual", "raw")
 
 

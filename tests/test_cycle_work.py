@@ -31,3 +31,10 @@ def test_a_version_that_exists_is_refused_before_the_merge(spark, tmp_path, monk
     cycle = cycles.Cycle(spark, root, {"min_rows": 1, "commune_drop": 1.0})
     assert cycle.run("1", lambda: tables, ["00"], "2024-02-01 00:00:00") == "error"
     assert cycle.runs().first().reason == "version 1 is published already"
+
+
+def test_lines_are_parsed_by_all_tasks(spark):
+    from addrflow.plans import registry
+
+    df = registry.QUERIES["parse_address_lines"](spark, DATA)
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
