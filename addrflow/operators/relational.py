@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrflow.functions.geo import degrees_of, distance_m
+from addrflow.sources.scratch import kept
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -21,14 +22,20 @@ def top_k(df: DataFrame, partition: list[str], order: list[Column], k: int) -> D
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def least_values(pairs: DataFrame, by: list[str], value: str, k: int) -> DataFrame:
+def least_values(pairs: DataFrame, by: list[str], value: str, k: int, prefix: int = 8) -> DataFrame:
     """For each key ``n``, the rows with a value, and ``samples``, the ``k`` least different values.
 
-    Values are counted before they are ranked, and tasks keep ``k`` of each key before they send them, so that nothing
-    holds all values of a key."""
-    counted = pairs.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(*by).agg(F.sum(F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)).alias("n"))
-    least = top_k(counted.where(F.col(value).isNotNull()), by, [F.asc(value)], k).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(value).alias("v")))), lambda x: x["v"]).alias("samples"))
+    Rows are counted by the first letters of their values: the least values are among those that begin with one of the ``k``
+    least beginnings, so that only these are told apart, and nothing holds or sends all values of a key.  ``pairs`` is read
+    twice."""
+    start = F.substring(value, 1, prefix)
+    counted = kept("beginnings", pairs.groupBy(*by, start.alias("_start")).agg(F.count(value).alias("_n")))
+    totals = counted.groupBy(*by).agg(F.sum("_n").alias("n"))
+    # Beginnings sort as their values do.
+    bound = top_k(counted.where("_start IS NOT NULL"), by, [F.asc("_start")], k).groupBy(*by).agg(F.max("_start").alias("_bound"))
+    a, b = pairs.where(F.col(value).isNotNull()).alias("a"), bound.alias("b")
+    few = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]).where(start <= F.col("_bound")).select("a.*").distinct()
+    least = top_k(few, by, [F.asc(value)], k).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(value).alias("v")))), lambda x: x["v"]).alias("samples"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     out = totals.alias("a").join(least.alias("b"), same, "left")
     return out.select(*(F.col(f"a.{c}") for c in by), "n", F.coalesce("samples", F.array().cast(f"array<{pairs.schema[value].dataType.simpleString()}>")).alias("samples"))

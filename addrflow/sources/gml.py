@@ -37,8 +37,10 @@ def _tags(spark: SparkSession, path: str, names: str) -> DataFrame:
 
     Text is cut at every ``>``, so that a file without line breaks is no single row."""
     rows = spark.read.option("lineSep", ">").text(path)
-    tag = F.regexp_extract("value", rf"<((?:[\w.-]+:)?(?:{names}))(?:[\s/][^<]*)?$", 1)
-    found = rows.select(tag.alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
+    # What follows the last < of a piece is short, and most of it is no such tag from its first letter on.
+    last = rows.where(F.contains("value", F.lit("<"))).select(F.explode(F.array(F.substring_index("value", "<", -1))).alias("t"))
+    tag = F.regexp_extract("t", rf"^((?:[\w.-]+:)?(?:{names}))(?:[\s/][^<]*)?$", 1)
+    found = last.select(F.explode(F.array(tag)).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n"))
     return found.select("name", F.regexp_replace("name", "^[^:]*:", "").alias("element"), "n")
 
 
@@ -258,8 +260,11 @@ def discover_gml(spark: SparkSession, path: str, samples: int = 3) -> DataFrame:
     """(element, n, samples, candidate) of the leaf elements of an unknown file."""
     # Cut at closing tags: a leaf element is what stands at the end of such a piece.
     text = spark.read.option("lineSep", "</").text(path)
-    leaf = r"<(?:[\w.-]+:)?(\w+)(?:\s[^>]*)?>([^<]+)$"
-    pairs = text.select(F.regexp_extract("value", leaf, 1).alias("e"), F.regexp_extract("value", leaf, 2).alias("v")).where("e <> '' AND trim(v) <> ''")
-    out = least_values(pairs.select(F.col("e").alias("element"), F.trim("v").alias("v")), ["element"], "v", samples)
+    # Generators of one row: else filters would take the pieces apart anew.
+    last = text.where(F.contains("value", F.lit("<"))).select(F.explode(F.array(F.substring_index("value", "<", -1))).alias("t")).where(F.contains("t", F.lit(">")))
+    element = F.regexp_extract(F.substring_index("t", ">", 1), r"^(?:[\w.-]+:)?(\w+)(?:\s[^>]*)?$", 1)
+    pair = F.struct(element.alias("element"), F.trim(F.expr("substring(t, locate('>', t) + 1)")).alias("v"))
+    pairs = last.select(F.explode(F.array(pair)).alias("p")).select("p.*").where("element <> '' AND v <> ''")
+    out = least_values(pairs, ["element"], "v", samples)
     feature = detect_profile(spark, path).select("element", F.col("features").alias("n"), F.array().cast("array<string>").alias("samples"))
     return out.unionByName(feature).withColumn("candidate", F.rlike("element", F.lit("^(AD_|PRG_|EGB_|OT_)")))

@@ -38,3 +38,16 @@ def test_lines_are_parsed_by_all_tasks(spark):
 
     df = registry.QUERIES["parse_address_lines"](spark, DATA)
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_least_values_send_no_value_of_their_own(spark, monkeypatch):
+    from addrflow.operators import relational
+
+    counted = []
+    keep = relational.kept
+    monkeypatch.setattr(relational, "kept", lambda name, df: counted.append(df.count()) or keep(name, df))
+    pairs = spark.range(5000).selectExpr("'e' AS element", "concat('common start ', lpad(id, 6, '0')) AS v").unionByName(spark.createDataFrame([("f", "z"), ("f", "ab"), ("f", "a"), ("f", "a"), ("f", "żż"), ("f", None), ("g", None)], "element string, v string"))
+    got = {r.element: (r.n, r.samples) for r in relational.least_values(pairs, ["element"], "v", 3).collect()}
+    assert got == {"e": (5000, [f"common start {i:06d}" for i in range(3)]), "f": (5, ["a", "ab", "z"]), "g": (0, [])}
+    # Beginnings, not values, are what is counted and sent: one of "e", five of "f" (null is one), the null of "g".
+    assert counted == [7]
