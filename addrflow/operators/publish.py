@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from addrflow.functions.streets import extract_type_word
 from addrflow.functions.text import normalize_text
+from addrflow.sources.scratch import kept
 
 from .addresses import active, derive_counts, derive_has_streets
 from .relational import classify_changes, distinct_on, survivors, union_all
@@ -114,23 +115,33 @@ def merge_duplicate_streets(streets: DataFrame, points: DataFrame, keys: list[st
 
     The survivor has the most points, then the least id; it takes the official name of its group (that of the least id
     marked official) and a kind where it has none; the others' points move to it."""
-    counted = derive_counts(points, streets, "street_id")
+    merged, moves = _one_of_each(derive_counts(points, streets, "street_id"), keys)
+    return merged, _moved(points, moves)
+
+
+def _one_of_each(counted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(streets, moves from a street to its survivor) of streets with their points counted."""
     ranked = survivors(counted, keys, [F.desc("n_points"), F.asc("street_id")], "street_id")
     official = F.struct("street_id", "name", "name_norm")
     names = ranked.groupBy("survivor").agg(F.min(F.when(F.col("official"), official)).alias("named"), F.min("kind").alias("any_kind"), F.sum("n_points").alias("total"))
-    kept = ranked.where("street_id = survivor").join(names, "survivor")
-    kept = kept.select("street_id", "simc", "sym_ul", F.coalesce("kind", "any_kind").alias("kind"), F.coalesce("named.name", "name").alias("name"), F.coalesce("named.name_norm", "name_norm").alias("name_norm"), "official", "withdrawn", F.col("total").alias("n_points"))
-    moves = ranked.where("street_id <> survivor").select("street_id", "survivor")
-    moved = points.join(moves, "street_id", "left").withColumn("street_id", F.coalesce("survivor", "street_id")).drop("survivor")
-    return kept, moved
+    own = ranked.where("street_id = survivor").join(names, "survivor")
+    own = own.select("street_id", "simc", "sym_ul", F.coalesce("kind", "any_kind").alias("kind"), F.coalesce("named.name", "name").alias("name"), F.coalesce("named.name_norm", "name_norm").alias("name_norm"), "official", "withdrawn", F.col("total").alias("n_points"))
+    return own, ranked.where("street_id <> survivor").select("street_id", "survivor")
+
+
+def _moved(points: DataFrame, moves: DataFrame) -> DataFrame:
+    return points.join(moves, "street_id", "left").withColumn("street_id", F.coalesce("survivor", "street_id")).drop("survivor")
 
 
 def merge_all_duplicates(streets: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(streets, points) after both passes (P12): streets with a code are one for each (simc, sym_ul), then those without
-    one for each (simc, name_norm, kind), a missing kind being a kind of its own."""
-    coded, points = merge_duplicate_streets(streets.where("sym_ul IS NOT NULL"), points, ["simc", "sym_ul"])
-    bare, points = merge_duplicate_streets(streets.where("sym_ul IS NULL"), points, ["simc", "name_norm", "kind"])
-    return coded.unionByName(bare), points
+    one for each (simc, name_norm, kind), a missing kind being a kind of its own.
+
+    No street is in both passes, so points are counted once and move once."""
+    counted = kept("counted", derive_counts(points, streets, "street_id"))
+    coded, first = _one_of_each(counted.where("sym_ul IS NOT NULL"), ["simc", "sym_ul"])
+    bare, second = _one_of_each(counted.where("sym_ul IS NULL"), ["simc", "name_norm", "kind"])
+    return kept("merged-streets", coded.unionByName(bare)), _moved(points, kept("moves", first.unionByName(second)))
 
 
 def _lines(df: DataFrame, **values) -> DataFrame:

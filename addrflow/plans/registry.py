@@ -10,6 +10,7 @@ from addrflow.functions.postal import is_placeholder_postal, is_valid_postal, no
 from addrflow.functions.text import clean_text, normalize_text, tokenize
 from addrflow.operators import addresses, compare, lookup, opsmetrics, publish, quality, search, usage, validate
 from addrflow.operators.relational import distinct_on, top_k, union_all
+from addrflow.sources.scratch import kept
 
 from . import cycles, ingestion, scalars  # noqa: F401  (they register queries of their own)
 from .register import AS_OF, ORACLES, QUERIES, query
@@ -187,9 +188,10 @@ def _(street, point):
     return publish.merge_all_duplicates(_doubled(street), point)[0].select("street_id", "n_points", "name", "kind")
 
 
-@query("merge_comparison", "street", "point", sql=f"WITH {BOTH_PASSES}, st2 AS (SELECT * FROM st WHERE street_id IN (SELECT survivor FROM r)), p2 AS (SELECT p.* REPLACE (r.survivor AS street_id) FROM point p LEFT JOIN r ON p.street_id = r.street_id), k2 AS (SELECT r.survivor AS street_id, coalesce(max(kind) FILTER (r.street_id = survivor), min(kind)) AS kind, coalesce(min_by(name_norm, street_id) FILTER (official), max(name_norm) FILTER (r.street_id = survivor)) AS name_norm FROM r GROUP BY 1), st3 AS (SELECT s.* REPLACE (k2.kind AS kind, k2.name_norm AS name_norm) FROM st2 s JOIN k2 ON s.street_id = k2.street_id), a AS (WITH {REPORT.format(s='st', p='point')}), b AS (WITH {REPORT.format(s='st3', p='p2')}) SELECT a.measure, a.value AS before, b.value AS after FROM a JOIN b ON a.measure = b.measure UNION ALL SELECT 'merged_streets', 0, count(*) FROM r WHERE street_id <> survivor")
+@query("merge_comparison", "street", "point", sql=f"WITH {BOTH_PASSES}, st2 AS (SELECT * FROM st WHERE street_id IN (SELECT survivor FROM r)), p2 AS (SELECT p.* REPLACE (r.survivor AS street_id) FROM point p LEFT JOIN r ON p.street_id = r.street_id), k2 AS (SELECT r.survivor AS street_id, coalesce(max(kind) FILTER (r.street_id = survivor), min(kind)) AS kind, coalesce(min_by(name_norm, street_id) FILTER (official), max(name_norm) FILTER (r.street_id = survivor)) AS name_norm FROM r GROUP BY 1), st3 AS (SELECT s.* REPLACE (k2.kind AS kind, k2.name_norm AS name_norm) FROM st2 s JOIN k2 ON s.street_id = k2.street_id), a AS (WITH {REPORT.format(s='st', p='point')}), b AS (WITH {REPORT.format(s='st3', p='p2')}) SELECT a.measure, a.value AS before, b.value AS after FROM a JOIN b ON a.measure = b.measure UNION ALL SELECT 'merged_streets', 0, count(*) FROM r WHERE street_id <> survivor", keep=("street",))
 def _(street, point):
-    before = (_doubled(street), point)
+    # What both states read of streets and points is made once.
+    before = (_doubled(street), kept("linked", point.select("street_id", "withdrawn")))
     return publish.merge_comparison(before, publish.merge_all_duplicates(*before), ["simc", "kind"])
 
 

@@ -51,3 +51,18 @@ def test_least_values_send_no_value_of_their_own(spark, monkeypatch):
     assert got == {"e": (5000, [f"common start {i:06d}" for i in range(3)]), "f": (5, ["a", "ab", "z"]), "g": (0, [])}
     # Beginnings, not values, are what is counted and sent: one of "e", five of "f" (null is one), the null of "g".
     assert counted == [7]
+
+
+def test_both_merges_count_points_once(spark, monkeypatch):
+    from addrflow.operators import publish
+
+    counts = []
+    derive = publish.derive_counts
+    monkeypatch.setattr(publish, "derive_counts", lambda *a: counts.append(1) or derive(*a))
+    row = "street_id string, simc string, sym_ul string, kind string, name string, name_norm string, official boolean, withdrawn timestamp"
+    streets = spark.createDataFrame([("a", "1", "7", None, "A", "a", False, None), ("b", "1", "7", "ul.", "B", "b", True, None), ("c", "1", None, "ul.", "C", "c", False, None), ("d", "1", None, "ul.", "D", "c", False, None)], row)
+    points = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("d",), ("x",), (None,)], "street_id string").selectExpr("street_id", "cast(NULL AS timestamp) AS withdrawn")
+    merged, moved = publish.merge_all_duplicates(streets, points)
+    assert sorted((r.street_id, r.kind, r["name"], r.n_points) for r in merged.collect()) == [("a", "ul.", "B", 3), ("c", "ul.", "C", 2)]
+    assert sorted(str(r.street_id) for r in moved.collect()) == ["None", "a", "a", "a", "c", "c", "x"]
+    assert counts == [1]
