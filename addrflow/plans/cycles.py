@@ -33,6 +33,7 @@ m AS (SELECT coalesce(s.point_id, c.point_id) AS point_id, coalesce(s.simc, c.si
   CASE WHEN s.point_id IS NOT NULL THEN NULL WHEN c.withdrawn IS NULL AND c.region IN ('00', '01', '02') THEN 'now' WHEN c.withdrawn IS NOT NULL THEN 'before' END AS gone FROM published c FULL OUTER JOIN s ON c.point_id = s.point_id)
 SELECT 'point' AS kind, count(*) AS n, count(gone) AS withdrawn, count(street_id) AS linked FROM m UNION ALL SELECT 'street', count(*), 0, count(*) FILTER (n > 0) FROM (SELECT st.street_id, count(m.point_id) AS n FROM street st LEFT JOIN m ON st.street_id = m.street_id AND m.gone IS NULL GROUP BY 1)
 UNION ALL SELECT 'locality', count(*), 0, count(*) FILTER (n > 0) FROM (SELECT l.simc, count(m.point_id) AS n FROM locality l LEFT JOIN m ON l.simc = m.simc AND m.gone IS NULL GROUP BY 1)""",
+    keep=KEEP,
 )
 def _(published, staged, locality, street):
     """Everything between staging and pointer: references, merges, links, withdrawals, counts."""

@@ -66,3 +66,20 @@ def test_both_merges_count_points_once(spark, monkeypatch):
     assert sorted((r.street_id, r.kind, r["name"], r.n_points) for r in merged.collect()) == [("a", "ul.", "B", 3), ("c", "ul.", "C", 2)]
     assert sorted(str(r.street_id) for r in moved.collect()) == ["None", "a", "a", "a", "c", "c", "x"]
     assert counts == [1]
+
+
+def test_queries_of_cycles_keep_their_tables(spark, monkeypatch):
+    from addrflow.plans import registry
+
+    class Stop(Exception):
+        pass
+
+    for name in ("publish_state", "update_cycles"):
+        names = []
+        monkeypatch.setattr(carriers, "kept", lambda name, df, names=names: names.append(name) or df)
+        try:
+            monkeypatch.setattr("addrflow.plans.cycles.Cycle", lambda *a: (_ for _ in ()).throw(Stop()))
+            registry.QUERIES[name](spark, DATA)
+        except Stop:
+            pass
+        assert sorted(names) == ["locality", "point", "street"], name
