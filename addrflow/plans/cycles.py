@@ -90,6 +90,7 @@ def _(published, staged, locality, street):
 WITH p AS (SELECT DISTINCT region, substring(md5(point_id), 1, 1) AS b FROM published), o AS (SELECT DISTINCT 's', substring(md5(street_id), 1, 1) FROM street UNION ALL SELECT DISTINCT 'l', substring(md5(simc), 1, 1) FROM locality),
 n AS (SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM o) AS total, (SELECT count(*) FROM p WHERE region = '01' AND b IN ('0', '1')) AS moved)
 SELECT '1' AS version, 0 AS parts_kept, total AS parts_written FROM n UNION ALL SELECT '2', total - moved, moved FROM n UNION ALL SELECT '3', total, 0 FROM n""",
+    keep=KEEP,
 )
 def _(published, locality, street):
     """Parts that stay the files they are: none at first, all but those with a changed point, all without a change."""

@@ -74,7 +74,7 @@ def test_queries_of_cycles_keep_their_tables(spark, monkeypatch):
     class Stop(Exception):
         pass
 
-    for name in ("publish_state", "update_cycles"):
+    for name in ("publish_state", "changed_parts", "update_cycles"):
         names = []
         monkeypatch.setattr(carriers, "kept", lambda name, df, names=names: names.append(name) or df)
         try:
